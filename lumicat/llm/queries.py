@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import line_dedup, mixing
+from lumicat.llm import html_diff, line_dedup, mixing
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ select doc_id, text, lang, source, n_chars, round(rate, 9) as rate, n_copies, re
        md5('17s|' || doc_id::varchar || '|' || replica::varchar) as shuffle_key
 from (select *, unnest(range(1, n_copies + 1)) as replica from counted where n_copies > 0)
 """
+
+
+@_query
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
