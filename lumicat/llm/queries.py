@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import html_diff, line_dedup, line_quality, mixing
+from lumicat.llm import html_diff, line_dedup, line_quality, mixing, setsketch
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
        and n_words - n_template_words >= n_words * 0.3::double as kept
 from base
 """
+
+
+@_query
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_size=4)
