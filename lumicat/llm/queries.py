@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import html_diff, line_dedup, line_quality, mixing, secret_dfa, setsketch
+from lumicat.llm import decontam, html_diff, line_dedup, line_quality, mixing, secret_dfa, setsketch
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_dfa.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@_query
+def op2_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
