@@ -11,7 +11,9 @@ Defined cases: a null or empty text is one empty line, which has no key and
 stays. Rows with a null ``doc_id`` hold no key and lose nothing. Rows that
 repeat both ``doc_id`` and text are one document and get the same bitmap; rows
 with one ``doc_id`` and different texts are different holders, the smaller text
-hash first. Extra columns are ignored or carried unchanged.
+hash first. Extra columns are carried unchanged. The hashed keys, and the keys
+held twice, are written to the checkpoint folder, so texts are cut into lines
+once for all passes over the keys.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.text import ascii_lower, bind, hash128, strip_space
+from lumicat.session import checkpointed
 
 MIN_KEY_CHARS = 10
 
@@ -39,7 +42,7 @@ def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFra
     them kept (perhaps of length 0). A document without droppable lines has no
     row.
     """
-    keyed = (
+    keyed = checkpointed(
         docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(_lines(F.col("text")), _key).alias("_keys"))
         .select("doc_id", "text_hash", F.posexplode("_keys").alias("_pos", "_key"))
@@ -51,7 +54,8 @@ def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFra
         F.min(F.struct("doc_id", "text_hash")).alias("_first"),
         F.max(F.struct("doc_id", "text_hash")).alias("_last"),
     )
-    shared = holders.where(F.col("_first") != F.col("_last")).select("_h", "_first")
+    # written, so that both sides of the join below are exchanges whose hot partitions Spark can split
+    shared = checkpointed(holders.where(F.col("_first") != F.col("_last")).select("_h", "_first"))
     dropped = (
         keyed.join(shared, "_h")
         .where(F.struct("doc_id", "text_hash") != F.col("_first"))

@@ -15,12 +15,12 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(col, UPPER, LOWER)
+    """Lower-cases A-Z only; ``lower`` does that faster where all characters are ASCII."""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def strip_space(col: Column) -> Column:
-    return F.regexp_replace(col, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    return F.btrim(col, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def words(col: Column) -> Column:
