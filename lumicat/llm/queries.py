@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontam, html_diff, line_dedup, line_quality, mixing, secret_dfa, setsketch
+from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, secret_dfa, setsketch
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,10 @@ def op6_secret_dfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op7_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
