@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, secret_dfa, setsketch
+from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, secret_dfa, setsketch, warc_derive
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,46 @@ def op7_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.derive(warc_derive.responses(table(spark, sf_dir, "pages")))
+
+
+_DUCK_TEXT = r"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g')"
+_DUCK_TEXT = rf"regexp_replace({_DUCK_TEXT}, '\s+', ' ', 'g')"
+_DUCK_TEXT = rf"regexp_replace({_DUCK_TEXT}, '(?i)</?(p|div|li|ul|ol|h[1-6]|br|tr|table|article|section|nav|footer|header|aside|main|blockquote|body|html)\b[^>]*>', chr(10), 'g')"
+_DUCK_TEXT = rf"regexp_replace({_DUCK_TEXT}, '<[^>]*>', '', 'g')"
+for _from, _to in warc_derive.REFERENCES:
+    _DUCK_TEXT = "replace({}, '{}', '{}')".format(_DUCK_TEXT, _from.replace("'", "''"), _to.replace("'", "''"))
+_DUCK_TEXT = rf"regexp_replace(regexp_replace({_DUCK_TEXT}, ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+def _duck_id(*parts: str) -> str:
+    h = f"sha1({" || '|' || ".join(parts)})"
+    return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+
+
+ORACLE_SQL["op5_warc_derivatives"] = f"""
+with source as (
+  select page_id, url as uri, coalesce(html, '') as payload, {_DUCK_TEXT} as plain, '{warc_derive.DATE}' as date,
+         {_duck_id("'response'", "page_id::varchar", "coalesce(url, '')")} as refers_to,
+         'sha256:' || sha256(coalesce(html, '')) as source_digest, chr(13) || chr(10) as nl
+  from pages),
+ids as (select *, {_duck_id("'metadata'", "refers_to")} as meta_id, {_duck_id("'conversion'", "refers_to")} as text_id from source),
+made as (
+  select *, 'metadata' as record_type, meta_id as record_id, 'application/warc-fields' as kind,
+         'http-header: HTTP/1.1 200 OK' || nl || 'http-header: Content-Type: text/html; charset=utf-8' || nl
+         || 'http-header: Content-Length: ' || octet_length(encode(payload))::varchar || nl
+         || 'source-payload-digest: ' || source_digest || nl || 'payload-bytes: ' || octet_length(encode(payload))::varchar || nl
+         || 'derived-record: ' || text_id || nl as block
+  from ids
+  union all
+  select *, 'conversion', text_id, 'text/plain; charset=utf-8', plain from ids)
+select page_id, record_type, record_id, refers_to, uri, date, source_digest, 'sha256:' || sha256(block) as block_digest, block,
+       'WARC/1.1' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Refers-To: ' || refers_to || nl
+       || 'WARC-Date: ' || date || nl || coalesce('WARC-Target-URI: ' || uri || nl, '') || 'WARC-Block-Digest: sha256:' || sha256(block) || nl
+       || 'Content-Type: ' || kind || nl || 'Content-Length: ' || octet_length(encode(block))::varchar || nl || nl || block || nl || nl as record
+from made
+"""
