@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, secret_dfa, setsketch, warc_derive
+from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, pii_gbt, secret_dfa, setsketch, warc_derive
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,10 @@ select page_id, record_type, record_id, refers_to, uri, date, source_digest, 'sh
        || 'Content-Type: ' || kind || nl || 'Content-Length: ' || octet_length(encode(block))::varchar || nl || nl || block || nl || nl as record
 from made
 """
+
+
+@_query
+def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_gbt.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii_gbt.KINDS[k]}")
+    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii_gbt.listed(F.col("base")), 256).alias("base_sha256"), pii_gbt.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
