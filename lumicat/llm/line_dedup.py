@@ -60,7 +60,7 @@ def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFra
         keyed.join(shared, "_h")
         .where(F.struct("doc_id", "text_hash") != F.col("_first"))
         .groupBy("doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_list("_pos")).alias("_dropped"))
+        .agg(F.sort_array(F.collect_set("_pos")).alias("_dropped"))
     )
     return dropped.select("doc_id", "text_hash", _runs(F.col("_dropped")).alias("keep_runs"))
 
