@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = []
+NAMES: list[str] = ["scalars", "relational"]
 
 
 def load() -> None:
