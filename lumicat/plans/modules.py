@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = ["scalars", "relational"]
+NAMES: list[str] = ["scalars", "relational", "aggregates"]
 
 
 def load() -> None:
