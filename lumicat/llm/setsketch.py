@@ -11,9 +11,10 @@ the threshold are confirmed on their full shingle sets.
 Groups of copies never turn into all pairs. Equal sets collapse into one class
 first. In each bucket every class is compared with one leader only, the class
 with most copies. Pairs of a bucket that this leaves in different components
-are then compared by their registers in blocks of bounded size, and only pairs
-whose estimate may reach the threshold leave a block. No pair that shares a
-bucket is skipped.
+are then compared in blocks of bounded size: by registers first, on full sets
+where the estimate may reach the threshold, until they are connected. What
+leaves a block is a forest of confirmed links. No pair that shares a bucket and
+is not connected yet is skipped.
 
 With 32 bands of 5 registers a pair at the threshold of 0.8 shares no bucket
 with probability 3e-6, and its estimate from 256 registers falls below the
@@ -45,8 +46,8 @@ REGISTERS, BANDS, ROWS = 256, 32, 5
 BASE, RATE = 1.1, 20.0
 #: How far below the threshold an estimate may be for the pair to be confirmed on full sets.
 MARGIN = 0.12
-#: Sides of the blocks in which registers of one leader's members are compared, and rows of one group of blocks.
-OUTLIER_BLOCK, MEMBER_BLOCK, GROUP_ROWS = 512, 2048, 16384
+#: Shingles (8 bytes each) on the sides of the blocks in which members of one leader are compared.
+OUTLIER_SHINGLES, MEMBER_SHINGLES = 100_000, 1_000_000
 
 _MULTIPLIERS = (np.random.default_rng(20240229).integers(1, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -169,19 +170,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.select("u", "v", shared.alias("s"), (F.size("su") + F.size("sv") - shared).alias("t")).where(100 * F.col("s") >= percent * F.col("t")).select("u", "v")
 
 
-def _block_pairs(percent: int):
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _block_links(percent: int):
+    """Confirmed links that connect the components of one block, a forest of them."""
     floor = percent / 100 - MARGIN
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, block in rows.groupby(["leader", "ob", "mb"], sort=False):
             out, mem = block[block.outlier], block[~block.outlier]
             if not len(out) or not len(mem):
                 continue
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
             sketches = np.frombuffer(b"".join(mem.registers), dtype=np.uint8).reshape(len(mem), REGISTERS)
-            ids, comps, ns = mem.id.to_numpy(), mem.component.to_numpy(), mem.n.to_numpy(float)
+            ids, comps, ns, sets = mem.id.to_numpy(), mem.component.to_numpy(), mem.n.to_numpy(float), mem.set.to_numpy()
             own_comp = comps == mem.leader_component.to_numpy()
-            for x, comp, n, r in zip(out.id, out.component, out.n, out.registers):
+            for x, comp, n, r, own in zip(out.id, out.component, out.n, out.registers, out.set):
                 near = (comps != comp) & (own_comp | (ids < x)) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n))
                 where = np.flatnonzero(near)
                 if not len(where):
@@ -190,32 +208,44 @@ def _block_pairs(percent: int):
                 more, less = (theirs < mine).sum(axis=1), (theirs > mine).sum(axis=1)
                 close = REGISTERS - more - less >= REGISTERS * floor
                 where, more, less = where[close], more[close], less[close]
-                if len(where):
-                    good = likely_similarity(more, less, np.full(len(where), float(n)), ns[where]) >= floor
-                    found += [(x, y) for y in ids[where[good]]]
+                if not len(where):
+                    continue
+                good = likely_similarity(more, less, np.full(len(where), float(n)), ns[where]) >= floor
+                for k in where[good]:
+                    if (a := find(comp)) != (b := find(comps[k])):
+                        s = _shared(own, sets[k])
+                        if 100 * s >= percent * (len(own) + len(sets[k]) - s):
+                            root[max(a, b)] = min(a, b)
+                            found.append((x, ids[k]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return pairs
+    return links
 
 
-def _residual(members: DataFrame, classes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of members of one leader in different components whose estimate may reach the threshold."""
-    comp = classes.select("id", "n", "registers").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _residual(members: DataFrame, classes: DataFrame, components: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between members of one leader that its own links leave in different components.
+
+    Members outside the leader's component are compared with all others. Both
+    sides are cut into blocks by the number of their shingles, so a block has a
+    bounded size however large the group or its texts are.
+    """
+    comp = classes.select("id", "n").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = members.join(comp.withColumnRenamed("id", "member"), "member").join(comp.select(F.col("id").alias("leader"), F.col("component").alias("leader_component")), "leader")
     placed = placed.withColumn("outlier", F.col("component") != F.col("leader_component"))
-    counts = placed.groupBy("leader").agg(F.count_if("outlier").alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0 and n_all > 1")
-    blocks = lambda c, size: F.greatest(F.ceil(F.col(c) / size), F.lit(1)).cast("int")
-    sized = placed.join(counts.select("leader", blocks("n_out", OUTLIER_BLOCK).alias("nob"), blocks("n_all", MEMBER_BLOCK).alias("nmb")), "leader")
+    totals = placed.groupBy("leader").agg(F.sum(F.when(F.col("outlier"), F.col("n")).otherwise(0)).alias("n_out"), F.sum("n").alias("n_all"), F.count("*").alias("size")).where("n_out > 0 and size > 1")
+    blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    sized = checkpointed(placed.join(totals.select("leader", "n_all", blocks("n_out", OUTLIER_SHINGLES).alias("nob"), blocks("n_all", MEMBER_SHINGLES).alias("nmb")), "leader"))
+    sets = checkpointed(texts.join(sized.select(F.col("member").alias("id")).distinct(), "id", "left_semi").select("id", shingles_udf(size)("text").alias("set")))
+    full = sized.withColumnRenamed("member", "id").join(classes.select("id", "registers"), "id").join(sets, "id")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    mine = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
-    own = ["leader", "leader_component", F.col("member").alias("id"), "n", "registers", "component"]
-    outliers = sized.where("outlier").select(*own, F.lit(True).alias("outlier"), mine("nob").alias("ob"), F.explode(spread("nmb")).alias("mb"))
-    others = sized.select(*own, F.lit(False).alias("outlier"), F.explode(spread("nob")).alias("ob"), mine("nmb").alias("mb"))
-    rows = outliers.unionByName(others)
-    total = counts.agg(F.sum(F.ceil(F.col("n_out") / OUTLIER_BLOCK) * F.col("n_all"))).first()[0] or 0
-    groups = max(1, int(total) // GROUP_ROWS) * 4
-    keyed = rows.withColumn("g", F.pmod(F.xxhash64("leader", "ob", "mb"), F.lit(groups)).cast("int"))
-    found = keyed.groupBy("g").applyInPandas(_block_pairs(percent), "u long, v long")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own = ["leader", "leader_component", "id", "n", "registers", "set", "component"]
+    outliers = full.where("outlier").select(*own, F.lit(True).alias("outlier"), mine("nob").alias("ob"), F.explode(spread("nmb")).alias("mb"))
+    others = full.select(*own, F.lit(False).alias("outlier"), F.explode(spread("nob")).alias("ob"), mine("nmb").alias("mb"))
+    volume = sized.agg(F.sum(F.col("n") * (F.col("nob") + F.when(F.col("outlier"), F.col("nmb")).otherwise(0)))).first()[0] or 0
+    groups = 8 + int(volume) // MEMBER_SHINGLES
+    keyed = outliers.unionByName(others).withColumn("g", F.pmod(F.xxhash64("leader", "ob", "mb"), F.lit(groups)).cast("int"))
+    found = keyed.groupBy("g").applyInPandas(_block_links(percent), "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -236,10 +266,9 @@ def near_components(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     pairs = pairs.where(_may_reach(F.col("n_u"), F.col("n_v"), percent)).where(estimate("r_u", "r_v", "n_u", "n_v") >= percent / 100 - MARGIN).select("u", "v")
     links = checkpointed(_confirmed(checkpointed(pairs), texts, shingle_size, percent))
     components = connected_components(links)
-    rest = checkpointed(_residual(members, classes, components, percent))
-    if not rest.isEmpty():
-        more = _confirmed(rest, texts, shingle_size, percent)
-        components = connected_components(links.unionByName(checkpointed(more)))
+    more = checkpointed(_residual(members, classes, components, texts, shingle_size, percent))
+    if not more.isEmpty():
+        components = connected_components(links.unionByName(more))
     named = classes.select("a", "b", "id").join(components.withColumnRenamed("node", "id"), "id", "left").select("a", "b", F.coalesce("component", "id").alias("_component"))
     joined = sketched.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("a")).alias("a"), "b").join(named, ["a", "b"], "left")
     component = F.coalesce("_component", "doc_id")
