@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = ["scalars", "relational", "aggregates"]
+NAMES: list[str] = ["scalars", "relational", "aggregates", "topics"]
 
 
 def load() -> None:
