@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = ["scalars", "relational", "aggregates", "topics"]
+NAMES: list[str] = ["scalars", "relational", "aggregates", "topics", "ranking"]
 
 
 def load() -> None:
