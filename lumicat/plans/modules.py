@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = ["scalars", "relational", "aggregates", "topics", "ranking"]
+NAMES: list[str] = ["scalars", "relational", "aggregates", "topics", "ranking", "incremental"]
 
 
 def load() -> None:
