@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = ["scalars", "relational", "aggregates", "topics", "ranking", "incremental"]
+NAMES: list[str] = ["scalars", "relational", "aggregates", "topics", "ranking", "incremental", "nlu"]
 
 
 def load() -> None:
