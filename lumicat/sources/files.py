@@ -62,3 +62,58 @@ def markdown(df: DataFrame, title: str, most: int = 100) -> str:
     rows = df.limit(most).collect()
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([f"# {title}", "", line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]]) + "\n"
+
+
+def write_csv_bom(df: DataFrame, path: str) -> None:
+    """One header with a byte order mark per file, cells quoted where needed."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def read_pages(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Landed API pages, a JSON object with ``items`` per line, as one row per item."""
+    pages = spark.read.schema(f"page int, items array<{schema}>").json(path)
+    return pages.select("page", F.inline("items"))
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of each file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def _docx_lines(batches):
+    """TABLE_ROW lines of the tables of DOCX files; a bar pair in a cell becomes a slash."""
+    import html
+    import io
+    import re
+    import zipfile
+
+    import pandas as pd
+
+    for batch in batches:
+        out = []
+        for path, content in zip(batch.path, batch.content):
+            try:
+                xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8", "replace")
+            except (zipfile.BadZipFile, KeyError):
+                continue
+            lines = []
+            for n, table in enumerate(re.findall(r"<w:tbl\b.*?</w:tbl>", xml, re.S), 1):
+                lines.append(f"STRUCTURED_DOCX_TABLE_BEGIN {n}")
+                for row in re.findall(r"<w:tr\b.*?</w:tr>", table, re.S):
+                    cells = [" ".join(html.unescape(" ".join(re.findall(r"<w:t\b[^>]*>(.*?)</w:t>", c, re.S))).split()).replace("||", "/") for c in re.findall(r"<w:tc\b.*?</w:tc>", row, re.S)]
+                    if any(cells):
+                        lines.append(" || ".join(["TABLE_ROW", *cells]))
+                lines.append("STRUCTURED_DOCX_TABLE_END")
+            out.append((path, "\n".join(lines)))
+        yield pd.DataFrame(out, columns=["path", "text"])
+
+
+def docx_tables(files: DataFrame) -> DataFrame:
+    """path, text of (path, content) rows: tables only, as delimited lines. Broken files give no row."""
+    return files.select("path", "content").mapInPandas(_docx_lines, "path string, text string")
+
+
+def usable_downloads(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """Documents still to fetch: wanted (program_id, url) without a usable present (program_id, bytes)."""
+    return wanted.join(present.where("bytes > 0").select("program_id"), "program_id", "left_anti")
