@@ -32,39 +32,38 @@ def over_turns(name: str, columns: dict, sql: dict[str, str] | None, source: str
     register(name, text)(query)
 
 
-TEXT = F.col("text")
 # the test texts have no digits in conversations: ages come from their lengths
 AGED = lambda: F.concat(F.lit("ребенку "), (F.length("text") % 23).cast("string"), F.when(F.length("text") % 5 == 0, F.concat(F.lit("-"), (F.length("text") % 23 + 3).cast("string"))).otherwise(""), F.lit(" лет"))
 _BUCKETED = "((length(text) % 23) between 3 and 18)"
 
 over_turns("nlu_age", {"age": lambda: nlu.age_years(AGED()), "ambiguous": lambda: nlu.age_is_range(AGED())}, {"age": f"case when length(text) % 5 = 0 then floor((2 * (length(text) % 23) + 4) / 2.0)::int when {_BUCKETED} then (length(text) % 23)::int end", "ambiguous": "length(text) % 5 = 0"})
 _PLACE = lambda n: f"regexp_matches(s, '{nlu.whole(n)}')"
-over_turns("nlu_settlement", {"n_places": lambda: F.size(nlu.places(TEXT, PLACES)), "names": lambda: F.array_join(F.array_sort(nlu.places(TEXT, PLACES)), ",")}, {"n_places": "(" + " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + ")::int", "names": "array_to_string(list_sort(list_filter([" + ", ".join(f"case when {_PLACE(n)} then '{n}' end" for n in PLACES) + "], lambda x: x is not null)), ',')"})
-over_turns("nlu_place", {"place": lambda: F.when(F.size(nlu.places(TEXT, PLACES)) == 1, F.get(nlu.places(TEXT, PLACES), F.lit(0))), "ambiguous": lambda: F.size(nlu.places(TEXT, PLACES)) > 1}, {"place": "case when " + " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + " = 1 then case " + " ".join(f"when {_PLACE(n)} then '{n}'" for n in PLACES) + " end end", "ambiguous": " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + " > 1"})
+over_turns("nlu_settlement", {"n_places": lambda: F.size(nlu.places(F.col("text"), PLACES)), "names": lambda: F.array_join(F.array_sort(nlu.places(F.col("text"), PLACES)), ",")}, {"n_places": "(" + " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + ")::int", "names": "array_to_string(list_sort(list_filter([" + ", ".join(f"case when {_PLACE(n)} then '{n}' end" for n in PLACES) + "], lambda x: x is not null)), ',')"})
+over_turns("nlu_place", {"place": lambda: F.when(F.size(nlu.places(F.col("text"), PLACES)) == 1, F.get(nlu.places(F.col("text"), PLACES), F.lit(0))), "ambiguous": lambda: F.size(nlu.places(F.col("text"), PLACES)) > 1}, {"place": "case when " + " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + " = 1 then case " + " ".join(f"when {_PLACE(n)} then '{n}'" for n in PLACES) + " end end", "ambiguous": " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + " > 1"})
 _DIR = lambda p: f"regexp_matches(q, '{p}')"
-over_turns("nlu_direction", {"direction": lambda: nlu.first_direction(TEXT, DIRECTIONS)}, {"direction": "case " + " ".join(f"when {_DIR(p)} then '{n}'" for n, p in DIRECTIONS) + " end"})
+over_turns("nlu_direction", {"direction": lambda: nlu.first_direction(F.col("text"), DIRECTIONS)}, {"direction": "case " + " ".join(f"when {_DIR(p)} then '{n}'" for n, p in DIRECTIONS) + " end"})
 _DIRS = "list_filter([" + ", ".join(f"case when {_DIR(p)} then '{n}' end" for n, p in DIRECTIONS) + "], lambda x: x is not null)"
-over_turns("nlu_interests", {"interests": lambda: F.array_join(nlu.directions(TEXT, DIRECTIONS), ","), "broad": lambda: F.size(nlu.directions(TEXT, DIRECTIONS)) > 1}, {"interests": f"array_to_string({_DIRS}, ',')", "broad": f"len({_DIRS}) > 1"})
-over_turns("nlu_conflict", {"conflict": lambda: F.size(nlu.directions(TEXT, DIRECTIONS)) >= 3}, {"conflict": f"len({_DIRS}) >= 3"})
+over_turns("nlu_interests", {"interests": lambda: F.array_join(nlu.directions(F.col("text"), DIRECTIONS), ","), "broad": lambda: F.size(nlu.directions(F.col("text"), DIRECTIONS)) > 1}, {"interests": f"array_to_string({_DIRS}, ',')", "broad": f"len({_DIRS}) > 1"})
+over_turns("nlu_conflict", {"conflict": lambda: F.size(nlu.directions(F.col("text"), DIRECTIONS)) >= 3}, {"conflict": f"len({_DIRS}) >= 3"})
 _NEG = rf"(^|{nlu.EDGE})(не|без|кроме|исключить|но не|not|no|without|except)( [a-zа-я]+)?{nlu.EDGE}*$"
 _HIT = lambda p: f"regexp_matches(q, '{p}')"
 _NEGATED = lambda p: f"regexp_matches(right(regexp_extract(q, '^(.*?)({p})', 1), 32), '{_NEG}')"
 _terms = lambda want: "array_to_string(list_filter([" + ", ".join(f"case when {_HIT(p)} and {'' if want else 'not '}{_NEGATED(p)} then '{t}' end" for t, p, _ in ENTRIES) + "], lambda x: x is not null), ',')"
-_acts = lambda want: F.array_join(F.transform(F.filter(nlu.activities(TEXT, ENTRIES), lambda a: a["negated"] if want else ~a["negated"]), lambda a: a["term"]), ",")
+_acts = lambda want: F.array_join(F.transform(F.filter(nlu.activities(F.col("text"), ENTRIES), lambda a: a["negated"] if want else ~a["negated"]), lambda a: a["term"]), ",")
 over_turns("nlu_activity_ontology", {"terms": lambda: _acts(False), "excluded": lambda: _acts(True)}, {"terms": _terms(False), "excluded": _terms(True)})
-over_turns("nlu_negation", {"negated": lambda: nlu.negated(F.right(fx.normalize_query(TEXT), F.lit(32)))}, {"negated": f"regexp_matches(right(q, 32), '{_NEG}')"})
+over_turns("nlu_negation", {"negated": lambda: nlu.negated(F.right(fx.normalize_query(F.col("text")), F.lit(32)))}, {"negated": f"regexp_matches(right(q, 32), '{_NEG}')"})
 _WORD = rf"regexp_extract(q, '(^|{nlu.EDGE})(the|la|der) +([a-zа-яéèêçñóíüöäß]+)', 3)"
 _STEM = f"regexp_replace({_WORD}, '(ами|ями|ого|ему|ing|es|s|а|у|ы|и|ом)$', '')"
-over_turns("nlu_raw_term", {"term": lambda: nlu.raw_term(TEXT, "the|la|der", STOP)}, {"term": f"case when length({_STEM}) >= 4 and {_WORD} not in ('that', 'this') then {_STEM} end"})
-PRICED = lambda: F.when(F.length("text") % 4 == 0, "хочу бесплатно").when(F.length("text") % 4 == 1, F.concat(F.lit("до "), F.length("text").cast("string"), F.lit(" руб"))).when(F.length("text") % 4 == 2, F.concat(F.lit("budget: "), F.length("text").cast("string"))).otherwise(TEXT)
+over_turns("nlu_raw_term", {"term": lambda: nlu.raw_term(F.col("text"), "the|la|der", STOP)}, {"term": f"case when length({_STEM}) >= 4 and {_WORD} not in ('that', 'this') then {_STEM} end"})
+PRICED = lambda: F.when(F.length("text") % 4 == 0, "хочу бесплатно").when(F.length("text") % 4 == 1, F.concat(F.lit("до "), F.length("text").cast("string"), F.lit(" руб"))).when(F.length("text") % 4 == 2, F.concat(F.lit("budget: "), F.length("text").cast("string"))).otherwise(F.col("text"))
 over_turns("nlu_budget", {"budget": lambda: nlu.budget(PRICED())}, {"budget": "case when length(text) % 4 = 0 then '0' when length(text) % 4 in (1, 2) then length(text)::varchar when regexp_matches(q, '" + nlu.whole("бесплатн[а-я]*|free") + "') then '0' end"})
 TIMED = lambda: F.concat(F.when(F.length("text") % 3 == 0, "weekend mornings ").when(F.length("text") % 3 == 1, "after school ").otherwise(""), F.when(F.length("text") % 2 == 0, "online").otherwise(""))
 over_turns("nlu_schedule", {"schedule": lambda: F.array_join(nlu.schedule(TIMED()), ",")}, {"schedule": "case length(text) % 3 when 0 then 'weekend,morning' when 1 then 'weekdays,evening' else '' end"})
 over_turns("nlu_format", {"form": lambda: nlu.attendance(TIMED())}, {"form": "case when length(text) % 2 = 0 then 3 end"})
-over_turns("nlu_goal", {"goal": lambda: nlu.goal(F.concat(TEXT, F.when(F.length("text") % 3 == 0, " contest").when(F.length("text") % 3 == 1, " to discover").otherwise("")))}, {"goal": "case when length(text) % 3 = 0 or regexp_matches(q, 'олимпиад|соревнован|compet|contest') then 'achieve' when regexp_matches(q, 'подготов|поступлен|exam|prepare') then 'prepare' when length(text) % 3 = 1 or regexp_matches(q, 'попробов|интересно|try|discover') then 'discover' end"})
-over_turns("nlu_avoid", {"avoid": lambda: F.array_join(nlu.avoidances(F.concat(TEXT, F.when(F.length("text") % 2 == 0, " no noise").otherwise(" not far away"))), ",")}, {"avoid": "array_to_string(list_filter([case when length(text) % 2 = 0 or regexp_matches(q, 'шум|noise|noisy') then 'noise' end, case when regexp_matches(q, 'травм|injur') then 'injury' end, case when length(text) % 2 = 1 or regexp_matches(q, 'далеко|far away') then 'distance' end], lambda x: x is not null), ',')"})
-over_turns("nlu_llm_gate", {"ask": lambda: (F.length("text") > 160) | (F.size(nlu.directions(TEXT, DIRECTIONS)) == 0)}, {"ask": f"length(text) > 160 or len({_DIRS}) = 0"})
-over_turns("nlu_profile_confidence", {"confidence": lambda: nlu.profile_confidence(F.size(nlu.directions(TEXT, DIRECTIONS)), F.length("text") % 2, F.length("text") % 3 == 0)}, {"confidence": f"case when (len({_DIRS}) >= 2)::int * 2 + (length(text) % 2 > 0)::int + (length(text) % 3 = 0)::int - (len({_DIRS}) >= 4)::int >= 4 then 'high' when (len({_DIRS}) >= 2)::int * 2 + (length(text) % 2 > 0)::int + (length(text) % 3 = 0)::int - (len({_DIRS}) >= 4)::int >= 2 then 'medium' else 'low' end"})
+over_turns("nlu_goal", {"goal": lambda: nlu.goal(F.concat(F.col("text"), F.when(F.length("text") % 3 == 0, " contest").when(F.length("text") % 3 == 1, " to discover").otherwise("")))}, {"goal": "case when length(text) % 3 = 0 or regexp_matches(q, 'олимпиад|соревнован|compet|contest') then 'achieve' when regexp_matches(q, 'подготов|поступлен|exam|prepare') then 'prepare' when length(text) % 3 = 1 or regexp_matches(q, 'попробов|интересно|try|discover') then 'discover' end"})
+over_turns("nlu_avoid", {"avoid": lambda: F.array_join(nlu.avoidances(F.concat(F.col("text"), F.when(F.length("text") % 2 == 0, " no noise").otherwise(" not far away"))), ",")}, {"avoid": "array_to_string(list_filter([case when length(text) % 2 = 0 or regexp_matches(q, 'шум|noise|noisy') then 'noise' end, case when regexp_matches(q, 'травм|injur') then 'injury' end, case when length(text) % 2 = 1 or regexp_matches(q, 'далеко|far away') then 'distance' end], lambda x: x is not null), ',')"})
+over_turns("nlu_llm_gate", {"ask": lambda: (F.length("text") > 160) | (F.size(nlu.directions(F.col("text"), DIRECTIONS)) == 0)}, {"ask": f"length(text) > 160 or len({_DIRS}) = 0"})
+over_turns("nlu_profile_confidence", {"confidence": lambda: nlu.profile_confidence(F.size(nlu.directions(F.col("text"), DIRECTIONS)), F.length("text") % 2, F.length("text") % 3 == 0)}, {"confidence": f"case when (len({_DIRS}) >= 2)::int * 2 + (length(text) % 2 > 0)::int + (length(text) % 3 = 0)::int - (len({_DIRS}) >= 4)::int >= 4 then 'high' when (len({_DIRS}) >= 2)::int * 2 + (length(text) % 2 > 0)::int + (length(text) % 3 = 0)::int - (len({_DIRS}) >= 4)::int >= 2 then 'medium' else 'low' end"})
 
 _AGE_SQL = f"case when length(text) % 5 = 0 then floor((2 * (length(text) % 23) + 4) / 2.0)::int when {_BUCKETED} then (length(text) % 23)::int end"
 _DIRECTION_SQL = "case " + " ".join(f"when {_DIR(p)} then '{n}'" for n, p in DIRECTIONS) + " end"
@@ -72,8 +71,8 @@ _PARSED = f"t as (select conv_id, turn, role, text, {Q} as q, {S} as s from conv
 
 
 def parsed(spark, sf_dir):
-    found = nlu.places(TEXT, PLACES)
-    return staged(turns(spark, sf_dir), age=nlu.age_years(AGED()), interest=nlu.first_direction(TEXT, DIRECTIONS), place=F.when(F.size(found) == 1, "one").otherwise(""))
+    found = nlu.places(F.col("text"), PLACES)
+    return staged(turns(spark, sf_dir), age=nlu.age_years(AGED()), interest=nlu.first_direction(F.col("text"), DIRECTIONS), place=F.when(F.size(found) == 1, "one").otherwise(""))
 
 
 @register("nlu_parse", f"with {_PARSED} select conv_id, turn, role, age, interest, place from parsed")

@@ -47,14 +47,12 @@ def clean(v: str) -> str:
     return f"trim({out}, ' .;-')"
 
 
-DOC = F.col("text")
-
-scalar("fn_normalize_text", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_text(DOC))}, {"h": f"md5({norm('text')})"})
-scalar("fn_normalize_query", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_query(DOC))}, {"h": f"md5({squeeze(norm('text'))})"})
-scalar("fn_normalize_search", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_search(DOC))}, {"h": "md5(" + squeeze("translate(" + norm("text") + ", '«»\"“”''', '')") + ")"})
-scalar("fn_normalize_key", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_key(DOC))}, {"h": f"md5({key('text')})"})
-scalar("fn_normalize_topic_py", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_topic(DOC))}, {"h": f"md5(trim({key('text')}, ' .-'))"})
-scalar("fn_clean_topic", "documents", "doc_id", lambda: {"h": F.md5(fx.clean_topic(DOC))}, {"h": f"md5({clean('text')})"})
+scalar("fn_normalize_text", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_text(F.col("text")))}, {"h": f"md5({norm('text')})"})
+scalar("fn_normalize_query", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_query(F.col("text")))}, {"h": f"md5({squeeze(norm('text'))})"})
+scalar("fn_normalize_search", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_search(F.col("text")))}, {"h": "md5(" + squeeze("translate(" + norm("text") + ", '«»\"“”''', '')") + ")"})
+scalar("fn_normalize_key", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_key(F.col("text")))}, {"h": f"md5({key('text')})"})
+scalar("fn_normalize_topic_py", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_topic(F.col("text")))}, {"h": f"md5(trim({key('text')}, ' .-'))"})
+scalar("fn_clean_topic", "documents", "doc_id", lambda: {"h": F.md5(fx.clean_topic(F.col("text")))}, {"h": f"md5({clean('text')})"})
 scalar("fn_strip_html", "pages", "page_id", lambda: {"h": F.md5(fx.strip_html(F.col("html")))}, {"h": "md5(" + squeeze("replace(" + sub("coalesce(html, '')", "<[^>]*>", " ") + ", '&nbsp;', ' ')") + ")"})
 _decoded = "html"
 for _name, _char in fx.ENTITIES:
@@ -62,13 +60,13 @@ for _name, _char in fx.ENTITIES:
 scalar("fn_decode_entities", "pages", "page_id", lambda: {"h": F.md5(fx.decode_entities(F.col("html")))}, {"h": f"md5({_decoded})"})
 _flat = squeeze("coalesce(text, '')")
 _first = f"regexp_extract({_flat}, '^(.{{30,220}}?[.!?])( |$)', 1)"
-scalar("fn_first_sentence", "documents", "doc_id", lambda: {"sentence": fx.first_sentence(DOC)}, {"sentence": f"case when {_first} <> '' then {_first} else left({_flat}, 220) end"})
+scalar("fn_first_sentence", "documents", "doc_id", lambda: {"sentence": fx.first_sentence(F.col("text"))}, {"sentence": f"case when {_first} <> '' then {_first} else left({_flat}, 220) end"})
 scalar("fn_extract_number", "events", "event_id", lambda: {"n": fx.extract_number(F.col("props"))}, {"n": f"try_cast(nullif(regexp_extract({sub('props', r'[ \t]+', '')}, '[0-9]+', 0), '') as bigint)"})
 
-_PRICE = F.when(F.col("p_partkey") % 7 == 0, "").when(F.col("p_partkey") % 7 == 1, "Free of charge").when(F.col("p_partkey") % 7 == 2, F.concat(F.lit("1 "), F.col("p_size").cast("string"), F.lit("0,5 rub"))).otherwise(F.concat(F.lit("ab "), F.col("p_size").cast("string"), F.lit("0")))
+_PRICE = lambda: F.when(F.col("p_partkey") % 7 == 0, "").when(F.col("p_partkey") % 7 == 1, "Free of charge").when(F.col("p_partkey") % 7 == 2, F.concat(F.lit("1 "), F.col("p_size").cast("string"), F.lit("0,5 rub"))).otherwise(F.concat(F.lit("ab "), F.col("p_size").cast("string"), F.lit("0")))
 _PRICE_SQL = "case when p_partkey % 7 = 0 then '' when p_partkey % 7 = 1 then 'Free of charge' when p_partkey % 7 = 2 then '1 ' || p_size || '0,5 rub' else 'ab ' || p_size || '0' end"
 scalar(
-    "fn_price_amount", "part", "p_partkey", lambda: {"price": fx.price_amount(_PRICE)},
+    "fn_price_amount", "part", "p_partkey", lambda: {"price": fx.price_amount(_PRICE())},
     {"price": f"(case when {_PRICE_SQL} = '' then null when {norm(_PRICE_SQL)} like '%free%' then 0 else try_cast(nullif(regexp_extract({sub(f"translate({norm(_PRICE_SQL)}, ' ', '')", '^([^,]*),', r'\1.')}, '[0-9]+(\\.[0-9]+)?', 0), '') as decimal(18,4)) end)::decimal(18,4)"},
 )
 scalar("fn_format_price", "orders", "o_orderkey", lambda: {"label": fx.format_price(F.col("o_totalprice"))}, {"label": "replace(format('{:,}', round(o_totalprice::decimal(18,4), 0)::bigint), ',', ' ') || ' ₽'"})
@@ -86,7 +84,7 @@ scalar("fn_ru_plural", "part", "p_partkey", lambda: {"word": fx.ru_plural(F.col(
 scalar("fn_age_label", "part", "p_partkey", lambda: {"label": fx.age_label(F.nullif(F.col("p_size") % 5, F.lit(0)), F.nullif(F.col("p_size") % 7, F.lit(0)))}, {"label": "case when p_size % 5 <> 0 and p_size % 7 <> 0 then (p_size % 5) || '-' || (p_size % 7) || ' лет' when p_size % 5 <> 0 then 'от ' || (p_size % 5) || ' лет' when p_size % 7 <> 0 then 'до ' || (p_size % 7) || ' лет' else '' end"})
 scalar("fn_group_size_class", "part", "p_partkey", lambda: {"size_class": fx.group_size_class(F.col("p_size") % 20, F.col("p_size") % 20 + 4)}, {"size_class": "case when p_size % 20 + 2 <= 10 or p_size % 20 + 4 <= 10 then 'small' when p_size % 20 >= 15 or p_size % 20 + 2 >= 16 then 'large' else 'medium' end"})
 _ACT = key("coalesce(source, '') || ' ' || coalesce(text, '')")
-scalar("fn_activity_type", "documents", "doc_id", lambda: {"activity": fx.activity_type(F.col("source"), DOC)}, {"activity": "case " + " ".join(f"when regexp_matches({_ACT}, '{p}') then '{n}'" for n, p in fx.ACTIVITIES) + " else coalesce(nullif(source, ''), 'не определено') end"})
+scalar("fn_activity_type", "documents", "doc_id", lambda: {"activity": fx.activity_type(F.col("source"), F.col("text"))}, {"activity": "case " + " ".join(f"when regexp_matches({_ACT}, '{p}') then '{n}'" for n, p in fx.ACTIVITIES) + " else coalesce(nullif(source, ''), 'не определено') end"})
 scalar("fn_url_program_id", "pages", "page_id", lambda: {"program_id": fx.url_program_id(F.col("url"))}, {"program_id": "try_cast(coalesce(nullif(regexp_extract(url, '[?&]id=([0-9]+)', 1), ''), nullif(regexp_extract(url, '/program/([0-9]+)', 1), ''), nullif(regexp_extract(url, '/([0-9]+)(?:[/.?#]|$)', 1), '')) as bigint)"})
 scalar("fn_url_links", "pages", "page_id", lambda: {"links": F.array_join(fx.url_links(F.concat(F.lit("see "), F.col("url"), F.lit(", and "), F.col("url"), F.lit("). http://x.test")), "example."), " ")}, {"links": "regexp_replace(url, '[.,;:!?)]+$', '')"})
 scalar("fn_classifier_keys", "part", "p_partkey", lambda: {"keys": F.array_join(fx.classifier_keys(F.when(F.col("p_size") % 4 == 0, "unknown").otherwise(F.col("p_brand")), F.col("p_type")), "|")}, {"keys": "case when p_size % 4 = 0 then '' else 'code:' || p_brand || '|' end || 'name:' || lower(p_type)"})
@@ -96,8 +94,8 @@ scalar("fn_edu_form", "part", "p_partkey", lambda: {"form": fx.education_form((F
 scalar("fn_md5_payload", "events", "event_id", lambda: {"h": F.md5(F.coalesce("props", F.lit("")))}, {"h": "md5(coalesce(props, ''))"})
 scalar("fn_round_confidence", "part", "p_partkey", lambda: {"c": fx.round_confidence(F.col("p_size").cast("decimal(18,6)") / 40 - F.lit("0.1").cast("decimal(18,6)")).cast("decimal(18,3)")}, {"c": "round(least(greatest((p_size::decimal(18,6) / 40 - 0.1)::decimal(18,6), 0), 0.999)::decimal(18,6), 3)"})
 scalar("fn_round_2", "lineitem", _L, lambda: {"r": fx.round_2(F.col("l_discount")).cast("decimal(18,2)")}, {"r": "round(l_discount::decimal(18,6), 2)"})
-scalar("fn_truncate", "documents", "doc_id", lambda: {"head": F.left(DOC, F.lit(80))}, {"head": "left(text, 80)"})
-scalar("fn_base64_text", "documents", "doc_id", lambda: {"h": F.md5(F.translate(F.base64(F.encode(DOC, "UTF-8")), "\r\n", "")), "same": F.decode(F.unbase64(F.base64(F.encode(DOC, "UTF-8"))), "UTF-8") == DOC}, {"h": "md5(base64(encode(text)))", "same": "text is not null"})
+scalar("fn_truncate", "documents", "doc_id", lambda: {"head": F.left(F.col("text"), F.lit(80))}, {"head": "left(text, 80)"})
+scalar("fn_base64_text", "documents", "doc_id", lambda: {"h": F.md5(F.translate(F.base64(F.encode(F.col("text"), "UTF-8")), "\r\n", "")), "same": F.decode(F.unbase64(F.base64(F.encode(F.col("text"), "UTF-8"))), "UTF-8") == F.col("text")}, {"h": "md5(base64(encode(text)))", "same": "text is not null"})
 scalar("prj_case_map", "orders", "o_orderkey", lambda: {"rank": F.coalesce(F.create_map(*[F.lit(x) for i, p in enumerate(["1-URGENT", "2-HIGH", "3-MEDIUM"]) for x in (p, i)])[F.col("o_orderpriority")], F.lit(9))}, {"rank": "case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 else 9 end"})
 scalar("prj_coalesce_default", "orders", "o_orderkey", lambda: {"open_price": F.coalesce(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")), F.lit(0.0)), "status": F.nullif("o_orderstatus", F.lit("P"))}, {"open_price": "coalesce(case when o_orderstatus = 'O' then o_totalprice end, 0)", "status": "nullif(o_orderstatus, 'P')"})
 scalar("prj_json_object", "part", "p_partkey", lambda: {"payload": F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.struct(F.col("p_type").alias("name")).alias("direction")))}, {"payload": "json_object('id', p_partkey, 'name', p_name, 'direction', json_object('name', p_type))::varchar"})
