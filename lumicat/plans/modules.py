@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = ["scalars", "relational", "aggregates", "topics", "ranking", "incremental", "nlu", "documents", "sources"]
+NAMES: list[str] = ["scalars", "relational", "aggregates", "topics", "ranking", "incremental", "nlu", "documents", "sources", "extras"]
 
 
 def load() -> None:
