@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.text import SPACE_RE, bind
+from lumicat.session import checkpointed
 
 WINDOW = 8
 #: Share of an item's distinct windows that a contaminated document holds.
@@ -35,55 +36,87 @@ BROADCAST_WINDOWS = 500_000
 UNITS = ["%", "percent", "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ml", "l", "litre", "litres", "liters", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "mph", "kmh", "kb", "mb", "gb"]
 
 
-def template(text: Column) -> Column:
-    """An array of (t, v): the template token and, for a placeholder, the value it stands for."""
-    raw = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9])(%|[a-zA-Z]{1,3}\b)", "$1 $2"), SPACE_RE), lambda w: w != "")
+def _raw(text: Column) -> Column:
+    """Words, with units glued to numbers cut off."""
+    text = F.coalesce(text, F.lit(""))
+    cut = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"([0-9])(%|[a-zA-Z]{1,3}\b)", "$1 $2")).otherwise(text)
+    return F.filter(F.split(cut, SPACE_RE), lambda w: w != "")
 
-    def token(words: Column):
-        def one(w: Column, i: Column) -> Column:
-            before = F.get(words, i - 1)
-            plain = ~w.isin(UNITS) & w.rlike(r"^\p{Ll}+$")
-            core = F.regexp_replace(w, r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", "")
 
-            def kind(core: Column) -> Column:
-                inside = before.isNotNull() & ~F.coalesce(before.rlike(r"[.!?:;\"]$"), F.lit(True))
-                return (
-                    F.when(core.rlike(r"^[$€£]?[0-9]"), F.lit("<num>"))
-                    .when(F.lower(core).isin(UNITS) & F.coalesce(before.rlike(r"[0-9]"), F.lit(False)), F.lit("<unit>"))
-                    .when(core.rlike(r"^\p{Lu}\p{Ll}+$") & inside, F.lit("<name>"))
-                )
+def _typed(words: Column, w: Column, i: Column, plain, placeholder) -> Column:
+    """``plain(token)`` of a word or ``placeholder(kind, value)`` of a typed one; null for bare punctuation.
 
-            typed = bind(F.struct(core.alias("c")), lambda x: bind(F.struct(x["c"].alias("c"), kind(x["c"]).alias("k")), lambda y: F.struct(F.coalesce(y["k"], F.lower(y["c"])).alias("t"), F.when(y["k"].isNotNull(), F.lower(y["c"])).alias("v"))))
-            return F.when(plain, F.struct(w.alias("t"), F.lit(None).cast("string").alias("v"))).otherwise(typed)
+    Lower-case words, alone or before one punctuation mark, take a short way;
+    they can only be units behind a number.
+    """
+    before = F.get(words, i - 1)
+    behind_number = F.coalesce(before.rlike("[0-9]"), F.lit(False))
 
-        return one
+    def full(core: Column) -> Column:
+        inside = before.isNotNull() & ~F.coalesce(before.rlike(r"[.!?:;\"]$"), F.lit(True))
+        return (
+            F.when(core == "", F.lit(None))
+            .when(core.rlike(r"^[$€£]?[0-9]"), placeholder("<num>", F.lower(core)))
+            .when(F.lower(core).isin(UNITS) & behind_number, placeholder("<unit>", F.lower(core)))
+            .when(core.rlike(r"^\p{Lu}\p{Ll}+$") & inside, placeholder("<name>", F.lower(core)))
+            .otherwise(plain(F.lower(core)))
+        )
 
-    return bind(raw, lambda words: F.filter(F.transform(words, token(words)), lambda x: x["t"] != ""))
+    long = bind(F.regexp_replace(w, r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", ""), full)
+    return F.when(w.rlike(r"^\p{Ll}+$") & ~behind_number, plain(w)).when(w.rlike(r"^\p{Ll}+[.,;:!?]$") & ~behind_number, plain(F.left(w, F.length(w) - 1))).otherwise(long)
+
+
+def token_hashes(text: Column) -> Column:
+    """A hash per template token: of the word, or of the placeholder's type."""
+    typed = lambda words: F.filter(F.transform(words, lambda w, i: _typed(words, w, i, F.xxhash64, lambda kind, _: F.xxhash64(F.lit(kind)))), lambda h: h.isNotNull())
+    return bind(_raw(text), typed)
+
+
+def token_values(text: Column) -> Column:
+    """Per template token the value that a placeholder stands for, null at plain words."""
+    row = lambda v: F.struct(v.cast("string").alias("v"))
+    typed = lambda words: F.filter(F.transform(words, lambda w, i: _typed(words, w, i, lambda _: row(F.lit(None)), lambda _, v: row(v))), lambda x: x.isNotNull())
+    return F.transform(bind(_raw(text), typed), lambda x: x["v"])
+
+
+def window_hashes(text: Column, size: int = WINDOW) -> Column:
+    """A hash per window of template tokens; a shorter text is one window, an empty one none."""
+
+    def hashed(t: Column) -> Column:
+        inner = F.slice(t, 1, F.greatest(F.size(t) - size + 1, F.least(F.size(t), F.lit(1))))
+        return F.transform(inner, lambda x, i: F.xxhash64(x, *[F.get(t, i + k) for k in range(1, size)]))
+
+    return bind(token_hashes(text), hashed)
 
 
 def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """key, h (hash of the template window), slots (its values, null at plain tokens): one row per window."""
-    hashed = lambda t: F.struct(F.transform(t, lambda x: F.xxhash64(x["t"])).alias("t"), F.transform(t, lambda x: x["v"]).alias("v"))
-    made = bind(
-        template(F.col("text")),
-        lambda t: bind(
-            hashed(t),
-            lambda x: F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(t) - size, F.lit(0))),
-                lambda i: F.struct(F.xxhash64(F.slice(x["t"], i + 1, size)).alias("h"), F.slice(x["v"], i + 1, size).alias("slots")),
-            ),
-        ),
-    )
-    return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.inline(made)).where(F.size("slots") > 0)
+    """key, h, slots (values of the window, null at plain tokens): one row per window."""
+    made = rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text", F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h"))
+    return slots(made, key, size)
+
+
+def slots(matched: DataFrame, key: str, size: int) -> DataFrame:
+    """key, h, slots of windows (key, text, pos, h); values are cut out once per text."""
+    held = matched.groupBy(key, F.xxhash64("text").alias("_text_hash")).agg(F.first("text").alias("text"), F.collect_set(F.struct("pos", "h")).alias("w"))
+    valued = held.select(key, "w", token_values(F.col("text")).alias("v"))
+    return valued.select(key, "v", F.inline("w")).select(key, "h", F.slice("v", F.col("pos") + 1, size).alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT) -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, n_consistent: one row per leak."""
     items = windows(benchmark, "item_id", size).groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
     totals = items.groupBy("item_id").agg(F.count("*").alias("n_item_windows"))
-    small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = windows(docs, "doc_id", size).join(F.broadcast(items) if small else items, "h")
-    held = found.groupBy("doc_id", "item_id", "h").agg(F.min("slots").alias("slots"), F.min("item_slots").alias("item_slots"))
+    hashes = items.select("h").distinct()
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        # texts ride along as far as the lookup and go on only where a window hits
+        matched = texts.select("doc_id", "text", F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")).join(F.broadcast(hashes), "h")
+    else:
+        hit = texts.select("doc_id", F.xxhash64("text").alias("_th"), F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")).join(hashes, "h")
+        matched = hit.join(texts.withColumn("_th", F.xxhash64("text")), ["doc_id", "_th"]).drop("_th")
+    found = slots(matched, "doc_id", size).join(items, "h")
+    # matched windows are few and looked at three times
+    held = checkpointed(found.groupBy("doc_id", "item_id", "h").agg(F.min("slots").alias("slots"), F.min("item_slots").alias("item_slots")))
     # the filling of each benchmark slot value: its most common document value in the pair
     filled = held.select("doc_id", "item_id", "h", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s")).select("doc_id", "item_id", "h", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b"))
     votes = filled.where("a is not null").groupBy("doc_id", "item_id", "a", "b").agg(F.count("*").alias("n"))
