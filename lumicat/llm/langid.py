@@ -12,8 +12,8 @@ chosen by a hash of the text. The model has at most ``MAX_GRAMS`` trigrams, so i
 size does not grow with the corpus.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
-so is one whose letters are all in scripts that no training row uses, or any
-text if there is no training row. Rows with a null ``lang`` or ``text`` are never
+so is any text if there is no training row. A text whose letters are all in
+scripts that no training row uses gets the most frequent language, with score 0. Rows with a null ``lang`` or ``text`` are never
 trained on. Repeated rows get equal predictions; extra columns are ignored.
 """
 
@@ -95,6 +95,8 @@ class Model:
         words = [sum(s[i] for s in scripts.values()) or 1 for i in range(size)]
         #: languages in which at least one word in a hundred has the script
         self.allowed = {name: [c * 100 >= w for c, w in zip(cs, words)] for name, cs in scripts.items()}
+        #: the language of most training words, for texts in scripts that no language has
+        self.usual = self.languages[max(range(size), key=lambda i: words[i])] if size else None
         self.rows: dict[str, int] = {}
         self.scores: list[tuple[float, ...]] = []
 
@@ -176,7 +178,8 @@ def label(model: Model, texts: list[str | None], with_spans: bool) -> list[tuple
     out = []
     for i, path in enumerate(paths):
         if not len(path):
-            out.append((UNDETERMINED, 0.0) + (([],) if with_spans else ()))
+            found = model.usual if lengths[i][1] and any(c.isalpha() for c in texts[i]) else None
+            out.append((found or UNDETERMINED, 0.0) + (([],) if with_spans else ()))
             continue
         letters, total = lengths[i]
         share = np.bincount(path, weights=letters, minlength=size)
