@@ -34,6 +34,8 @@ ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_GRAMS = 600, 256, 400_000
 #: Cost of a change of language, in natural log units of word likelihood.
 SWITCH_PENALTY = 12.0
 UNDETERMINED = "und"
+#: Texts labelled at once, and words whose scores a Python worker keeps.
+CHUNK, KEPT_WORDS = 1000, 100_000
 
 # fixed values: Unicode ranges of scripts, from their first code point on
 SCRIPTS = [
@@ -114,7 +116,7 @@ class Model:
             self.rows[word] = at
         return at
 
-    def forget(self, most: int = 400_000) -> None:
+    def forget(self, most: int = KEPT_WORDS) -> None:
         if len(self.rows) > most:
             self.rows.clear()
             self.scores.clear()
@@ -218,7 +220,9 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFram
     @F.pandas_udf(SPANS if with_spans else PREDICTION)
     def labelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame(label(shared.value, list(batch), with_spans), columns=names)
+            texts = list(batch)
+            made = [row for i in range(0, len(texts), CHUNK) for row in label(shared.value, texts[i : i + CHUNK], with_spans)]
+            yield pd.DataFrame(made, columns=names)
 
     own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return docs.select(*own, labelled("text").alias("_p")).select(*own, "_p.*")
