@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumicat.llm import decontam, langid, line_dedup, mixing, setsketch
+from lumicat.llm.text import unused
 from lumicat.session import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,7 +26,7 @@ MIN_LANGUAGE_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; texts without letters and unreadable mixtures go."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     judged = langid.predict(docs.select(*own), langid.fit(docs))
     return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*own)
 
@@ -39,9 +40,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates (five words, 0.8)."""
+    (copy,) = unused(docs, "_copy")
     found = setsketch.near_components(docs.select("doc_id", "text"), shingle_size=5, percent=80)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_copy"), "left_anti")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(copy), "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

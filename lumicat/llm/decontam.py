@@ -14,6 +14,7 @@ Defined cases: null or empty texts on either side hold no window. An item
 shorter than a window is one window of its own length. Items of equal templates
 are all reported. Repeated document rows are one document. A null ``doc_id`` or
 ``item_id`` is left out of reports; documents with a null id are never removed.
+Extra columns are carried unchanged.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.text import SPACE_RE, bind
+from lumicat.llm.text import SPACE_RE, bind, unused
 from lumicat.session import checkpointed
 
 WINDOW = 8
@@ -130,5 +131,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, all columns and rows as they are."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("_leak"), "left_anti")
+    (leak,) = unused(docs, "_leak")
+    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, docs["doc_id"] == F.col(leak), "left_anti")

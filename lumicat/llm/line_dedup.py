@@ -11,7 +11,8 @@ Defined cases: a null or empty text is one empty line, which has no key and
 stays. Rows with a null ``doc_id`` hold no key and lose nothing. Rows that
 repeat both ``doc_id`` and text are one document and get the same bitmap; rows
 with one ``doc_id`` and different texts are different holders, the smaller text
-hash first. Extra columns are carried unchanged. The hashed keys, and the keys
+hash first. Extra columns are carried unchanged, but for ``n_lines`` and
+``n_dropped``, which are replaced. The hashed keys, and the keys
 held twice, are written to the checkpoint folder, so texts are cut into lines
 once for all passes over the keys.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.text import ascii_lower, bind, hash128, strip_space
+from lumicat.llm.text import ascii_lower, bind, hash128, strip_space, unused
 from lumicat.session import checkpointed
 
 MIN_KEY_CHARS = 10
@@ -113,11 +114,12 @@ def dedup_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFram
     ``text`` is never null in the result: the lines left, joined by a newline.
     A document that loses all its lines has an empty text.
     """
-    bitmaps = keep_bitmaps(docs, min_key_chars).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_th"), F.col("keep_runs").alias("_runs"))
-    joined = docs.withColumn("_h", F.xxhash64("text")).join(bitmaps, (F.col("doc_id") == F.col("_doc")) & (F.col("_h") == F.col("_th")), "left")
+    h, doc, th, runs = unused(docs, "_h", "_doc", "_th", "_runs")
+    bitmaps = keep_bitmaps(docs, min_key_chars).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(th), F.col("keep_runs").alias(runs))
+    joined = docs.withColumn(h, F.xxhash64("text")).join(bitmaps, (F.col("doc_id") == F.col(doc)) & (F.col(h) == F.col(th)), "left")
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept_lines(lines, F.col("_runs")), "\n"))
-    dropped = F.when(F.col("_runs").isNull(), F.lit(0)).otherwise(F.aggregate(F.transform(F.col("_runs"), lambda r, i: F.when(i % 2 == 1, r).otherwise(0)), F.lit(0), lambda a, x: a + x))
+    kept = F.when(F.col(runs).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept_lines(lines, F.col(runs)), "\n"))
+    dropped = F.when(F.col(runs).isNull(), F.lit(0)).otherwise(F.aggregate(F.transform(F.col(runs), lambda r, i: F.when(i % 2 == 1, r).otherwise(0)), F.lit(0), lambda a, x: a + x))
     return joined.select(
         *[F.col(f"`{c}`") if c != "text" else kept.alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.size(lines).cast("long").alias("n_lines"),

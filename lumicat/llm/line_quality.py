@@ -9,7 +9,8 @@ document that keeps too small a share of its words is rejected as depleted.
 Defined cases: a null or empty text has no words and fails the base rules. A
 null source is a host of its own. Rows that repeat a ``doc_id`` count as one
 document for the line counts and each get a row; a null ``doc_id`` counts as one
-document. Lines without a word are never counted or removed.
+document. Lines without a word are never counted or removed. Extra columns are
+carried unchanged where texts are returned.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.text import SPACE_RE, ascii_lower, bind, hash128, strip_space, words
+from lumicat.llm.text import SPACE_RE, ascii_lower, bind, hash128, strip_space, unused, words
 
 #: A line is template text if more documents of the host hold it than both of these allow.
 MIN_DOCS = 20
@@ -99,10 +100,11 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_doc_share: float = MAX_
 
 def remove_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_doc_share: float = MAX_DOC_SHARE, min_words_left: float = MIN_WORDS_LEFT) -> DataFrame:
     """The documents that ``judge`` keeps, all columns, with template lines cut from ``text``."""
-    verdict = judge(docs, min_docs, max_doc_share, min_words_left).where("kept").groupBy("doc_id").agg(F.max("n_template_lines").alias("_cut")).withColumnRenamed("doc_id", "_doc")
-    hashes = template_words(docs, min_docs, max_doc_share).select(F.col("doc_id").alias("_id"), "_hashes")
-    joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(hashes, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    doc, held, cut = unused(docs, "_doc", "_id", "_hashes")
+    verdict = judge(docs, min_docs, max_doc_share, min_words_left).where("kept").select(F.col("doc_id").alias(doc)).distinct()
+    hashes = template_words(docs, min_docs, max_doc_share).select(F.col("doc_id").alias(held), F.col("_hashes").alias(cut))
+    joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col(doc))).join(hashes, F.col("doc_id").eqNullSafe(F.col(held)), "left")
     line_hash = lambda x: hash128(ascii_lower(strip_space(x)))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_hashes", line_hash(x))), "\n")
-    text = F.when(F.col("_hashes").isNull(), F.col("text")).otherwise(left)
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(cut, line_hash(x))), "\n")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(left)
     return joined.select(*[F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns])

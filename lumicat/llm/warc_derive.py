@@ -10,7 +10,9 @@ expressions; records are laid out byte by byte as WARC 1.1 asks.
 
 Defined cases: a null or empty payload gives a conversion of an empty text. A
 null URI leaves the WARC-Target-URI header out. Repeated rows give repeated
-records with equal ids. Extra columns are ignored.
+records with equal ids. ``responses`` ignores extra columns; ``parse`` and
+``derive`` carry them, but for those named like the added ones, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumicat.llm.text import unused
+
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -56,25 +60,31 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return rows.select("page_id", F.concat(top, F.col("block"), F.lit(CRLF * 2)).alias("record"))
 
 
+#: Columns that ``parse`` and ``derive`` add.
+PARSED = ["record_id", "date", "uri", "payload_digest", "http_headers", "payload", "block_bytes"]
+DERIVED = ["record_type", "record_id", "refers_to", "uri", "date", "source_digest", "block_digest", "block", "record"]
+
+
 def parse(records: DataFrame) -> DataFrame:
     """Header fields, HTTP headers and payload of response records, one per row.
 
     The block is found by the blank line behind the header and measured by
     ``Content-Length``; other record types are left out.
     """
-    field = lambda name: F.nullif(F.regexp_extract("_head", rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
-    at = records.withColumn("_at", F.instr("record", CRLF * 2))
-    split = at.withColumn("_head", F.expr("substring(record, 1, _at + 1)")).withColumn("_rest", F.expr("substring(record, _at + 4)"))
-    split = split.withColumn("_block", F.expr(f"substring(_rest, 1, length(_rest) - {len(CRLF) * 2})"))
-    split = split.withColumn("_http_at", F.instr("_block", CRLF * 2))
+    at, head, rest, block, http = unused(records, "_at", "_head", "_rest", "_block", "_http_at")
+    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
+    split = records.withColumn(at, F.instr("record", CRLF * 2))
+    split = split.withColumn(head, F.expr(f"substring(record, 1, {at} + 1)")).withColumn(rest, F.expr(f"substring(record, {at} + 4)"))
+    split = split.withColumn(block, F.expr(f"substring({rest}, 1, length({rest}) - {len(CRLF) * 2})"))
+    split = split.withColumn(http, F.instr(block, CRLF * 2))
     return split.where(field("WARC-Type") == "response").select(
-        *[c for c in records.columns if c != "record"],
+        *[F.col(f"`{c}`") for c in records.columns if c not in ("record", *PARSED)],
         field("WARC-Record-ID").alias("record_id"),
         field("WARC-Date").alias("date"),
         field("WARC-Target-URI").alias("uri"),
         field("WARC-Payload-Digest").alias("payload_digest"),
-        F.expr("substring(_block, 1, _http_at + 1)").alias("http_headers"),
-        F.expr("substring(_block, _http_at + 4)").alias("payload"),
+        F.expr(f"substring({block}, 1, {http} + 1)").alias("http_headers"),
+        F.expr(f"substring({block}, {http} + 4)").alias("payload"),
         field("Content-Length").cast("long").alias("block_bytes"),
     )
 
@@ -101,22 +111,23 @@ def derive(records: DataFrame) -> DataFrame:
     Columns: those of ``records`` but ``record``, then record_type, record_id,
     refers_to, uri, date, source_digest, block_digest, block and record.
     """
-    own = [c for c in records.columns if c != "record"]
-    source = parse(records).withColumn("_text", plain_text(F.col("payload")))
-    source = source.withColumn("_meta_id", record_id(F.lit("metadata"), F.col("record_id"))).withColumn("_text_id", record_id(F.lit("conversion"), F.col("record_id")))
+    own = [F.col(f"`{c}`") for c in records.columns if c not in (*PARSED, *DERIVED)]
+    text, meta_id, text_id, kind = unused(records, "_text", "_meta_id", "_text_id", "_kind")
+    source = parse(records).withColumn(text, plain_text(F.col("payload")))
+    source = source.withColumn(meta_id, record_id(F.lit("metadata"), F.col("record_id"))).withColumn(text_id, record_id(F.lit("conversion"), F.col("record_id")))
     header_lines = F.transform(F.filter(F.split("http_headers", CRLF), lambda x: x != ""), lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF)))
     meta = F.concat(
         F.array_join(header_lines, ""), F.lit("source-payload-digest: "), F.coalesce("payload_digest", F.lit("-")), F.lit(CRLF),
-        F.lit("payload-bytes: "), _size(F.col("payload")), F.lit(CRLF), F.lit("derived-record: "), F.col("_text_id"), F.lit(CRLF),
+        F.lit("payload-bytes: "), _size(F.col("payload")), F.lit(CRLF), F.lit("derived-record: "), F.col(text_id), F.lit(CRLF),
     )
     made = F.array(
-        F.struct(F.lit("metadata").alias("record_type"), F.col("_meta_id").alias("id"), meta.alias("block"), F.lit("application/warc-fields").alias("kind")),
-        F.struct(F.lit("conversion").alias("record_type"), F.col("_text_id").alias("id"), F.col("_text").alias("block"), F.lit("text/plain; charset=utf-8").alias("kind")),
+        F.struct(F.lit("metadata").alias("record_type"), F.col(meta_id).alias("record_id"), meta.alias("block"), F.lit("application/warc-fields").alias(kind)),
+        F.struct(F.lit("conversion").alias("record_type"), F.col(text_id).alias("record_id"), F.col(text).alias("block"), F.lit("text/plain; charset=utf-8").alias(kind)),
     )
-    rows = source.select(*own, F.col("record_id").alias("refers_to"), "uri", "date", F.col("payload_digest").alias("source_digest"), F.inline(made)).withColumnRenamed("id", "record_id")
+    rows = source.select(*own, F.col("record_id").alias("refers_to"), "uri", "date", F.col("payload_digest").alias("source_digest"), F.inline(made))
     rows = rows.withColumn("block_digest", digest(F.col("block")))
     top = header(
         ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Refers-To", F.col("refers_to")), ("WARC-Date", F.col("date")), ("WARC-Target-URI", F.col("uri")),
-        ("WARC-Block-Digest", F.col("block_digest")), ("Content-Type", F.col("kind")), ("Content-Length", _size(F.col("block"))),
+        ("WARC-Block-Digest", F.col("block_digest")), ("Content-Type", F.col(kind)), ("Content-Length", _size(F.col("block"))),
     )
-    return rows.select(*own, "record_type", "record_id", "refers_to", "uri", "date", "source_digest", "block_digest", "block", F.concat(top, F.col("block"), F.lit(CRLF * 2)).alias("record"))
+    return rows.select(*own, *DERIVED[:-1], F.concat(top, F.col("block"), F.lit(CRLF * 2)).alias("record"))
