@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumicat.llm.text import unused
+
 SEED = 17
 #: A source's target weight is its size to this power (1: as it is, 0: all sources alike).
 TEMPERATURE = 0.5
@@ -45,9 +47,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     else:
         table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
         weighed = sizes.withColumn("_weight", F.coalesce(table[F.col("_source")], F.lit(0.0)))
-    total = weighed.agg(F.sum("_size").alias("_all_size"), F.sum("_weight").alias("_all_weight"))
-    share = F.col("_weight") * F.col("_all_size") / F.col("_all_weight") / F.col("_size")
-    return weighed.crossJoin(F.broadcast(total)).select("_source", F.when(F.col("_size") > 0, share).otherwise(F.lit(1.0)).alias("_rate"))  # one row of totals
+    total = weighed.agg(F.struct(F.sum("_size").alias("size"), F.sum("_weight").alias("weight")).alias("_all")).scalar()
+    share = F.col("_weight") * total["size"] / total["weight"] / F.col("_size")
+    return weighed.select("_source", F.when(F.col("_size") > 0, share).otherwise(F.lit(1.0)).alias("_rate"))
 
 
 def poisson_count(rate: Column, u: Column) -> Column:
@@ -70,24 +72,26 @@ def poisson_count(rate: Column, u: Column) -> Column:
     )
 
 
-def with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds ``_rate``; broadcast below a checked size, else a join by source and salt."""
-    source = F.coalesce("source", F.lit("(none)"))
+def with_rates(docs: DataFrame, rates: DataFrame, name: str = "_rate", salts: int = 64) -> DataFrame:
+    """Adds a column of rates; broadcast below a checked size, else a join by source and salt."""
+    src, salt = unused(docs, "_source", "_salt")
+    named = docs.withColumn(src, F.coalesce("source", F.lit("(none)")))
+    rates = rates.select(F.col("_source").alias(src), F.col("_rate").alias(name))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        return docs.withColumn("_source", source).join(F.broadcast(rates), "_source").drop("_source")
-    salts = 64
-    salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return docs.withColumn("_source", source).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["_source", "_salt"]).drop("_source", "_salt")
+        return named.join(F.broadcast(rates), src).drop(src)
+    salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return named.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, [src, salt]).drop(src, salt)
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """One row per copy with ``rate``, ``n_copies``, ``replica`` and ``shuffle_key``, in global order."""
     own = [c for c in docs.columns if c not in ("rate", "n_copies", "replica", "shuffle_key")]
-    drawn = with_rates(docs.select(*[F.col(f"`{c}`") for c in own]), source_rates(docs, weights, temperature))
-    counted = drawn.withColumn("n_copies", poisson_count(F.col("_rate"), uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    (rate,) = unused(docs, "_rate")
+    drawn = with_rates(docs.select(*[F.col(f"`{c}`") for c in own]), source_rates(docs, weights, temperature), rate)
+    counted = drawn.withColumn("n_copies", poisson_count(F.col(rate), uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     copies = counted.where("n_copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), F.col("doc_id").cast("string"), F.col("replica").cast("string"))))
-    return keyed.select(*[F.col(f"`{c}`") for c in own], F.col("_rate").alias("rate"), "n_copies", "replica", "shuffle_key").orderBy("shuffle_key", "doc_id", "replica")
+    return keyed.select(*[F.col(f"`{c}`") for c in own], F.col(rate).alias("rate"), "n_copies", "replica", "shuffle_key").orderBy("shuffle_key", "doc_id", "replica")
 
 
 def expected_share(size: float, total: float, temperature: float = TEMPERATURE) -> float:
