@@ -8,13 +8,15 @@ prediction, its share of all letters the score.
 
 Training counts trigrams in Spark over a bounded sample of labelled rows,
 ``ROWS_PER_LANGUAGE`` for each of the ``MAX_LANGUAGES`` most frequent languages,
-chosen by a hash of the text. The model has at most ``MAX_GRAMS`` trigrams, so its
+chosen by a hash of text and id, so that no group of copies can fill the sample. The model has at most ``MAX_GRAMS`` trigrams, so its
 size does not grow with the corpus.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
 so is any text if there is no training row. A text whose letters are all in
-scripts that no training row uses gets the most frequent language, with score 0. Rows with a null ``lang`` or ``text`` are never
-trained on. Repeated rows get equal predictions; extra columns are ignored.
+scripts that no training row uses gets the most frequent language, with score 0.
+Rows with a null ``lang`` or ``text`` are never trained on. Repeated rows get
+equal predictions. Extra columns are carried unchanged, but for those named like
+the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,12 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumicat.llm.text import unused
+
 ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_GRAMS = 600, 256, 400_000
 #: Cost of a change of language, in natural log units of word likelihood.
 SWITCH_PENALTY = 12.0
 UNDETERMINED = "und"
-#: Texts labelled at once, and words whose scores a Python worker keeps.
-CHUNK, KEPT_WORDS = 1000, 100_000
+#: Texts and characters labelled at once (one text at least), scores (words x languages) that a Python worker
+#: keeps, and cells (words x texts x languages) of one Viterbi block.
+CHUNK, CHUNK_CHARS, KEPT_SCORES, CELLS = 1000, 4_000_000, 400_000, 16_000_000
 
 # fixed values: Unicode ranges of scripts, from their first code point on
 SCRIPTS = [
@@ -116,8 +121,8 @@ class Model:
             self.rows[word] = at
         return at
 
-    def forget(self, most: int = KEPT_WORDS) -> None:
-        if len(self.rows) > most:
+    def forget(self, most: int = KEPT_SCORES) -> None:
+        if len(self.rows) * max(1, len(self.languages)) > most:
             self.rows.clear()
             self.scores.clear()
 
@@ -130,7 +135,7 @@ def viterbi(ids: list[np.ndarray], table: np.ndarray, penalty: float, lanes: int
     at = 0
     while at < len(order):
         longest = len(ids[order[at]])
-        width = max(1, min(lanes, 4_000_000 // longest))
+        width = max(1, min(lanes, CELLS // (longest * size)))
         lane = order[at : at + width]
         at += len(lane)
         lengths = np.array([len(ids[i]) for i in lane])
@@ -159,6 +164,19 @@ def viterbi(ids: list[np.ndarray], table: np.ndarray, penalty: float, lanes: int
     return paths
 
 
+def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in parts of bounded count and length."""
+    part, chars = [], 0
+    for text in texts:
+        if part and (len(part) == CHUNK or chars + len(text or "") > CHUNK_CHARS):
+            yield part
+            part, chars = [], 0
+        part.append(text)
+        chars += len(text or "")
+    if part:
+        yield part
+
+
 def label(model: Model, texts: list[str | None], with_spans: bool) -> list[tuple]:
     """(language, share of letters) of each text, and its spans if asked for."""
     size = len(model.languages)
@@ -199,14 +217,21 @@ def label(model: Model, texts: list[str | None], with_spans: bool) -> list[tuple
     return out
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Trains on labelled documents that are not held out."""
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+def sampled(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame | None:
+    """text, lang: about ``rows_per_language`` labelled documents of each language, none of them held out."""
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
-        return Model([])
+        return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    return labelled.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang")
+
+
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    """Counts the trigrams of a sample; without labelled rows the model knows no language."""
+    sample = sampled(docs, rows_per_language)
+    if sample is None:
+        return Model([])
     counted = sample.mapInPandas(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc(F.col("kind") == "script"), F.desc("n"), "lang", "item").limit(MAX_GRAMS).collect()
     return Model([tuple(r) for r in rows])
@@ -220,9 +245,9 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFram
     @F.pandas_udf(SPANS if with_spans else PREDICTION)
     def labelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            texts = list(batch)
-            made = [row for i in range(0, len(texts), CHUNK) for row in label(shared.value, texts[i : i + CHUNK], with_spans)]
+            made = [row for part in chunks(list(batch)) for row in label(shared.value, part, with_spans)]
             yield pd.DataFrame(made, columns=names)
 
+    (found,) = unused(docs, "_p")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*own, labelled("text").alias("_p")).select(*own, "_p.*")
+    return docs.select(*own, labelled("text").alias(found)).select(*own, f"{found}.*")
