@@ -40,7 +40,7 @@ SWITCH_PENALTY = 12.0
 UNDETERMINED = "und"
 #: Texts and characters labelled at once (one text at least), scores (words x languages) that a Python worker
 #: keeps, and cells (words x texts x languages) of one Viterbi block.
-CHUNK, CHUNK_CHARS, KEPT_SCORES, CELLS = 1000, 4_000_000, 400_000, 16_000_000
+CHUNK, CHUNK_CHARS, KEPT_SCORES, CELLS = 10_000, 16_000_000, 400_000, 16_000_000
 
 # fixed values: Unicode ranges of scripts, from their first code point on
 SCRIPTS = [
@@ -185,8 +185,8 @@ def label(model: Model, texts: list[str | None], with_spans: bool) -> list[tuple
     for text in texts:
         lowered = (text or "").lower()
         words = _WORD.findall(lowered)
-        row = np.array([model.row(w) for w in words], dtype=np.int64) if size else np.full(len(words), -1)
-        n = np.array([len(w) for w in words], dtype=np.int64)
+        row = np.array([model.row(w) for w in words], dtype=np.int32) if size else np.full(len(words), -1)
+        n = np.array([len(w) for w in words], dtype=np.int32)
         known = row >= 0
         ids.append(row[known])
         lengths.append((n[known], int(n.sum())))
