@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumicat.llm import decontam, langid, line_dedup, mixing, setsketch
-from lumicat.llm.text import unused
+from lumicat.llm.lookup import matching
 from lumicat.session import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,10 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates (five words, 0.8)."""
-    (copy,) = unused(docs, "_copy")
     found = setsketch.near_components(docs.select("doc_id", "text"), shingle_size=5, percent=80)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(copy)).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col(copy), "left_anti")
+    return matching(docs, found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.text import SPACE_RE, bind, unused
+from lumicat.llm.lookup import matching
+from lumicat.llm.text import SPACE_RE, bind
 from lumicat.session import checkpointed
 
 WINDOW = 8
@@ -131,6 +132,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, all columns and rows as they are."""
-    (leak,) = unused(docs, "_leak")
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col(leak), "left_anti")
+    return matching(docs, contaminated(docs, benchmark).select("doc_id"), "doc_id", "left_anti")

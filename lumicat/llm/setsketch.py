@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumicat.llm.components import connected_components
+from lumicat.llm.lookup import matching
 from lumicat.session import checkpointed
 
 REGISTERS, BANDS, ROWS = 256, 32, 5
@@ -163,8 +164,8 @@ def _members(classes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = checkpointed(texts.join(ids, "id", "left_semi").select("id", shingles_udf(size)("text").alias("set")))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    sets = checkpointed(matching(texts, ids, "id").select("id", shingles_udf(size)("text").alias("set")))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.select("u", "v", shared.alias("s"), (F.size("su") + F.size("sv") - shared).alias("t")).where(100 * F.col("s") >= percent * F.col("t")).select("u", "v")
@@ -235,7 +236,7 @@ def _residual(members: DataFrame, classes: DataFrame, components: DataFrame, tex
     totals = placed.groupBy("leader").agg(F.sum(F.when(F.col("outlier"), F.col("n")).otherwise(0)).alias("n_out"), F.sum("n").alias("n_all"), F.count("*").alias("size")).where("n_out > 0 and size > 1")
     blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
     sized = checkpointed(placed.join(totals.select("leader", "n_all", blocks("n_out", OUTLIER_SHINGLES).alias("nob"), blocks("n_all", MEMBER_SHINGLES).alias("nmb")), "leader"))
-    sets = checkpointed(texts.join(sized.select(F.col("member").alias("id")).distinct(), "id", "left_semi").select("id", shingles_udf(size)("text").alias("set")))
+    sets = checkpointed(matching(texts, sized.select("member"), "id").select("id", shingles_udf(size)("text").alias("set")))
     full = sized.withColumnRenamed("member", "id").join(classes.select("id", "registers"), "id").join(sets, "id")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")

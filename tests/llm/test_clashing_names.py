@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumicat.llm import decontam, langid, line_dedup, line_quality, mixing, pii_gbt, secret_dfa, setsketch, warc_derive
+from lumicat.llm.lookup import matching
 from lumicat.llm.text import unused
 
-INNER = ["_h", "_doc", "_th", "_runs", "_leak", "_p", "_source", "_rate", "_salt", "_id", "_hashes", "_s", "_copy", "_line", "id", "n", "a", "h", "kind", "x.y"]
+INNER = ["_h", "_doc", "_th", "_runs", "_leak", "_p", "_source", "_rate", "_salt", "_id", "_hashes", "_s", "_copy", "_key", "_line", "id", "n", "a", "h", "kind", "x.y"]
 TEXTS = ["a line that two of them hold\nown words of one", "A line that two of them hold\nmail a@b.co and more", None, ""]
 
 
@@ -46,6 +47,16 @@ def test_rates_of_many_sources(docs, monkeypatch):
     assert len(carried(mixing.with_rates(docs, mixing.source_rates(docs), "r"))) == 4
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_rows_by_ids(spark, docs, most):
+    rows = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    ids = spark.createDataFrame([(1,), (1,), (None,), (7,)], "doc_id long")
+    kept, gone = matching(rows, ids, "doc_id", most=most), matching(rows, ids, "doc_id", "left_anti", most=most)
+    assert kept.columns == gone.columns == rows.columns
+    assert [r.doc_id for r in kept.collect()] == [1] and {r.doc_id for r in gone.collect()} == {0, 2, 3, None}
+    assert matching(rows, ids.limit(0), "doc_id", most=most).count() == 0
+
+
 def test_stages(spark, docs, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         carried(stage(spark, docs, sf_dir))
