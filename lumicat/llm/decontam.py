@@ -8,7 +8,11 @@ benchmark items and documents meet in a hash join. A document that holds enough
 windows of an item is contaminated if the slots agree: within one (document,
 item) pair the values that fill equal benchmark slots must be equal to each
 other, whatever they are, so a question asked with other numbers is caught and
-a text that only shares the shape of numbers is not.
+a text that only shares the shape of numbers is not. A pair that fails as a
+whole is judged again by passage, as a text may hold an item several times with
+other values: windows of one shift against the item are a passage, and so are
+those whose shifts lie in one step of the item's length (two grids, half a step
+apart, for passages with words put in). One passage that passes is a leak.
 
 Defined cases: null or empty texts on either side hold no window. An item
 shorter than a window is one window of its own length. Items of equal templates
@@ -92,42 +96,60 @@ def window_hashes(text: Column, size: int = WINDOW) -> Column:
 
 
 def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """key, h, slots (values of the window, null at plain tokens): one row per window."""
+    """The columns of ``slots``: one row per window."""
     made = rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text", F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h"))
     return slots(made, key, size)
 
 
 def slots(matched: DataFrame, key: str, size: int) -> DataFrame:
-    """key, h, slots of windows (key, text, pos, h); values are cut out once per text."""
-    held = matched.groupBy(key, F.xxhash64("text").alias("_text_hash")).agg(F.first("text").alias("text"), F.collect_set(F.struct("pos", "h")).alias("w"))
-    valued = held.select(key, "w", token_values(F.col("text")).alias("v"))
-    return valued.select(key, "v", F.inline("w")).select(key, "h", F.slice("v", F.col("pos") + 1, size).alias("slots"))
+    """key, t (hash of the text), n_tokens, pos, h, slots (values, null at plain tokens) of windows (key, text, pos, h).
+
+    Values are cut out once per text.
+    """
+    held = matched.groupBy(key, F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.collect_set(F.struct("pos", "h")).alias("w"))
+    valued = held.select(key, "t", "w", token_values(F.col("text")).alias("v"))
+    return valued.select(key, "t", F.size("v").alias("n_tokens"), "v", F.inline("w")).select(key, "t", "n_tokens", "pos", "h", F.slice("v", F.col("pos") + 1, size).alias("slots"))
+
+
+def _verdicts(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """doc_id, item_id, p, n_windows, n_item_windows, n_consistent of passages p; rows of equal (p, h, k) are one window."""
+    group = ["doc_id", "item_id", "p"]
+    held = checkpointed(rows.groupBy(*group, "h", "k").agg(F.min("slots").alias("slots"), F.min("item_slots").alias("item_slots")))
+    # the filling of each benchmark slot value: its most common document value in the passage
+    filled = held.select(*group, "h", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*group, "h", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).where("a is not null")
+    votes = filled.groupBy(*group, "a", "b").agg(F.count("*").alias("n"))
+    usual = votes.groupBy(*group, "a").agg(F.max(F.struct("n", "b"))["b"].alias("usual"))
+    odd = filled.join(usual, [*group, "a"]).where("b <> usual").select(*group, "h").distinct().groupBy(*group).agg(F.count("*").alias("n_odd"))
+    covered = held.select(*group, "h").distinct().groupBy(*group).agg(F.count("*").alias("n_windows")).join(totals, "item_id").join(odd, group, "left")
+    return covered.select(*group, "n_windows", "n_item_windows", (F.col("n_windows") - F.coalesce("n_odd", F.lit(0))).alias("n_consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT) -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, n_consistent: one row per leak."""
-    items = windows(benchmark, "item_id", size).groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
-    totals = items.groupBy("item_id").agg(F.count("*").alias("n_item_windows"))
+    items = windows(benchmark, "item_id", size).select("item_id", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("n_tokens").alias("_n"), F.col("slots").alias("item_slots"))
+    totals = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_item_windows"))
     hashes = items.select("h").distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    made = F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")
     if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         # texts ride along as far as the lookup and go on only where a window hits
-        matched = texts.select("doc_id", "text", F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")).join(F.broadcast(hashes), "h")
+        matched = texts.select("doc_id", "text", made).join(F.broadcast(hashes), "h")
     else:
-        hit = texts.select("doc_id", F.xxhash64("text").alias("_th"), F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")).join(hashes, "h")
+        hit = texts.select("doc_id", F.xxhash64("text").alias("_th"), made).join(hashes, "h")
         matched = hit.join(texts.withColumn("_th", F.xxhash64("text")), ["doc_id", "_th"]).drop("_th")
-    found = slots(matched, "doc_id", size).join(items, "h")
-    # matched windows are few and looked at three times
-    held = checkpointed(found.groupBy("doc_id", "item_id", "h").agg(F.min("slots").alias("slots"), F.min("item_slots").alias("item_slots")))
-    # the filling of each benchmark slot value: its most common document value in the pair
-    filled = held.select("doc_id", "item_id", "h", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s")).select("doc_id", "item_id", "h", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b"))
-    votes = filled.where("a is not null").groupBy("doc_id", "item_id", "a", "b").agg(F.count("*").alias("n"))
-    usual = votes.groupBy("doc_id", "item_id", "a").agg(F.max(F.struct("n", "b"))["b"].alias("usual"))
-    odd = filled.where("a is not null").join(usual, ["doc_id", "item_id", "a"]).where("b <> usual").select("doc_id", "item_id", "h").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_odd"))
-    covered = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows")).join(totals, "item_id").join(odd, ["doc_id", "item_id"], "left")
-    covered = covered.withColumn("n_consistent", F.col("n_windows") - F.coalesce("n_odd", F.lit(0)))
-    leak = (F.col("n_windows") >= F.col("n_item_windows") * min_coverage) & (F.col("n_consistent") >= F.col("n_windows") * min_consistent)
-    return covered.where(leak).select("doc_id", "item_id", "n_windows", "n_item_windows", "n_consistent")
+    # matched windows are few and looked at twice
+    found = checkpointed(slots(matched, "doc_id", size).join(items, "h"))
+    covered = F.col("n_windows") >= F.col("n_item_windows") * min_coverage
+    consistent = F.col("n_consistent") >= F.col("n_windows") * min_consistent
+    whole = checkpointed(_verdicts(found.withColumns({"p": F.lit(0).cast("long"), "k": F.lit(-1)}), totals).where(covered))
+    # a pair that is odd as a whole may hold the item more than once: each passage is judged by itself
+    shift, texts_of = F.col("pos") - F.col("_pos"), F.xxhash64("t", "_t")
+    grid = lambda n, by: F.struct(F.xxhash64(F.lit(n), texts_of, F.floor(by / F.col("_n"))).alias("p"), F.lit(-1).alias("k"))
+    passages = F.array(F.struct(F.xxhash64(F.lit(1), texts_of, shift).alias("p"), F.col("_pos").alias("k")), grid(2, shift), grid(3, shift + F.col("_n") / 2))
+    parts = found.join(whole.where(~consistent).select("doc_id", "item_id"), ["doc_id", "item_id"]).select("doc_id", "item_id", "h", "slots", "item_slots", F.inline(passages))
+    best = _verdicts(parts, totals).where(covered & consistent).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_consistent", "n_windows", "n_item_windows")).alias("b"))
+    columns = ["doc_id", "item_id", "n_windows", "n_item_windows", "n_consistent"]
+    return whole.where(consistent).select(*columns).unionByName(best.select("doc_id", "item_id", "b.*").select(*columns))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

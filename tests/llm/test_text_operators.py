@@ -181,6 +181,23 @@ def test_templates(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_item_held_twice(spark):
+    """Copies of an item with other values in one text don't hide each other, with words put in or without."""
+    asked = "The red barn holds {} bales and the blue barn holds {} bales so how many bales are in {} barns"
+    twice = "Count {a} then add {b} now and Count {a} then add {b} now and Count {c} then add {d} now and Count {c} then add {d} now"
+    long = "A farmer drives {} cows over the hill then {} cows over the river and at last {} cows over the bridge so how many cows did the farmer drive home"
+    bench = spark.createDataFrame([(1, asked.format(40, 25, 2)), (2, twice.format(a=1, b=2, c=3, d=4)), (3, long.format(11, 12, 13))], "item_id long, text string")
+    split = long.replace("river and", "river one fine day and")
+    rows = [
+        (1, f"{asked.format(40, 25, 2)} . {asked.format(13, 77, 5)}"),
+        (2, f"{asked.format(90, 12, 3)} . {asked.format(13, 77, 5)}"),
+        (3, f"{asked.format(13, 77, 5)} and much more text in between {asked.format(40, 25, 2)}"),
+        (4, twice.format(a=8, b=3, c=1, d=9)),
+        (5, f"{split.format(21, 35, 46)} . {split.format(59, 14, 72)}"),
+    ]
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, rows), bench).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
+
+
 # --- mixing
 
 
