@@ -15,7 +15,9 @@ those whose shifts lie in one step of the item's length (two grids, half a step
 apart, for passages with words put in). One passage that passes is a leak.
 
 Defined cases: null or empty texts on either side hold no window. An item
-shorter than a window is one window of its own length. Items of equal templates
+shorter than a window is one window of its own length, looked up in windows of
+that length of every document; one of placeholders only must be held with its
+own values. Items of equal templates
 are all reported. Repeated document rows are one document. A null ``doc_id`` or
 ``item_id`` is left out of reports; documents with a null id are never removed.
 Extra columns are carried unchanged.
@@ -95,6 +97,16 @@ def window_hashes(text: Column, size: int = WINDOW) -> Column:
     return bind(token_hashes(text), hashed)
 
 
+def document_windows(text: Column, sizes: list[int]) -> Column:
+    """Structs (pos, h) of all windows of these sizes; a text shorter than a size has none of it."""
+
+    def hashed(t: Column) -> Column:
+        of = lambda n: F.transform(F.slice(t, 1, F.greatest(F.size(t) - n + 1, F.lit(0))), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x, *[F.get(t, i + k) for k in range(1, n)]).alias("h")))
+        return F.concat(*[of(n) for n in sizes])
+
+    return bind(token_hashes(text), hashed)
+
+
 def windows(rows: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
     """The columns of ``slots``: one row per window."""
     made = rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text", F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h"))
@@ -130,15 +142,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     totals = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_item_windows"))
     hashes = items.select("h").distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    made = F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")
+    # items shorter than a window are looked up in windows of their own length
+    short = [r["_n"] for r in items.where(F.col("_n") < size).select("_n").distinct().orderBy("_n").collect()]
+    made = F.inline(document_windows(F.col("text"), [*short, size])) if short else F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")
     if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         # texts ride along as far as the lookup and go on only where a window hits
         matched = texts.select("doc_id", "text", made).join(F.broadcast(hashes), "h")
     else:
         hit = texts.select("doc_id", F.xxhash64("text").alias("_th"), made).join(hashes, "h")
         matched = hit.join(texts.withColumn("_th", F.xxhash64("text")), ["doc_id", "_th"]).drop("_th")
+    pairs = slots(matched, "doc_id", size).join(items, "h").withColumn("slots", F.slice("slots", F.lit(1), F.size("item_slots")))
+    # a short item without a plain word is only its values
+    bare = (F.col("_n") < size) & F.forall("item_slots", lambda v: v.isNotNull())
     # matched windows are few and looked at twice
-    found = checkpointed(slots(matched, "doc_id", size).join(items, "h"))
+    found = checkpointed(pairs.where(~bare | (F.col("slots") == F.col("item_slots"))))
     covered = F.col("n_windows") >= F.col("n_item_windows") * min_coverage
     consistent = F.col("n_consistent") >= F.col("n_windows") * min_consistent
     whole = checkpointed(_verdicts(found.withColumns({"p": F.lit(0).cast("long"), "k": F.lit(-1)}), totals).where(covered))

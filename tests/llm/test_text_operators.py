@@ -198,6 +198,21 @@ def test_item_held_twice(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, rows), bench).collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "what is the capital city of france"), (2, "add 5 apples to 5 pears"), (3, "17 42"), (4, "seven words and one more make eight words")], "item_id long, text string")
+    rows = [
+        (1, "first they asked what is the capital city of france and then nothing else of any interest"),
+        (2, "what is the capital city of spain and what was the capital city of france"),
+        (3, "you may add 8 apples to 8 pears before lunch or add 1 apples to 2 pears"),
+        (4, "you may add 8 apples to 9 pears before lunch and that is all of it"),
+        (5, "the numbers of the day are 17 42 and nothing else"),
+        (6, "the numbers of the day are 18 43 and nothing else"),
+        (7, "what is the capital city of france"),
+        (8, "so seven words and one more make eight words indeed"),
+    ]
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, rows), bench).collect()} == {(1, 1), (3, 2), (5, 3), (7, 1), (8, 4)}
+
+
 # --- mixing
 
 
