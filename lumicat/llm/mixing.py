@@ -27,6 +27,8 @@ SEED = 17
 TEMPERATURE = 0.5
 #: Sources up to this many rows are joined by broadcast: about 40 bytes each.
 BROADCAST_SOURCES = 50_000
+#: Above this rate counts are summed from below the mean instead of from 0.
+LARGE_RATE = 500.0
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -52,14 +54,26 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     return weighed.select("_source", F.when(F.col("_size") > 0, share).otherwise(F.lit(1.0)).alias("_rate"))
 
 
+def _log_term(rate: Column, k: Column) -> Column:
+    """ln P(X = k) for large k: Stirling's series, with the parts that cancel each other taken together."""
+    e = (k - rate) / rate
+    stirling = 1 / (12 * k) - 1 / (360 * k * k * k)
+    return -rate * ((1 + e) * F.log1p(e) - e) - F.log(2 * math.pi * k) / 2 - stirling
+
+
 def poisson_count(rate: Column, u: Column) -> Column:
     """The smallest k with u < P(X <= k): a fold over the terms of the series.
 
-    Enough terms are summed for a rounding error of 1e-15 of the upper tail.
+    Enough terms are summed for a rounding error of 1e-15 of the upper tail. As
+    ``exp(-rate)`` vanishes for large rates, the fold then begins 12 deviations
+    below the mean, with a term from its logarithm; what lies below is under
+    1e-30, less than any ``u``.
     """
-    terms = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
-    first = F.exp(-rate)
-    start = F.struct(first.alias("p"), first.alias("cdf"), F.when(u < first, 0).otherwise(1).cast("int").alias("n"))
+    large = rate > LARGE_RATE
+    begin = F.when(large, F.floor(rate - 12 * F.sqrt(rate))).otherwise(0).cast("int")
+    terms = F.sequence(begin + 1, F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
+    first = F.when(large, F.exp(_log_term(rate, begin.cast("double")))).otherwise(F.exp(-rate))
+    start = F.struct(first.alias("p"), first.alias("cdf"), F.when(u < first, begin).otherwise(begin + 1).cast("int").alias("n"))
     return F.aggregate(
         terms,
         start,

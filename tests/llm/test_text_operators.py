@@ -1,5 +1,6 @@
 """Operators on document texts: defined cases and brute-force comparisons."""
 
+import decimal
 import hashlib
 import re
 from collections import defaultdict
@@ -239,6 +240,25 @@ def test_mixing_inverts_poisson(spark):
     assert abs(mean - 2.5) < 0.06 and abs(var - 2.5) < 0.15
 
 
+def test_mixing_large_rates(spark):
+    """Counts against quantiles of sums of 60 digits."""
+    rates, us = (0.3, 40.0, 499.0, 501.0, 744.0, 746.0, 1000.0, 7700.0, 10000.0), (1e-12, 0.01, 0.3, 0.5, 0.99, 1 - 1e-9)
+
+    def quantile(rate, u):
+        with decimal.localcontext(decimal.Context(prec=60)):
+            rate, u, k = decimal.Decimal(rate), decimal.Decimal(u), 0
+            term = total = (-rate).exp()
+            while u >= total:
+                k += 1
+                term = term * rate / k
+                total += term
+            return k
+
+    df = spark.createDataFrame([(r, u) for r in rates for u in us], "r double, u double")
+    got = {(x.r, x.u): x.n for x in df.select("r", "u", mixing.poisson_count(F.col("r"), F.col("u")).alias("n")).collect()}
+    assert got == {(r, u): quantile(r, u) for r in rates for u in us}
+
+
 def test_mixing_cases(spark):
     assert mixing.replicate(table(spark, [])).count() == 0
     got = mixing.replicate(table(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (3, "abc", "en", "b")]), weights={"b": 1.0}).collect()
