@@ -6,7 +6,8 @@ and names the conversion, and a ``conversion`` record with the plain text. Both
 refer to the response by ``WARC-Refers-To``, keep its target URI and date, name
 the payload digest of the source, and have ids that depend on the source id
 only, so a task that runs again writes the same records. Everything is column
-expressions; records are laid out byte by byte as WARC 1.1 asks.
+expressions, but for texts with rarer character references, which a pandas UDF
+decodes; records are laid out byte by byte as WARC 1.1 asks.
 
 Defined cases: a null or empty payload gives a conversion of an empty text. A
 null URI leaves the WARC-Target-URI header out. Repeated rows give repeated
@@ -17,8 +18,13 @@ replaced.
 
 from __future__ import annotations
 
+import html as _html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumicat.llm.text import unused
 
@@ -93,16 +99,43 @@ def parse(records: DataFrame) -> DataFrame:
 REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags cut, blocks on lines of their own."""
+#: A reference that isn't among these: any other name, or a number.
+OTHER_REFERENCE = "&(?!(?:" + "|".join(r[1:-1] for r, _ in REFERENCES) + ");)[#A-Za-z]"
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)")
+
+
+def _decoded(match: re.Match) -> str:
+    reference = match[0]
+    if reference[1] == "#" and len(reference) > 32:
+        digits = reference[2:].lstrip("xX").rstrip(";").lstrip("0")
+        reference = "&#" + ("x" if reference[2] in "xX" else "") + (digits or "0")[:16] + ";"
+    char = _html.unescape(reference)
+    return " " + char[1:] if char[0:1] == "\xa0" else char
+
+
+@F.pandas_udf(T.StringType())
+def decode_all(texts: pd.Series) -> pd.Series:
+    """All character references of HTML in one pass, a no-break space as a space; null stays null."""
+    return texts.map(lambda t: None if t is None else _REFERENCE.sub(_decoded, t))
+
+
+def stripped(html: Column) -> Column:
+    """Scripts, styles, comments and tags cut, blocks on lines of their own; references are left."""
     text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|noscript)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(text, r"(?i)</?(p|div|li|ul|ol|h[1-6]|br|tr|table|article|section|nav|footer|header|aside|main|blockquote|body|html)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+    return F.regexp_replace(text, r"<[^>]*>", "")
+
+
+def plain_text(text: Column) -> Column:
+    """``stripped`` text with its references decoded: natively where REFERENCES has them all."""
+    decoded = text
     for reference, char in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+        decoded = F.replace(decoded, F.lit(reference), F.lit(char))
+    other = text.rlike(OTHER_REFERENCE)
+    decoded = F.when(other, decode_all(F.when(other, text))).otherwise(decoded)
+    decoded = F.regexp_replace(decoded, r" *\n[ \n]*", "\n")
+    return F.regexp_replace(decoded, r"^[ \n]+|[ \n]+$", "")
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -113,7 +146,7 @@ def derive(records: DataFrame) -> DataFrame:
     """
     own = [F.col(f"`{c}`") for c in records.columns if c not in (*PARSED, *DERIVED)]
     text, meta_id, text_id, kind = unused(records, "_text", "_meta_id", "_text_id", "_kind")
-    source = parse(records).withColumn(text, plain_text(F.col("payload")))
+    source = parse(records).withColumn(text, stripped(F.col("payload"))).withColumn(text, plain_text(F.col(text)))
     source = source.withColumn(meta_id, record_id(F.lit("metadata"), F.col("record_id"))).withColumn(text_id, record_id(F.lit("conversion"), F.col("record_id")))
     header_lines = F.transform(F.filter(F.split("http_headers", CRLF), lambda x: x != ""), lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF)))
     meta = F.concat(

@@ -1,5 +1,6 @@
 """Operators on web pages."""
 
+import hashlib
 import html
 import re
 from itertools import combinations
@@ -70,3 +71,12 @@ def test_derivatives_link_back(spark):
             assert "http-header: Content-Type: text/html" in r.block and any(x.record_id in r.block for x in got if x.page_id == r.page_id and x.record_type == "conversion")
     assert {r.page_id: r.block for r in got if r.record_type == "conversion"} == {1: "Ünïcode & more\nx", 2: "", 3: ""}
     assert warc_derive.derive(warc_derive.responses(pages(spark, []))).count() == 0
+
+
+def test_all_references_are_decoded(spark):
+    cases = ["&#8217; &#x2014; &#233;", "caf&eacute; &mdash; &uuml;ber &hellip; &amp; &copy;", "&amp;eacute; &amp;#233; &amp;lt;", "a &lt;b&gt; &quot;c&quot; &#39;d&#39; &middot; &apos;", "x&#160;y&nbsp;z &notaname; R&D a&b=1 &", "&#X41; &AMP; &copy 1 &#0;", "&#" + "0" * 5000 + "65; &#" + "9" * 5000 + ";"]
+    rows = [(i, "http://h.example/a", f"<p>{c}</p>") for i, c in enumerate(cases)]
+    got = {r.page_id: r for r in warc_derive.derive(warc_derive.responses(pages(spark, rows))).where("record_type = 'conversion'").collect()}
+    want = {i: html.unescape(c).replace("\xa0", " ") for i, c in enumerate(cases[:-1])} | {len(cases) - 1: "A \ufffd"}
+    assert {i: r.block for i, r in got.items()} == want
+    assert all(r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() for r in got.values())
