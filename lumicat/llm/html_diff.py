@@ -11,9 +11,9 @@ sidebars, notices, adverts, forms and comments go in any case, and differencing
 decides on every other block.
 
 Pairing never orders a whole host in one task: pages are first reduced to one
-per URL path, then compared with their neighbours in a cell of paths that agree
-in directory, length and all but the last two characters; a page alone in its
-cell takes the first or last page of its directory, else of its host.
+per URL path (without trailing slashes and page extension), paths are cut into
+ranges of their order, and each takes the neighbour in that order which has the
+longer common prefix; no other path of the host has a longer one.
 
 Defined cases: a null or empty html gives an empty text. A page without host or
 without another path in its host has no partner and loses nothing by
@@ -27,12 +27,15 @@ import html as _html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumicat.session import checkpointed
+
 MAIN, CHROME, OPEN = 0, 1, 2
 BLOCKS_TYPE = T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("zones", T.ArrayType(T.IntegerType()))])
 
@@ -199,31 +202,55 @@ def _path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def _key(path: Column) -> Column:
+    """A path without trailing slashes and the extension of a page."""
+    return F.regexp_replace(F.regexp_replace(path, "/+$", ""), r"(?i)\.([xs]?html?|php[0-9]?|aspx?|jspx?|cfm|cgi|do|action)$", "")
+
+
+@F.pandas_udf(T.StringType())
+def nearest(keys: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+    """Of two neighbours the one with the longer common prefix, at equal length the one before."""
+
+    def one(key, a, b):
+        if a is None or b is None:
+            return b if a is None else a
+        return b if len(commonprefix([key, b])) > len(commonprefix([key, a])) else a
+
+    return pd.Series([one(*x) for x in zip(keys, before, after)], index=keys.index, dtype=object)
+
+
+def neighbours(keys: DataFrame) -> DataFrame:
+    """_host, _key, _near: the nearest other key of the host, null where it has no other.
+
+    Distinct keys are cut into ranges of their order; within a range the
+    neighbours are the rows beside, at its ends the end rows of the ranges beside.
+    """
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = checkpointed(keys.repartitionByRange(n, "_host", "_key").withColumn("_piece", F.spark_partition_id()))
+    row = F.struct("_host", "_key")
+    # two rows of each range
+    ends = sorted(pieces.groupBy("_piece").agg(F.min(row).alias("a"), F.max(row).alias("b")).collect(), key=lambda r: r["_piece"])
+    beside = [(r["_piece"], ends[i - 1]["b"] if i else None, ends[i + 1]["a"] if i + 1 < len(ends) else None) for i, r in enumerate(ends)]
+    end = "struct<_host: string, _key: string>"
+    joined = pieces.join(F.broadcast(keys.sparkSession.createDataFrame(beside, f"_piece int, _prev {end}, _next {end}")), "_piece")
+    by = Window.partitionBy("_piece").orderBy("_host", "_key")
+    same = lambda x: F.when(x["_host"] == F.col("_host"), x["_key"])
+    placed = joined.select("_host", "_key", F.coalesce(F.lag(row).over(by), "_prev").alias("_prev"), F.coalesce(F.lead(row).over(by), "_next").alias("_next"))
+    return placed.select("_host", "_key", nearest("_key", same(F.col("_prev")), same(F.col("_next"))).alias("_near"))
+
+
 def partners(pages: DataFrame) -> DataFrame:
-    """_host, _path, _partner: the block hashes of the page nearest to each URL path."""
-    hashed = pages.select(_host(F.col("url")).alias("_host"), _path(F.col("url")).alias("_path"), F.coalesce("page_id", F.lit(-1)).alias("_id"), block_hashes(F.coalesce("html", F.lit(""))).alias("_hashes")).where("_host is not null")
-    reps = hashed.groupBy("_host", "_path").agg(F.min(F.struct("_id", "_hashes"))["_hashes"].alias("_hashes"))
-    trimmed = F.regexp_replace("_path", "/+$", "")
-    reps = reps.withColumn("_dir", F.regexp_extract(trimmed, "^(.*)/[^/]*$", 1)).withColumn("_leaf", F.regexp_extract(trimmed, "([^/]*)$", 1))
-    reps = reps.withColumn("_n", F.length("_leaf")).withColumn("_stem", F.expr("substring(_leaf, 1, greatest(_n - 2, 0))"))
-    cell = Window.partitionBy("_host", "_dir", "_n", "_stem").orderBy("_path")
-    before, after = F.lag(F.struct("_leaf", "_hashes")).over(cell), F.lead(F.struct("_leaf", "_hashes")).over(cell)
-    stem = F.expr("substring(_leaf, 1, greatest(_n - 1, 0))")
-    same = lambda x: F.when(x["_leaf"].isNull(), -1).when(x["_leaf"].startswith(stem), 1).otherwise(0)
-    near = reps.withColumn("_before", before).withColumn("_after", after)
-    near = near.withColumn("_near", F.when(same(F.col("_after")) > same(F.col("_before")), F.col("_after._hashes")).otherwise(F.col("_before._hashes")))
-    edge = lambda d: (F.min(F.struct("_path", "_hashes")).alias(f"_{d}_first"), F.max(F.struct("_path", "_hashes")).alias(f"_{d}_last"))
-    dirs = reps.groupBy("_host", "_dir").agg(*edge("d"))
-    hosts = reps.groupBy("_host").agg(*edge("h"))
-    other = lambda d: F.when(F.col(f"_{d}_first._path") != F.col("_path"), F.col(f"_{d}_first._hashes")).when(F.col(f"_{d}_last._path") != F.col("_path"), F.col(f"_{d}_last._hashes"))
-    paired, alone = near.where("_near is not null").select("_host", "_path", F.col("_near").alias("_partner")), near.where("_near is null")
-    found = alone.join(dirs, ["_host", "_dir"], "left").join(hosts, "_host", "left").select("_host", "_path", F.coalesce(other("d"), other("h")).alias("_partner"))
-    return paired.unionByName(found)
+    """_host, _key, _partner: the block hashes of the page nearest to each URL path."""
+    named = pages.select(_host(F.col("url")).alias("_host"), _key(_path(F.col("url"))).alias("_key"), F.coalesce("page_id", F.lit(-1)).alias("_id"), "html").where("_host is not null")
+    hashed = named.select("_host", "_key", "_id", block_hashes(F.coalesce("html", F.lit(""))).alias("_hashes"))
+    reps = hashed.groupBy("_host", "_key").agg(F.min(F.struct("_id", "_hashes"))["_hashes"].alias("_partner"))
+    near = neighbours(named.select("_host", "_key").distinct()).where("_near is not null")
+    return near.join(reps.withColumnRenamed("_key", "_near"), ["_host", "_near"]).select("_host", "_key", "_partner")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text: one row per page."""
-    parsed = pages.select("page_id", "url", _host(F.col("url")).alias("_host"), _path(F.col("url")).alias("_path"), page_blocks(F.coalesce("html", F.lit(""))).alias("_blocks"))
+    parsed = pages.select("page_id", "url", _host(F.col("url")).alias("_host"), _key(_path(F.col("url"))).alias("_key"), page_blocks(F.coalesce("html", F.lit(""))).alias("_blocks"))
     # chrome blocks are needed for the alignment as hashes only; their texts are short
-    joined = parsed.join(partners(pages), ["_host", "_path"], "left")
+    joined = parsed.join(partners(pages), ["_host", "_key"], "left")
     return joined.select("page_id", "url", differenced("_blocks.texts", "_blocks.zones", "_partner").alias("text"))

@@ -80,3 +80,24 @@ def test_all_references_are_decoded(spark):
     want = {i: html.unescape(c).replace("\xa0", " ") for i, c in enumerate(cases[:-1])} | {len(cases) - 1: "A \ufffd"}
     assert {i: r.block for i, r in got.items()} == want
     assert all(r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() for r in got.values())
+
+
+def test_partners_are_the_nearest_paths(spark):
+    """Pages of several templates in one directory, with extensions and names of unequal length."""
+    rows = []
+    for i in range(12):
+        for kind in ("alpha", "beta", "gamma"):
+            name = f"{kind}-{'x' * (i % 4)}{100 + 7 * i * i}.html"
+            rows.append((len(rows), f"http://h.example/d/{name}", f"<body><p>Top of {kind}</p><p>Story {kind} {i}</p><p>End of {kind}</p></body>"))
+    got = {r.page_id: r.text for r in html_diff.main_text(pages(spark, rows)).collect()}
+    assert all(got[i] == re.search("Story [a-z]+ [0-9]+", page)[0] for i, _, page in rows)
+
+
+def test_neighbours_brute(spark):
+    keys = sorted({(f"h{i % 3}", f"/{i * i % 97}/{i * 31 % 89}") for i in range(150)} | {("lone", "/a")})
+    common = lambda a, b: len(html_diff.commonprefix([a, b]))
+    got = {(r._host, r._key): r._near for r in html_diff.neighbours(spark.createDataFrame(keys, "_host string, _key string")).collect()}
+    assert sorted(got) == keys and got["lone", "/a"] is None
+    for (host, key), near in got.items():
+        others = [k for h, k in keys if h == host and k != key]
+        assert not others or near in others and common(key, near) == max(common(key, k) for k in others)
