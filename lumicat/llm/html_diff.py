@@ -8,7 +8,8 @@ would delete each other, and menus, adverts or footers that name the page are
 shared with no other. So structure bounds it: blocks inside an article or main
 element are protected from deletion, blocks inside menus, headers, footers,
 sidebars, notices, adverts, forms and comments go in any case, and differencing
-decides on every other block.
+decides on every other block. Class and id never make html, body or an element
+around an article a menu or the like, and inside articles only whole names count.
 
 Pairing never orders a whole host in one task: pages are first reduced to one
 per URL path (without trailing slashes and page extension), paths are cut into
@@ -54,30 +55,37 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _SPACE = re.compile(r"\s+")
 
 
-def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
+def _chrome(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is chrome by its tag or role, and whether by its class or id.
+
+    Inside articles whole names count, elsewhere also their parts.
+    """
     if tag in DROPPED or tag == "header" and not in_main:
-        return True
-    if not attrs:
-        return False
-    for name, *values in _ATTR.findall(attrs):
+        return True, False
+    named = False
+    for name, *values in _ATTR.findall(attrs or ""):
         value = next((v for v in values if v), "").lower()
         if name.lower() == "role":
             if value in CHROME_ROLE:
-                return True
-        elif any(CHROME_NAME.match(part) for word in value.split() for part in (word, *re.split(r"[-_]", word))):
-            return True
-    return False
+                return True, False
+        elif tag not in ("html", "body"):
+            named = named or any(CHROME_NAME.match(part) for word in value.split() for part in ((word,) if in_main else (word, *re.split(r"[-_]", word))))
+    return False, named
 
 
 def blocks(page: str | None) -> tuple[list[str], list[int]]:
     """The text blocks of a page in order, and the zone of each."""
     texts: list[str] = []
-    zones: list[int] = []
     if not page:
-        return texts, zones
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in chrome, in main
+        return texts, []
+    found: list[tuple[bool, bool, tuple]] = []  # of each block: in chrome by tag, in main, chrome by name
+    # open elements: name, in chrome by tag, in main, chrome by name as linked pairs (number, outer)
+    stack: list[tuple[str, bool, bool, tuple]] = []
     parts: list[str] = []
     chrome = main = False
+    named: tuple = ()
+    numbered = 0
+    holders: set[int] = set()  # chrome by name outside articles that holds an article, so is none
 
     def flush() -> None:
         if parts:
@@ -85,7 +93,7 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
             parts.clear()
             if text:
                 texts.append(text)
-                zones.append(CHROME if chrome else MAIN if main else OPEN)
+                found.append((chrome, main, named))
 
     at, n = 0, len(page)
     while at < n:
@@ -106,7 +114,7 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    chrome, main = stack[-1][1:] if stack else (False, False)
+                    chrome, main, named = stack[-1][1:] if stack else (False, False, ())
                     break
             continue
         if tag in RAW:
@@ -120,14 +128,31 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
             if stack and stack[-1][0] == "p" or any(x[0] == "p" for x in stack[-3:]):
                 while stack and any(x[0] == "p" for x in stack[-3:]):
                     stack.pop()
-                chrome, main = stack[-1][1:] if stack else (False, False)
+                chrome, main, named = stack[-1][1:] if stack else (False, False, ())
         if tag in VOID or m[3].endswith("/"):
             continue
-        main = main or tag in ("article", "main")
-        chrome = chrome or _is_chrome(tag, m[3], main)
-        stack.append((tag, chrome, main))
+        if tag in ("article", "main"):
+            if not main:
+                outer = named
+                while outer and outer[0] not in holders:
+                    holders.add(outer[0])
+                    outer = outer[1]
+                named = ()
+            main = True
+        hard, by_name = _chrome(tag, m[3], main)
+        chrome = chrome or hard
+        if by_name:
+            numbered += 1
+            named = (numbered, named)
+        stack.append((tag, chrome, main, named))
     flush()
-    return texts, zones
+
+    def zone(hard: bool, in_main: bool, names: tuple) -> int:
+        while names and names[0] in holders:
+            names = names[1]
+        return CHROME if hard or names else MAIN if in_main else OPEN
+
+    return texts, [zone(*x) for x in found]
 
 
 def shared_positions(a: list[int], b: list[int]) -> set[int]:

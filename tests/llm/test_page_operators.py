@@ -31,6 +31,18 @@ def test_zones():
     assert html_diff.blocks(None) == ([], []) and html_diff.blocks("") == ([], [])
 
 
+def test_names_never_take_the_article():
+    def zones_of(page):
+        return dict(zip(*html_diff.blocks(page)))
+
+    M, C, O = html_diff.MAIN, html_diff.CHROME, html_diff.OPEN
+    for top in ('<body class="single no-sidebar">', '<html class="header-fixed"><body>', '<div class="page-with-sidebar">', '<div id="nav-wrap"><div class="has-banner">'):
+        assert zones_of(f'{top}<p>before</p><div class="ad">x</div><article><p>text</p></article><p>after</p><nav>n</nav>') == {"before": O, "x": C, "text": M, "after": O, "n": C}
+    assert zones_of('<article><h1 class="post-header">t</h1><p class="share-price">9</p><div class="comments"><p>c</p><article>d</article></div></article><div class="side-bar ad-box">y</div>') == {"t": M, "9": M, "c": C, "d": C, "y": C}
+    assert zones_of('<nav class="menu"><article>a</article></nav><p>z</p>') == {"a": C, "z": O}
+    assert zones_of('<body class="no-sidebar"><p>only</p>') == {"only": O}
+
+
 def test_differencing_deletes_what_neighbours_share(spark):
     def page(i):
         return f"<body><p>Site title</p><p>Story {i} begins</p><p>and ends {i}</p><p>All rights</p></body>"
