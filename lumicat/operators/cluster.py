@@ -50,18 +50,19 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def kmeans(points: DataFrame, k: int = 32, rounds: int = 20) -> DataFrame:
-    """id, cluster, similarity of unit vectors (id, v, weight), by weighted spherical k-means.
+def kmeans(points: DataFrame, k: int = 32, rounds: int = 80) -> DataFrame:
+    """id, cluster, similarity, settled of unit vectors (id, v, weight), by weighted spherical k-means.
 
     Centres start with the heaviest point, then the one of largest distance
-    times weight to the centres so far. Only k centres ever reach the driver.
+    times weight to the centres so far. ``settled`` is false where the rounds ended
+    before the centres stood still. Only k centres ever reach the driver.
     """
     unit = points.select("id", "weight", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("_n", F.sqrt(_dot(F.col("v"), F.col("v"))))
     unit = checkpointed(unit.where("_n > 0").select("id", "weight", F.transform("v", lambda x: x / F.col("_n")).alias("v")))
     literal = lambda c: F.array(*[F.lit(float(x)) for x in c])
     first = unit.orderBy(F.desc("weight"), "id").limit(1).collect()
     if not first:
-        return unit.select("id", F.lit(0).alias("cluster"), F.lit(1.0).alias("similarity"))
+        return unit.select("id", F.lit(0).alias("cluster"), F.lit(1.0).alias("similarity"), F.lit(True).alias("settled"))
     centres = [first[0]["v"]]
     near = unit.withColumn("best", _dot(F.col("v"), literal(centres[0])))
     for _ in range(k - 1):
@@ -70,7 +71,7 @@ def kmeans(points: DataFrame, k: int = 32, rounds: int = 20) -> DataFrame:
             break
         centres.append(far["v"])
         near = checkpointed(near.withColumn("best", F.greatest("best", _dot(F.col("v"), literal(far["v"])))))
-    placed = None
+    placed, settled = None, False
     for _ in range(rounds):
         table = F.array(*[literal(c) for c in centres])
         sims = F.transform(table, lambda c: _dot(F.col("v"), c))
@@ -84,9 +85,10 @@ def kmeans(points: DataFrame, k: int = 32, rounds: int = 20) -> DataFrame:
             n = math.sqrt(sum(x * x for x in v)) or 1.0
             new.append([x / n for x in v])
         if max(abs(x - y) for a, b in zip(new, centres) for x, y in zip(a, b)) < 1e-9:
+            settled = True
             break
         centres = new
-    return placed.select("id", "cluster", "similarity")
+    return placed.select("id", "cluster", "similarity", F.lit(settled).alias("settled"))
 
 
 def keyword_cluster(topic: Column, rules: tuple[Rule, ...], noise: str) -> Column:

@@ -194,4 +194,4 @@ def clu_name(spark, sf_dir):
 def clu_kmeans(spark, sf_dir):
     """Weighted spherical k-means of the embeddings; tests check its invariants."""
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(1.0).alias("weight"))
-    return cluster.kmeans(points, k=10, rounds=8).select("id", "cluster", F.round("similarity", 6).alias("similarity"))
+    return cluster.kmeans(points, k=32, rounds=80).select("id", "cluster", F.round("similarity", 6).alias("similarity"), "settled")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumicat.functions import text as fx
 from lumicat.operators import cluster, extract, nlu, ranking, sync, topics
 from lumicat.operators.rules import Rule, Taxonomy
+from lumicat.plans import registry
 from lumicat.streaming import sessions
 
 CANDIDATE = """id bigint, name string, organization string, direction string, municipality_id int, form int, level int, enrollment int, age_min int, age_max int, keywords array<string>,
@@ -143,6 +144,14 @@ def test_kmeans_invariants(spark):
     assert len({r.cluster for r in got if r.id % 2}) == 1
 
 
+def test_kmeans_settles(spark, sf_dir):
+    found = registry.queries()["clu_kmeans"](spark, sf_dir).collect()
+    assert len({r.cluster for r in found}) == 32 and all(r.settled for r in found)
+    points = spark.createDataFrame([(i, [1.0, 0.1 * i], 1.0) for i in range(9)], "id long, v array<double>, weight double")
+    assert {r.settled for r in cluster.kmeans(points, k=2, rounds=1).collect()} == {False}
+    assert {r.settled for r in cluster.kmeans(points, k=2, rounds=80).collect()} == {True}
+
+
 def test_tfidf_is_normalised(spark):
     rows = cluster.aggregate(spark.createDataFrame([("робот мотор", 1, "2"), ("робот датчик", 2, "1"), ("мотор", 1, "1")], "topic string, program long, hours string"))
     norms = cluster.tfidf(rows, []).groupBy("topic").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
