@@ -194,4 +194,4 @@ from made
 def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_gbt.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii_gbt.KINDS[k]}")
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii_gbt.listed(F.col("base")), 256).alias("base_sha256"), pii_gbt.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii_gbt.listed(F.col("base")), 256).alias("base_sha256"), pii_gbt.listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size(F.concat("base", "added")).cast("long").alias("n_spans"))

@@ -329,7 +329,7 @@ def test_pii_base_spans_brute(spark, documents):
     odd = [
         (900001, "a@b.c_d@e.f a@b@c.d x.@y-.z"), (900002, "1.2.3.4.5 256.1.1.1 1.2.3.4.5.6.7.8 0000000000000000000000001.1.1.1"),
         (900003, "4111 1111 1111 1111 and 4111-1111-1111-1111-  4111111111111112, 4111 1111  1111 1111 3"), (900004, "+1 (743) 555-3824 +123 +1+2 3456789+44 20 7946 0958"),
-        (900005, None), (900006, ""), (900007, "é 😀 a@b.co 😀 1.1.1.1"), (900008, " ".join(map(str, range(2000)))), (900009, "7" * 4000 + " " + "a" * 3000 + "@"), (900010, "a@b.c " * 700),
+        (900005, None), (900006, ""), (900007, "é 😀 a@b.co 😀 1.1.1.1"), (900008, " ".join(map(str, range(2000)))), (900009, "7" * 4000 + " " + "a" * 3000 + "@"), (900010, "a@b.c " * 700), (900011, "a@" + "b.c-d." * 50_000 + ".e f@g.h..i@j.k"), (900012, "1." * 50_000), (900013, "+1" + "-2" * 50_000),
     ]
     docs = documents.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     pool = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -342,10 +342,29 @@ def test_pii_base_spans_brute(spark, documents):
 def test_pii_trees_separate_and_redact(spark):
     rows = [((k, i % 5, i % 3, 0, 0, 0, 0, 0), 40 if i % 5 > 2 else 0, 40, h) for k in range(2) for i in range(15) for h in (False, True)]
     trees = pii_gbt.Trees(rows)
-    assert trees.score((0, 4, 0, 0, 0, 0, 0, 0)) > 0.9 > 0.2 > trees.score((0, 0, 0, 0, 0, 0, 0, 0)) and trees.thresholds[2] == 0.9
+    assert trees.score((0, 4, 0, 0, 0, 0, 0, 0)) > 0.9 > 0.2 > trees.score((0, 0, 0, 0, 0, 0, 0, 0)) and trees.thresholds[2] == pii_gbt.NEVER
     docs = table(spark, [(1, "mail me: a@b.co or +1 (743) 555-3824"), (2, None), (3, "clean text")])
     assert {r.doc_id: r.text for r in pii_gbt.redact(docs).collect()} == {1: "mail me: [email] or [phone]", 2: None, 3: "clean text"}
     assert pii_gbt.find(table(spark, [])).count() == 0
+    rows = [(None, "mail a@b.co"), (1, "no mail"), (1, "mail c@d.ef, or 1.1.1.1@g.hi 😀 4111-1111-1111-1111 "), (1, "a@b.co 1.2.3.4.5.6.7.8")]
+    got = sorted((r.doc_id or 0, r.text) for r in pii_gbt.redact(table(spark, rows)).collect())
+    assert got == [(0, "mail [email]"), (1, "[email] [ip].[ip]"), (1, "mail [email], or [ip] 😀 [card] "), (1, "no mail")]
+
+
+def test_pii_trees_add_and_refuse(spark):
+    """Numbers of one format: beside "ssn" all of them are possible ones, beside "part" half of them."""
+    good, bad = [f"{100 + i}-{10 + i % 80}-{1000 + 7 * i}" for i in range(400)], [f"{('000', '666', '987')[i % 3]}-12-{1000 + 7 * i}" for i in range(400)]
+    ssn = [(i, f"the ssn {x} of one person") for i, x in enumerate(good)]
+    part = [(1000 + i, f"the part {x} of a machine") for i, x in enumerate(y for pair in zip(good, bad) for y in pair)]
+    iban = [(5000, "to iban DE89 3704 0044 0532 0130 00 please"), (5001, "to iban DE89 3704 0044 0532 0130 01 please")]
+    docs = table(spark, [*ssn, *part, *iban, (6000, "the ssn 000-12-3456 of one person")])
+    got = {r.doc_id: r.spans for r in pii_gbt.find(docs).select("doc_id", pii_gbt.listed(F.col("added")).alias("spans")).collect()}
+    assert all(got[i] == f"ssn:8:{8 + len(x)}" for i, x in enumerate(good))
+    assert not any(got[1000 + i] for i in range(800))
+    assert got[6000] == "" and got[5000] == got[5001] == ""  # fails its check; too few of its kind
+    trees = pii_gbt.train(docs)
+    assert trees.thresholds[6] < 1 and trees.thresholds[7] == pii_gbt.NEVER
+    assert {r.doc_id: r.text for r in pii_gbt.redact(docs, trees).where("doc_id in (0, 1000)").collect()} == {0: "the ssn [ssn] of one person", 1000: f"the part {good[0]} of a machine"}
 
 
 # --- queries
