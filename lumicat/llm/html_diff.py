@@ -4,22 +4,30 @@ Every page is cut into text blocks. Pages are paired with the page of the
 nearest URL path in their host; the block hashes of a pair are aligned by
 longest common subsequence, and shared blocks are deleted as template text.
 Differencing alone can't give whole articles: copies of an article in one host
-would delete each other, and menus, adverts or footers that name the page are
-shared with no other. So structure bounds it: blocks inside an article or main
-element are protected from deletion, blocks inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments go in any case, and differencing
-decides on every other block. Class and id never make html, body or an element
-around an article a menu or the like, and inside articles only whole names count.
-
-Pairing never orders a whole host in one task: pages are first reduced to one
-per URL path (without trailing slashes and page extension), paths are cut into
-ranges of their order, and each takes the neighbour in that order which has the
-longer common prefix; no other path of the host has a longer one.
+would delete each other, articles may share passages, and menus, adverts or
+footers that name the page are shared with no other. So structure has a veto on
+both sides: blocks inside an article or main element are protected from
+deletion, blocks inside menus, headers, footers, sidebars, notices, adverts,
+forms and comments go in any case, and differencing decides on every other
+block. Class and id never make html, body, main or an element around an article
+a menu or the like; inside articles only whole names count, and compound names
+that speak of the article (``post-header``) or of an absence or a layout
+(``no-sidebar``, ``has-sidebar``) never do. Where a page has no article or main
+element, an element of a layout name that holds most of its text is no chrome.
+
+A page has up to two partners: another query string of its path, and the
+nearest other path. A partner that shares all but a few characters of the page
+is a copy of it (a recrawl, a session id) and deletes nothing; the other one is
+then tried. Pairing never orders a whole host in one task: paths (without
+trailing slashes and page extension) are cut into ranges of their order, and
+each takes the neighbour in that order which has the longer common prefix; no
+other path of the host has a longer one.
 
 Defined cases: a null or empty html gives an empty text. A page without host or
-without another path in its host has no partner and loses nothing by
-differencing. Repeated rows and pages of one path (recrawls) are never partners
-of each other; each gets its own row. Extra columns are ignored.
+without another path or query in its host, or with copies as partners only, has
+no partner and loses nothing by differencing. Repeated rows and pages of one
+address are never partners of each other; each gets its own row. A tag that the
+page ends in is dropped with what follows it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,53 +46,77 @@ from pyspark.sql import types as T
 from lumicat.session import checkpointed
 
 MAIN, CHROME, OPEN = 0, 1, 2
+#: A partner is a copy if less than this share of the characters that differencing decides on differs.
+COPY_SHARE = 0.05
 BLOCKS_TYPE = T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("zones", T.ArrayType(T.IntegerType()))])
 
 # fixed values: HTML element names by role
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"nav", "footer", "aside", "form", "head", "title", "select", "button", "menu", "dialog"}
+DROPPED = {"nav", "footer", "aside", "head", "title", "select", "button", "menu", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
+# elements that end an open paragraph, elements that shield it, and items with the elements that shield theirs
+ENDS_P = BLOCKS - {"body", "frameset", "head", "html", "legend", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
+SHIELDS = ("table", "td", "th", "caption", "button", "html")
+ITEMS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+SIBLINGS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 CHROME_NAME = re.compile(r"^(ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|header\w*|banner\w*|cookies?|consent|notices?|comments?|breadcrumbs?|share|sharing|social|related|subscribe|newsletter|popup|modal|widget\w*|toolbar)$")
+#: Of these, names of layout, which may also stand around the text of a page.
+LAYOUT_NAME = re.compile(r"^(nav|menu|sidebar|footer|header|banner|widget|toolbar)")
+#: A compound name with one of these parts is none of chrome.
+TEXT_PARTS = {"article", "post", "entry", "story", "content", "no", "not", "non", "free", "without", "with", "has"}
 CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A quote counts only behind an equals sign; possessive, so that no page is read twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
-def _chrome(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is chrome by its tag or role, and whether by its class or id.
+def _chrome(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is chrome by its tag or role, by a name (or as a form), and by a name of layout only.
 
-    Inside articles whole names count, elsewhere also their parts.
+    Inside articles whole names count, elsewhere also parts of compound names.
     """
     if tag in DROPPED or tag == "header" and not in_main:
-        return True, False
-    named = False
-    for name, *values in _ATTR.findall(attrs or ""):
-        value = next((v for v in values if v), "").lower()
-        if name.lower() == "role":
+        return True, False, False
+    if tag == "form":
+        return False, True, True
+    named, layout = False, True
+    for name, *values in _ATTR.findall(attrs) if "class" in (low := attrs.lower()) or "id" in low or "role" in low else ():
+        name, value = name.lower(), next((v for v in values if v), "").lower()
+        if name == "role":
             if value in CHROME_ROLE:
-                return True, False
-        elif tag not in ("html", "body"):
-            named = named or any(CHROME_NAME.match(part) for word in value.split() for part in ((word,) if in_main else (word, *re.split(r"[-_]", word))))
-    return False, named
+                return True, False, False
+        elif name in ("class", "id") and tag not in ("html", "body", "main"):
+            for word in value.split():
+                parts = re.split(r"[-_]+", word)
+                if in_main or not TEXT_PARTS.isdisjoint(parts):
+                    parts = [word]
+                for part in parts:
+                    if CHROME_NAME.match(part) and not (tag == "article" and LAYOUT_NAME.match(part)):
+                        named, layout = True, layout and bool(LAYOUT_NAME.match(part))
+    return False, named, named and layout
 
 
 def blocks(page: str | None) -> tuple[list[str], list[int]]:
-    """The text blocks of a page in order, and the zone of each."""
+    """The text blocks of a page in order, and the zone of each.
+
+    Every character and every element is handled a bounded number of times.
+    """
     texts: list[str] = []
     if not page:
         return texts, []
-    found: list[tuple[bool, bool, tuple]] = []  # of each block: in chrome by tag, in main, chrome by name
-    # open elements: name, in chrome by tag, in main, chrome by name as linked pairs (number, outer)
-    stack: list[tuple[str, bool, bool, tuple]] = []
+    found: list[tuple[bool, bool, int]] = []  # of each block: in chrome by tag, in main, number of the innermost chrome by name
+    # open elements: name and the same three; where the elements of each name are in it
+    stack: list[tuple[str, bool, bool, int]] = []
+    where: dict[str, list[int]] = {}
     parts: list[str] = []
-    chrome = main = False
-    named: tuple = ()
-    numbered = 0
+    chrome = main = any_main = False
+    named = 0
+    outer, layouts = [0], [False]  # of each chrome by name: the one around it, whether its names are of layout
     holders: set[int] = set()  # chrome by name outside articles that holds an article, so is none
 
     def flush() -> None:
@@ -95,6 +127,16 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
                 texts.append(text)
                 found.append((chrome, main, named))
 
+    def close(i: int) -> None:
+        nonlocal chrome, main, named
+        for x in stack[i:]:
+            where[x[0]].pop()
+        del stack[i:]
+        chrome, main, named = stack[-1][1:] if stack else (False, False, 0)
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -111,11 +153,8 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    chrome, main, named = stack[-1][1:] if stack else (False, False, ())
-                    break
+            if where.get(tag):
+                close(where[tag][-1])
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -125,34 +164,43 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
             parts.append(" ")
         if tag in BLOCKS:
             flush()
-            if stack and stack[-1][0] == "p" or any(x[0] == "p" for x in stack[-3:]):
-                while stack and any(x[0] == "p" for x in stack[-3:]):
-                    stack.pop()
-                chrome, main, named = stack[-1][1:] if stack else (False, False, ())
+            if where.get("head") and tag not in ("head", "title"):
+                close(where["head"][-1])
+            if tag in ENDS_P and (p := last(("p",))) > last(SHIELDS):
+                close(p)
+            if tag in ITEMS and (item := last(SIBLINGS.get(tag, (tag,)))) > last(ITEMS[tag]):
+                close(item)
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in ("article", "main"):
             if not main:
-                outer = named
-                while outer and outer[0] not in holders:
-                    holders.add(outer[0])
-                    outer = outer[1]
-                named = ()
-            main = True
-        hard, by_name = _chrome(tag, m[3], main)
+                k = named
+                while k and k not in holders:
+                    holders.add(k)
+                    k = outer[k]
+                named = 0
+            main = any_main = True
+        hard, by_name, layout = _chrome(tag, m[3], main)
         chrome = chrome or hard
         if by_name:
-            numbered += 1
-            named = (numbered, named)
+            outer.append(named)
+            layouts.append(layout)
+            named = len(outer) - 1
+        where.setdefault(tag, []).append(len(stack))
         stack.append((tag, chrome, main, named))
     flush()
 
-    def zone(hard: bool, in_main: bool, names: tuple) -> int:
-        while names and names[0] in holders:
-            names = names[1]
-        return CHROME if hard or names else MAIN if in_main else OPEN
-
-    return texts, [zone(*x) for x in found]
+    sizes = [0] * len(outer)
+    for text, (hard, _, k) in zip(texts, found):
+        sizes[k] += 0 if hard else len(text)
+    total = sum(sizes)
+    for k in range(len(outer) - 1, 0, -1):  # outer elements have smaller numbers
+        sizes[outer[k]] += sizes[k]
+    gone = [False]
+    for k in range(1, len(outer)):
+        own = k not in holders and not (layouts[k] and not any_main and 2 * sizes[k] > total)
+        gone.append(own or gone[outer[k]])
+    return texts, [CHROME if hard or gone[k] else MAIN if in_main else OPEN for hard, in_main, k in found]
 
 
 def shared_positions(a: list[int], b: list[int]) -> set[int]:
@@ -209,14 +257,21 @@ def page_blocks(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 @F.pandas_udf(T.StringType())
-def differenced(texts: pd.Series, zones: pd.Series, partner: pd.Series) -> pd.Series:
-    """Blocks left after deleting what a page shares with its partner outside the article."""
+def differenced(texts: pd.Series, zones: pd.Series, partners: pd.Series) -> pd.Series:
+    """Blocks left after deleting what a page shares with the first partner that is no copy of it, outside the article."""
 
-    def one(text, zone, other) -> str:
-        shared = shared_positions([_hash(t) for t in text], list(other)) if other is not None and len(other) else ()
-        return "\n".join(t for i, (t, z) in enumerate(zip(text, zone)) if z == MAIN or z == OPEN and i not in shared)
+    def one(text, zone, others) -> str:
+        hashes = [_hash(t) for t in text]
+        size = sum(len(t) for t, z in zip(text, zone) if z == OPEN)
+        deleted: set[int] = set()
+        for other in others if others is not None and size else ():
+            shared = shared_positions(hashes, list(other))
+            if sum(len(t) for i, (t, z) in enumerate(zip(text, zone)) if z == OPEN and i not in shared) >= COPY_SHARE * size:
+                deleted = shared
+                break
+        return "\n".join(t for i, (t, z) in enumerate(zip(text, zone)) if z == MAIN or z == OPEN and i not in deleted)
 
-    return pd.Series([one(*x) for x in zip(texts, zones, partner)], index=texts.index, dtype=object)
+    return pd.Series([one(*x) for x in zip(texts, zones, partners)], index=texts.index, dtype=object)
 
 
 def _host(url: Column) -> Column:
@@ -232,6 +287,11 @@ def _key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "/+$", ""), r"(?i)\.([xs]?html?|php[0-9]?|aspx?|jspx?|cfm|cgi|do|action)$", "")
 
 
+def _address(url: Column) -> Column:
+    """The key of the path and the query string."""
+    return F.concat(_key(_path(url)), F.lit("?"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1))
+
+
 @F.pandas_udf(T.StringType())
 def nearest(keys: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
     """Of two neighbours the one with the longer common prefix, at equal length the one before."""
@@ -265,17 +325,26 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def partners(pages: DataFrame) -> DataFrame:
-    """_host, _key, _partner: the block hashes of the page nearest to each URL path."""
-    named = pages.select(_host(F.col("url")).alias("_host"), _key(_path(F.col("url"))).alias("_key"), F.coalesce("page_id", F.lit(-1)).alias("_id"), "html").where("_host is not null")
-    hashed = named.select("_host", "_key", "_id", block_hashes(F.coalesce("html", F.lit(""))).alias("_hashes"))
-    reps = hashed.groupBy("_host", "_key").agg(F.min(F.struct("_id", "_hashes"))["_hashes"].alias("_partner"))
-    near = neighbours(named.select("_host", "_key").distinct()).where("_near is not null")
-    return near.join(reps.withColumnRenamed("_key", "_near"), ["_host", "_near"]).select("_host", "_key", "_partner")
+    """_host, _address, _partners: block hashes of another query of the path and of the nearest path, so far as there are any."""
+    url = F.col("url")
+    named = pages.select(_host(url).alias("_host"), _key(_path(url)).alias("_key"), _address(url).alias("_address"), F.coalesce("page_id", F.lit(-1)).alias("_id"), "html").where("_host is not null")
+    hashed = named.select("_host", "_key", "_address", "_id", block_hashes(F.coalesce("html", F.lit(""))).alias("_hashes"))
+    # one page stands for each address, and one address for each path
+    first = F.min(F.struct("_id", "_hashes"))
+    reps = checkpointed(hashed.groupBy("_host", "_key", "_address").agg(first.alias("_rep")).select("_host", "_key", "_address", "_rep.*"))
+    of_path = reps.groupBy("_host", "_key").agg(first.alias("_rep"), F.count("*").alias("_n"))
+    paths = neighbours(of_path.select("_host", "_key")).where("_near is not null")
+    beside = paths.join(of_path.select("_host", F.col("_key").alias("_near"), F.col("_rep._hashes").alias("_beside")), ["_host", "_near"]).select("_host", "_key", "_beside")
+    several = reps.join(of_path.where("_n > 1").select("_host", "_key"), ["_host", "_key"], "left_semi").select("_host", F.col("_address").alias("_key"))
+    queries = neighbours(several).where("_near is not null").withColumnRenamed("_key", "_address")
+    variant = queries.join(reps.select("_host", F.col("_address").alias("_near"), F.col("_hashes").alias("_variant")), ["_host", "_near"]).select("_host", "_address", "_variant")
+    placed = reps.select("_host", "_key", "_address").join(beside, ["_host", "_key"], "left").join(variant, ["_host", "_address"], "left")
+    return placed.select("_host", "_address", F.array_compact(F.array("_variant", "_beside")).alias("_partners")).where(F.size("_partners") > 0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text: one row per page."""
-    parsed = pages.select("page_id", "url", _host(F.col("url")).alias("_host"), _key(_path(F.col("url"))).alias("_key"), page_blocks(F.coalesce("html", F.lit(""))).alias("_blocks"))
+    parsed = pages.select("page_id", "url", _host(F.col("url")).alias("_host"), _address(F.col("url")).alias("_address"), page_blocks(F.coalesce("html", F.lit(""))).alias("_blocks"))
     # chrome blocks are needed for the alignment as hashes only; their texts are short
-    joined = parsed.join(partners(pages), ["_host", "_key"], "left")
-    return joined.select("page_id", "url", differenced("_blocks.texts", "_blocks.zones", "_partner").alias("text"))
+    joined = parsed.join(partners(pages), ["_host", "_address"], "left")
+    return joined.select("page_id", "url", differenced("_blocks.texts", "_blocks.zones", "_partners").alias("text"))

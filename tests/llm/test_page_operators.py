@@ -43,6 +43,48 @@ def test_names_never_take_the_article():
     assert zones_of('<body class="no-sidebar"><p>only</p>') == {"only": O}
 
 
+def test_text_of_awkward_pages():
+    def text_of(page):
+        return [t for t, z in zip(*html_diff.blocks(page)) if z != html_diff.CHROME]
+
+    article = "<article><h1>T</h1><p>text</p></article>"
+    for page in (
+        f'<body class="has-sidebar">{article}', '<article class="post no-comments"><h1>T</h1><p>text</p></article>', '<html class="ad-free"><main><h1>T</h1><p>text</p></main>', '<main class="header"><h1>T</h1><p>text</p></main>',
+        '<article class="widget"><div class="article-header"><h1>T</h1></div><p>text</p></article>', '<div class="post-header"><h1>T</h1></div><p>text</p><div class="ad-box">a</div>', f'<form id="all">{article}<p role="search">s</p></form>',
+        "<article><h1 title=it's>T</h1><p class=a'b>text</p></article>", '<article><h1 title="a > b" data-class="ad">T</h1><p title=\'class="ad"\'>text</p></article>', "<head><meta charset=x><body><p>T</p><p>text</p>", f"<head><title>x</title>{article}",
+        '<div class="header wide"><h1>T</h1><p>text</p></div><div class="comments">c</div>', '<article><h1>T</h1><p>text<div class="ad"><b><i><u><p>gone</div></article>', '<ul><li class="ad">x<li>T<li>text</ul>', '<table><tr><td class="ad">x<td>T<tr><td>text</table>',
+    ):
+        assert text_of(page) == ["T", "text"], page
+    assert text_of("<article><p class=it's>one</p><p>don't stop</p><p>x</p></article>") == ["one", "don't stop", "x"]
+    assert text_of("<p>a<b><i><u><s>b<p>c</p>") == ["ab", "c"] and text_of("<p>a <b>c") == ["a c"] and text_of("<p>a <b c") == ["a"]
+
+
+def test_very_long_pages():
+    n = 200_000
+    for page in ("<p>x</p>" * n, "<p class=it's>" * n, '<a b="' * n, "<a " * n, "<div>" * n + "x" + "</div>" * n, "<b>" * n + "</i>" * n + "x", '<div class="ad">' * n + "x", "<!x" * n, "<li>" * n + "x", "<p>" + "<b>" * n + "<p>x"):
+        html_diff.blocks(page)  # a second or so; anything that goes over the page again for each tag would not end
+
+
+def test_nothing_goes_by_differencing_without_partners(spark, monkeypatch):
+    rows = [(i, f"http://h.example/n/{i}", f"<body><p>Site title</p><p>Story {i} begins</p></body>") for i in range(4)]
+    assert {r.text for r in html_diff.main_text(pages(spark, rows)).collect()} == {f"Story {i} begins" for i in range(4)}
+    empty = spark.createDataFrame([], "_host string, _address string, _partners array<array<bigint>>")
+    monkeypatch.setattr(html_diff, "partners", lambda _: empty)
+    assert {r.text for r in html_diff.main_text(pages(spark, rows)).collect()} == {f"Site title\nStory {i} begins" for i in range(4)}
+
+
+def test_queries_and_copies(spark):
+    """Pages that differ by query string only are compared; copies under other addresses delete nothing of each other."""
+    page = lambda x: f"<body><p>Site title</p><p>Story {x} begins and goes on</p><p>All rights</p></body>"
+    rows = [(i, f"http://h.example/index.php?id={i}", page(i)) for i in range(6)]
+    rows += [(20 + i, f"http://h.example/a/b?session={i}", page("same")) for i in range(5)] + [(30, "http://h.example/a/c", page("other"))]
+    rows += [(40 + i, f"http://copies.example/x?s={i}", page("lone")) for i in range(3)] + [(50, "http://h.example/index.php?id=3", page(3))]
+    got = {r.page_id: r.text for r in html_diff.main_text(pages(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[i] == f"Story {i} begins and goes on" for i in range(6)) and got[50] == got[3]
+    assert all(got[20 + i] == "Story same begins and goes on" for i in range(5)) and got[30] == "Story other begins and goes on"
+    assert all(got[40 + i].startswith("Site title\nStory lone") for i in range(3))
+
+
 def test_differencing_deletes_what_neighbours_share(spark):
     def page(i):
         return f"<body><p>Site title</p><p>Story {i} begins</p><p>and ends {i}</p><p>All rights</p></body>"
