@@ -1,8 +1,9 @@
 """Main text of web pages: nearest-URL page differencing within structural zones.
 
 Every page is cut into text blocks. Pages are paired with the page of the
-nearest URL path in their host; the block hashes of a pair are aligned by
-longest common subsequence, and shared blocks are deleted as template text.
+nearest URL path in their host; the blocks on which differencing
+decides are aligned with all blocks of the partner, by their hashes, in a longest
+common subsequence, and shared blocks are deleted as template text.
 Differencing alone can't give whole articles: copies of an article in one host
 would delete each other, articles may share passages, and menus, adverts or
 footers that name the page are shared with no other. So structure has a veto on
@@ -251,9 +252,10 @@ def block_hashes(pages: pd.Series) -> pd.Series:
 
 @F.pandas_udf(BLOCKS_TYPE)
 def page_blocks(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The blocks of each page that are no chrome, with their zones."""
     for batch in pages:
-        found = [blocks(p) for p in batch]
-        yield pd.DataFrame({"texts": [x for x, _ in found], "zones": [z for _, z in found]})
+        found = [[(t, z) for t, z in zip(*blocks(p)) if z != CHROME] for p in batch]
+        yield pd.DataFrame({"texts": [[t for t, _ in x] for x in found], "zones": [[z for _, z in x] for x in found]})
 
 
 @F.pandas_udf(T.StringType())
@@ -261,15 +263,16 @@ def differenced(texts: pd.Series, zones: pd.Series, partners: pd.Series) -> pd.S
     """Blocks left after deleting what a page shares with the first partner that is no copy of it, outside the article."""
 
     def one(text, zone, others) -> str:
-        hashes = [_hash(t) for t in text]
-        size = sum(len(t) for t, z in zip(text, zone) if z == OPEN)
+        loose = [t for t, z in zip(text, zone) if z == OPEN]
+        hashes, size = [_hash(t) for t in loose], sum(map(len, loose))
         deleted: set[int] = set()
         for other in others if others is not None and size else ():
             shared = shared_positions(hashes, list(other))
-            if sum(len(t) for i, (t, z) in enumerate(zip(text, zone)) if z == OPEN and i not in shared) >= COPY_SHARE * size:
+            if sum(len(t) for i, t in enumerate(loose) if i not in shared) >= COPY_SHARE * size:
                 deleted = shared
                 break
-        return "\n".join(t for i, (t, z) in enumerate(zip(text, zone)) if z == MAIN or z == OPEN and i not in deleted)
+        kept = iter([i not in deleted for i in range(len(loose))])
+        return "\n".join(t for t, z in zip(text, zone) if z == MAIN or next(kept))
 
     return pd.Series([one(*x) for x in zip(texts, zones, partners)], index=texts.index, dtype=object)
 
@@ -329,22 +332,22 @@ def partners(pages: DataFrame) -> DataFrame:
     url = F.col("url")
     named = pages.select(_host(url).alias("_host"), _key(_path(url)).alias("_key"), _address(url).alias("_address"), F.coalesce("page_id", F.lit(-1)).alias("_id"), "html").where("_host is not null")
     hashed = named.select("_host", "_key", "_address", "_id", block_hashes(F.coalesce("html", F.lit(""))).alias("_hashes"))
-    # one page stands for each address, and one address for each path
-    first = F.min(F.struct("_id", "_hashes"))
-    reps = checkpointed(hashed.groupBy("_host", "_key", "_address").agg(first.alias("_rep")).select("_host", "_key", "_address", "_rep.*"))
-    of_path = reps.groupBy("_host", "_key").agg(first.alias("_rep"), F.count("*").alias("_n"))
+    # one page stands for each address, and one address for each path; hashes stay behind until the partners are known
+    reps = checkpointed(hashed.groupBy("_host", "_address").agg(F.min("_key").alias("_key"), F.min(F.struct("_id", "_hashes")).alias("_rep")).select("_host", "_key", "_address", "_rep.*"))
+    names = reps.select("_host", "_key", "_address", "_id")
+    of_path = names.groupBy("_host", "_key").agg(F.min(F.struct("_id", "_address"))["_address"].alias("_to"), F.count("*").alias("_n"))
     paths = neighbours(of_path.select("_host", "_key")).where("_near is not null")
-    beside = paths.join(of_path.select("_host", F.col("_key").alias("_near"), F.col("_rep._hashes").alias("_beside")), ["_host", "_near"]).select("_host", "_key", "_beside")
-    several = reps.join(of_path.where("_n > 1").select("_host", "_key"), ["_host", "_key"], "left_semi").select("_host", F.col("_address").alias("_key"))
-    queries = neighbours(several).where("_near is not null").withColumnRenamed("_key", "_address")
-    variant = queries.join(reps.select("_host", F.col("_address").alias("_near"), F.col("_hashes").alias("_variant")), ["_host", "_near"]).select("_host", "_address", "_variant")
-    placed = reps.select("_host", "_key", "_address").join(beside, ["_host", "_key"], "left").join(variant, ["_host", "_address"], "left")
-    return placed.select("_host", "_address", F.array_compact(F.array("_variant", "_beside")).alias("_partners")).where(F.size("_partners") > 0)
+    beside = paths.join(of_path.select("_host", F.col("_key").alias("_near"), "_to"), ["_host", "_near"]).select("_host", "_key", "_to")
+    several = names.join(of_path.where("_n > 1").select("_host", "_key"), ["_host", "_key"], "left_semi").select("_host", F.col("_address").alias("_key"))
+    queries = neighbours(several).where("_near is not null").select("_host", F.col("_key").alias("_address"), F.lit(0).alias("_rank"), F.col("_near").alias("_to"))
+    links = queries.unionByName(names.join(beside, ["_host", "_key"]).select("_host", "_address", F.lit(1).alias("_rank"), "_to"))
+    found = links.join(reps.select("_host", F.col("_address").alias("_to"), "_hashes"), ["_host", "_to"])
+    # two at most
+    return found.groupBy("_host", "_address").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_hashes"))), lambda x: x["_hashes"]).alias("_partners"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text: one row per page."""
     parsed = pages.select("page_id", "url", _host(F.col("url")).alias("_host"), _address(F.col("url")).alias("_address"), page_blocks(F.coalesce("html", F.lit(""))).alias("_blocks"))
-    # chrome blocks are needed for the alignment as hashes only; their texts are short
     joined = parsed.join(partners(pages), ["_host", "_address"], "left")
     return joined.select("page_id", "url", differenced("_blocks.texts", "_blocks.zones", "_partners").alias("text"))
