@@ -8,7 +8,8 @@ hash. The draws depend on (doc_id, seed) only, so a lost executor or another
 partitioning changes nothing.
 
 Defined cases: a null source is a source of its own, named ``(none)``; a null or
-empty text has size 0, and a source of size 0 keeps every document once. Rows
+empty text has size 0, and a source of size 0 keeps every document once. ``weights`` that give
+no source of the table a weight ask for nothing: all rates are 0. Rows
 that repeat a ``doc_id`` draw alike. An empty table gives no rows. Existing
 columns named like the added ones are replaced.
 """
@@ -48,9 +49,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
         weighed = sizes.withColumn("_weight", F.pow("_size", F.lit(temperature)))
     else:
         table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-        weighed = sizes.withColumn("_weight", F.coalesce(table[F.col("_source")], F.lit(0.0)))
+        weighed = sizes.withColumn("_weight", F.coalesce(table[F.col("_source")], F.lit(0.0)) if weights else F.lit(0.0))
     total = weighed.agg(F.struct(F.sum("_size").alias("size"), F.sum("_weight").alias("weight")).alias("_all")).scalar()
-    share = F.col("_weight") * total["size"] / total["weight"] / F.col("_size")
+    share = F.coalesce(F.try_divide(F.col("_weight") * total["size"], total["weight"]), F.lit(0.0)) / F.col("_size")
     return weighed.select("_source", F.when(F.col("_size") > 0, share).otherwise(F.lit(1.0)).alias("_rate"))
 
 

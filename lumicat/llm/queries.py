@@ -64,7 +64,7 @@ drawn as (
   from documents d join rates r on coalesce(d.source, '(none)') = r.src),
 terms as (
   select src, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) over (partition by src order by k) as cdf
-  from rates, range(0, 400) t(k) where k <= rate + 12 * sqrt(rate) + 20),
+  from (select src, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::bigint + 1)) as k from rates)),
 counted as (
   select d.*, (select count(*) from terms t where t.src = coalesce(d.source, '(none)') and d.u >= t.cdf)::int as n_copies
   from drawn d)
