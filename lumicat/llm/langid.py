@@ -7,12 +7,14 @@ change of language, labels spans. The language with most letters is the
 prediction, its share of all letters the score.
 
 Training counts trigrams in Spark over a bounded sample of labelled rows,
-``ROWS_PER_LANGUAGE`` for each of the ``MAX_LANGUAGES`` most frequent languages,
-chosen by a hash of text and id, so that no group of copies can fill the sample. The model has at most ``MAX_GRAMS`` trigrams, so its
-size does not grow with the corpus.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0, and
-so is any text if there is no training row. A text whose letters are all in
+about ``ROWS_PER_LANGUAGE`` of each language, chosen by a hash of text and id,
+so that no group of copies can fill the sample. The model has every language and
+every trigram of that sample, so its size grows with the languages and not with
+the corpus.
+
+Letters are the characters of the Unicode letter categories: numerals such as
+``½`` or ``²`` are none. Defined cases: a null text or one without a letter is
+``und`` with score 0, and so is any text if there is no training row. A text whose letters are all in
 scripts that no training row uses gets the most frequent language, with score 0.
 Rows with a null ``lang`` or ``text`` are never trained on. Repeated rows get
 equal predictions. Extra columns are carried unchanged, but for those named like
@@ -25,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 
 from lumicat.llm.text import unused
 
-ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_GRAMS = 600, 256, 400_000
+ROWS_PER_LANGUAGE = 600
 #: Cost of a change of language, in natural log units of word likelihood.
 SWITCH_PENALTY = 12.0
 UNDETERMINED = "und"
@@ -47,6 +50,7 @@ SCRIPTS = [
     ("Latin", 0x0041, 0x024F), ("Greek", 0x0370, 0x03FF), ("Cyrillic", 0x0400, 0x052F), ("Armenian", 0x0530, 0x058F), ("Hebrew", 0x0590, 0x05FF), ("Arabic", 0x0600, 0x077F), ("Devanagari", 0x0900, 0x097F), ("Bengali", 0x0980, 0x09FF), ("Tamil", 0x0B80, 0x0BFF), ("Thai", 0x0E00, 0x0E7F), ("Georgian", 0x10A0, 0x10FF), ("Hangul", 0x1100, 0x11FF), ("Latin", 0x1E00, 0x1EFF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
 ]
 
+#: Runs of letters and of numerals that are no decimal digits.
 _WORD = re.compile(r"[^\W\d_]+")
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 SPANS = T.StructType([*PREDICTION.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))])
@@ -56,6 +60,30 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def pieces(text: str) -> list[tuple[str, int, int]]:
+    """The words of a text in lower case, with their offsets in the text as it is."""
+    out = []
+    for m in _WORD.finditer(text):
+        at = m.start()
+        for alpha, run in groupby(m[0], str.isalpha):
+            run = "".join(run)
+            if alpha:
+                # lower-casing may add marks, which are no letters
+                out.append((run.lower() if len(run.lower()) == len(run) else "".join(c for c in run.lower() if c.isalpha()), at, at + len(run)))
+            at += len(run)
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    """The words of ``pieces``, the short way where lower-casing moves nothing and no word holds a numeral."""
+    lowered = text.lower()
+    if len(lowered) == len(text):
+        found = _WORD.findall(lowered)
+        if not found or "".join(found).isalpha():
+            return found
+    return [w for w, _, _ in pieces(text)]
+
+
 def script(word: str) -> str:
     code = ord(word[0])
     return next((name for name, low, high in SCRIPTS if low <= code <= high), "Other")
@@ -70,7 +98,7 @@ def _count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for batch in rows:
         for text, lang in zip(batch.text, batch.lang):
-            words = Counter(_WORD.findall(text.lower()))
+            words = Counter(words_of(text))
             for word, n in words.items():
                 counts[lang, "script", script(word)] += n
                 for gram in grams(word):
@@ -130,6 +158,7 @@ class Model:
 def viterbi(ids: list[np.ndarray], table: np.ndarray, penalty: float, lanes: int = 256) -> list[np.ndarray]:
     """The best language per word of each text; texts of like length advance together."""
     size = table.shape[1]
+    small = np.uint8 if size <= 256 else np.int32
     paths: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(ids)
     order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
     at = 0
@@ -143,7 +172,7 @@ def viterbi(ids: list[np.ndarray], table: np.ndarray, penalty: float, lanes: int
         for k, i in enumerate(lane):
             block[: lengths[k], k] = ids[i]
         alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
-        back = np.zeros((longest, len(lane), size), dtype=np.uint8)
+        back = np.zeros((longest, len(lane), size), dtype=small)
         value = np.zeros((len(lane), size))
         own = np.arange(size)[None, :]
         for t, n in enumerate(alive):
@@ -153,7 +182,7 @@ def viterbi(ids: list[np.ndarray], table: np.ndarray, penalty: float, lanes: int
             back[t, :n] = np.where(stay, own, v.argmax(axis=1)[:, None])
             value[:n] = np.where(stay, v, change) + table[block[t, :n]]
         state = value.argmax(axis=1)
-        path = np.zeros((longest, len(lane)), dtype=np.uint8)
+        path = np.zeros((longest, len(lane)), dtype=small)
         rows = np.arange(len(lane))
         for t in range(longest - 1, -1, -1):
             n = alive[t]
@@ -183,22 +212,20 @@ def label(model: Model, texts: list[str | None], with_spans: bool) -> list[tuple
     ids, lengths, places = [], [], []
     model.forget()
     for text in texts:
-        lowered = (text or "").lower()
-        words = _WORD.findall(lowered)
+        found = pieces(text or "") if with_spans else None
+        words = words_of(text or "") if found is None else [w for w, _, _ in found]
         row = np.array([model.row(w) for w in words], dtype=np.int32) if size else np.full(len(words), -1)
         n = np.array([len(w) for w in words], dtype=np.int32)
         known = row >= 0
         ids.append(row[known])
         lengths.append((n[known], int(n.sum())))
         if with_spans:
-            found = list(_WORD.finditer(text or ""))
-            same = len(found) == len(words)
-            places.append([m.span() for m, k in zip(found, known) if k] if same else [])
+            places.append([(a, b) for (_, a, b), k in zip(found, known) if k])
     paths = viterbi(ids, np.array(model.scores), model.penalty) if model.scores else [np.zeros(0, dtype=np.int64)] * len(ids)
     out = []
     for i, path in enumerate(paths):
         if not len(path):
-            found = model.usual if lengths[i][1] and any(c.isalpha() for c in texts[i]) else None
+            found = model.usual if lengths[i][1] else None
             out.append((found or UNDETERMINED, 0.0) + (([],) if with_spans else ()))
             continue
         letters, total = lengths[i]
@@ -220,7 +247,7 @@ def label(model: Model, texts: list[str | None], with_spans: bool) -> list[tuple
 def sampled(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame | None:
     """text, lang: about ``rows_per_language`` labelled documents of each language, none of them held out."""
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # a row per language
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
@@ -233,13 +260,12 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     if sample is None:
         return Model([])
     counted = sample.mapInPandas(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc(F.col("kind") == "script"), F.desc("n"), "lang", "item").limit(MAX_GRAMS).collect()
-    return Model([tuple(r) for r in rows])
+    return Model([tuple(r) for r in counted.orderBy("lang", "kind", "item").collect()])
 
 
 def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred``, ``score`` and perhaps ``spans``; only ``text`` is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS trigrams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams of the bounded sample
     names = ["lang_pred", "score"] + ["spans"] * with_spans
 
     @F.pandas_udf(SPANS if with_spans else PREDICTION)
