@@ -1,21 +1,25 @@
-"""Secret scan by one combined deterministic automaton.
+"""Secret scan by combined deterministic automata.
 
 The rule regexes are turned into one nondeterministic automaton over bytes,
 made deterministic by subset construction with a fresh start at every byte,
 minimised by partition refinement, and stored as a transition array over byte
 classes. One pass over the bytes of each text tells which rules end a match
-anywhere in it; many texts of like length advance together, one byte a step.
-Only texts with a hit are looked at again: the rules that hit give exact spans,
-leftmost and non-overlapping per rule, in code points.
+anywhere in it; many texts advance together, one byte a step. Texts with a hit
+are read once more, from their end, by the automaton of the reversed rules,
+which marks where matches begin; from a mark on, the automaton of the whole rule
+gives the end. Spans are leftmost, longest and non-overlapping per rule, in code
+points; no regex engine runs.
 
 Defined cases: a null or empty text has no spans. Every row of the input gives
-one row; repeated rows and extra columns change nothing.
+one row; repeated rows and extra columns change nothing. Long texts need no more
+memory than their bytes and a window of ``WINDOW`` bytes for each text of a block.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from re import _constants as C
 from re import _parser
 
@@ -29,22 +33,24 @@ _KEYWORD = r"(?:password|passwd|secret|token|api_?key)"
 _VALUE = r"[A-Za-z0-9+/_.=-]"
 
 # fixed values: the rules in the order in which spans of one start are listed.
-# Each has the regex scanned by the automaton, a beginning of a match long enough
+# Each has the regex of the combined automata, a beginning of a match long enough
 # to be rare (long counted runs behind a prefix would multiply the states), the
-# regex of whole spans, and the least length of its last group or of the span.
-RULES: list[tuple[str, str, str, int]] = [
-    ("assign", rf"(?i:{_KEYWORD})[\"']?\x20*[:=]\x20*[\"']?{_VALUE}{{6}}", rf"((?i:{_KEYWORD}))[\"']?\x20*[:=]\x20*[\"']?({_VALUE}+)", 6),
-    ("access", r"AKIA[A-Z0-9]{2}", r"AKIA[A-Z0-9]+", 20),
-    ("hex", r"[0-9a-f]{24}", r"[0-9a-f]+", 24),
-    ("github", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{20,}", 0),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0),
-    ("google", r"AIza[A-Za-z0-9_-]", r"AIza[A-Za-z0-9_-]{30,}", 0),
-    ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
-    ("url_login", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._!*-]+@[A-Za-z0-9]", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._!*-]+@[A-Za-z0-9]", 0),
+# regex of whole spans, in two parts, and the least length of the second part.
+RULES: list[tuple[str, str, tuple[str, str], int]] = [
+    ("assign", rf"(?i:{_KEYWORD})[\"']?\x20*[:=]\x20*[\"']?{_VALUE}", (rf"(?i:{_KEYWORD})[\"']?\x20*[:=]\x20*[\"']?", rf"{_VALUE}+"), 6),
+    ("access", r"AKIA[A-Z0-9]", ("", r"AKIA[A-Z0-9]+"), 20),
+    ("hex", r"[0-9a-f]{24}", ("", r"[0-9a-f]+"), 24),
+    ("github", r"gh[pousr]_[A-Za-z0-9]", ("", r"gh[pousr]_[A-Za-z0-9]{20,}"), 0),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]", ("", r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0),
+    ("google", r"AIza[A-Za-z0-9_-]", ("", r"AIza[A-Za-z0-9_-]{30,}"), 0),
+    ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]", ("", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"), 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]", ("", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0),
+    ("url_login", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._!*-]+@[A-Za-z0-9]", ("", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._!*-]+@[A-Za-z0-9]"), 0),
 ]
 BASE_KINDS = 3
+#: Bytes of each text of a block that are laid out at once, texts of a block, and texts below which they are read one by one.
+WINDOW, LANES, LEAST_LANES = 4096, 512, 48
 
 RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex")] + [T.StructField(n, T.StringType()) for n in ("base", "spans")])
 
@@ -98,6 +104,18 @@ class _Nfa:
                 raise ValueError(f"rules have no {op}")
         return at
 
+    def turned(self) -> _Nfa:
+        """The automaton with all edges the other way round."""
+        back = _Nfa()
+        for _ in self.edges:
+            back.state()
+        for at, (edges, empty) in enumerate(zip(self.edges, self.empty)):
+            for chars, to in edges:
+                back.edges[to].append((chars, at))
+            for to in empty:
+                back.empty[to].append(at)
+        return back
+
     def _step(self, at: int, chars: set[int]) -> int:
         to = self.state()
         self.edges[at].append((frozenset(c for c in chars if c < 256), to))
@@ -121,21 +139,31 @@ class _Nfa:
 
 
 class Automaton:
-    """``table[state * classes + byte_class[byte]]`` is the next state; ``accepts`` has a bit per rule."""
+    """``table[state, byte_class[byte]]`` is the next state; ``accepts`` has a bit per rule.
+
+    Matches begin at every byte, or with ``anchored`` at the first one only;
+    ``backward`` reads texts from their end.
+    """
 
-    def __init__(self, patterns: list[str]) -> None:
+    def __init__(self, patterns: list[str], anchored: bool = False, backward: bool = False) -> None:
         nfa = _Nfa()
+        begins, ends = [], []
+        for pattern in patterns:
+            begins.append(nfa.state())
+            ends.append(nfa.add(_parser.parse(pattern), begins[-1], False))
+        if backward:
+            nfa, begins, ends = nfa.turned(), ends, begins
         start = nfa.state()
+        nfa.empty[start].extend(begins)
         finals: dict[int, int] = {}
-        for rule, pattern in enumerate(patterns):
-            begin = nfa.state()
-            nfa.empty[start].append(begin)
-            end = nfa.add(_parser.parse(pattern), begin, False)
-            finals[end] = 1 << rule
-        self._determine(nfa, start, finals)
+        for rule, end in enumerate(ends):
+            finals[end] = finals.get(end, 0) | 1 << rule
+        self._determine(nfa, start, finals, anchored)
         self._minimise()
+        self.rows = [[int(x) for x in r[self.byte_class]] for r in self.table]
+        self.marks = self.accepts.tolist()
 
-    def _determine(self, nfa: _Nfa, start: int, finals: dict[int, int]) -> None:
+    def _determine(self, nfa: _Nfa, start: int, finals: dict[int, int], anchored: bool) -> None:
         sets = sorted({chars for edges in nfa.edges for chars, _ in edges}, key=sorted)
         signature = [tuple(b in s for s in sets) for b in range(256)]
         kinds = {s: i for i, s in enumerate(dict.fromkeys(signature))}
@@ -156,11 +184,12 @@ class Automaton:
             return closures[state]
 
         first = closure(start)
+        again = frozenset() if anchored else first
         known, order, rows = {first: 0}, [first], []
         for now in order:
             row = []
             for byte in samples:
-                after = first.union(*(closure(to) for s in now for chars, to in nfa.edges[s] if byte in chars))
+                after = again.union(*(closure(to) for s in now for chars, to in nfa.edges[s] if byte in chars))
                 if after not in known:
                     known[after] = len(order)
                     order.append(after)
@@ -179,72 +208,101 @@ class Automaton:
             group = finer
         representative = np.unique(group, return_index=True)[1]
         self.table, self.accepts, self.first = group[self.table[representative]].astype(np.int32), self.accepts[representative], int(group[0])
+        lost = [s for s in range(len(self.table)) if not self.accepts[s] and (self.table[s] == s).all()]
+        self.dead = lost[0] if lost else -1
         self.flat = (self.table * self.table.shape[1]).ravel().astype(np.int32)
 
-    def scan(self, texts: list[bytes], lanes: int = 512, least_lanes: int = 48) -> np.ndarray:
+    def scan(self, texts: list[bytes]) -> np.ndarray:
         """Bits of the rules that end a match in each text; one step a byte."""
         width = self.table.shape[1]
+        accepts = np.repeat(self.accepts, width)
         hits = np.zeros(len(texts), dtype=np.int32)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        at = 0
-        while at < len(order):
-            lane = order[at : at + lanes]
-            # lanes go on together while at least ``least_lanes`` of them have bytes left
-            if len(lane) < least_lanes or len(texts[lane[least_lanes - 1]]) * 2 < len(texts[lane[0]]):
-                hits[lane[0]] = self._scan_one(texts[lane[0]])
-                at += 1
-                continue
-            at += len(lane)
+        for first in range(0, len(order), LANES):
+            lane = order[first : first + LANES]
             lengths = np.array([len(texts[i]) for i in lane])
-            for i, n in zip(lane, lengths):
-                if n > 2 * lengths[least_lanes - 1]:
-                    hits[i] = self._scan_one(texts[i])
-            block = np.zeros((len(lane), int(lengths[0])), dtype=np.uint8)
-            for k, i in enumerate(lane):
-                block[k, : lengths[k]] = np.frombuffer(texts[i], dtype=np.uint8)
-            block = self.byte_class[np.ascontiguousarray(block.T)]
-            alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
             state = np.full(len(lane), self.first * width, dtype=np.int32)
             found = np.zeros(len(lane), dtype=np.int32)
-            accepts = np.repeat(self.accepts, width)
-            for step, n in enumerate(alive):
-                now = self.flat[state[:n] + block[step, :n]]
-                state[:n] = now
-                found[:n] |= accepts[now]
+            at = 0
+            while (n := int((lengths > at).sum())) >= LEAST_LANES:
+                block = np.zeros((n, min(WINDOW, int(lengths[0]) - at)), dtype=np.uint8)
+                for k, i in enumerate(lane[:n]):
+                    part = np.frombuffer(texts[i], dtype=np.uint8, count=min(block.shape[1], int(lengths[k]) - at), offset=at)
+                    block[k, : len(part)] = part
+                block = self.byte_class[np.ascontiguousarray(block.T)]
+                for step, m in enumerate(np.searchsorted(-lengths[:n], -np.arange(at, at + len(block)), side="left")):
+                    now = self.flat[state[:m] + block[step, :m]]
+                    state[:m] = now
+                    found[:m] |= accepts[now]
+                at += len(block)
+            for k, i in enumerate(lane[:n]):
+                found[k] |= self._scan_rest(texts[i], at, int(state[k]) // width)
             hits[lane] |= found
         return hits
 
-    def _scan_one(self, text: bytes) -> int:
-        if not hasattr(self, "rows"):
-            self.rows = [[int(x) for x in r[self.byte_class]] for r in self.table]
-            self.marks = self.accepts.tolist()
-        rows, marks, state, found = self.rows, self.marks, self.first, 0
-        for b in text:
+    def _scan_rest(self, text: bytes, at: int, state: int) -> int:
+        rows, marks, found = self.rows, self.marks, 0
+        for b in memoryview(text)[at:]:
             state = rows[state][b]
             if marks[state]:
                 found |= marks[state]
         return found
 
-
-_SPANS = [re.compile(whole, re.ASCII) for _, _, whole, _ in RULES]
-_cached: list[Automaton] = []
+    def starts(self, text: bytes) -> list[tuple[int, int]]:
+        """(position, bits of the rules) where matches begin, in order, for an automaton that reads backward."""
+        rows, marks, state, found = self.rows, self.marks, self.first, []
+        for k, b in enumerate(reversed(text)):
+            state = rows[state][b]
+            if marks[state]:
+                found.append((len(text) - 1 - k, marks[state]))
+        return found[::-1]
+
+    def longest(self, text: bytes, at: int) -> int | None:
+        """The end of the longest match that begins at ``at``, for an anchored automaton."""
+        rows, marks, state, end = self.rows, self.marks, self.first, None
+        if marks[state]:
+            end = at
+        for k in range(at, len(text)):
+            state = rows[state][text[k]]
+            if marks[state]:
+                end = k + 1
+            elif state == self.dead:
+                break
+        return end
 
 
+@cache
 def automaton() -> Automaton:
     """The compiled rules, once per Python worker."""
-    if not _cached:
-        _cached.append(Automaton([scanned for _, scanned, _, _ in RULES]))
-    return _cached[0]
+    return Automaton([scanned for _, scanned, _, _ in RULES])
+
 
+@cache
+def _exact() -> tuple[Automaton, list[tuple[Automaton | None, Automaton]]]:
+    """The reversed rules, and of each rule the first part, if it has one, and the whole."""
+    alone = lambda pattern: Automaton([pattern], anchored=True)
+    return Automaton([scanned for _, scanned, _, _ in RULES], backward=True), [(alone(a) if a else None, alone(a + b)) for _, _, (a, b), _ in RULES]
 
-def spans(text: str, rules: int) -> list[tuple[int, int, int]]:
-    """(start, rule, end) of the rules whose bits are set."""
+
+def spans(raw: bytes, rules: int) -> list[tuple[int, int, int]]:
+    """(start, rule, end), in code points, of the rules whose bits are set; ``raw`` is the text in UTF-8."""
+    backward, wholes = _exact()
+    marks = backward.starts(raw)
     found = []
     for k, (_, _, _, least) in enumerate(RULES):
-        if rules >> k & 1:
-            for m in _SPANS[k].finditer(text):
-                if len(m[m.lastindex or 0]) >= least:
-                    found.append((m.start(), k, m.end()))
+        if not rules >> k & 1:
+            continue
+        head, whole = wholes[k]
+        at = 0
+        for start, bits in marks:
+            if start >= at and bits >> k & 1 and (end := whole.longest(raw, start)) is not None:
+                at = end
+                if end - (head.longest(raw, start) if head else start) >= least:
+                    found.append((start, k, end))
+    if found and not raw.isascii():
+        # bytes that continue no code point, up to each offset
+        place = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
+        found = [(int(place[a]), k, int(place[b])) for a, k, b in found]
     return sorted(found)
 
 
@@ -255,8 +313,8 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 @F.pandas_udf(RESULT)
 def _scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        raw = [t or "" for t in batch]
-        hits = automaton().scan([t.encode("utf-8", "surrogatepass") for t in raw])
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch]
+        hits = automaton().scan(raw)
         rows = []
         for text, rules in zip(raw, hits.tolist()):
             found = spans(text, rules) if rules else []
