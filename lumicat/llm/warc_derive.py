@@ -6,30 +6,44 @@ and names the conversion, and a ``conversion`` record with the plain text. Both
 refer to the response by ``WARC-Refers-To``, keep its target URI and date, name
 the payload digest of the source, and have ids that depend on the source id
 only, so a task that runs again writes the same records. Everything is column
-expressions, but for texts with rarer character references, which a pandas UDF
-decodes; records are laid out byte by byte as WARC 1.1 asks.
+expressions, but for payloads that are no plain UTF-8 and for texts with rarer
+character references, which pandas UDFs decode; records are laid out byte by byte
+as WARC 1.1 asks, and blocks are cut by octets.
+
+``read`` takes records from WARC files, compressed or not, and ``write`` makes
+such files. A payload keeps its digest whatever its character set, transfer or
+content coding; only the text is decoded.
 
 Defined cases: a null or empty payload gives a conversion of an empty text. A
-null URI leaves the WARC-Target-URI header out. Repeated rows give repeated
-records with equal ids. ``responses`` ignores extra columns; ``parse`` and
-``derive`` carry them, but for those named like the added ones, which are
-replaced.
+null URI leaves the WARC-Target-URI header out. A block longer than what there is
+of the record ends with it, and one without a readable Content-Length is all but
+the two line ends; both have ``complete`` false. A character set that is unknown
+or wrong gives replacement characters, a coding that can't be undone leaves the
+payload as it is. Repeated rows give repeated records with equal ids.
+``responses`` ignores extra columns; ``parse`` and ``derive`` carry them, but for
+those named like the added ones, which are replaced.
 """
 
 from __future__ import annotations
 
+import codecs
 import html as _html
 import re
+import zlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumicat.llm.text import unused
 
 CRLF = "\r\n"
+#: Date of pages that come without one.
 DATE = "2024-01-01T00:00:00Z"
+#: What lies between two records.
+SEPARATOR = CRLF * 2 + "WARC/1."
 
 
 def record_id(*parts: Column) -> Column:
@@ -54,11 +68,11 @@ def _size(block: Column) -> Column:
     return F.octet_length(block).cast("string")
 
 
-def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Response records of crawled pages: one HTTP message per row of ``pages``."""
+def responses(pages: DataFrame, date: str | Column = DATE) -> DataFrame:
+    """Response records of crawled pages: one HTTP message per row of ``pages``, with its date or one for all."""
     body = F.coalesce("html", F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), _size(body), F.lit(CRLF + CRLF), body)
-    rows = pages.select("page_id", "url", http.alias("block"), digest(body).alias("payload_digest"), record_id(F.lit("response"), F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).alias("record_id"), F.lit(date).alias("date"))
+    rows = pages.select("page_id", "url", http.alias("block"), digest(body).alias("payload_digest"), record_id(F.lit("response"), F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).alias("record_id"), (F.lit(date) if isinstance(date, str) else date).alias("date"))
     top = header(
         ("WARC-Type", F.lit("response")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Date", F.col("date")), ("WARC-Target-URI", F.col("url")),
         ("WARC-Payload-Digest", F.col("payload_digest")), ("WARC-Block-Digest", digest(F.col("block"))), ("Content-Type", F.lit("application/http;msgtype=response")), ("Content-Length", _size(F.col("block"))),
@@ -67,34 +81,141 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 #: Columns that ``parse`` and ``derive`` add.
-PARSED = ["record_id", "date", "uri", "payload_digest", "http_headers", "payload", "block_bytes"]
+PARSED = ["record_id", "date", "uri", "payload_digest", "http_headers", "payload", "block_bytes", "complete"]
 DERIVED = ["record_type", "record_id", "refers_to", "uri", "date", "source_digest", "block_digest", "block", "record"]
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """Header fields, HTTP headers and payload of response records, one per row.
+    """Header fields, HTTP headers and decoded payload of response records, one per row.
 
-    The block is found by the blank line behind the header and measured by
-    ``Content-Length``; other record types are left out.
+    ``record`` is a string or bytes. The block is found by the blank line behind
+    the header and cut by ``Content-Length``, in octets; other record types are
+    left out.
     """
-    at, head, rest, block, http = unused(records, "_at", "_head", "_rest", "_block", "_http_at")
+    head, rest, block, http, left = unused(records, "_head", "_rest", "_block", "_http", "_left")
     field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
-    split = records.withColumn(at, F.instr("record", CRLF * 2))
-    split = split.withColumn(head, F.expr(f"substring(record, 1, {at} + 1)")).withColumn(rest, F.expr(f"substring(record, {at} + 4)"))
-    split = split.withColumn(block, F.expr(f"substring({rest}, 1, length({rest}) - {len(CRLF) * 2})"))
-    split = split.withColumn(http, F.instr(block, CRLF * 2))
-    return split.where(field("WARC-Type") == "response").select(
-        *[F.col(f"`{c}`") for c in records.columns if c not in ("record", *PARSED)],
+    behind = lambda start, whole: F.expr(f"substring({whole}, octet_length({start}) + 5)")
+    own = [F.col(f"`{c}`") for c in records.columns if c not in ("record", *PARSED)]
+    split = records.select(*own, F.substring_index(F.col("record").cast("string"), CRLF * 2, 1).alias(head), F.col("record").cast("binary").alias(rest))
+    split = split.where(field("WARC-Type") == "response").withColumn(rest, behind(head, rest))
+    size = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]+)[ \t]*\r?$", 1).try_cast("int")
+    split = split.withColumn(left, F.octet_length(rest))
+    split = split.withColumn(block, F.substring(F.col(rest), F.lit(1), F.coalesce(size, F.greatest(F.col(left) - 2 * len(CRLF), F.lit(0)))))
+    split = split.withColumn(http, F.substring_index(F.col(block).cast("string"), CRLF * 2, 1)).withColumn(block, behind(http, block))
+    return split.select(
+        *own,
         field("WARC-Record-ID").alias("record_id"),
         field("WARC-Date").alias("date"),
         field("WARC-Target-URI").alias("uri"),
         field("WARC-Payload-Digest").alias("payload_digest"),
-        F.expr(f"substring({block}, 1, {http} + 1)").alias("http_headers"),
-        F.expr(f"substring({block}, {http} + 4)").alias("payload"),
-        field("Content-Length").cast("long").alias("block_bytes"),
+        F.col(http).alias("http_headers"),
+        payload_text(F.col(block), F.col(http)).alias("payload"),
+        size.cast("long").alias("block_bytes"),
+        F.coalesce(F.col(left) >= size, F.lit(False)).alias("complete"),
     )
 
 
+_CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)")
+#: HTTP headers by which a payload may be no plain UTF-8.
+CODED = r"(?im)^(content-encoding|transfer-encoding):|^content-type:.*charset[ \t]*=[ \t]*[\"']?[ \t]*(?!utf-?8\b)"
+
+
+def _unchunked(data: bytes) -> bytes:
+    parts, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        size = int(data[at:end].split(b";")[0].strip() or b"0", 16)
+        if size <= 0:
+            return b"".join(parts)
+        parts.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(parts)
+
+
+def decoded_payload(data: bytes, headers: str) -> str:
+    """The text of a payload: transfer and content codings undone, then the character set of header or page."""
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (line.partition(":") for line in headers.split("\n"))}
+    if "chunked" in fields.get("transfer-encoding", ""):
+        try:
+            data = _unchunked(data) or data
+        except ValueError:
+            pass
+    coding = fields.get("content-encoding", "")
+    if "gzip" in coding or "deflate" in coding:
+        for bits in (47, -15):  # gzip or zlib by its head, or bare
+            try:
+                data = zlib.decompressobj(bits).decompress(data)
+                break
+            except zlib.error:
+                pass
+    named = _CHARSET.search(fields.get("content-type", "").encode()) or _CHARSET.search(data[:1024])
+    for name in [named[1].decode()] if named else []:
+        try:
+            return codecs.lookup(name).decode(data, "replace")[0]
+        except (LookupError, TypeError, ValueError):
+            pass
+    return data.decode("utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def _decode_payloads(payloads: pd.Series, headers: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else decoded_payload(p, h or "") for p, h in zip(payloads, headers)], index=payloads.index, dtype=object)
+
+
+def payload_text(payload: Column, headers: Column) -> Column:
+    """The text of a payload; plain UTF-8 stays in the JVM."""
+    plain = payload.cast("string")
+    coded = headers.rlike(CODED) | ~F.is_valid_utf8(plain)
+    return F.when(coded, _decode_payloads(F.when(coded, payload), F.when(coded, F.make_valid_utf8(headers)))).otherwise(plain)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces between separators as records: one that falls short of its Content-Length takes the next pieces too."""
+    length = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
+    mark = SEPARATOR.encode()
+    file, parts, have, need = None, [], 0, 0
+    for batch in batches:
+        out = []
+        for name, piece in zip(batch.file, batch.piece):
+            piece = bytes(piece)
+            if parts and name != file:
+                out.append((file, b"".join(parts), False))
+                parts = []
+            if not parts:
+                file = name
+                parts = [piece if piece.startswith(mark[4:]) else mark[4:] + piece]
+                head, _, rest = parts[0].partition(b"\r\n\r\n")
+                size = length.search(head)
+                have, need = len(rest), int(size[1]) if size else 0
+            else:
+                parts += [mark, piece]
+                have += len(mark) + len(piece)
+            if have >= need:
+                out.append((file, b"".join(parts), True))
+                parts = []
+        yield pd.DataFrame(out, columns=["file", "record", "complete"])
+    if parts:
+        yield pd.DataFrame([(file, b"".join(parts), False)], columns=["file", "record", "complete"])
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """file, record, complete: the records of WARC files, as bytes.
+
+    Files are read as a stream and cut at ``SEPARATOR``, so no file is held
+    whole; a separator inside a block is told from a true one by
+    ``Content-Length``. Compressed files are one task each. Uncompressed ones
+    may be split; those that hold WARC files in their records should be compressed.
+    """
+    pieces = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInPandas(_whole, "file string, record binary, complete boolean")
+
+
+def write(records: DataFrame, path: str) -> None:
+    """Writes ``record`` of each row to gzip-compressed WARC files."""
+    end = CRLF * 2
+    body = F.expr(f"substring(cast(record as binary), 1, octet_length(record) - {len(end)})").cast("string")
+    records.select(body.alias("value")).write.option("lineSep", end).option("compression", "gzip").text(path)
+
+
 # fixed values: character references decoded in plain text, in this order (the ampersand last)
 REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 

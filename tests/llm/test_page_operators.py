@@ -136,6 +136,42 @@ def test_all_references_are_decoded(spark):
     assert all(r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() for r in got.values())
 
 
+def raw_record(kind, number, uri, block, length=None):
+    head = f"WARC/1.{number % 2}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{number}>\r\nWARC-Date: 2020-02-0{number % 9 + 1}T00:00:00Z\r\nWARC-Target-URI: {uri}\r\nWARC-Payload-Digest: sha1:{number}\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_files_of_records(spark, tmp_path):
+    """Compressed and plain files, character sets, codings, blocks with separators and a cut record, read and written."""
+    import gzip
+    import zlib
+
+    http = lambda body, *fields: "\r\n".join(["HTTP/1.1 200 OK", *fields]).encode() + b"\r\n\r\n" + body
+    inner = raw_record("response", 90, "http://in/", b"x") + raw_record("response", 91, "http://in/", b"y")
+    gz = gzip.compress("<p>Größe</p>".encode())
+    sources = {
+        1: http("<p>Größe &amp; Maß</p>".encode(), "Content-Type: text/html; charset=utf-8"), 2: http("<p>Größe</p>".encode("latin-1"), "Content-Type: text/html; charset=ISO-8859-1"),
+        3: http("<meta charset='windows-1251'><p>Привет</p>".encode("cp1251"), "Content-Type: text/html"), 4: http(b"<p>a</p>" + inner + b"<p>b</p>", "Content-Type: text/html"),
+        5: http(gz, "Content-Type: text/html", "Content-Encoding: gzip"), 6: http(b"4\r\n<p>a\r\n5;x=1\r\nb</p>\r\n0\r\n\r\n", "transfer-encoding: chunked"), 7: http(b"", "Content-Type: text/html"),
+        8: http(b"<p>\xff\xfe ok</p>"), 9: http(zlib.compress(b"<p>z</p>")[2:-4], "Content-Encoding: deflate"), 10: b"no http at all", 11: http(b"<p>q</p>", "Content-Type: text/html; charset=nonsense"),
+    }
+    whole = [raw_record("response", i, f"http://h.example/{i}", b) for i, b in sources.items()]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in [raw_record("warcinfo", 50, "-", b"software: x"), *whole]))
+    (tmp_path / "b.warc").write_bytes(raw_record("request", 60, "http://h.example/b", b"GET /") + raw_record("response", 61, "http://h.example/cut", http(b"<p>cut</p>"), 5000))
+    got = {r.record_id: r for r in warc_derive.parse(warc_derive.read(spark, str(tmp_path / "*"))).collect()}
+    assert sorted(got) == sorted(f"<urn:uuid:{i}>" for i in [*sources, 61])
+    assert all(got[f"<urn:uuid:{i}>"].block_bytes == len(b) and got[f"<urn:uuid:{i}>"].complete and got[f"<urn:uuid:{i}>"].payload_digest == f"sha1:{i}" for i, b in sources.items())
+    assert not got["<urn:uuid:61>"].complete and "<p>cut</p>" in got["<urn:uuid:61>"].payload
+    made = warc_derive.derive(warc_derive.read(spark, str(tmp_path / "*"))).cache()
+    texts = {r.refers_to[10:-1]: r.block for r in made.where("record_type = 'conversion'").collect()}
+    assert [texts[str(i)] for i in (1, 2, 3, 5, 6, 7, 8, 9, 10, 11)] == ["Größe & Maß", "Größe", "Привет", "Größe", "ab", "", "\ufffd\ufffd ok", "z", "", "q"]
+    assert texts["4"].startswith("a\n") and "WARC/1.1" in texts["4"] and texts["4"].endswith("\nb")
+    assert {r.date for r in made.where("uri = 'http://h.example/3'").collect()} == {"2020-02-04T00:00:00Z"}
+    warc_derive.write(made, str(tmp_path / "out"))
+    back = warc_derive.read(spark, str(tmp_path / "out")).collect()
+    assert sorted(bytes(r.record).rstrip() for r in back) == sorted(r.record.encode().rstrip() for r in made.collect()) and all(r.complete for r in back)
+
+
 def test_partners_are_the_nearest_paths(spark):
     """Pages of several templates in one directory, with extensions and names of unequal length."""
     rows = []
