@@ -19,6 +19,7 @@ def local_session(app: str = "lumicat", cores: str = "*", **conf: str) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -32,16 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the checkpoint folder that was set.
 
-    Only where it is unset (tests on one machine) a temporary folder is used.
+    Only a session on one machine may do without: it uses a temporary folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared or os.path.join(tempfile.gettempdir(), "lumicat-checkpoints")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if spark.sparkContext.master.startswith("local["):
+        return os.path.join(tempfile.gettempdir(), "lumicat-checkpoints")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
+    """Cut lineage through a reliable checkpoint in the shared folder.
+
+    Its files go with the session's references to it where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
