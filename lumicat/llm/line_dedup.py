@@ -4,7 +4,8 @@ Hashed line keys are range-partitioned on (hash, document), so that a key that
 a third of all rows hold spreads over many ranges, and sorted within each range
 by document and position. A streaming sort aggregate then keeps the first
 holder of each hash in each range; the few ranges that share a hash are merged
-by a second, tiny aggregate. What comes back per document is a run-length
+by a second, tiny aggregate. Lines of at least ``min_docs`` documents lose all
+but their first occurrences. What comes back per document is a run-length
 compressed keep bitmap, never text.
 
 Defined cases: a null or empty text is one empty line, which has no key and
@@ -26,6 +27,8 @@ from lumicat.llm.text import ascii_lower, bind, hash128, strip_space, unused
 from lumicat.session import checkpointed
 
 MIN_KEY_CHARS = 10
+#: Documents that hold a line that is cut.
+MIN_DOCS = 2
 
 
 def _lines(text: Column) -> Column:
@@ -36,7 +39,7 @@ def _key(line: Column) -> Column:
     return ascii_lower(strip_space(line))
 
 
-def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text_hash, n_lines, keep_runs.
 
     ``keep_runs`` alternates lengths of kept and dropped runs, the first of
@@ -51,12 +54,10 @@ def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFra
         .select(hash128(F.col("_key")).alias("_h"), "doc_id", "text_hash", "_pos")
     )
     ranged = keyed.repartitionByRange("_h", "doc_id").sortWithinPartitions("_h", "doc_id", "text_hash", "_pos")
-    holders = ranged.groupBy("_h").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("_first"),
-        F.max(F.struct("doc_id", "text_hash")).alias("_last"),
-    )
+    once = ranged.groupBy("_h", "doc_id", "text_hash").agg(F.first("_pos").alias("_pos"))  # in the same ranges
+    holders = once.groupBy("_h").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"), F.count("*").alias("_docs"))
     # written, so that both sides of the join below are exchanges whose hot partitions Spark can split
-    shared = checkpointed(holders.where(F.col("_first") != F.col("_last")).select("_h", "_first"))
+    shared = checkpointed(holders.where(F.col("_docs") >= min_docs).select("_h", "_first"))
     dropped = (
         keyed.join(shared, "_h")
         .where(F.struct("doc_id", "text_hash") != F.col("_first"))
@@ -108,14 +109,14 @@ def _kept_lines(lines: Column, runs: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` with ``text`` after deduplication, ``n_lines`` and ``n_dropped``.
 
     ``text`` is never null in the result: the lines left, joined by a newline.
     A document that loses all its lines has an empty text.
     """
     h, doc, th, runs = unused(docs, "_h", "_doc", "_th", "_runs")
-    bitmaps = keep_bitmaps(docs, min_key_chars).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(th), F.col("keep_runs").alias(runs))
+    bitmaps = keep_bitmaps(docs, min_key_chars, min_docs).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(th), F.col("keep_runs").alias(runs))
     joined = docs.withColumn(h, F.xxhash64("text")).join(bitmaps, (F.col("doc_id") == F.col(doc)) & (F.col(h) == F.col(th)), "left")
     lines = _lines(F.col("text"))
     kept = F.when(F.col(runs).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept_lines(lines, F.col(runs)), "\n"))

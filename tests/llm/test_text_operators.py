@@ -33,7 +33,7 @@ def texts(documents):
 # --- line dedup
 
 
-def brute_lines(texts):
+def brute_lines(texts, min_docs=2):
     strip = "\x20\x09\x0a\x0b\x0c\x0d"
     holders = defaultdict(set)
     for d, t in texts.items():
@@ -42,17 +42,18 @@ def brute_lines(texts):
     out = {}
     for d, t in texts.items():
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (len(k := x.strip(strip).translate(LOWER)) >= 10 and len(holders[k]) >= 2 and min(holders[k]) != d)]
+        kept = [x for x in lines if not (len(k := x.strip(strip).translate(LOWER)) >= 10 and len(holders[k]) >= min_docs and min(holders[k]) != d)]
         out[d] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
 
 
-def lines_of(df):
-    return {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df).collect()}
+def lines_of(df, **options):
+    return {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df, **options).collect()}
 
 
 def test_line_dedup_brute(documents, texts):
     assert lines_of(documents) == brute_lines(texts)
+    assert lines_of(documents, min_docs=5) == brute_lines(texts, 5) != brute_lines(texts)
 
 
 def test_line_dedup_cases(spark):
@@ -240,20 +241,27 @@ def test_mixing_inverts_poisson(spark):
     assert abs(mean - 2.5) < 0.06 and abs(var - 2.5) < 0.15
 
 
+def quantile(rate, u):
+    """The smallest k with u < P(X <= k), in 60 digits."""
+    with decimal.localcontext(decimal.Context(prec=60)):
+        rate, u, k = decimal.Decimal(rate), decimal.Decimal(u), 0
+        term = total = (-rate).exp()
+        while u >= total:
+            k += 1
+            term = term * rate / k
+            total += term
+        return k
+
+
+def unit(text):
+    """The uniform number that mixing hashes from a text."""
+    return (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+
 def test_mixing_large_rates(spark):
     """Counts against quantiles of sums of 60 digits."""
     rates, us = (0.3, 40.0, 499.0, 501.0, 744.0, 746.0, 1000.0, 7700.0, 10000.0, 100000.0), (1e-12, 0.01, 0.3, 0.5, 0.99, 1 - 1e-9)
 
-    def quantile(rate, u):
-        with decimal.localcontext(decimal.Context(prec=60)):
-            rate, u, k = decimal.Decimal(rate), decimal.Decimal(u), 0
-            term = total = (-rate).exp()
-            while u >= total:
-                k += 1
-                term = term * rate / k
-                total += term
-            return k
-
     df = spark.createDataFrame([(r, u) for r in rates for u in us], "r double, u double")
     got = {(x.r, x.u): x.n for x in df.select("r", "u", mixing.poisson_count(F.col("r"), F.col("u")).alias("n")).collect()}
     want = {(r, u): quantile(r, u) for r in rates for u in us}
