@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
 as Parquet in the shared folder of the cluster and reads it again for the next
 stage, so no stage recomputes another and a lost executor costs one stage at
-most. All stages but the last keep the columns of documents.
+most. All stages but the last keep the columns of documents; the folder of a
+stage goes once the next one is written.
+
+Defined cases of every stage: an empty table gives an empty table of the same
+columns. Rows are judged one by one, so rows that repeat an id and a text all stay
+or, as near-duplicates of equal id, stay together; null ids are never removed
+because of another document. Extra columns are carried.
 """
 
 from __future__ import annotations
@@ -16,41 +22,54 @@ from pyspark.sql import functions as F
 
 from lumicat.llm import decontam, langid, line_dedup, mixing, setsketch
 from lumicat.llm.lookup import matching
-from lumicat.session import shared_folder, table
+from lumicat.session import remove_folder, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document whose leading language has a smaller share of its letters is rejected.
 MIN_LANGUAGE_SHARE = 0.3
+#: Lines that this many documents hold are cut but for their first occurrence. Lines that fewer documents
+#: share are mostly those of a few near copies: cut line by line, such copies would leave shards that no longer look
+#: like their originals, while the next stage removes them whole, with all their lines.
+LINE_DOCS = 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; texts without letters and unreadable mixtures go."""
+    """Keeps documents with a language; null texts, texts without letters and unreadable mixtures go.
+
+    If no row has both a language and a text there is nothing to learn from, and all rows go.
+    """
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     judged = langid.predict(docs.select(*own), langid.fit(docs))
     return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*own)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated lines; ``n_chars`` follows the text, and documents left blank go."""
-    cut = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
+    """Cuts lines that ``LINE_DOCS`` documents share; ``n_chars`` follows the text, and documents left blank go."""
+    cut = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS).drop("n_lines", "n_dropped")
     cut = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (five words, 0.8)."""
+    """Keeps the document with the smallest id of each group of near-duplicates (five words, 0.8).
+
+    Texts without a word link with nothing and stay.
+    """
     found = setsketch.near_components(docs.select("doc_id", "text"), shingle_size=5, percent=80)
     return matching(docs, found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold benchmark items."""
+    """Removes documents that hold benchmark items; without items all stay."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents towards the target weights of their sources, in global shuffle order."""
+    """Repeats documents towards the target weights of their sources, in global shuffle order.
+
+    Null sources are a source of their own.
+    """
     return mixing.replicate(docs)
 
 
@@ -69,8 +88,12 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs
