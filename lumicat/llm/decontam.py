@@ -17,8 +17,11 @@ apart, for passages with words put in). One passage that passes is a leak.
 Defined cases: null or empty texts on either side hold no window. An item
 shorter than a window is one window of its own length, looked up in windows of
 that length of every document; one of placeholders only must be held with its
-own values. Items of equal templates
-are all reported. Repeated document rows are one document. A null ``doc_id`` or
+own values. Items of equal templates, whose slots are equal to each other at the
+same places, can't be told apart by their template: they are one class, named by
+its smallest ``item_id``; leaks are reported for classes, and ``item_classes``
+lists their members, so that sets of thousands of questions of one form don't
+give documents times items. Repeated document rows are one document. A null ``doc_id`` or
 ``item_id`` is left out of reports; documents with a null id are never removed.
 Extra columns are carried unchanged.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.lookup import matching
-from lumicat.llm.text import SPACE_RE, bind
+from lumicat.llm.text import SPACE_RE, bind, hash128
 from lumicat.session import checkpointed
 
 WINDOW = 8
@@ -136,9 +139,25 @@ def _verdicts(rows: DataFrame, totals: DataFrame) -> DataFrame:
     return covered.select(*group, "n_windows", "n_item_windows", (F.col("n_windows") - F.coalesce("n_odd", F.lit(0))).alias("n_consistent"))
 
 
+def item_classes(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """item_id, class_id: the smallest id of the items with equal templates and slots equal at the same places.
+
+    The values count where a template is only values; an id with several texts is compared as their set.
+    """
+    text = F.col("text")
+    places = lambda v: F.struct(F.transform(v, lambda x: F.coalesce(F.array_position(v, x), F.lit(0))), F.when((F.size(v) < size) & F.forall(v, lambda x: x.isNotNull()), v))
+    shape = hash128(F.struct(token_hashes(text), bind(token_values(text), places)))
+    shaped = benchmark.where("item_id is not null and text is not null").select("item_id", shape.alias("_s")).groupBy("item_id").agg(F.array_sort(F.collect_set("_s")).alias("_s"))
+    return shaped.join(shaped.groupBy("_s").agg(F.min("item_id").alias("class_id")), "_s").select("item_id", "class_id")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT) -> DataFrame:
-    """doc_id, item_id, n_windows, n_item_windows, n_consistent: one row per leak."""
-    items = windows(benchmark, "item_id", size).select("item_id", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("n_tokens").alias("_n"), F.col("slots").alias("item_slots"))
+    """doc_id, item_id, n_items, n_windows, n_item_windows, n_consistent: one row per document and class of items that it holds.
+
+    ``item_id`` is the smallest of the class, ``n_items`` the number of its items.
+    """
+    classes = checkpointed(item_classes(benchmark, size).groupBy("class_id").agg(F.count("*").alias("n_items"))).withColumnRenamed("class_id", "item_id")
+    items = windows(benchmark.select("item_id", "text").join(classes, "item_id", "left_semi"), "item_id", size).select("item_id", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("n_tokens").alias("_n"), F.col("slots").alias("item_slots"))
     totals = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_item_windows"))
     hashes = items.select("h").distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -166,7 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     parts = found.join(whole.where(~consistent).select("doc_id", "item_id"), ["doc_id", "item_id"]).select("doc_id", "item_id", "h", "slots", "item_slots", F.inline(passages))
     best = _verdicts(parts, totals).where(covered & consistent).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_consistent", "n_windows", "n_item_windows")).alias("b"))
     columns = ["doc_id", "item_id", "n_windows", "n_item_windows", "n_consistent"]
-    return whole.where(consistent).select(*columns).unionByName(best.select("doc_id", "item_id", "b.*").select(*columns))
+    leaks = whole.where(consistent).select(*columns).unionByName(best.select("doc_id", "item_id", "b.*").select(*columns))
+    return leaks.join(classes, "item_id").select("doc_id", "item_id", "n_items", *columns[2:])
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

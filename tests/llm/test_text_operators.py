@@ -2,10 +2,13 @@
 
 import decimal
 import hashlib
+import math
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lumicat.llm import decontam, langid, line_dedup, line_quality, mixing, pii_gbt, queries, secret_dfa, setsketch
@@ -168,7 +171,12 @@ def test_decontamination(spark, sf_dir, documents, texts):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     flat = lambda t: " ".join((t or "").split())
     items = {r.item_id: flat(r.text) for r in bench.collect()}
-    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(documents, bench).collect()}
+    members = defaultdict(list)
+    for r in decontam.item_classes(bench).collect():
+        members[r.class_id].append(r.item_id)
+    rows = decontam.contaminated(documents, bench).collect()
+    assert all(r.n_items == len(members[r.item_id]) for r in rows) and len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
+    got = {(r.doc_id, i) for r in rows for i in members[r.item_id]}
     assert got == {(d, i) for d, t in texts.items() for i, x in items.items() if x in flat(t)}
 
 
@@ -215,6 +223,87 @@ def test_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, rows), bench).collect()} == {(1, 1), (3, 2), (5, 3), (7, 1), (8, 4)}
 
 
+def template(text):
+    """(token, value) of a text by the rules of the operator, word by word."""
+    text = re.sub(r"([0-9])(%|[a-zA-Z]{1,3}\b)", r"\1 \2", text or "")
+    words, out = WORD.findall(text), []
+    for i, w in enumerate(words):
+        before = words[i - 1] if i else None
+        core = regex.sub(r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", "", w)
+        if not core:
+            continue
+        if regex.match(r"[$€£]?[0-9]", core):
+            out.append(("<num>", core.lower()))
+        elif core.lower() in decontam.UNITS and before and re.search("[0-9]", before):
+            out.append(("<unit>", core.lower()))
+        elif regex.fullmatch(r"\p{Lu}\p{Ll}+", core) and before and before[-1] not in '.!?:;"':
+            out.append(("<name>", core.lower()))
+        else:
+            out.append((core.lower(), None))
+    return out
+
+
+def brute_leak(doc, item, size=decontam.WINDOW):
+    """Whether a text holds an item, from all pairs of windows."""
+    d, t = template(doc), template(item)
+    n = min(size, len(t))
+    cut = lambda x, i: (tuple(k for k, _ in x[i : i + n]), tuple(v for _, v in x[i : i + n]))
+    places = range(len(t) - n + 1)
+    total = len({cut(t, i)[0] for i in places}) if n else 0
+    pairs = [(j, i, cut(t, i)[0], cut(d, j)[1], cut(t, i)[1]) for j in range(len(d) - n + 1) for i in places if n and cut(d, j)[0] == cut(t, i)[0]]
+    if len(t) < size and t and all(v for _, v in t):
+        pairs = [x for x in pairs if x[3] == x[4]]
+
+    def passes(rows):
+        least = {}
+        for h, k, a, b in rows:
+            key = [tuple(v or "" for v in x) for x in (a, b)]
+            old = least.get((h, k))
+            least[h, k] = [min(old[0], key[0]), min(old[1], key[1])] if old else key
+        filled = [(h, b, a) for (h, _), (x, y) in least.items() for a, b in zip(x, y) if b]
+        votes = Counter((b, a) for _, b, a in filled)
+        usual = {b: max((n, a) for (c, a), n in votes.items() if c == b)[1] for b, _ in votes}
+        held, odd = {h for h, _ in least}, {h for h, b, a in filled if a != usual[b]}
+        return len(held) >= total * decontam.MIN_COVERAGE and bool(held), len(held) - len(odd) >= len(held) * decontam.MIN_CONSISTENT
+
+    covered, consistent = passes([(h, -1, a, b) for _, _, h, a, b in pairs])
+    if not covered or consistent:
+        return covered and consistent
+    passages = defaultdict(list)
+    for j, i, h, a, b in pairs:
+        passages[1, j - i].append((h, i, a, b))
+        passages[2, math.floor((j - i) / len(t))].append((h, -1, a, b))
+        passages[3, math.floor((j - i + len(t) / 2) / len(t))].append((h, -1, a, b))
+    return any(all(passes(rows)) for rows in passages.values())
+
+
+def test_decontamination_brute(spark, documents, texts):
+    """Random items of repeated words, numbers, names and units, and documents of cut, changed and repeated items."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "barn", "holds", "bales", "and", "Tom", "Ann", "how", "many", "km", "kg,", "left.", "so", "a", *map(str, range(2, 12)), "5%", "3kg"])
+    items = {i: " ".join(word() for _ in range(rng.choice([2, 5, 7, 8, 12, 20, 30]))) for i in range(1, 25)}
+    items |= {100 + i: t for i, t in items.items() if i % 4 == 0} | {200: "17 42", 201: "18 42"}
+    change = lambda t: " ".join(rng.choice(["9", "10", "77"]) if w.isdigit() and rng.random() < 0.5 else w for w in t.split())
+    renumber = lambda t, m: " ".join(str(m[w]) if w in m else w for w in t.split())
+    docs = dict(list(texts.items())[:40])
+    for d in range(1000, 1120):
+        parts = []
+        for _ in range(rng.choice([1, 2, 3])):
+            t = items[rng.choice(list(items))]
+            cut = t.split()[rng.choice([0, 0, 0, 3]) : rng.choice([None, None, -2])]
+            parts.append(rng.choice([t, t, change(t), renumber(t, {str(k): 20 + 3 * k for k in range(2, 12)}), " ".join(cut), t.replace(" and ", " and so on and ")]))
+        docs[d] = f" {rng.choice(['and', '.', 'x y z'])} ".join(parts)
+    got = decontam.contaminated(table(spark, list(docs.items())), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    classes = defaultdict(list)
+    for i, t in items.items():
+        made = template(t)
+        values = [v for _, v in made]
+        bare = len(made) < decontam.WINDOW and all(values)
+        classes[tuple(k for k, _ in made), tuple(v and values.index(v) for v in values), tuple(values) if bare else ()].append(i)
+    want = {(d, min(members), len(members)) for d, t in docs.items() for members in classes.values() if brute_leak(t, items[min(members)])}
+    assert {(r.doc_id, r.item_id, r.n_items) for r in got.collect()} == want and len(want) > 60
+
+
 # --- mixing
 
 
