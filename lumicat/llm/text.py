@@ -47,3 +47,13 @@ def bind(value: Column, body) -> Column:
 def hash128(col: Column) -> Column:
     """A struct of two independent 64-bit hashes of a column."""
     return F.struct(F.xxhash64(col).alias("a"), F.xxhash64(F.lit(1), col).alias("b"))
+
+
+def staged(df: DataFrame, columns: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without some columns and with others, behind a generator.
+
+    The optimizer neither evaluates these expressions again where they are used
+    several times nor moves filters on them below.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns if c not in drop]
+    return df.select(*own, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))

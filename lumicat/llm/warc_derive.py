@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumicat.llm.text import unused
+from lumicat.llm.text import staged, unused
 
 CRLF = "\r\n"
 #: Date of pages that come without one.
@@ -92,16 +92,18 @@ def parse(records: DataFrame) -> DataFrame:
     the header and cut by ``Content-Length``, in octets; other record types are
     left out.
     """
-    head, rest, block, http, left = unused(records, "_head", "_rest", "_block", "_http", "_left")
+    head, raw, kind, left, block, http, body, coded = unused(records, "_head", "_raw", "_type", "_left", "_block", "_http", "_body", "_coded")
     field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
-    behind = lambda start, whole: F.expr(f"substring({whole}, octet_length({start}) + 5)")
     own = [F.col(f"`{c}`") for c in records.columns if c not in ("record", *PARSED)]
-    split = records.select(*own, F.substring_index(F.col("record").cast("string"), CRLF * 2, 1).alias(head), F.col("record").cast("binary").alias(rest))
-    split = split.where(field("WARC-Type") == "response").withColumn(rest, behind(head, rest))
+    split = staged(records.select(*own, "record"), {head: F.substring_index(F.col("record").cast("string"), CRLF * 2, 1), raw: F.col("record").cast("binary")}, ("record",))
     size = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]+)[ \t]*\r?$", 1).try_cast("int")
-    split = split.withColumn(left, F.octet_length(rest))
-    split = split.withColumn(block, F.substring(F.col(rest), F.lit(1), F.coalesce(size, F.greatest(F.col(left) - 2 * len(CRLF), F.lit(0)))))
-    split = split.withColumn(http, F.substring_index(F.col(block).cast("string"), CRLF * 2, 1)).withColumn(block, behind(http, block))
+    behind = F.greatest(F.octet_length(raw) - F.octet_length(head) - 4, F.lit(0))
+    split = staged(split, {kind: field("WARC-Type"), left: behind, "block_bytes": size}).where(F.col(kind) == "response")
+    cut = F.coalesce("block_bytes", F.greatest(F.col(left) - 2 * len(CRLF), F.lit(0)))
+    split = staged(split, {block: F.substring(F.col(raw), F.octet_length(head) + 5, cut)}, (raw,))
+    split = staged(split, {http: F.substring_index(F.col(block).cast("string"), CRLF * 2, 1)})
+    split = staged(split, {body: F.expr(f"substring({block}, octet_length({http}) + 5)")}, (block,))
+    split = staged(split, {coded: F.col(http).rlike(CODED) | ~F.is_valid_utf8(F.col(body).cast("string"))})
     return split.select(
         *own,
         field("WARC-Record-ID").alias("record_id"),
@@ -109,9 +111,9 @@ def parse(records: DataFrame) -> DataFrame:
         field("WARC-Target-URI").alias("uri"),
         field("WARC-Payload-Digest").alias("payload_digest"),
         F.col(http).alias("http_headers"),
-        payload_text(F.col(block), F.col(http)).alias("payload"),
-        size.cast("long").alias("block_bytes"),
-        F.coalesce(F.col(left) >= size, F.lit(False)).alias("complete"),
+        F.when(F.col(coded), _decode_payloads(F.when(F.col(coded), F.col(body)), F.when(F.col(coded), F.make_valid_utf8(http)))).otherwise(F.col(body).cast("string")).alias("payload"),
+        F.col("block_bytes").cast("long").alias("block_bytes"),
+        F.coalesce(F.col(left) >= F.col("block_bytes"), F.lit(False)).alias("complete"),
     )
 
 
@@ -161,13 +163,6 @@ def _decode_payloads(payloads: pd.Series, headers: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else decoded_payload(p, h or "") for p, h in zip(payloads, headers)], index=payloads.index, dtype=object)
 
 
-def payload_text(payload: Column, headers: Column) -> Column:
-    """The text of a payload; plain UTF-8 stays in the JVM."""
-    plain = payload.cast("string")
-    coded = headers.rlike(CODED) | ~F.is_valid_utf8(plain)
-    return F.when(coded, _decode_payloads(F.when(coded, payload), F.when(coded, F.make_valid_utf8(headers)))).otherwise(plain)
-
-
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces between separators as records: one that falls short of its Content-Length takes the next pieces too."""
     length = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
@@ -248,12 +243,11 @@ def stripped(html: Column) -> Column:
     return F.regexp_replace(text, r"<[^>]*>", "")
 
 
-def plain_text(text: Column) -> Column:
-    """``stripped`` text with its references decoded: natively where REFERENCES has them all."""
+def plain_text(text: Column, other: Column) -> Column:
+    """``stripped`` text with its references decoded: natively unless ``other`` says that REFERENCES hasn't them all."""
     decoded = text
     for reference, char in REFERENCES:
         decoded = F.replace(decoded, F.lit(reference), F.lit(char))
-    other = text.rlike(OTHER_REFERENCE)
     decoded = F.when(other, decode_all(F.when(other, text))).otherwise(decoded)
     decoded = F.regexp_replace(decoded, r" *\n[ \n]*", "\n")
     return F.regexp_replace(decoded, r"^[ \n]+|[ \n]+$", "")
@@ -266,8 +260,10 @@ def derive(records: DataFrame) -> DataFrame:
     refers_to, uri, date, source_digest, block_digest, block and record.
     """
     own = [F.col(f"`{c}`") for c in records.columns if c not in (*PARSED, *DERIVED)]
-    text, meta_id, text_id, kind = unused(records, "_text", "_meta_id", "_text_id", "_kind")
-    source = parse(records).withColumn(text, stripped(F.col("payload"))).withColumn(text, plain_text(F.col(text)))
+    text, other, meta_id, text_id, kind = unused(records, "_text", "_other", "_meta_id", "_text_id", "_kind")
+    source = staged(parse(records), {text: stripped(F.col("payload"))})
+    source = staged(source, {other: F.col(text).rlike(OTHER_REFERENCE)})
+    source = source.withColumn(text, plain_text(F.col(text), F.col(other)))
     source = source.withColumn(meta_id, record_id(F.lit("metadata"), F.col("record_id"))).withColumn(text_id, record_id(F.lit("conversion"), F.col("record_id")))
     header_lines = F.transform(F.filter(F.split("http_headers", CRLF), lambda x: x != ""), lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF)))
     meta = F.concat(
