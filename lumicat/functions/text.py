@@ -19,14 +19,21 @@ def _sub(col: Column, *steps: tuple[str, str]) -> Column:
     return col
 
 
+def _without(col: Column, chars: str) -> Column:
+    """Cuts single characters; a search by bytes each, which is far cheaper than ``translate`` where they are rare."""
+    for c in chars:
+        col = F.replace(col, F.lit(c), F.lit(""))
+    return col
+
+
 def normalize_text(col: Column) -> Column:
     """Lower case, with the letter yo as ye."""
-    return F.translate(F.lower(F.coalesce(col, F.lit(""))), "ё", "е")
+    return F.replace(F.lower(F.coalesce(col, F.lit(""))), F.lit("ё"), F.lit("е"))
 
 
 def squeeze(col: Column) -> Column:
     """White space, hard spaces included, as single spaces, none at the ends."""
-    return F.trim(_sub(F.translate(col, NBSP, " "), (r"[ \t\n\r\f\x0B]+", " ")))
+    return F.trim(_sub(F.replace(col, F.lit(NBSP), F.lit(" ")), (r"[ \t\n\r\f\x0B]+", " ")))
 
 
 def normalize_query(col: Column) -> Column:
@@ -38,8 +45,8 @@ def normalize_search(col: Column) -> Column:
 
 
 def normalize_key(col: Column) -> Column:
-    """A topic key: letters, digits and ``+#.-`` only; ends keep dots and dashes."""
-    return squeeze(_sub(F.translate(normalize_text(col), "«»\"“”", ""), (r"[^0-9a-zа-я+#. -]+", " ")))
+    """A topic key: letters, digits and ``+#.-`` only, single blanks; ends keep dots and dashes."""
+    return F.trim(_sub(_without(normalize_text(col), "«»\"“”"), (r"[^0-9a-zа-я+#.-]+", " ")))
 
 
 def normalize_topic(col: Column) -> Column:
@@ -47,20 +54,50 @@ def normalize_topic(col: Column) -> Column:
     return F.btrim(normalize_key(col), F.lit(" .-"))
 
 
-#: Ordered patterns cut from a topic name (after lower-casing for the test data's alphabet).
+# fixed values: words that lead a topic name and its number, words that lead or end a kind of lesson, units of hours
+_NUMBERED = ("Тема", "тема", "Раздел", "раздел", "Модуль", "модуль", "Topic", "topic", "Unit", "unit")
+_LEADING = ("Теория", "теория", "Практика", "практика", "Контроль", "контроль", "Проект", "проект", "Theory", "theory", "Practice", "practice")
+_ENDING = ("теория", "практика", "контроль", "зачет", "зачёт", "опрос", "theory", "practice", "test")
+_HOURS = ("час", "часа", "часов", "hours", "h")
+_ROW = ("table_row", "TABLE_ROW")
+# end of fixed values
+
+
+def _begins(col: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | col.startswith(w)
+    return out
+
+
+#: Ordered patterns cut from a topic name, each with a cheap test of the name's ends that any match passes.
 TOPIC_STRIPS = [
-    (r"^(table_row|TABLE_ROW) *\|\| *", ""),
-    (r"^[0-9]+([.)]|\.[0-9]+)? *", ""),
-    (r"^(Тема|тема|Раздел|раздел|Модуль|модуль|Topic|topic|Unit|unit) *[0-9]+[.)]? *", ""),
-    (r"^(Теория|теория|Практика|практика|Контроль|контроль|Проект|проект|Theory|theory|Practice|practice) *[:.-] *", ""),
-    (r" +(теория|практика|контроль|зачет|зачёт|опрос|theory|practice|test)\.?$", ""),
-    (r" +[0-9]+([,.][0-9]+)? *(час|часа|часов|hours|h)?\.?$", ""),
+    (lambda c: _begins(c, _ROW), rf"^({'|'.join(_ROW)}) *\|\| *"),
+    (lambda c: F.left(c, F.lit(1)).between("0", "9"), r"^[0-9]+([.)]|\.[0-9]+)? *"),
+    (lambda c: _begins(c, _NUMBERED), rf"^({'|'.join(_NUMBERED)}) *[0-9]+[.)]? *"),
+    (lambda c: _begins(c, _LEADING), rf"^({'|'.join(_LEADING)}) *[:.-] *"),
+    (lambda c: F.right(c, F.lit(9)).rlike(rf"({'|'.join(_ENDING)})\.?$"), rf" +({'|'.join(_ENDING)})\.?$"),
+    (lambda c: F.right(c, F.lit(6)).rlike(rf"([0-9]|{'|'.join(_HOURS)})\.?$"), rf" +[0-9]+([,.][0-9]+)? *({'|'.join(_HOURS)})?\.?$"),
 ]
 
 
 def clean_topic(col: Column) -> Column:
-    plain = squeeze(F.translate(F.coalesce(col, F.lit("")), "–—«»", "--\"\""))
-    return F.btrim(_sub(plain, *TOPIC_STRIPS), F.lit(" .;-"))
+    plain = F.coalesce(col, F.lit(""))
+    for char, to in (("–", "-"), ("—", "-"), ("«", '"'), ("»", '"')):
+        plain = F.replace(plain, F.lit(char), F.lit(to))
+
+    def cut(value: Column, steps: list) -> Column:
+        """One step after the other on a value that is computed once."""
+        if not steps:
+            return F.btrim(value, F.lit(" .;-"))
+        test, pattern = steps[0]
+        return _once(F.when(test(value), F.regexp_replace(value, pattern, "")).otherwise(value), lambda v: cut(v, steps[1:]))
+
+    return _once(squeeze(plain), lambda v: cut(v, TOPIC_STRIPS))
+
+
+def _once(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip_html(col: Column) -> Column:
@@ -156,15 +193,33 @@ def group_size_class(low: Column, high: Column) -> Column:
 
 
 #: Ordered activity patterns on normalised text.
-ACTIVITIES = [("контроль", "контроль|зачет|тест|экзамен|опрос|exam|test"), ("проект", "проект|project"), ("теория+практика", "теори.*практик|практик.*теори"), ("практика", "практик|упражнен|практич|practice"), ("теория", "теор|лекци|беседа|история|theory|history")]
+# fixed values: kinds of lessons in order, with alternatives of parts that must all occur
+ACTIVITIES = [
+    ("контроль", ("контроль",), ("зачет",), ("тест",), ("экзамен",), ("опрос",), ("exam",), ("test",)),
+    ("проект", ("проект",), ("project",)),
+    ("теория+практика", ("теори", "практик")),
+    ("практика", ("практик",), ("упражнен",), ("практич",), ("practice",)),
+    ("теория", ("теор",), ("лекци",), ("беседа",), ("история",), ("theory",), ("history",)),
+]
 
 
 def activity_type(activity: Column, topic: Column) -> Column:
-    text = normalize_key(F.concat_ws(" ", F.coalesce(activity, F.lit("")), F.coalesce(topic, F.lit(""))))
-    out = F.when(F.lit(False), "")
-    for name, pattern in ACTIVITIES:
-        out = out.when(text.rlike(pattern), name)
-    return out.otherwise(F.coalesce(F.nullif(activity, F.lit("")), F.lit("не определено")))
+    """The first kind whose parts occur in activity or topic, as in their key; quotes inside words don't part them."""
+    text = _without(normalize_text(F.concat_ws(" ", F.coalesce(activity, F.lit("")), F.coalesce(topic, F.lit("")))), "«»\"“”")
+
+    def kinds(t: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, *ways in ACTIVITIES:
+            test = F.lit(False)
+            for parts in ways:
+                every = F.lit(True)
+                for part in parts:
+                    every = every & t.contains(part)
+                test = test | every
+            out = out.when(test, name)
+        return out
+
+    return F.coalesce(_once(text, kinds), F.nullif(activity, F.lit("")), F.lit("не определено"))
 
 
 def url_program_id(url: Column) -> Column:

@@ -39,9 +39,8 @@ def tfidf(topics: DataFrame, stop: list[str], max_features: int = MAX_FEATURES,
     """topic, token, value: L2-normalised weights of the most frequent tokens."""
     counted = topics.select("topic", F.explode(tokens(F.col("topic"), stop)).alias("token")).groupBy("topic", "token").agg(F.count("*").alias("tf"))
     features = counted.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).orderBy(F.desc("df"), "token").limit(max_features)
-    total = topics.agg(F.count("*").alias("n"))
-    raw = counted.join(features, "token").crossJoin(total)  # one row of totals
-    raw = raw.select("topic", "token", ((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    total = topics.agg(F.count("*")).scalar()
+    raw = counted.join(features, "token").select("topic", "token", ((1 + F.ln("tf")) * (F.ln((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
     norms = raw.groupBy("topic").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "topic").select("topic", "token", (F.col("w") / F.col("norm")).alias("value"))
 
@@ -50,44 +49,53 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _nearest(centres: list[list[float]]) -> Column:
+    """A struct of similarity and minus the number of the most similar centre, the first on ties.
+
+    A centre goes into the plan as one text that the optimizer folds to one array, not as a literal a dimension.
+    """
+    table = F.array(*[F.split(F.lit(",".join(map(repr, c))), ",").cast("array<double>") for c in centres])
+    return F.array_max(F.transform(table, lambda c, i: F.struct(_dot(F.col("v"), c).alias("s"), (-i).alias("i"))))
+
+
 def kmeans(points: DataFrame, k: int = 32, rounds: int = 80) -> DataFrame:
     """id, cluster, similarity, settled of unit vectors (id, v, weight), by weighted spherical k-means.
 
     Centres start with the heaviest point, then the one of largest distance
-    times weight to the centres so far. ``settled`` is false where the rounds ended
-    before the centres stood still. Only k centres ever reach the driver.
+    times weight to the centres so far, or a point drawn by hash where there is no
+    distance left; so is the next centre of a cluster that holds no point. ``k``
+    points or fewer are clusters of their own. ``settled`` is false where the rounds
+    ended before the labels stood still. Points of length 0 are left out. Only k
+    centres ever reach the driver.
     """
     unit = points.select("id", "weight", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("_n", F.sqrt(_dot(F.col("v"), F.col("v"))))
     unit = checkpointed(unit.where("_n > 0").select("id", "weight", F.transform("v", lambda x: x / F.col("_n")).alias("v")))
-    literal = lambda c: F.array(*[F.lit(float(x)) for x in c])
-    first = unit.orderBy(F.desc("weight"), "id").limit(1).collect()
-    if not first:
-        return unit.select("id", F.lit(0).alias("cluster"), F.lit(1.0).alias("similarity"), F.lit(True).alias("settled"))
-    centres = [first[0]["v"]]
-    near = unit.withColumn("best", _dot(F.col("v"), literal(centres[0])))
-    for _ in range(k - 1):
-        far = near.select("v", "id", ((1 - F.col("best")) * F.col("weight")).alias("s")).orderBy(F.desc("s"), "id").limit(1).collect()[0]
-        if far["s"] <= 1e-12:
+    if unit.limit(k + 1).count() <= k:
+        number = F.row_number().over(Window.orderBy(F.desc("weight"), "id")) - 1  # k rows at most
+        return unit.select("id", number.alias("cluster"), F.lit(1.0).alias("similarity"), F.lit(True).alias("settled"))
+    drawn = lambda n: unit.orderBy(F.xxhash64("id", F.lit(n)), "id").limit(1).collect()[0]["v"]
+    centres, kept = [unit.orderBy(F.desc("weight"), "id").limit(1).collect()[0]["v"]], 0
+    near = unit.withColumn("best", F.lit(-1.0))
+    for n in range(k - 1):
+        best = F.greatest("best", _nearest(centres[kept:])["s"])
+        far = near.select("v", "id", ((1 - best) * F.col("weight")).alias("s")).orderBy(F.desc("s"), "id").limit(1).collect()[0]
+        centres.append(far["v"] if far["s"] > 1e-12 else drawn(n))
+        if len(centres) - kept > 8:  # similarities to past centres are written now and then
+            near, kept = checkpointed(near.withColumn("best", F.greatest("best", _nearest(centres[kept:-1])["s"]))), len(centres) - 1
+    before, placed, settled = None, None, False
+    for n in range(rounds):
+        labelled = unit.withColumn("b", _nearest(centres))
+        placed = labelled.select("id", "weight", "v", (-F.col("b.i")).alias("cluster"), F.col("b.s").alias("similarity"))
+        if before is not None and labelled.where(F.col("b.i") != _nearest(before)["i"]).isEmpty():
+            settled = True
             break
-        centres.append(far["v"])
-        near = checkpointed(near.withColumn("best", F.greatest("best", _dot(F.col("v"), literal(far["v"])))))
-    placed, settled = None, False
-    for _ in range(rounds):
-        table = F.array(*[literal(c) for c in centres])
-        sims = F.transform(table, lambda c: _dot(F.col("v"), c))
-        best = F.array_max(F.transform(sims, lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))
-        placed = unit.select("id", "weight", "v", best.alias("b")).select("id", "weight", "v", (-F.col("b.i")).alias("cluster"), F.col("b.s").alias("similarity"))
         sums = placed.select("cluster", "weight", F.posexplode("v").alias("d", "x")).groupBy("cluster", "d").agg(F.sum(F.col("x") * F.col("weight")).alias("x"))
         moved = {r["cluster"]: [x["x"] for x in sorted(r["c"])] for r in sums.groupBy("cluster").agg(F.collect_list(F.struct("d", "x")).alias("c")).collect()}
-        new = []
-        for i, old in enumerate(centres):
-            v = moved.get(i, old)
-            n = math.sqrt(sum(x * x for x in v)) or 1.0
-            new.append([x / n for x in v])
-        if max(abs(x - y) for a, b in zip(new, centres) for x, y in zip(a, b)) < 1e-9:
-            settled = True
-            break
-        centres = new
+        before, centres = centres, []
+        for i in range(len(before)):
+            v = moved[i] if i in moved else drawn(k * (n + 1) + i)
+            norm = math.sqrt(sum(x * x for x in v)) or 1.0
+            centres.append([x / norm for x in v])
     return placed.select("id", "cluster", "similarity", F.lit(settled).alias("settled"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumicat.operators.staging import staged
+
 
 def normalize(text: Column) -> Column:
     """One newline form, no byte order mark, single blanks, plain dashes."""
@@ -19,14 +21,18 @@ def logical_lines(docs: DataFrame) -> DataFrame:
     A line continues the one before if it starts in lower case, has more than
     three characters, and the one before ends without a full stop or the like.
     """
-    lines = docs.select("doc", F.posexplode(F.split(normalize(F.col("text")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    order = Window.partitionBy("doc").orderBy("pos")
-    before = F.lag("line").over(order)
-    joins = F.col("line").rlike(r"^[a-zа-яёéèçñ]") & (F.length("line") > 3) & before.isNotNull() & ~before.rlike(r"[.!?:;]$")
-    marked = lines.withColumn("_new", F.when(joins, 0).otherwise(1))
-    grouped = marked.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = grouped.groupBy("doc", "_group").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return whole.select("doc", F.get("l", F.lit(0))["pos"].alias("pos"), F.array_join(F.transform("l", lambda x: x["line"]), " ").alias("line"))
+    numbered = F.transform(F.split(normalize(F.col("text")), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+    rows = staged(docs.select("doc", "text"), _l=F.filter(numbered, lambda x: x["line"] != ""))
+
+    def more(x: Column, i: Column) -> Column:
+        return (i > 0) & x["line"].rlike(r"^[a-zа-яёéèçñ]") & (F.length(x["line"]) > 3) & ~F.get("_l", i - 1)["line"].rlike(r"[.!?:;]$")
+
+    rows = staged(rows, _m=F.transform("_l", lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), more(x, i).alias("more"))))
+    # within one document, so no shuffle: lines are put together and cut again where a new one begins
+    text = F.array_join(F.transform("_m", lambda x: F.concat(F.when(x["more"], " ").otherwise("\n"), x["line"])), "")
+    starts = F.filter("_m", lambda x: ~x["more"])
+    whole = F.zip_with(starts, F.slice(F.split(text, "\n"), F.lit(2), F.size(starts)), lambda s, x: F.struct(s["pos"].alias("pos"), x.alias("line")))
+    return staged(rows, _z=whole).select("doc", F.inline("_z"))
 
 
 #: Extractors in order of preference: pattern and the group that holds the title.
@@ -49,10 +55,10 @@ def cleanup(title: Column) -> Column:
 
 def topics(lines: DataFrame) -> DataFrame:
     """doc, ordinal, topic: all extractors united, the first of equal titles kept, in extractor and line order."""
-    found = F.array_compact(
-        F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("priority"), F.col("pos").alias("pos"), cleanup(F.regexp_extract("line", p, g)).alias("topic"))) for i, (p, g) in enumerate(PATTERNS)])
-    )
-    rows = lines.select("doc", F.inline(found)).where("topic is not null")
+    # each pattern runs once; a title has a character at least, so an empty one is none
+    titles = F.array(*[F.struct(F.lit(i).alias("priority"), F.regexp_extract("line", p, g).alias("title")) for i, (p, g) in enumerate(PATTERNS)])
+    found = lines.select("doc", "pos", F.inline(titles)).where("title <> ''")
+    rows = found.select("doc", "priority", "pos", cleanup(F.col("title")).alias("topic")).where("topic is not null")
     first = rows.groupBy("doc", F.lower("topic").alias("_k")).agg(F.min(F.struct("priority", "pos", "topic")).alias("f"))
     ordinal = F.row_number().over(Window.partitionBy("doc").orderBy("f.priority", "f.pos")).cast("bigint")
     return first.select("doc", ordinal.alias("ordinal"), F.col("f.topic").alias("topic"))

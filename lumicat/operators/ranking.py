@@ -196,6 +196,18 @@ def hard_filter(p: Profile) -> Column:
     return first_match([(t, F.lit(r).cast("string")) for t, r in tests], F.lit(None).cast("string"))
 
 
+def may_pass(p: Profile) -> Column:
+    """Whether a candidate can pass the hard filters, from its narrow columns only: no groups, no terms.
+
+    For callers that want passing candidates and not the reasons of the others;
+    they ask before they gather groups. ``hard_filter`` still decides.
+    """
+    place = F.lit(True) if p.municipality_id is None else F.col("municipality_id").isNull() | (F.col("municipality_id") == p.municipality_id)
+    aged = matches_age(p.age_months) if not p.specific_terms else F.lit(True)  # a specific hit passes at any age
+    rest = F.lit(True) if p.specific_terms else matches_form(p.form) & (~F.col("id").isin(list(p.completed_ids)) if p.completed_ids else F.lit(True))
+    return place & matches_organization(p.organization) & aged & rest
+
+
 def _in(value: Column, keys: tuple[str, ...]) -> Column:
     return value.isin(list(keys)) if keys else F.lit(False)
 

@@ -1,8 +1,9 @@
 """Topic rows: normalise, aggregate, classify, override by gold labels, queue for review.
 
-Order of precedence is noise, manual rule, service rule, content. Only
-aggregates are classified, so the rule expressions run once per distinct topic
-of a programme and not once per row.
+Order of precedence is noise, manual rule, service rule, content. Rows that
+repeat a name within a programme are counted before any rule runs
+(``distinct_names``), and codes found while normalising are carried to the
+classification, so no rule runs twice for a topic. Only aggregates are scored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def noise_reason(key: Column, raw: Column, taxonomy: Taxonomy) -> Column:
         (F.length(key) <= 2, "too_generic"),
         (F.lower(raw).startswith("table_row"), "ocr_noise"),
         (key.rlike(r"^[0-9 .,:;/-]+$"), "ocr_noise"),
-        (key.rlike(r"(^|[^0-9])(19[0-9][0-9]|20[0-2][0-9])\.?$") & (F.length(key) < 120), "toc_fragment"),
-        (raw.rlike(r"\.{4,}|…{2,}"), "toc_fragment"),
+        ((F.length(key) < 120) & F.right(key, F.lit(6)).rlike(r"(^|[^0-9])(19[0-9][0-9]|20[0-2][0-9])\.?$"), "toc_fragment"),
+        (raw.contains("....") | raw.contains("……"), "toc_fragment"),
         *[(key.rlike(pattern), reason) for pattern, reason in taxonomy.noise],
         (F.btrim(key, F.lit(" .-")).isin(list(taxonomy.generic)) if taxonomy.generic else F.lit(False), "too_generic"),
     ]
@@ -38,12 +39,32 @@ def service_code(key: Column, taxonomy: Taxonomy) -> Column:
     return first_match([(any_of(key, needles) & (~content if guarded else F.lit(True)), F.lit(code)) for code, needles, guarded in taxonomy.service], F.lit(""))
 
 
-def manual_code(key: Column, taxonomy: Taxonomy, position: int) -> Column:
-    return first_match([(key.rlike(rule[0]), F.lit(rule[position])) for rule in taxonomy.manual], F.lit(""))
+def manual_rule(key: Column, taxonomy: Taxonomy) -> Column:
+    """Record type and code of the first manual rule whose pattern hits, both empty where none does."""
+    both = lambda kind, code: F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"))
+    out = F.when(F.lit(False), both("", ""))
+    for pattern, kind, code in taxonomy.manual:
+        out = out.when(key.rlike(pattern), both(kind, code))
+    return out.otherwise(both("", ""))
+
+
+def distinct_names(rows: DataFrame) -> DataFrame:
+    """One row per programme, topic name and activity: the first topic id, the number of rows, the hours of all.
+
+    For ``aggregate``, which gives the same result from these as from all rows.
+    """
+    return rows.groupBy("program_id", "topic_name", "activity_type").agg(
+        F.min("topic_id").alias("topic_id"),
+        F.min("topic_order").alias("topic_order"),
+        F.sum(F.coalesce("hours", F.lit(0)).cast("decimal(18,4)")).cast("decimal(18,4)").alias("hours"),
+        F.min("direction").alias("direction"),
+        F.min("program_name").alias("program_name"),
+        F.count("*").alias("rows"),
+    )
 
 
 def normalize(rows: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """Adds clean name, key, activity, noise reason, record type and confidence to topic rows.
+    """Adds clean name, key, activity, noise reason, codes, record type and confidence to topic rows.
 
     ``rows`` has topic_name and activity_type.
     """
@@ -51,7 +72,8 @@ def normalize(rows: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     out = staged(staged(rows, _raw=raw), clean_name=fx.clean_topic(F.col("_raw")))
     out = staged(out, topic_key=fx.normalize_key(F.col("clean_name")))
     out = staged(out, noise_reason=noise_reason(F.col("topic_key"), F.col("_raw"), taxonomy))
-    out = staged(out, _manual=F.when(F.col("noise_reason") == "", manual_code(F.col("topic_key"), taxonomy, 1)).otherwise(""))
+    out = staged(out, _rule=F.when(F.col("noise_reason") == "", manual_rule(F.col("topic_key"), taxonomy)))
+    out = out.withColumns({"_manual": F.coalesce("_rule.kind", F.lit("")), "manual_code": F.coalesce("_rule.code", F.lit(""))})
     out = staged(out, service_code=F.when((F.col("noise_reason") == "") & (F.col("_manual") == ""), service_code(F.col("topic_key"), taxonomy)).otherwise(""))
     record = F.when(F.col("noise_reason") != "", "noise").when(F.col("_manual") != "", F.col("_manual")).when(F.col("service_code") != "", "service").otherwise("content")
     parts = F.lit(72) + F.when((F.col("clean_name") != "") & (F.col("clean_name") != F.col("_raw")), 8).otherwise(0) + F.when(F.col("service_code") != "", 8).otherwise(0) + F.when(F.length("clean_name").between(8, 120), 8).otherwise(0)
@@ -61,30 +83,36 @@ def normalize(rows: DataFrame, taxonomy: Taxonomy) -> DataFrame:
         .withColumn("confidence", (confidence.cast("decimal(18,4)") / 100).cast("decimal(4,2)"))
         .withColumn("activity", fx.activity_type(F.col("activity_type"), F.col("_raw")))
         .withColumn("topic_name", F.coalesce(F.nullif("clean_name", F.lit("")), F.col("_raw")))
-        .drop("_raw", "_manual", "clean_name")
+        .drop("_raw", "_rule", "_manual", "clean_name")
     )
 
 
 def aggregate(normalized: DataFrame) -> DataFrame:
-    """One row per programme, record type and key; the name is that of the lowest topic id."""
+    """One row per programme, record type and key; the name is that of the lowest topic id.
+
+    Takes topic rows, or those of ``distinct_names`` with their number of rows.
+    """
+    rows = F.sum("rows") if "rows" in normalized.columns else F.count("*")
     key = F.coalesce(F.nullif("topic_key", F.lit("")), F.lit("unknown"))
     hours = F.coalesce("hours", F.lit(0)).cast("decimal(18,4)")
     return normalized.groupBy("program_id", "record_type", key.alias("topic_key")).agg(
         F.min(F.struct("topic_id", "topic_name"))["topic_name"].alias("topic_name"),
-        F.count("*").alias("rows"),
+        rows.alias("rows"),
         F.min("topic_order").alias("first_order"),
         F.sum(hours).alias("hours_total"),
         F.sum(F.when(F.col("activity") == "контроль", hours).otherwise(F.lit(0).cast("decimal(18,4)"))).alias("hours_control"),
         F.min("direction").alias("direction"),
         F.min("program_name").alias("program_name"),
+        # functions of the key where they are looked at
+        F.min("service_code").alias("service_code"),
+        F.min("manual_code").alias("manual_code"),
     )
 
 
 def classify(aggregates: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Adds parent, category, class confidence and the top categories."""
-    key, context = F.col("topic_key"), fx.normalize_key(F.col("program_name"))
-    out = staged(aggregates, _topic=fx.normalize_key(F.col("topic_name")), _context=context)
-    out = staged(out, _s=scored(F.col("_topic"), F.col("_context"), taxonomy.content), _service=service_code(key, taxonomy), _manual=manual_code(key, taxonomy, 2))
+    out = staged(aggregates, _context=fx.normalize_key(F.col("program_name")))
+    out = staged(out, _s=scored(F.col("topic_key"), F.col("_context"), taxonomy.content)).withColumnsRenamed({"service_code": "_service", "manual_code": "_manual"})
     best, second = F.get("_s", F.lit(0)), F.get("_s", F.lit(1))
     found = (best["phrases"] + best["needles"]) > 0
     halves, gap = -best["minus"], second["minus"] - best["minus"]
@@ -102,7 +130,7 @@ def classify(aggregates: DataFrame, taxonomy: Taxonomy) -> DataFrame:
         .withColumn("category_code", category)
         .withColumn("class_confidence", (percent.cast("decimal(18,4)") / 100).cast("decimal(4,2)"))
         .withColumn("top_categories", F.when(parent.isin("noise", "manual", "service"), "").otherwise(F.array_join(tops, ",")))
-        .drop("_s", "_service", "_manual", "_topic", "_context")
+        .drop("_s", "_service", "_manual", "_context")
     )
 
 

@@ -130,8 +130,8 @@ def agg_count_cte(spark, sf_dir):
 def agg_scalar_subqueries(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     orders = t("orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("open_orders"), F.count_if(F.col("o_orderstatus") == "P").alias("pending_orders"))
-    # each side is one row of totals
-    return t("part").agg(F.count("*").alias("parts")).crossJoin(orders).crossJoin(t("customer").agg(F.count("*").alias("customers"))).crossJoin(t("lineitem").agg(F.max("l_quantity").alias("most")))
+    one = lambda n, total: t(n).agg(total).scalar()
+    return orders.select(one("part", F.count("*")).alias("parts"), "open_orders", "pending_orders", one("customer", F.count("*")).alias("customers"), one("lineitem", F.max("l_quantity")).alias("most"))
 
 
 @register("agg_dup_count", "select l_partkey, l_suppkey from (select l_partkey, l_suppkey, row_number() over (partition by l_partkey order by count(*) desc, l_suppkey) as rn from lineitem group by 1, 2) where rn = 1")

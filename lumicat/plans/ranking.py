@@ -18,27 +18,34 @@ DEEP = ranking.Profile(scenario="s3", age_years=8, topic_keys=("ring", "blue"),
 WIDE = ranking.Profile(scenario="s4", age_years=8, topic_keys=("ring",), category_keys=("cat_r",), parent_keys=("par_4",))
 
 
-def candidates(spark, sf_dir):
-    """One nested row per part; groups are gathered after a narrow projection."""
+def candidates(spark, sf_dir, profile=None):
+    """One nested row per part; groups are gathered after a narrow projection.
+
+    With a profile only parts that may pass its hard filters are left, and only their groups are gathered.
+    """
     lines = table(spark, sf_dir, "lineitem")
-    groups = lines.select(
-        "l_partkey", "l_suppkey",
-        F.struct(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("price"), (F.col("l_quantity") - 10).cast("int").alias("free"),
-            fx.weekday(F.date_format("l_shipdate", "EEE")).alias("day"), (F.col("l_linenumber") * 3).alias("hour"),
-        ).alias("g"),
-    ).groupBy("l_partkey").agg(F.array_sort(F.collect_list("g")).alias("groups"), F.min("l_suppkey").alias("supp"))
-    place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("municipality_id"))
-    placed = groups.join(place, F.col("supp") == F.col("s_suppkey"), "left")
     size = F.col("p_size")
     topic = lambda w: F.struct(w.alias("key"), w.alias("name"), F.concat(F.lit("cat_"), F.left(w, F.lit(1))).alias("category"), F.concat(F.lit("par_"), F.length(w).cast("string")).alias("parent"), (size % 9).alias("hours"), (size % 4).alias("practice"))
     topics = F.when(size % 4 != 0, F.transform(F.split("p_name", " "), topic)).otherwise(F.transform(F.filter(F.split("p_name", " "), lambda w: F.lit(False)), topic))
-    return table(spark, sf_dir, "part").join(placed, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+    place = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("municipality_id"))
+    first = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("supp")).join(place, F.col("supp") == F.col("s_suppkey"), "left").select("l_partkey", "municipality_id")
+    parts = table(spark, sf_dir, "part").join(first, F.col("p_partkey") == F.col("l_partkey"), "left").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("organization"), F.col("p_type").alias("direction"), "municipality_id",
         F.nullif(size % 3, F.lit(0)).alias("form"), (size % 6).alias("level"), F.when(size % 10 == 0, 3).otherwise(1).alias("enrollment"),
-        (size * 6).alias("age_min"), F.when(size % 11 != 0, size * 6 + 36).alias("age_max"), F.array(F.lower("p_type")).alias("keywords"), "groups",
+        (size * 6).alias("age_min"), F.when(size % 11 != 0, size * 6 + 36).alias("age_max"), F.array(F.lower("p_type")).alias("keywords"),
         F.array(F.struct((size % 20).alias("low"), (size % 20 + 4).alias("high"))).alias("modules"), topics.alias("topics"), (size % 9 != 0).alias("topics_known"), F.lit("about ring work").alias("annotation"),
     )
+    if profile is not None:
+        parts = parts.where(ranking.may_pass(profile))
+        lines = lines.join(parts.select("id"), F.col("l_partkey") == F.col("id"), "left_semi")
+    groups = lines.select(
+        "l_partkey",
+        F.struct(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("price"), (F.col("l_quantity") - 10).cast("int").alias("free"),
+            fx.weekday(F.date_format("l_shipdate", "EEE")).alias("day"), (F.col("l_linenumber") * 3).alias("hour"),
+        ).alias("g"),
+    ).groupBy("l_partkey").agg(F.array_sort(F.collect_list("g")).alias("groups"))
+    return parts.join(groups, F.col("id") == F.col("l_partkey"), "left").drop("l_partkey")
 
 
 def _term(text: str, terms) -> str:
@@ -163,7 +170,8 @@ def rank_reason_counts(spark, sf_dir):
 
 @register("rank_topk", f"with {scored_sql(OPEN)} select id, p_name as name, score from scored where score > 0 order by score desc, id limit 10")
 def rank_topk(spark, sf_dir):
-    return ranking.top(scored(spark, sf_dir, OPEN)).select("id", "name", F.col("score").cast("int").alias("score"))
+    found = ranking.score(candidates(spark, sf_dir, OPEN), OPEN)
+    return ranking.top(found).select("id", "name", F.col("score").cast("int").alias("score"))
 
 
 @register("rank_best_group", """select id, best, score::int as score from (select l_partkey as id, l_orderkey * 10 + l_linenumber as best, s as score, row_number() over (partition by l_partkey order by s desc, l_orderkey * 10 + l_linenumber, l_extendedprice, (l_quantity - 10)::int, lower(dayname(l_shipdate))) as rn from (
@@ -200,7 +208,7 @@ def rank_topic_groups(spark, sf_dir):
 @register("rank_card")
 def rank_card(spark, sf_dir):
     """Cards of the ranked programmes: label, schedule of up to three days, price, topics."""
-    found = ranking.top(scored(spark, sf_dir, OPEN))
+    found = ranking.top(ranking.score(candidates(spark, sf_dir, OPEN), OPEN))
     days = F.slice(F.array_distinct(F.transform("groups", lambda g: g["day"])), 1, 3)
     price = F.array_min(F.transform("groups", lambda g: g["price"]))
     return found.select("id", F.concat_ws(" · ", "name", "organization").alias("label"), F.array_join(days, ", ").alias("schedule"), fx.format_price(price).alias("price"), F.array_join(F.slice(F.transform("topics", lambda t: t["name"]), 1, 6), ", ").alias("topics"), "score")

@@ -51,9 +51,9 @@ def flt_keyset(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderkey > 500").select("o_orderkey", "o_custkey")
 
 
-@register("flt_null_document", "select doc_id from documents where text is not null and source is not null order by doc_id limit 50")
+@register("flt_null_document", "select doc_id from documents where text is not null and source is not null")
 def flt_null_document(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null and source is not null").orderBy("doc_id").select("doc_id").limit(50)
+    return table(spark, sf_dir, "documents").where("text is not null and source is not null").select("doc_id")
 
 
 @register("flt_scope", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_partkey in (select p_partkey from part where p_type = 'PROMO')")
@@ -293,9 +293,9 @@ def win_topn_per_key(spark, sf_dir):
 
 @register("win_best_of_array", "select l_orderkey, l_linenumber as best from (select *, row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber, l_partkey) as rn from lineitem) where rn = 1")
 def win_best_of_array(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("g"))
-    best = F.array_max(F.transform("g", lambda x, i: F.struct(x["l_quantity"].alias("score"), (-i).alias("first"), x["l_linenumber"].alias("n"))))
-    return lines.select("l_orderkey", best["n"].alias("best"))
+    """The best element of a list that is never gathered: a maximum in parts."""
+    best = F.max(F.struct("l_quantity", (-F.col("l_linenumber")).alias("n"), (-F.col("l_partkey")).alias("p")))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((-best["n"]).alias("best"))
 
 
 @register("win_topic_order", "select doc_id, ordinal::int as ordinal, md5(line) as h from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as ordinal from documents)")
@@ -306,23 +306,26 @@ def win_topic_order(spark, sf_dir):
 
 @register("win_gap_top2", "select l_orderkey, (q[1] - coalesce(q[2], 0))::bigint as gap from (select l_orderkey, list(l_quantity order by l_quantity desc) as q from lineitem group by 1)")
 def win_gap_top2(spark, sf_dir):
-    top = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_quantity"), False).alias("q"))
-    return top.select("l_orderkey", (F.get("q", F.lit(0)) - F.coalesce(F.get("q", F.lit(1)), F.lit(0))).cast("bigint").alias("gap"))
+    """Two rows a key are kept, by Spark's group limit already before the shuffle."""
+    by = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"))
+    top = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.row_number().over(by).alias("rn")).where("rn <= 2")
+    at = lambda n: F.max(F.when(F.col("rn") == n, F.col("l_quantity")))
+    return top.groupBy("l_orderkey").agg((at(1) - F.coalesce(at(2), F.lit(0))).cast("bigint").alias("gap"))
 
 
-@register("srt_multi", "select o_orderkey, o_orderpriority, o_custkey from orders order by o_orderpriority, o_custkey desc, o_orderkey limit 100")
+@register("srt_multi", "select o_orderkey, o_orderpriority, o_custkey from orders order by o_orderpriority, o_custkey desc, o_orderkey")
 def srt_multi(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy("o_orderpriority", F.desc("o_custkey"), "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority", "o_custkey")
+    return table(spark, sf_dir, "orders").orderBy("o_orderpriority", F.desc("o_custkey"), "o_orderkey").select("o_orderkey", "o_orderpriority", "o_custkey")
 
 
-@register("srt_stable_score", "select p_partkey, p_size from part order by p_size desc, p_partkey limit 40")
+@register("srt_stable_score", "select p_partkey, p_size from part order by p_size desc, p_partkey")
 def srt_stable_score(spark, sf_dir):
-    return table(spark, sf_dir, "part").orderBy(F.desc("p_size"), "p_partkey").limit(40).select("p_partkey", "p_size")
+    return table(spark, sf_dir, "part").orderBy(F.desc("p_size"), "p_partkey").select("p_partkey", "p_size")
 
 
-@register("srt_nulls_last", "select p_partkey, nullif(p_size % 4, 0) as k from part order by k nulls last, p_partkey limit 60")
+@register("srt_nulls_last", "select p_partkey, nullif(p_size % 4, 0) as k from part order by k nulls last, p_partkey")
 def srt_nulls_last(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_size") % 4, F.lit(0)).alias("k")).orderBy(F.asc_nulls_last("k"), "p_partkey").limit(60)
+    return table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_size") % 4, F.lit(0)).alias("k")).orderBy(F.asc_nulls_last("k"), "p_partkey")
 
 
 @register("srt_array_position", "select p_partkey, list_position([9, 3, 7, 1], p_partkey)::bigint as place from part where p_partkey in (9, 3, 7, 1)")
@@ -378,8 +381,8 @@ def set_difference(spark, sf_dir):
 
 @register("set_intersects", "select o_orderkey, count(*) filter (where l_partkey % 10 = 3) > 0 as hit from orders join lineitem on o_orderkey = l_orderkey group by 1")
 def set_intersects(spark, sf_dir):
-    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 10).cast("int")).alias("digits"))
-    return table(spark, sf_dir, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.arrays_overlap("digits", F.array(F.lit(3))).alias("hit"))
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_partkey") % 10 == 3).alias("hit"))
+    return table(spark, sf_dir, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "hit")
 
 
 _OLD, _NEW = "o_orderkey % 4 <> 0", "o_orderkey % 3 = 0"

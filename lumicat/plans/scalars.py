@@ -42,11 +42,18 @@ def key(v: str) -> str:
 
 def clean(v: str) -> str:
     out = squeeze(f"translate(coalesce({v}, ''), '–—«»', '--\"\"')")
-    for pattern, to in fx.TOPIC_STRIPS:
-        out = sub(out, pattern, to)
+    for _, pattern in fx.TOPIC_STRIPS:
+        out = sub(out, pattern, "")
     return f"trim({out}, ' .;-')"
 
 
+def _pattern(ways) -> str:
+    both = lambda a, b: f"{a}.*{b}|{b}.*{a}"
+    return "|".join(w[0] if len(w) == 1 else both(*w) for w in ways)
+
+
+ACTIVITY_PATTERNS = [(name, _pattern(ways)) for name, *ways in fx.ACTIVITIES]
+
 scalar("fn_normalize_text", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_text(F.col("text")))}, {"h": f"md5({norm('text')})"})
 scalar("fn_normalize_query", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_query(F.col("text")))}, {"h": f"md5({squeeze(norm('text'))})"})
 scalar("fn_normalize_search", "documents", "doc_id", lambda: {"h": F.md5(fx.normalize_search(F.col("text")))}, {"h": "md5(" + squeeze("translate(" + norm("text") + ", '«»\"“”''', '')") + ")"})
@@ -84,7 +91,7 @@ scalar("fn_ru_plural", "part", "p_partkey", lambda: {"word": fx.ru_plural(F.col(
 scalar("fn_age_label", "part", "p_partkey", lambda: {"label": fx.age_label(F.nullif(F.col("p_size") % 5, F.lit(0)), F.nullif(F.col("p_size") % 7, F.lit(0)))}, {"label": "case when p_size % 5 <> 0 and p_size % 7 <> 0 then (p_size % 5) || '-' || (p_size % 7) || ' лет' when p_size % 5 <> 0 then 'от ' || (p_size % 5) || ' лет' when p_size % 7 <> 0 then 'до ' || (p_size % 7) || ' лет' else '' end"})
 scalar("fn_group_size_class", "part", "p_partkey", lambda: {"size_class": fx.group_size_class(F.col("p_size") % 20, F.col("p_size") % 20 + 4)}, {"size_class": "case when p_size % 20 + 2 <= 10 or p_size % 20 + 4 <= 10 then 'small' when p_size % 20 >= 15 or p_size % 20 + 2 >= 16 then 'large' else 'medium' end"})
 _ACT = key("coalesce(source, '') || ' ' || coalesce(text, '')")
-scalar("fn_activity_type", "documents", "doc_id", lambda: {"activity": fx.activity_type(F.col("source"), F.col("text"))}, {"activity": "case " + " ".join(f"when regexp_matches({_ACT}, '{p}') then '{n}'" for n, p in fx.ACTIVITIES) + " else coalesce(nullif(source, ''), 'не определено') end"})
+scalar("fn_activity_type", "documents", "doc_id", lambda: {"activity": fx.activity_type(F.col("source"), F.col("text"))}, {"activity": "case " + " ".join(f"when regexp_matches({_ACT}, '{p}') then '{n}'" for n, p in ACTIVITY_PATTERNS) + " else coalesce(nullif(source, ''), 'не определено') end"})
 scalar("fn_url_program_id", "pages", "page_id", lambda: {"program_id": fx.url_program_id(F.col("url"))}, {"program_id": "try_cast(coalesce(nullif(regexp_extract(url, '[?&]id=([0-9]+)', 1), ''), nullif(regexp_extract(url, '/program/([0-9]+)', 1), ''), nullif(regexp_extract(url, '/([0-9]+)(?:[/.?#]|$)', 1), '')) as bigint)"})
 scalar("fn_url_links", "pages", "page_id", lambda: {"links": F.array_join(fx.url_links(F.concat(F.lit("see "), F.col("url"), F.lit(", and "), F.col("url"), F.lit("). http://x.test")), "example."), " ")}, {"links": "regexp_replace(url, '[.,;:!?)]+$', '')"})
 scalar("fn_classifier_keys", "part", "p_partkey", lambda: {"keys": F.array_join(fx.classifier_keys(F.when(F.col("p_size") % 4 == 0, "unknown").otherwise(F.col("p_brand")), F.col("p_type")), "|")}, {"keys": "case when p_size % 4 = 0 then '' else 'code:' || p_brand || '|' end || 'name:' || lower(p_type)"})

@@ -49,7 +49,7 @@ _NOISE += " ".join(f"when regexp_matches(topic_key, '{p}') then '{r}'" for p, r
 _MANUAL = lambda i: "case " + " ".join(f"when regexp_matches(topic_key, '{m[0]}') then '{m[i]}'" for m in TEST.manual) + " else '' end"
 _SERVICE = "case " + " ".join(f"when {_any('topic_key', n)} and ({'not ' + _CONTENT if g else 'true'}) then '{c}'" for c, n, g in TEST.service) + " else '' end"
 _ACTIVITY_TEXT = sql.key("' ' || raw")
-_ACTIVITY = "case " + " ".join(f"when regexp_matches(activity_key, '{p}') then '{n}'" for n, p in sql.fx.ACTIVITIES) + " else 'не определено' end"
+_ACTIVITY = "case " + " ".join(f"when regexp_matches(activity_key, '{p}') then '{n}'" for n, p in sql.ACTIVITY_PATTERNS) + " else 'не определено' end"
 
 _NORMALIZED = f"""{_ROWS},
 cleaned as (select *, {sql.clean('raw')} as clean_name, {_ACTIVITY_TEXT} as activity_key from rows1),
@@ -81,8 +81,8 @@ def top_service(spark, sf_dir):
 
 @register("top_manual", f"with {_NORMALIZED}, m as (select record_type, {_MANUAL(2)} as code from normalized where noise_reason = '') select code, record_type, count(*)::bigint as n from m where code <> '' group by 1, 2")
 def top_manual(spark, sf_dir):
-    out = topics.normalize(topic_rows(spark, sf_dir), TEST).where("noise_reason = ''").withColumn("code", topics.manual_code(F.col("topic_key"), TEST, 2))
-    return out.where("code <> ''").groupBy("code", "record_type").agg(F.count("*").alias("n"))
+    out = topics.normalize(topic_rows(spark, sf_dir), TEST).where("manual_code <> ''")
+    return out.groupBy(F.col("manual_code").alias("code"), "record_type").agg(F.count("*").alias("n"))
 
 
 @register("top_scope", "select doc_id, case when lang in ('fr', 'es') then 'romance' else 'other' end as scope from documents")
@@ -97,7 +97,7 @@ agg as (select program_id, record_type, coalesce(nullif(topic_key, ''), 'unknown
 
 
 def aggregates(spark, sf_dir):
-    return topics.aggregate(topics.normalize(topic_rows(spark, sf_dir), TEST))
+    return topics.aggregate(topics.normalize(topics.distinct_names(topic_rows(spark, sf_dir)), TEST))
 
 
 @register("top_aggregate", f"with {_AGGREGATED} select program_id, record_type, md5(topic_key) as key_hash, md5(topic_name) as name_hash, rows, first_order, hours_total::bigint as hours, hours_control::bigint as control from agg")

@@ -152,6 +152,50 @@ def test_kmeans_settles(spark, sf_dir):
     assert {r.settled for r in cluster.kmeans(points, k=2, rounds=80).collect()} == {True}
 
 
+def brute_kmeans(rows, k, rounds):
+    """Labels by id, and whether they settled, with plain loops over numpy rows."""
+    import numpy as np
+
+    ids, weight = [r[0] for r in rows], np.array([r[2] for r in rows])
+    v = np.array([r[1] for r in rows], dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if len(rows) <= k:
+        return {ids[i]: n for n, i in enumerate(sorted(range(len(rows)), key=lambda i: (-weight[i], ids[i])))}, True
+    centres = [v[min(range(len(rows)), key=lambda i: (-weight[i], ids[i]))]]
+    while len(centres) < k:
+        score = (1 - (v @ np.array(centres).T).max(axis=1)) * weight
+        centres.append(v[min(range(len(rows)), key=lambda i: (-score[i], ids[i]))])
+    labels = None
+    for _ in range(rounds):
+        found = (v @ np.array(centres).T).argmax(axis=1)
+        if labels is not None and (found == labels).all():
+            return dict(zip(ids, found)), True
+        labels = found
+        for c in range(k):
+            total = (v[labels == c] * weight[labels == c, None]).sum(axis=0)
+            centres[c] = total / np.linalg.norm(total)
+    return dict(zip(ids, labels)), False
+
+
+@pytest.mark.parametrize("k,rounds", [(12, 80), (20, 3), (3, 1), (60, 5), (90, 5)])
+def test_kmeans_brute(spark, k, rounds):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], 1.0 + rng.random()) for i in range(60)]
+    got = cluster.kmeans(spark.createDataFrame(rows, "id long, v array<double>, weight double"), k=k, rounds=rounds).collect()
+    labels, settled = brute_kmeans(rows, k, rounds)
+    assert {r.id: r.cluster for r in got} == labels and {r.settled for r in got} == {settled}
+
+
+def test_kmeans_of_few_different_points(spark):
+    """Centres without points are drawn anew; more clusters than different points settle all the same."""
+    rows = [(i, [1.0, float(i % 3)], 1.0) for i in range(30)]
+    got = cluster.kmeans(spark.createDataFrame(rows, "id long, v array<double>, weight double"), k=7, rounds=20).collect()
+    assert len(got) == 30 and all(r.similarity > 1 - 1e-9 for r in got) and len({r.cluster for r in got}) == 3
+    assert cluster.kmeans(spark.createDataFrame([], "id long, v array<double>, weight double")).count() == 0
+
+
 def test_tfidf_is_normalised(spark):
     rows = cluster.aggregate(spark.createDataFrame([("робот мотор", 1, "2"), ("робот датчик", 2, "1"), ("мотор", 1, "1")], "topic string, program long, hours string"))
     norms = cluster.tfidf(rows, []).groupBy("topic").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
@@ -179,3 +223,31 @@ def test_entry_point_without_llm(monkeypatch):
     assert "rank_topk" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     sys.modules.pop("corpus_pipeline", None)
+
+
+def test_russian_collation(spark, tmp_path):
+    """The collated order against a key that ranks letters, yo behind ye, case last."""
+    letters = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+    names = ["Ёлка", "елка", "Ель", "яма", "Абак", "абак", "ежик", "ёж", "Жук", "едок"]
+    spark.createDataFrame([(i, n) for i, n in enumerate(names)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = [r.p_name for r in registry.queries()["srt_collation_ru"](spark, str(tmp_path)).collect()]
+    ye = lambda n: [letters.index(c) for c in n.lower().replace("ё", "е")]
+    assert got == sorted(names, key=lambda n: (ye(n), "ё" in n.lower(), n[0].isupper()))
+
+
+def test_cards_brute(spark, sf_dir):
+    """Cards against the tables, programme by programme."""
+    queries = registry.queries()
+    ids = [r.id for r in queries["rank_topk"](spark, sf_dir).collect()]
+    cards = queries["rank_card"](spark, sf_dir).collect()
+    assert [r.id for r in cards] == ids
+    parts = {r.p_partkey: r for r in spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_partkey").isin(ids)).collect()}
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_partkey").isin(ids)).collect()
+    for r in cards:
+        own = sorted((x.l_orderkey * 10 + x.l_linenumber, x.l_extendedprice, x.l_shipdate) for x in lines if x.l_partkey == r.id)
+        days = list(dict.fromkeys(x[2].strftime("%A").lower() for x in own))[:3]
+        part = parts[r.id]
+        assert r.label == f"{part.p_name} · {part.p_brand}" and r.schedule == ", ".join(days)
+        low = Decimal(str(min(x[1] for x in own))).quantize(Decimal(1), "ROUND_HALF_UP")
+        assert r.price.replace(" ", "") == f"{low}₽"
+        assert r.topics == (", ".join(part.p_name.split(" ")[:6]) if part.p_size % 4 else "")
