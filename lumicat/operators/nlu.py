@@ -1,118 +1,227 @@
 """Understanding of short free-text requests, as pure expressions of one text column.
 
-Lexicons are data. Words are matched between non-letters, never with word
-boundaries, so Latin and Cyrillic behave alike.
+Lexicons are data (``operators/lexicon.py``) and may be replaced. Words are
+matched between non-letters, never with word boundaries, so Latin and Cyrillic
+behave alike. Every function takes the whole text; none looks at its length only.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
+from lumicat.operators import lexicon
+from lumicat.operators.lexicon import Activity, Direction
 from lumicat.operators.rules import first_match
 
 EDGE = r"[^a-zа-я0-9]"
+AGE_RANGE = r"([0-9]{1,2}) *[-–] *([0-9]{1,2})"
+AGE_NUMBER = r"(^|[^0-9])([0-9]{1,2})"
 
 
 def whole(words: str) -> str:
     return rf"(^|{EDGE})({words})({EDGE}|$)"
 
 
-def age_years(text: Column) -> Column:
-    """The mean of a range, else the first number that is an age, else an age word."""
+def name_pattern(name: str) -> str:
+    """A place name in any case, words parted by blanks or hyphens."""
+
+    def word(w: str) -> str:
+        if len(w) <= 4 or w.isdigit():
+            return re.escape(w)
+        end, cut, forms = next(x for x in lexicon.NAME_ENDINGS if w.endswith(x[0]))
+        return re.escape(w[: len(w) - cut]) + f"({forms})"
+
+    words = [w for w in re.split(r"[\s-]+", name.lower().replace("ё", "е")) if w]
+    return "[ -]+".join(map(word, words))
+
+
+def age_years(text: Column, words: Sequence[tuple[str, int]] = lexicon.AGE_WORDS) -> Column:
+    """The mean of a range, else the first one or two digits if they are an age, else an age word."""
     t = fx.normalize_query(text)
-    low = F.regexp_extract(t, r"(^|[^0-9])([0-9]{1,2}) ?- ?([0-9]{1,2})([^0-9]|$)", 2)
-    high = F.regexp_extract(t, r"(^|[^0-9])([0-9]{1,2}) ?- ?([0-9]{1,2})([^0-9]|$)", 3)
-    number = F.nullif(F.regexp_extract(t, r"(^|[^0-9])([0-9]{1,2})([^0-9]|$)", 2), F.lit("")).cast("int")
-    return (
-        F.when(low != "", F.floor((low.cast("int") + high.cast("int") + 1) / 2).cast("int"))
-        .when(fx.age_bucket(number).isNotNull(), number)
-        .when(t.rlike(whole("первоклассник[а-я]*|first grader")), 7)
-        .when(t.rlike(whole("подрост[а-я]*|teenager")), 13)
-        .when(t.rlike(whole("школьник[а-я]*|pupil")), 8)
-    )
+    low, high = (F.regexp_extract(t, AGE_RANGE, i) for i in (1, 2))
+    number = F.nullif(F.regexp_extract(t, AGE_NUMBER, 2), F.lit("")).cast("int")
+    out = F.when(low != "", F.floor((low.cast("int") + high.cast("int") + 1) / 2).cast("int")).when(fx.age_bucket(number).isNotNull(), number)
+    for pattern, years in words:
+        out = out.when(t.rlike(pattern), years)
+    return out
+
 
+def age_is_unsure(text: Column, words: Sequence[tuple[str, int]] = lexicon.AGE_WORDS) -> Column:
+    """Whether the age is a range or a word."""
+    t = fx.normalize_query(text)
+    number = F.nullif(F.regexp_extract(t, AGE_NUMBER, 2), F.lit("")).cast("int")
+    return t.rlike(AGE_RANGE) | (fx.age_bucket(number).isNull() & t.rlike("|".join(p for p, _ in words)))
 
-def age_is_range(text: Column) -> Column:
-    return fx.normalize_query(text).rlike(r"(^|[^0-9])[0-9]{1,2} ?- ?[0-9]{1,2}([^0-9]|$)")
 
+def places(text: Column, names: Sequence[str] = tuple(lexicon.PLACES)) -> Column:
+    """Distinct known places in any grammatical case, by first position, then list order.
 
-def places(text: Column, names: list[str]) -> Column:
-    """Distinct known places by first position, then list order."""
+    A pattern runs only where the text holds the beginning that all its forms share.
+    """
     t = fx.normalize_search(text)
-    found = F.array(*[F.struct(F.regexp_instr(t, F.lit(whole(n.lower()))).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
+
+    def at(name: str) -> Column:
+        pattern = name_pattern(name)
+        stem = re.split(r"\(|\[", pattern)[0].replace("\\", "")
+        return F.when(t.contains(stem), F.regexp_instr(t, F.lit(whole(pattern)))).otherwise(0)
+
+    found = F.array(*[F.struct(at(n).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
     return F.transform(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), lambda x: x["n"])
 
 
-def directions(text: Column, rules: list[tuple[str, str]]) -> Column:
+def directions(text: Column, rules: Sequence[Direction] = lexicon.DIRECTIONS) -> Column:
     """All directions whose pattern hits, in rule order."""
     t = fx.normalize_query(text)
-    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in rules]))
+    return F.array_compact(F.array(*[F.when(t.rlike(r.pattern), F.lit(r.value)) for r in rules]))
 
 
-def first_direction(text: Column, rules: list[tuple[str, str]]) -> Column:
+def first_direction(text: Column, rules: Sequence[Direction] = lexicon.DIRECTIONS) -> Column:
     t = fx.normalize_query(text)
-    return first_match([(t.rlike(p), F.lit(n)) for n, p in rules], F.lit(None).cast("string"))
+    return first_match([(t.rlike(r.pattern), F.lit(r.value)) for r in rules], F.lit(None).cast("string"))
+
+
+def interests(text: Column, rules: Sequence[tuple[str, str]] = lexicon.INTERESTS) -> Column:
+    """All broad interests whose pattern hits, in rule order."""
+    t = fx.normalize_query(text)
+    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in rules]))
 
 
-def activities(text: Column, entries: list[tuple[str, str, str]]) -> Column:
-    """Per (term, pattern, direction) that hits: term, direction, negated.
+def activities(text: Column, entries: Sequence[Activity] = lexicon.ACTIVITIES) -> Column:
+    """Per activity that hits: name, terms, interests, direction, negated.
 
-    Negated means a negation among the 32 characters before the first hit.
+    Patterns of an entry are tried in order. Negated means a negation among the
+    32 characters before the first hit.
     """
     t = fx.normalize_query(text)
 
-    def one(term: str, pattern: str, direction: str) -> Column:
-        before = F.right(F.regexp_extract(t, f"^(.*?)({pattern})", 1), F.lit(32))
-        return F.when(t.rlike(pattern), F.struct(F.lit(term).alias("term"), F.lit(direction).alias("direction"), negated(before).alias("negated")))
+    def one(e: Activity) -> Column:
+        hit = F.lit(False)
+        before = F.lit("")
+        for pattern in reversed(e.patterns):
+            before = F.when(t.rlike(pattern), F.right(F.regexp_extract(t, f"^(.*?)({pattern})", 1), F.lit(32))).otherwise(before)
+            hit = hit | t.rlike(pattern)
+        texts = lambda values: F.array(*[F.lit(v) for v in values])
+        return F.when(hit, F.struct(F.lit(e.name).alias("name"), texts(e.terms).alias("terms"), texts(e.interests).alias("interests"), F.lit(e.direction).alias("direction"), negated(before).alias("negated")))
+
+    return F.array_compact(F.array(*[one(e) for e in entries]))
 
-    return F.array_compact(F.array(*[one(*e) for e in entries]))
 
+def negated(before: Column, words: str = lexicon.NEGATIONS) -> Column:
+    """Whether a text ends in a negation, perhaps with one word or part of it behind."""
+    return before.rlike(rf"(^| )({words}) +[а-я-]{{0,16}}$|(^| )({words}|не +нужн[а-я]*) +$")
 
-def negated(before: Column) -> Column:
-    return before.rlike(rf"(^|{EDGE})(не|без|кроме|исключить|но не|not|no|without|except)( [a-zа-я]+)?{EDGE}*$")
 
+def raw_term(text: Column, triggers: Sequence[str] = lexicon.TRIGGERS, stop: Sequence[str] = lexicon.STOPWORDS) -> Column:
+    """The first word behind a trigger word that, without its ending, is long enough and no stop word or number."""
+    words = F.filter(F.split(fx.normalize_query(text), r"[^a-zа-я0-9-]+"), lambda w: w != "")
+    behind = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(F.get(words, i - 1).alias("a"), w.alias("w"))), lambda x: x["a"].isin(list(triggers))), lambda x: F.regexp_replace(x["w"], f"({lexicon.TERM_ENDINGS})$", ""))
+    return F.get(F.filter(behind, lambda w: (F.length(w) >= 4) & ~w.isin(list(stop)) & ~w.rlike("^[0-9]+$")), F.lit(0))
 
-def raw_term(text: Column, triggers: str, stop: list[str]) -> Column:
-    """The word behind a trigger word without its ending, if it is long enough and no stop word."""
-    word = F.regexp_extract(fx.normalize_query(text), rf"(^|{EDGE})({triggers}) +([a-zа-яéèêçñóíüöäß]+)", 3)
-    stem = F.regexp_replace(word, "(ами|ями|ого|ему|ing|es|s|а|у|ы|и|ом)$", "")
-    return F.when((F.length(stem) >= 4) & ~word.isin(stop), stem)
+
+def specific_interests(text: Column, entries: Sequence[Activity] = lexicon.ACTIVITIES) -> Column:
+    """A struct of interests, terms, labels, excluded and direction.
+
+    Terms of activities that are not negated; without any, the raw term of the
+    text unless it is negated itself. The direction is given if it is the only one.
+    """
+
+    def made(found: Column) -> Column:
+        good = F.filter(found, lambda a: ~a["negated"])
+        flat = lambda acts, part: F.array_distinct(F.flatten(F.transform(acts, lambda a: a[part])))
+        one = F.array_distinct(F.transform(good, lambda a: a["direction"]))
+        raw = raw_term(text)
+        t = fx.normalize_query(text)
+        usable = (F.size(good) == 0) & raw.isNotNull() & ~negated(F.right(F.left(t, F.instr(t, raw) - 1), F.lit(32)))
+        own = F.when(usable, F.array(raw))
+        return F.struct(
+            flat(good, "interests").alias("interests"),
+            F.coalesce(own, flat(good, "terms")).alias("terms"),
+            F.coalesce(own, F.transform(good, lambda a: a["name"])).alias("labels"),
+            flat(F.filter(found, lambda a: a["negated"]), "terms").alias("excluded"),
+            F.when(F.size(one) == 1, F.get(one, F.lit(0))).alias("direction"),
+        )
+
+    return F.get(F.transform(F.array(activities(text, entries)), made), F.lit(0))
 
 
 def budget(text: Column) -> Column:
+    """Free, or an upper bound in roubles, as a text; empty where none is named."""
+    t = fx.normalize_query(text)
+    first = F.regexp_extract(t, r"до *([0-9][0-9 ]*) *(₽|руб)", 1)
+    named = F.regexp_extract(t, r"бюджет *[: до]* *([0-9][0-9 ]*)", 1)
+    return F.when(t.contains("бесплатн"), "бесплатно").when(first != "", F.concat(F.lit("до "), F.trim(first), F.lit(" рублей"))).when(named != "", F.concat(F.lit("до "), F.trim(named), F.lit(" рублей"))).otherwise("")
+
+
+def schedule(text: Column, rules: Sequence[tuple[str, str]] = lexicon.SCHEDULE) -> Column:
+    t = fx.normalize_query(text)
+    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in rules]))
+
+
+def attendance(text: Column, rules: Sequence[tuple[int, str]] = lexicon.FORMS) -> Column:
+    """2 for mixed, 3 for remote, 1 for in person."""
+    t = fx.normalize_query(text)
+    out = F.when(F.lit(False), 0)
+    for number, pattern in rules:
+        out = out.when(t.rlike(pattern), number)
+    return out
+
+
+def goal(text: Column, rules: Sequence[tuple[str, str]] = lexicon.GOALS) -> Column:
+    return first_of(text, rules)
+
+
+def first_of(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """The name of the first rule whose pattern hits, or null: experience, adaptation and the like."""
     t = fx.normalize_query(text)
-    amount = F.regexp_extract(t, r"(до|under|up to) ?([0-9][0-9 ]*) ?(₽|руб|eur|usd|dollars)", 2)
-    named = F.regexp_extract(t, r"(бюджет|budget) ?:? ?([0-9]+)", 2)
-    return F.when(t.rlike(whole("бесплатн[а-я]*|free")), "0").when(amount != "", F.replace(F.trim(amount), F.lit(" "), F.lit(""))).when(named != "", named)
+    return first_match([(t.rlike(p), F.lit(n)) for n, p in rules], F.lit(None).cast("string"))
 
 
-def schedule(text: Column) -> Column:
+def scenario(text: Column) -> Column:
+    """What a request asks for: a plan, another programme, a first choice, or which questions are open."""
     t = fx.normalize_query(text)
-    after = t.rlike("после школы|after school")
-    return F.array_distinct(F.array_compact(F.array(F.when(t.rlike("будн|weekday") | after, F.lit("weekdays")), F.when(t.rlike("выходн|weekend"), F.lit("weekend")), F.when(t.rlike("утр|morning"), F.lit("morning")), F.when(t.rlike("вечер|evening") | after, F.lit("evening")))))
+    wish = (F.size(interests(text)) > 0) | goal(text).isNotNull()
+    bound = (budget(text) != "") | (F.size(schedule(text)) > 0)
+    return (
+        F.when(t.rlike(lexicon.TRAJECTORY), "build_trajectory")
+        .when(F.coalesce(first_of(text, lexicon.EXPERIENCE).isin("active", "new"), F.lit(False)), "switch_program")
+        .when(bound & wish, "first_time_selection")
+        .when(bound, "clarify_constraints")
+        .when(wish | age_years(text).isNotNull(), "clarify_preferences")
+        .otherwise("fallback")
+    )
 
 
-def attendance(text: Column) -> Column:
+def avoidances(text: Column, rules: Sequence[tuple[str, str]] = lexicon.AVOIDANCES) -> Column:
     t = fx.normalize_query(text)
-    return F.when(t.rlike("смешан|mixed|hybrid"), 2).when(t.rlike("дистанц|онлайн|remote|online"), 3).when(t.rlike("очно|лично|in person"), 1)
+    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in rules]))
 
 
-def goal(text: Column) -> Column:
+def conflict(text: Column) -> Column:
+    """Sports wished for beside a wish for calm or against an intense pace."""
     t = fx.normalize_query(text)
-    return F.when(t.rlike("олимпиад|соревнован|compet|contest"), "achieve").when(t.rlike("подготов|поступлен|exam|prepare"), "prepare").when(t.rlike("попробов|интересно|try|discover"), "discover")
+    return F.array_contains(interests(text), "sports") & (t.rlike(lexicon.CALM_WISHES) | F.array_contains(avoidances(text), "intense"))
 
 
-def avoidances(text: Column) -> Column:
+def corrected(text: Column) -> Column:
+    """Of "not X but Y" the part behind "but", else the text."""
     t = fx.normalize_query(text)
-    return F.array_compact(F.array(F.when(t.rlike("шум|noise|noisy"), F.lit("noise")), F.when(t.rlike("травм|injur"), F.lit("injury")), F.when(t.rlike("далеко|far away"), F.lit("distance"))))
+    return F.coalesce(F.nullif(F.regexp_extract(t, r"(^| )не +.+? +а +(.+)$", 2), F.lit("")), t)
 
 
 def missing(age: Column, place: Column, interest: Column) -> Column:
     return F.array_compact(F.array(F.when(age.isNull(), F.lit("age")), F.when(F.coalesce(place, F.lit("")) == "", F.lit("place")), F.when(F.coalesce(interest, F.lit("")) == "", F.lit("interest"))))
 
 
+def ask_model(text: Column, n_missing: Column, unsure: Column) -> Column:
+    """A model is asked only where something is missing or unsure, or the text is long."""
+    return (n_missing > 0) | unsure | (F.length(text) > 160)
+
+
 def profile_confidence(n_interests: Column, n_avoid: Column, has_goal: Column) -> Column:
     points = F.when(n_interests >= 2, 1).otherwise(0) + F.when(n_interests >= 2, 1).otherwise(0) + F.when(n_avoid > 0, 1).otherwise(0) + F.when(has_goal, 1).otherwise(0) - F.when(n_interests >= 4, 1).otherwise(0)
     return F.when(points >= 4, "high").when(points >= 2, "medium").otherwise("low")

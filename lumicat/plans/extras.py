@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
-from lumicat.operators import cluster, nlu
-from lumicat.operators.staging import staged
+from lumicat.operators import cluster
 from lumicat.plans.registry import register
-from lumicat.plans.scalars import norm, squeeze
 from lumicat.session import table
 
-_Q = squeeze(norm("text"))
-
-
 @register(
     "rank_context",
     """select c_custkey, case when c_nationkey % 4 = 0 then 's3' when c_nationkey % 4 = 1 then 's4' else 's1' end as scenario, c_custkey % 19 as years,
@@ -54,22 +49,6 @@ def rank_mock(spark, sf_dir):
     return users.withColumn("interest", wanted).join(programs, "interest").groupBy("user_id").agg(F.min(F.struct("id", "program"))["program"].alias("program"))
 
 
-@register(
-    "nlu_llm_heuristics",
-    f"""with t as (select conv_id, turn, role, {_Q} as q, length(text) as n from conversations)
-    select conv_id, turn, role, case when n % 23 between 3 and 4 then '3-4' when n % 23 between 5 and 6 then '5-6' when n % 23 between 7 and 9 then '7-9' when n % 23 between 10 and 12 then '10-12' when n % 23 >= 13 then '13+' end as bucket,
-      case when regexp_matches(q, 'contest|exam') then 'trained' when regexp_matches(q, '(^|[^a-z])(the|la)([^a-z]|$)') then 'some' else 'none' end as experience,
-      case when n > 400 then 's3' else 's1' end as scenario from t""",
-)
-def nlu_llm_heuristics(spark, sf_dir):
-    """Detectors that run behind a model's answer: open-ended age bucket, experience, scenario."""
-    rows = staged(table(spark, sf_dir, "conversations"), q=fx.normalize_query(F.col("text")), n=F.length("text"))
-    years = F.col("n") % 23
-    bucket = F.when(years >= 13, "13+").otherwise(fx.age_bucket(years))
-    experience = F.when(F.col("q").rlike("contest|exam"), "trained").when(F.col("q").rlike(nlu.whole("the|la").replace(nlu.EDGE, "[^a-z]")), "some").otherwise("none")
-    return rows.select("conv_id", "turn", "role", bucket.alias("bucket"), experience.alias("experience"), F.when(F.col("n") > 400, "s3").otherwise("s1").alias("scenario"))
-
-
 @register("clu_init")
 def clu_init(spark, sf_dir):
     """Points by their initial centre: farthest-point choice without a refining round."""

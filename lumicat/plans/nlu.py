@@ -1,78 +1,145 @@
-"""Request understanding over the turns of conversations, with a lexicon for the test texts."""
+"""Request understanding over the turns of conversations.
+
+The test texts are invented words, so each turn is read together with one of a
+few planted requests; both engines look at the whole joined text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
-from lumicat.operators import nlu
+from lumicat.operators import lexicon, nlu
 from lumicat.operators.staging import staged
 from lumicat.plans.registry import register
 from lumicat.plans.scalars import norm, squeeze
 from lumicat.session import table
 
+PHRASES = [
+    "ребенку 7-9 лет, робототехника в Кировске, до 3 000 руб", "сыну 12 лет, не футбол а шахматы", "занятия по баскетболу в Оленегорске, вечером", "бесплатно, дочери 5, рисование в Варзуге", "подросток, программирование онлайн",
+    "ищем флорбол для школьника", "из Мурманска и Североморска, танцы или театр", "спорт без футбола, спокойный темп", "бюджет: 1500, выходные", "после школы, смешанный формат", "первый кружок, не любит шумные группы", "хотим что-то новое, не зашло",
+    "интересует керамика", "план на год по физике и математике", "перегруз на секции плавания, нужно другое", "уже ходит в кружок вокала, дисциплина важна", "первоклассник любит лепить", "20 лет в Полярных Зорях", "очно, рядом с домом, утром в субботу", "экскурсии и походы, краеведение",
+    "не нужны танцы", "кроме самбо и дзюдо", "однообразие утомляет, сцены боится", "просто разговор",
+]
+_PHRASE = "(array[" + ", ".join(f"'{p}'" for p in PHRASES) + f"])[1 + (conv_id * 7 + turn) % {len(PHRASES)}]"
+SPOKEN = f"(select conv_id, turn, role, text || ' ' || {_PHRASE} as text from conversations)"
 Q = squeeze(norm("text"))
-S = squeeze("translate(" + norm("text") + ", '«»\"“”''', '')")
-PLACES = ["thing", "eau", "la", "des", "ion", "erin"]
-DIRECTIONS = [("alpha", "the|ther"), ("beta", "eau|tion"), ("gamma", "ung|keit"), ("delta", "mente|ado")]
-ENTRIES = [("eaux", "eau[a-z]*", "beta"), ("thing", "thing", "alpha"), ("heit", "heit", "gamma"), ("ado", "ado", "delta")]
-STOP = ["that", "this"]
-KEYS = "conv_id,turn"
+S = squeeze("translate(" + norm("text") + ", '«»\"“”\'\'', '')")
 
 
 def turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(PHRASES))).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("text", F.lit(" "), phrase).alias("text"))
 
 
-def over_turns(name: str, columns: dict, sql: dict[str, str] | None, source: str = "conversations") -> None:
+def over_turns(name: str, columns: dict, sql: dict[str, str] | None) -> None:
     def query(spark, sf_dir):
-        return turns(spark, sf_dir).select("conv_id", "turn", "role", *[c().alias(n) for n, c in columns.items()])
+        return turns(spark, sf_dir).select("conv_id", "turn", "role", *[c(F.col("text")).alias(n) for n, c in columns.items()])
 
-    text = None if sql is None else f"with t as (select conv_id, turn, role, text, {Q} as q, {S} as s from {source}) select conv_id, turn, role, {', '.join(f'{v} as {k}' for k, v in sql.items())} from t"
+    text = None if sql is None else f"with t as (select conv_id, turn, role, text, {Q} as q, {S} as s from {SPOKEN}) select conv_id, turn, role, {', '.join(f'{v} as {k}' for k, v in sql.items())} from t"
     register(name, text)(query)
 
 
-# the test texts have no digits in conversations: ages come from their lengths
-AGED = lambda: F.concat(F.lit("ребенку "), (F.length("text") % 23).cast("string"), F.when(F.length("text") % 5 == 0, F.concat(F.lit("-"), (F.length("text") % 23 + 3).cast("string"))).otherwise(""), F.lit(" лет"))
-_BUCKETED = "((length(text) % 23) between 3 and 18)"
-
-over_turns("nlu_age", {"age": lambda: nlu.age_years(AGED()), "ambiguous": lambda: nlu.age_is_range(AGED())}, {"age": f"case when length(text) % 5 = 0 then floor((2 * (length(text) % 23) + 4) / 2.0)::int when {_BUCKETED} then (length(text) % 23)::int end", "ambiguous": "length(text) % 5 = 0"})
-_PLACE = lambda n: f"regexp_matches(s, '{nlu.whole(n)}')"
-over_turns("nlu_settlement", {"n_places": lambda: F.size(nlu.places(F.col("text"), PLACES)), "names": lambda: F.array_join(F.array_sort(nlu.places(F.col("text"), PLACES)), ",")}, {"n_places": "(" + " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + ")::int", "names": "array_to_string(list_sort(list_filter([" + ", ".join(f"case when {_PLACE(n)} then '{n}' end" for n in PLACES) + "], lambda x: x is not null)), ',')"})
-over_turns("nlu_place", {"place": lambda: F.when(F.size(nlu.places(F.col("text"), PLACES)) == 1, F.get(nlu.places(F.col("text"), PLACES), F.lit(0))), "ambiguous": lambda: F.size(nlu.places(F.col("text"), PLACES)) > 1}, {"place": "case when " + " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + " = 1 then case " + " ".join(f"when {_PLACE(n)} then '{n}'" for n in PLACES) + " end end", "ambiguous": " + ".join(f"{_PLACE(n)}::int" for n in PLACES) + " > 1"})
-_DIR = lambda p: f"regexp_matches(q, '{p}')"
-over_turns("nlu_direction", {"direction": lambda: nlu.first_direction(F.col("text"), DIRECTIONS)}, {"direction": "case " + " ".join(f"when {_DIR(p)} then '{n}'" for n, p in DIRECTIONS) + " end"})
-_DIRS = "list_filter([" + ", ".join(f"case when {_DIR(p)} then '{n}' end" for n, p in DIRECTIONS) + "], lambda x: x is not null)"
-over_turns("nlu_interests", {"interests": lambda: F.array_join(nlu.directions(F.col("text"), DIRECTIONS), ","), "broad": lambda: F.size(nlu.directions(F.col("text"), DIRECTIONS)) > 1}, {"interests": f"array_to_string({_DIRS}, ',')", "broad": f"len({_DIRS}) > 1"})
-over_turns("nlu_conflict", {"conflict": lambda: F.size(nlu.directions(F.col("text"), DIRECTIONS)) >= 3}, {"conflict": f"len({_DIRS}) >= 3"})
-_NEG = rf"(^|{nlu.EDGE})(не|без|кроме|исключить|но не|not|no|without|except)( [a-zа-я]+)?{nlu.EDGE}*$"
-_HIT = lambda p: f"regexp_matches(q, '{p}')"
-_NEGATED = lambda p: f"regexp_matches(right(regexp_extract(q, '^(.*?)({p})', 1), 32), '{_NEG}')"
-_terms = lambda want: "array_to_string(list_filter([" + ", ".join(f"case when {_HIT(p)} and {'' if want else 'not '}{_NEGATED(p)} then '{t}' end" for t, p, _ in ENTRIES) + "], lambda x: x is not null), ',')"
-_acts = lambda want: F.array_join(F.transform(F.filter(nlu.activities(F.col("text"), ENTRIES), lambda a: a["negated"] if want else ~a["negated"]), lambda a: a["term"]), ",")
-over_turns("nlu_activity_ontology", {"terms": lambda: _acts(False), "excluded": lambda: _acts(True)}, {"terms": _terms(False), "excluded": _terms(True)})
-over_turns("nlu_negation", {"negated": lambda: nlu.negated(F.right(fx.normalize_query(F.col("text")), F.lit(32)))}, {"negated": f"regexp_matches(right(q, 32), '{_NEG}')"})
-_WORD = rf"regexp_extract(q, '(^|{nlu.EDGE})(the|la|der) +([a-zа-яéèêçñóíüöäß]+)', 3)"
-_STEM = f"regexp_replace({_WORD}, '(ами|ями|ого|ему|ing|es|s|а|у|ы|и|ом)$', '')"
-over_turns("nlu_raw_term", {"term": lambda: nlu.raw_term(F.col("text"), "the|la|der", STOP)}, {"term": f"case when length({_STEM}) >= 4 and {_WORD} not in ('that', 'this') then {_STEM} end"})
-PRICED = lambda: F.when(F.length("text") % 4 == 0, "хочу бесплатно").when(F.length("text") % 4 == 1, F.concat(F.lit("до "), F.length("text").cast("string"), F.lit(" руб"))).when(F.length("text") % 4 == 2, F.concat(F.lit("budget: "), F.length("text").cast("string"))).otherwise(F.col("text"))
-over_turns("nlu_budget", {"budget": lambda: nlu.budget(PRICED())}, {"budget": "case when length(text) % 4 = 0 then '0' when length(text) % 4 in (1, 2) then length(text)::varchar when regexp_matches(q, '" + nlu.whole("бесплатн[а-я]*|free") + "') then '0' end"})
-TIMED = lambda: F.concat(F.when(F.length("text") % 3 == 0, "weekend mornings ").when(F.length("text") % 3 == 1, "after school ").otherwise(""), F.when(F.length("text") % 2 == 0, "online").otherwise(""))
-over_turns("nlu_schedule", {"schedule": lambda: F.array_join(nlu.schedule(TIMED()), ",")}, {"schedule": "case length(text) % 3 when 0 then 'weekend,morning' when 1 then 'weekdays,evening' else '' end"})
-over_turns("nlu_format", {"form": lambda: nlu.attendance(TIMED())}, {"form": "case when length(text) % 2 = 0 then 3 end"})
-over_turns("nlu_goal", {"goal": lambda: nlu.goal(F.concat(F.col("text"), F.when(F.length("text") % 3 == 0, " contest").when(F.length("text") % 3 == 1, " to discover").otherwise("")))}, {"goal": "case when length(text) % 3 = 0 or regexp_matches(q, 'олимпиад|соревнован|compet|contest') then 'achieve' when regexp_matches(q, 'подготов|поступлен|exam|prepare') then 'prepare' when length(text) % 3 = 1 or regexp_matches(q, 'попробов|интересно|try|discover') then 'discover' end"})
-over_turns("nlu_avoid", {"avoid": lambda: F.array_join(nlu.avoidances(F.concat(F.col("text"), F.when(F.length("text") % 2 == 0, " no noise").otherwise(" not far away"))), ",")}, {"avoid": "array_to_string(list_filter([case when length(text) % 2 = 0 or regexp_matches(q, 'шум|noise|noisy') then 'noise' end, case when regexp_matches(q, 'травм|injur') then 'injury' end, case when length(text) % 2 = 1 or regexp_matches(q, 'далеко|far away') then 'distance' end], lambda x: x is not null), ',')"})
-over_turns("nlu_llm_gate", {"ask": lambda: (F.length("text") > 160) | (F.size(nlu.directions(F.col("text"), DIRECTIONS)) == 0)}, {"ask": f"length(text) > 160 or len({_DIRS}) = 0"})
-over_turns("nlu_profile_confidence", {"confidence": lambda: nlu.profile_confidence(F.size(nlu.directions(F.col("text"), DIRECTIONS)), F.length("text") % 2, F.length("text") % 3 == 0)}, {"confidence": f"case when (len({_DIRS}) >= 2)::int * 2 + (length(text) % 2 > 0)::int + (length(text) % 3 = 0)::int - (len({_DIRS}) >= 4)::int >= 4 then 'high' when (len({_DIRS}) >= 2)::int * 2 + (length(text) % 2 > 0)::int + (length(text) % 3 = 0)::int - (len({_DIRS}) >= 4)::int >= 2 then 'medium' else 'low' end"})
-
-_AGE_SQL = f"case when length(text) % 5 = 0 then floor((2 * (length(text) % 23) + 4) / 2.0)::int when {_BUCKETED} then (length(text) % 23)::int end"
-_DIRECTION_SQL = "case " + " ".join(f"when {_DIR(p)} then '{n}'" for n, p in DIRECTIONS) + " end"
-_PARSED = f"t as (select conv_id, turn, role, text, {Q} as q, {S} as s from conversations), parsed as (select conv_id, turn, role, {_AGE_SQL} as age, {_DIRECTION_SQL} as interest, case when {' + '.join(f'{_PLACE(n)}::int' for n in PLACES)} = 1 then 'one' else '' end as place from t)"
+def _hit(pattern: str, value: str = "q") -> str:
+    return f"regexp_matches({value}, '{pattern}')"
+
+
+def _first(rules, otherwise: str = "null") -> str:
+    return "case " + " ".join(f"when {_hit(p)} then '{n}'" for n, p in rules) + f" else {otherwise} end"
+
+
+def _every(rules) -> str:
+    """The names of all rules that hit, as a list."""
+    return "list_filter([" + ", ".join(f"case when {_hit(p)} then '{n}' end" for n, p in rules) + "], lambda x: x is not null)"
+
+
+def _joined(values: str) -> str:
+    return f"array_to_string({values}, ',')"
+
+
+_NUMBER = f"try_cast(nullif(regexp_extract(q, '{nlu.AGE_NUMBER}', 2), '') as int)"
+_RANGE = lambda i: f"regexp_extract(q, '{nlu.AGE_RANGE}', {i})"
+_AGE_SQL = f"case when {_RANGE(1)} <> '' then floor(({_RANGE(1)}::int + {_RANGE(2)}::int + 1) / 2.0)::int when {_NUMBER} between 3 and 18 then {_NUMBER} " + " ".join(f"when {_hit(p)} then {y}" for p, y in lexicon.AGE_WORDS) + " end"
+_UNSURE_SQL = f"({_hit(nlu.AGE_RANGE)} or (not coalesce({_NUMBER} between 3 and 18, false) and {_hit('|'.join(p for p, _ in lexicon.AGE_WORDS))}))"
+_PLACES = "list_filter([" + ", ".join(f"case when {_hit(nlu.whole(nlu.name_pattern(n)), 's')} then '{n}' end" for n in lexicon.PLACES) + "], lambda x: x is not null)"
+_DIR_RULES = [(d.value, d.pattern) for d in lexicon.DIRECTIONS]
+_DIRECTION_SQL, _DIRS = _first(_DIR_RULES), _every(_DIR_RULES)
+_NEG = rf"(^| )({lexicon.NEGATIONS}) +[а-я-]{{0,16}}$|(^| )({lexicon.NEGATIONS}|не +нужн[а-я]*) +$"
+
+
+def _before(activity) -> str:
+    out = "''"
+    for p in reversed(activity.patterns):
+        out = f"case when {_hit(p)} then right(regexp_extract(q, '^(.*?)({p})', 1), 32) else {out} end"
+    return out
+
+
+def _acts(want: bool, name) -> str:
+    return "list_filter([" + ", ".join(f"case when {_hit('|'.join(a.patterns))} and {'' if want else 'not '}{_hit(_NEG, _before(a))} then '{name(a)}' end" for a in lexicon.ACTIVITIES) + "], lambda x: x is not null)"
+
+
+_isin = lambda values: ", ".join(f"'{v}'" for v in values)
+_WORDS = "list_filter(regexp_split_to_array(q, '[^a-zа-я0-9-]+'), lambda x: x <> '')"
+_RAW = f"""list_filter(list_transform(list_filter(range(2, len({_WORDS}) + 1), lambda i: list_contains([{_isin(lexicon.TRIGGERS)}], ({_WORDS})[i - 1])), lambda i: regexp_replace(({_WORDS})[i], '({lexicon.TERM_ENDINGS})$', '')),
+  lambda w: length(w) >= 4 and not list_contains([{_isin(lexicon.STOPWORDS)}], w) and not regexp_matches(w, '^[0-9]+$'))[1]"""
+_BUDGET_FIRST, _BUDGET_NAMED = "regexp_extract(q, 'до *([0-9][0-9 ]*) *(₽|руб)', 1)", "regexp_extract(q, 'бюджет *[: до]* *([0-9][0-9 ]*)', 1)"
+_BUDGET = f"case when contains(q, 'бесплатн') then 'бесплатно' when {_BUDGET_FIRST} <> '' then 'до ' || trim({_BUDGET_FIRST}) || ' рублей' when {_BUDGET_NAMED} <> '' then 'до ' || trim({_BUDGET_NAMED}) || ' рублей' else '' end"
+_FORM = "case " + " ".join(f"when {_hit(p)} then {n}" for n, p in lexicon.FORMS) + " end"
+_GOAL, _AVOID, _BROAD = _first(lexicon.GOALS), _every(lexicon.AVOIDANCES), _every(lexicon.INTERESTS)
+_CONFLICT = f"(list_contains({_BROAD}, 'sports') and ({_hit(lexicon.CALM_WISHES)} or list_contains({_AVOID}, 'intense')))"
+_CONFIDENCE = f"((len({_BROAD}) >= 2)::int * 2 + (len({_AVOID}) > 0)::int + ({_GOAL} is not null)::int - (len({_BROAD}) >= 4)::int)"
+
+
+def joined(values):
+    return F.array_join(values, ",")
+
+
+def only_place(text):
+    found = nlu.places(text)
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+over_turns("nlu_age", {"age": nlu.age_years, "ambiguous": nlu.age_is_unsure}, {"age": _AGE_SQL, "ambiguous": _UNSURE_SQL})
+over_turns("nlu_settlement", {"n_places": lambda t: F.size(nlu.places(t)), "names": lambda t: joined(F.array_sort(nlu.places(t)))}, {"n_places": f"len({_PLACES})::int", "names": _joined(f"list_sort({_PLACES})")})
+over_turns("nlu_place", {"place": only_place, "ambiguous": lambda t: F.size(nlu.places(t)) > 1}, {"place": f"case when len({_PLACES}) = 1 then ({_PLACES})[1] end", "ambiguous": f"len({_PLACES}) > 1"})
+over_turns("nlu_direction", {"direction": nlu.first_direction}, {"direction": _DIRECTION_SQL})
+over_turns("nlu_interests", {"interests": lambda t: joined(nlu.interests(t)), "broad": lambda t: F.size(nlu.directions(t)) > 1}, {"interests": _joined(_BROAD), "broad": f"len({_DIRS}) > 1"})
+over_turns("nlu_conflict", {"several": lambda t: F.size(nlu.directions(t)) > 1, "conflict": nlu.conflict}, {"several": f"len({_DIRS}) > 1", "conflict": _CONFLICT})
+
+
+def _names(want: bool):
+    return lambda t: joined(F.transform(F.filter(nlu.activities(t), lambda a: a["negated"] if want else ~a["negated"]), lambda a: a["name"]))
+
+
+over_turns("nlu_activity_ontology", {"terms": _names(False), "excluded": _names(True), "direction": lambda t: nlu.specific_interests(t)["direction"]}, {"terms": _joined(_acts(False, lambda a: a.name)), "excluded": _joined(_acts(True, lambda a: a.name)), "direction": f"case when len(list_distinct({_acts(False, lambda a: a.direction)})) = 1 then ({_acts(False, lambda a: a.direction)})[1] end"})
+over_turns("nlu_negation", {"negated": lambda t: nlu.negated(F.right(fx.normalize_query(t), F.lit(32)))}, {"negated": _hit(_NEG, "right(q, 32)")})
+over_turns("nlu_raw_term", {"term": nlu.raw_term}, {"term": _RAW})
+over_turns("nlu_budget", {"budget": nlu.budget}, {"budget": _BUDGET})
+over_turns("nlu_schedule", {"schedule": lambda t: joined(nlu.schedule(t))}, {"schedule": _joined(_every(lexicon.SCHEDULE))})
+over_turns("nlu_format", {"form": nlu.attendance}, {"form": _FORM})
+over_turns("nlu_goal", {"goal": nlu.goal}, {"goal": _GOAL})
+over_turns("nlu_avoid", {"avoid": lambda t: joined(nlu.avoidances(t))}, {"avoid": _joined(_AVOID)})
+over_turns("nlu_profile_confidence", {"confidence": lambda t: nlu.profile_confidence(F.size(nlu.interests(t)), F.size(nlu.avoidances(t)), nlu.goal(t).isNotNull())}, {"confidence": f"case when {_CONFIDENCE} >= 4 then 'high' when {_CONFIDENCE} >= 2 then 'medium' else 'low' end"})
+_BOUND, _WISH = f"({_BUDGET} <> '' or len({_every(lexicon.SCHEDULE)}) > 0)", f"(len({_BROAD}) > 0 or {_GOAL} is not null)"
+_EXPERIENCE = _first(lexicon.EXPERIENCE)
+over_turns(
+    "nlu_llm_heuristics",
+    {"bucket": lambda t: F.when(nlu.age_years(t) >= 13, "13+").otherwise(fx.age_bucket(nlu.age_years(t))), "experience": lambda t: nlu.first_of(t, lexicon.EXPERIENCE), "adaptation": lambda t: nlu.first_of(t, lexicon.ADAPTATION), "scenario": nlu.scenario},
+    {
+        "bucket": f"case when {_AGE_SQL} between 3 and 4 then '3-4' when {_AGE_SQL} between 5 and 6 then '5-6' when {_AGE_SQL} between 7 and 9 then '7-9' when {_AGE_SQL} between 10 and 12 then '10-12' when {_AGE_SQL} >= 13 then '13+' end",
+        "experience": _EXPERIENCE, "adaptation": _first(lexicon.ADAPTATION),
+        "scenario": f"case when {_hit(lexicon.TRAJECTORY)} then 'build_trajectory' when coalesce({_EXPERIENCE} in ('active', 'new'), false) then 'switch_program' when {_BOUND} and {_WISH} then 'first_time_selection' when {_BOUND} then 'clarify_constraints' when {_WISH} or {_AGE_SQL} is not null then 'clarify_preferences' else 'fallback' end",
+    },
+)
+
+_PARSED = f"t as (select conv_id, turn, role, text, {Q} as q, {S} as s from {SPOKEN}), parsed as (select conv_id, turn, role, text, {_AGE_SQL} as age, {_DIRECTION_SQL} as interest, coalesce(case when len({_PLACES}) = 1 then ({_PLACES})[1] end, '') as place, {_UNSURE_SQL} or len({_PLACES}) > 1 as unsure from t)"
 
 
 def parsed(spark, sf_dir):
-    found = nlu.places(F.col("text"), PLACES)
-    return staged(turns(spark, sf_dir), age=nlu.age_years(AGED()), interest=nlu.first_direction(F.col("text"), DIRECTIONS), place=F.when(F.size(found) == 1, "one").otherwise(""))
+    text = F.col("text")
+    rows = staged(turns(spark, sf_dir), age=nlu.age_years(text), interest=nlu.first_direction(text), found=nlu.places(text), range=nlu.age_is_unsure(text))
+    place = F.when(F.size("found") == 1, F.get("found", F.lit(0))).otherwise("")
+    return rows.withColumns({"place": place, "unsure": F.col("range") | (F.size("found") > 1)}).drop("found", "range")
 
 
 @register("nlu_parse", f"with {_PARSED} select conv_id, turn, role, age, interest, place from parsed")
@@ -85,6 +152,15 @@ def nlu_missing(spark, sf_dir):
     return parsed(spark, sf_dir).select("conv_id", "turn", "role", F.array_join(nlu.missing(F.col("age"), F.col("place"), F.col("interest")), ",").alias("missing"))
 
 
+_N_MISSING = "(age is null)::int + (place = '')::int + (interest is null)::int"
+
+
+@register("nlu_llm_gate", f"with {_PARSED} select conv_id, turn, role, {_N_MISSING} > 0 or unsure or length(text) > 160 as ask from parsed")
+def nlu_llm_gate(spark, sf_dir):
+    rows = parsed(spark, sf_dir)
+    return rows.select("conv_id", "turn", "role", nlu.ask_model(F.col("text"), F.size(nlu.missing(F.col("age"), F.col("place"), F.col("interest"))), F.col("unsure")).alias("ask"))
+
+
 @register("nlu_profile", f"with {_PARSED} select conv_id, turn, role, coalesce({'case when age between 3 and 4 then 3 when age between 5 and 6 then 5 when age between 7 and 9 then 7 when age between 10 and 12 then 10 when age between 13 and 18 then 13 end'}, 7) as bucket, coalesce(interest, 'any') as direction, 'discover' as goal from parsed")
 def nlu_profile(spark, sf_dir):
     """Ranking profile with defaults for what is missing."""
@@ -140,7 +216,7 @@ def nlu_criteria_flatten(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", "role", made["age"]["value"].alias("age"), F.array_join(F.coalesce(made["interests"], F.array().cast("array<string>")), ",").alias("interests"))
 
 
-@register("nlu_specific_patch", f"with t as (select conv_id, turn, role, text, {Q} as q from conversations) select conv_id, turn, role, coalesce(nullif({_terms(False)}, ''), role) as terms from t")
+@register("nlu_specific_patch", f"with t as (select conv_id, turn, role, text, {Q} as q from {SPOKEN}) select conv_id, turn, role, coalesce(nullif({_joined(_acts(False, lambda a: a.name))}, ''), role) as terms from t")
 def nlu_specific_patch(spark, sf_dir):
     """Model terms re-run through the ontology; raw ones stay where it knows none."""
-    return turns(spark, sf_dir).select("conv_id", "turn", "role", F.coalesce(F.nullif(_acts(False), F.lit("")), F.col("role")).alias("terms"))
+    return turns(spark, sf_dir).select("conv_id", "turn", "role", F.coalesce(F.nullif(_names(False)(F.col("text")), F.lit("")), F.col("role")).alias("terms"))

@@ -115,14 +115,39 @@ def test_sync_twice_changes_nothing(spark):
     assert sorted(map(tuple, sync.catalog_sync(once.select("id", "hash", "status"), now).collect())) == sorted(map(tuple, once.collect()))
 
 
+def understood(spark, texts, **columns):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return rows.select("i", *[f(F.col("t")).alias(n) for n, f in columns.items()]).orderBy("i").collect()
+
+
 def test_requests(spark):
     asked = "Ребенку 7-9 лет, хочу робототехнику, но не футбол, до 3 000 руб, вечером после школы"
-    entries = [("robots", "робот[а-я]*", "tech"), ("football", "футбол[а-я]*", "sport")]
-    row = spark.createDataFrame([(asked,)], "t string").select(
-        nlu.age_years(F.col("t")).alias("age"), nlu.age_is_range(F.col("t")).alias("unsure"), nlu.budget(F.col("t")).alias("budget"), nlu.schedule(F.col("t")).alias("schedule"), nlu.activities(F.col("t"), entries).alias("acts"), nlu.places(F.lit("из Тулы, то есть тулы"), ["тулы", "клина"]).alias("places")
-    ).first()
-    assert (row.age, row.unsure, row.budget) == (8, True, "3000") and row.schedule == ["weekdays", "evening"] and row.places == ["тулы"]
-    assert [(a.term, a.negated) for a in row.acts] == [("robots", False), ("football", True)]
+    (row,) = understood(spark, [asked], age=nlu.age_years, unsure=nlu.age_is_unsure, budget=nlu.budget, schedule=nlu.schedule, acts=nlu.activities, found=nlu.specific_interests)
+    assert (row.age, row.unsure, row.budget) == (8, True, "до 3 000 рублей") and row.schedule == ["weekdays", "evening"]
+    assert [(a.name, a.negated) for a in row.acts] == [("футбол", True), ("робототехника", False)]
+    assert (row.found.terms, row.found.excluded, row.found.direction, row.found.interests) == (["робототехника", "робот"], ["футбол"], "technical", ["building", "logic"])
+    rows = understood(spark, ["дочке 12", "подросток", "в 1500 метрах", "ребёнок 10 – 13", "", "первоклассник 40 дней"], age=nlu.age_years, unsure=nlu.age_is_unsure)
+    assert [(r.age, r.unsure) for r in rows] == [(12, False), (13, True), (15, False), (12, True), (None, False), (7, True)]
+    rows = understood(spark, ["бесплатно", "бюджет: 1500 руб", "до 900₽", "дорого", "бюджет до 2 000"], b=nlu.budget)
+    assert [r.b for r in rows] == ["бесплатно", "до 1500 рублей", "до 900 рублей", "", "до 2 000 рублей"]
+    rows = understood(spark, ["спорт, но спокойный темп", "спорт", "не футбол а шахматы", "заочно", "очно-заочно", "очно"], c=nlu.conflict, p=nlu.corrected, f=nlu.attendance)
+    assert [r.c for r in rows] == [True, False, False, False, False, False] and rows[2].p == "шахматы" and [r.f for r in rows] == [None, None, None, 3, 2, 1]
+
+
+def test_activities_of_requests(spark):
+    rows = understood(spark, ["занятия по баскетболу в Оленегорске", "подберите спорт, но не футбол", "ищем флорбол для школьника", "любит танцы и шахматы", "интересует программа", "не ищем флорбол"], f=nlu.specific_interests)
+    found = [r.f for r in rows]
+    assert (found[0].interests, found[0].terms, found[0].labels, found[0].direction) == (["sports"], ["баскетбол", "баскет"], ["баскетбол"], "sport")
+    assert found[1].terms == [] and found[1].excluded == ["футбол"] and found[1].direction is None
+    assert (found[2].interests, found[2].terms, found[2].labels) == ([], ["флорбол"], ["флорбол"])
+    assert found[3].labels == ["шахматы", "танцы"] and found[3].direction is None and found[4].terms == ["программирование", "программ"]
+
+
+def test_places_in_any_case(spark):
+    texts = ["ищем рисование в Варзуге", "подойдут занятия в ж/д ст Нял", "Мурманская область", "с Варзуга", "Мурманск и Североморск", "из Полярных Зорь в Полярные Зори", "в Кировске и под Апатитами, потом в Кировск", "рядом с Белым морем", "Мыс-Чёрный", "нялый кировский"]
+    got = [r.p for r in understood(spark, texts, p=nlu.places)]
+    assert got == [["Варзуга"], ["Нял"], [], ["Варзуга"], ["Мурманск", "Североморск"], ["Полярные Зори"], ["Кировск", "Апатиты"], [], ["Мыс-Чёрный"], []]
+    assert understood(spark, ["в Каневке, то есть каневке"], p=lambda t: nlu.places(t, ["Клин", "Каневка"]))[0].p == ["Каневка"]
 
 
 def test_calendar_rows_with_comma_decimals(spark):
