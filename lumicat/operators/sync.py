@@ -67,3 +67,17 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("_l"))
     return last.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest])
+
+
+def running_totals(rows: DataFrame, key: str, before: DataFrame | None = None) -> DataFrame:
+    """rows, total, last of a numeric key; with the totals of an earlier run only keys behind its last are read.
+
+    ``before`` is one row of the same columns, of a run that was broken off.
+    """
+    totals = lambda df: df.agg(F.count("*").alias("rows"), F.sum(key).alias("total"), F.max(key).alias("last"))
+    if before is None:
+        return totals(rows)
+    last = before.select("last").scalar()
+    rest = totals(rows.where(last.isNull() | (F.col(key) > last)))
+    both = before.select("rows", "total", "last").unionByName(rest)
+    return both.agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.max("last").alias("last"))

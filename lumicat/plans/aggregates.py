@@ -233,6 +233,13 @@ def jf_array_field_ids(spark, sf_dir):
     return payloads.select("l_orderkey", F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size(ids).cast("bigint").alias("n"))
 
 
+@register("jf_build", """select o_custkey, '[' || string_agg('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}', ',' order by o_orderkey) || ']' as orders from orders group by 1""")
+def jf_build(spark, sf_dir):
+    """Objects in an ordered JSON array per key."""
+    made = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))).alias("l"))
+    return made.select("o_custkey", F.to_json("l").alias("orders"))
+
+
 @register("jf_merge", "select user_id, max_by(event_type, event_id) as type, count(*)::bigint as n from events group by 1")
 def jf_merge(spark, sf_dir):
     """Shallow merge of metadata in event order, the right side winning."""

@@ -103,12 +103,19 @@ def ext_regress(spark, sf_dir):
     return extract.regress(rows, wanted)
 
 
-@register("src_html_tables", "select page_id, 2::bigint as rows, url || '|a b' as first from pages")
+_TABLED = "replace(replace(replace(replace(html, '<p>', '<tr><td>'), '</p>', '</td></TR>'), '<li>', '<tr class=x><th>'), '</li>', '</th></tr>')"
+_ROWS = rf"""list_filter(list_transform(regexp_extract_all({_TABLED}, '(?is)<tr\b[^>]*>(.*?)</tr>', 1), lambda r: list_transform(regexp_extract_all(r, '(?is)<td\b[^>]*>(.*?)</td>', 1),
+  lambda c: trim(regexp_replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))), lambda r: len(list_filter(r, lambda c: c <> '')) > 0)"""
+
+
+@register("src_html_tables", f"select page_id, len({_ROWS})::bigint as rows, md5(array_to_string(list_transform({_ROWS}, lambda r: array_to_string(r, '|')), '/')) as h from pages")
 def src_html_tables(spark, sf_dir):
-    """The test pages have no tables, so one is put around each."""
-    html = F.concat(F.lit("<table><tr><td> "), "url", F.lit("</td><td><b>a</b> b</td></tr><tr><td> </td></tr><tr><th>h</th></tr><TR><TD>1</TD></TR></table>"))
+    """The test pages have no tables: their paragraphs become rows of cells, their menu entries rows without any."""
+    html = F.col("html")
+    for old, new in (("<p>", "<tr><td>"), ("</p>", "</td></TR>"), ("<li>", "<tr class=x><th>"), ("</li>", "</th></tr>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
     cells = extract.html_cells(html)
-    return table(spark, sf_dir, "pages").select("page_id", F.size(cells).cast("bigint").alias("rows"), F.array_join(F.get(cells, F.lit(0)), "|").alias("first"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(cells).cast("bigint").alias("rows"), F.md5(F.array_join(F.transform(cells, lambda r: F.array_join(r, "|")), "/")).alias("h"))
 
 
 @register("src_doc_dispatch", "select page_id, case when regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) in ('txt','md','html','htm','json','csv') then 'text' end as route from pages")

@@ -94,8 +94,10 @@ def inc_replace_partition(spark, sf_dir):
 
 @register("inc_keyset_loop", "select count(*)::bigint as rows, sum(o_orderkey)::bigint as total, max(o_orderkey) as last from orders")
 def inc_keyset_loop(spark, sf_dir):
-    """Running totals of pages, in one scan."""
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("total"), F.max("o_orderkey").alias("last"))
+    """Running totals that go on behind the last key of an earlier, unfinished run."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    begun = sync.running_totals(orders.where("o_orderkey < 100"), "o_orderkey")
+    return sync.running_totals(orders, "o_orderkey", begun)
 
 
 @register("inc_webhook_offset", "select user_id, max(event_id) + 1 as next_offset from events group by 1")
@@ -112,7 +114,12 @@ def inc_session_state(spark, sf_dir):
 
 @register("inc_history_append", "select conv_id, count(*) filter (where role = 'assistant')::bigint as results, count(*)::bigint as turns from conversations group by 1")
 def inc_history_append(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("results"), F.count("*").alias("turns"))
+    """Turns appended to the history of their sessions in three runs, then read as one."""
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    for run in range(3):
+        turns.where(F.col("turn") % 3 == run).withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    return spark.read.parquet(path).groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("results"), F.count("*").alias("turns"))
 
 
 @register("inc_poll_offset", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1")

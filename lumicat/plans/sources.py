@@ -41,7 +41,7 @@ def src_csv(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
     path = folder(spark)
     files.write_csv(docs, path)
-    return files.read_csv(spark, path, docs.schema)
+    return files.read_csv(spark, path, docs.schema, multi_line=True)
 
 
 @register("src_csv_bom", "select p_partkey::varchar as p_partkey, p_name from part")
@@ -98,11 +98,27 @@ def snk_batched_sql(spark, sf_dir):
     return spark.read.parquet(path).select("o_orderkey", "o_custkey")
 
 
-@register("snk_md_report", "select 12::bigint as lines")
+@register(
+    "snk_md_report",
+    """with r as (select c_nationkey, count(*) as customers, max(c_custkey) as last from customer group by 1 order by customers desc, c_nationkey limit 8)
+    select 1::bigint as n, '# Customers' as line union all select 2, '' union all select 3, '| nation | customers | last |' union all select 4, '| --- | --- | --- |'
+    union all select 4 + row_number() over (order by customers desc, c_nationkey), '| ' || c_nationkey || ' | ' || customers || ' | ' || last || ' |' from r""",
+)
 def snk_md_report(spark, sf_dir):
-    """A report of at most eight rows, as the number of its lines."""
-    text = files.markdown(table(spark, sf_dir, "nation").orderBy("n_nationkey"), "Nations", most=8)
-    return spark.range(1).select(F.lit(len(text.splitlines())).cast("bigint").alias("lines"))
+    """A report of the eight largest groups, line by line."""
+    groups = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"), F.max("c_custkey").alias("last"))
+    text = files.markdown(groups.orderBy(F.desc("customers"), "nation"), "Customers", most=8)
+    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "n bigint, line string")
+
+
+@register("src_sql_file", "select p_brand, count(*)::bigint as n, max(p_size)::bigint as most from part where p_size > 10 group by 1")
+def src_sql_file(spark, sf_dir):
+    """A file of statements over a view, with comments and a semicolon inside a text."""
+    name, path = f"part_{uuid.uuid4().hex}", folder(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView(name)
+    script = f"-- sizes\ncreate or replace temp view {name}_large as\nselect *, 'a;b' as mark from {name} where p_size > 10;\n\n-- counts\nselect p_brand, count(*) as n, cast(max(p_size) as bigint) as most\nfrom {name}_large where mark = 'a;b' group by p_brand;\n"
+    spark.createDataFrame([(script,)], "value string").coalesce(1).write.text(path)
+    return files.run_sql_file(spark, path)
 
 
 @register("src_http_json", "select o_orderkey as id, o_orderstatus as status from orders")
@@ -142,8 +158,11 @@ def src_download(spark, sf_dir):
 
 @register("src_http_cached", "select n_name, count(*)::bigint as n from nation join customer on c_nationkey = n_nationkey group by 1")
 def src_http_cached(spark, sf_dir):
-    """A reference table that is read once and kept."""
-    nation = table(spark, sf_dir, "nation").cache()
+    """A reference table that is fetched once and kept for ten minutes."""
+    path = folder(spark)
+    keep = lambda: files.kept_table(spark, path, lambda: table(spark, sf_dir, "nation"), seconds=600)
+    keep()
+    nation = keep()
     return nation.join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
@@ -163,7 +182,7 @@ def src_docx_tables(spark, sf_dir):
                 cells = "".join(f"<w:tc><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>" for x in (name, size))
                 buffer = io.BytesIO()
                 with zipfile.ZipFile(buffer, "w") as z:
-                    z.writestr("word/document.xml", f"<w:document><w:tbl><w:tr>{cells}</w:tr><w:tr><w:tc></w:tc></w:tr></w:tbl></w:document>")
+                    z.writestr("word/document.xml", f"<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'><w:body><w:tbl><w:tr><w:tc/></w:tr></w:tbl><w:tbl><w:tr>{cells}</w:tr><w:tr><w:tc></w:tc></w:tr></w:tbl></w:body></w:document>")
                 out.append((str(key), buffer.getvalue()))
             yield pd.DataFrame(out, columns=["path", "content"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,14 +11,17 @@ from pyspark.sql.types import StructType
 FORMATS = {"text": ["txt", "md", "html", "htm", "json", "csv"], "office": ["doc", "docx", "rtf"], "pdf": ["pdf"]}
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Quoted cells with doubled quotes and line breaks; a missing cell of text is empty, blank rows go."""
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True, emptyValue="", mode="PERMISSIVE")
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """Quoted cells with doubled quotes; a missing cell of text is empty, blank rows go.
+
+    With ``multi_line`` cells may hold line breaks, and each file is one task.
+    """
+    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=multi_line, emptyValue="", mode="PERMISSIVE")
 
 
-def read_csv_bom(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_bom(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """As text columns, with a byte order mark cut from the first header."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     return raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
 
 
@@ -28,9 +33,9 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A manifest of documents; required fields are checked per row, the format follows the extension."""
-    rows = spark.read.json(path) if path.rsplit(".", 1)[-1].startswith("json") else read_csv_bom(spark, path)
+    rows = spark.read.json(path) if path.rsplit(".", 1)[-1].startswith("json") else read_csv_bom(spark, path, multi_line)
     for name in ("program_id", "program_name", "document_path"):
         if name not in rows.columns:
             raise ValueError(f"the manifest has no column {name}")
@@ -83,35 +88,76 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def _docx_lines(batches):
     """TABLE_ROW lines of the tables of DOCX files; a bar pair in a cell becomes a slash."""
-    import html
     import io
-    import re
     import zipfile
+    from xml.etree import ElementTree
 
     import pandas as pd
 
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def lines_of(content: bytes) -> list[str]:
+        body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{word}body")
+        lines, number = [], 0
+        # tables inside cells are no tables of the document
+        for table in body.findall(f"{word}tbl") if body is not None else ():
+            rows = []
+            for row in table.findall(f"{word}tr"):
+                cells = [" ".join(" ".join(t.text or "" for p in cell.findall(f"{word}p") for t in p.iter(f"{word}t")).split()).replace("||", "/") for cell in row.findall(f"{word}tc")]
+                if any(cells):
+                    rows.append(" || ".join(["TABLE_ROW", *cells]))
+            if rows:
+                number += 1
+                lines += [f"STRUCTURED_DOCX_TABLE_BEGIN {number}", *rows, "STRUCTURED_DOCX_TABLE_END"]
+        return lines
+
     for batch in batches:
         out = []
         for path, content in zip(batch.path, batch.content):
             try:
-                xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8", "replace")
-            except (zipfile.BadZipFile, KeyError):
-                continue
-            lines = []
-            for n, table in enumerate(re.findall(r"<w:tbl\b.*?</w:tbl>", xml, re.S), 1):
-                lines.append(f"STRUCTURED_DOCX_TABLE_BEGIN {n}")
-                for row in re.findall(r"<w:tr\b.*?</w:tr>", table, re.S):
-                    cells = [" ".join(html.unescape(" ".join(re.findall(r"<w:t\b[^>]*>(.*?)</w:t>", c, re.S))).split()).replace("||", "/") for c in re.findall(r"<w:tc\b.*?</w:tc>", row, re.S)]
-                    if any(cells):
-                        lines.append(" || ".join(["TABLE_ROW", *cells]))
-                lines.append("STRUCTURED_DOCX_TABLE_END")
-            out.append((path, "\n".join(lines)))
-        yield pd.DataFrame(out, columns=["path", "text"])
+                out.append((path, "\n".join(lines_of(content)), None))
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as broken:
+                out.append((path, None, f"{type(broken).__name__}: {broken}"))
+        yield pd.DataFrame(out, columns=["path", "text", "error"])
 
 
 def docx_tables(files: DataFrame) -> DataFrame:
-    """path, text of (path, content) rows: tables only, as delimited lines. Broken files give no row."""
-    return files.select("path", "content").mapInPandas(_docx_lines, "path string, text string")
+    """path, text, error of (path, content) rows: tables with text only, as delimited lines.
+
+    A broken file has a null text and says why in ``error``.
+    """
+    return files.select("path", "content").mapInPandas(_docx_lines, "path string, text string, error string")
+
+
+def run_sql_file(spark: SparkSession, path: str) -> DataFrame | None:
+    """Runs the statements of an SQL file in order; what the last one returns.
+
+    Statements end at a semicolon at the end of a line; lines of comments go.
+    """
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    lines = [x for x in text.splitlines() if not x.lstrip().startswith("--")]
+    out = None
+    for statement in "\n".join(x.rstrip() for x in lines).split(";\n"):
+        if statement.strip(" ;\n"):
+            out = spark.sql(statement.strip().rstrip(";"))
+    return out
+
+
+def kept_table(spark: SparkSession, path: str, fetch, seconds: float) -> DataFrame:
+    """A reference table in a folder of its own, fetched anew where it is older than ``seconds`` or absent.
+
+    ``fetch`` gives the DataFrame to keep. Everyone who reads meanwhile reads the folder as it was.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = [s for s in system.listStatus(where) if s.isDirectory()] if system.exists(where) else []
+    done = sorted((s.getModificationTime(), s.getPath().toString()) for s in made if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    now = time.time()
+    if done and now - done[-1][0] / 1000 < seconds:
+        return spark.read.parquet(done[-1][1])
+    fresh = f"{path}/{int(now * 1000)}"
+    fetch().write.parquet(fresh)
+    return spark.read.parquet(fresh)
 
 
 def usable_downloads(wanted: DataFrame, present: DataFrame) -> DataFrame:

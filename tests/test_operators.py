@@ -276,3 +276,26 @@ def test_cards_brute(spark, sf_dir):
         low = Decimal(str(min(x[1] for x in own))).quantize(Decimal(1), "ROUND_HALF_UP")
         assert r.price.replace(" ", "") == f"{low}₽"
         assert r.topics == (", ".join(part.p_name.split(" ")[:6]) if part.p_size % 4 else "")
+
+
+def test_kept_tables_and_broken_documents(spark, tmp_path):
+    from lumicat.sources import files
+
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    path = str(tmp_path / "kept")
+    assert [files.kept_table(spark, path, fetch, s).count() for s in (600, 600, 0, 600)] == [1, 1, 2, 2] and len(calls) == 2
+    rows = files.docx_tables(spark.createDataFrame([("a", b"no zip"), ("b", b"")], "path string, content binary")).collect()
+    assert all(r.text is None and r.error for r in rows) and len(rows) == 2
+
+
+def test_running_totals_resume(spark):
+    rows = spark.range(1, 101)
+    first = sync.running_totals(rows.where("id <= 37"), "id")
+    for before in (first, sync.running_totals(rows.where("id < 0"), "id"), None):
+        assert tuple(sync.running_totals(rows, "id", before).first()) == (100, 5050, 100)
+    assert tuple(sync.running_totals(rows, "id", spark.createDataFrame([(5, 5, 90)], "rows long, total long, last long")).first()) == (15, 5 + sum(range(91, 101)), 100)
