@@ -23,13 +23,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class Taxonomy:
-    """Content rules, service rules with a guard flag, and manual patterns, each in order."""
+    """Content rules, service rules with a guard flag, manual and noise patterns, synonyms, each in order."""
 
     content: tuple[Rule, ...]
     service: tuple[tuple[str, tuple[str, ...], bool], ...] = ()
     manual: tuple[tuple[str, str, str], ...] = ()  # pattern, record type, code
     noise: tuple[tuple[str, str], ...] = ()  # pattern, reason
     generic: tuple[str, ...] = field(default=())
+    synonyms: tuple[tuple[str, str], ...] = ()  # pattern of whole words, what it becomes
 
 
 def first_match(tests: list[tuple[Column, Column | str]], default: Column | str) -> Column:

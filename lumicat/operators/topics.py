@@ -69,7 +69,10 @@ def normalize(rows: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     ``rows`` has topic_name and activity_type.
     """
     raw = F.trim(F.coalesce("topic_name", F.lit("")))
-    out = staged(staged(rows, _raw=raw), clean_name=fx.clean_topic(F.col("_raw")))
+    clean = fx.clean_topic(F.col("_raw"))
+    for pattern, word in taxonomy.synonyms:
+        clean = F.regexp_replace(clean, rf"(?iu)(^|[^0-9a-zа-яё])(?:{pattern})(?=[^0-9a-zа-яё]|$)", f"$1{word}")
+    out = staged(staged(rows, _raw=raw), clean_name=clean)
     out = staged(out, topic_key=fx.normalize_key(F.col("clean_name")))
     out = staged(out, noise_reason=noise_reason(F.col("topic_key"), F.col("_raw"), taxonomy))
     out = staged(out, _rule=F.when(F.col("noise_reason") == "", manual_rule(F.col("topic_key"), taxonomy)))

@@ -106,6 +106,41 @@ def test_topic_precedence(spark):
     assert fixed["прогулка"].category_code == "hiking" and fixed["прогулка"].class_confidence == Decimal("0.99")
 
 
+CONTENT = [
+    ("regional_studies", "local_history", ["краевед"], ["родного края"]), ("museum_studies", "museum_excursion", ["музе", "экспозиц"], []), ("excursion_guiding", "museum_excursion", ["экскурсовод"], ["проведения экскурсии"]), ("orientation_topography", "orientation", ["топограф", "компас", "карт"], []),
+    ("tourism_competitions", "sport_training", ["соревнован"], ["технике пешеходного"]), ("tourism_equipment_knots", "tourism_skills", ["снаряжен", "узл"], []), ("tourism_basics", "tourism_skills", ["туризм", "турист"], []), ("safety_survival", "tourism_skills", ["выживан"], []),
+    ("first_aid", "tourism_skills", ["травм", "бинт"], ["первой помощи"]), ("drill_civil_defense", "civic_patriotic", ["строев"], []), ("physical_training", "sport_training", ["физическ"], ["физическая подготовка"]),
+]
+
+
+def test_taxonomy_from_a_table(spark, tmp_path):
+    """Rules read from a file beside the default service, noise and synonym rules, by direction."""
+    from lumicat.operators import topic_rules
+
+    rows = [("content", i, c, c, p, n, ph, None, None, None) for i, (c, p, n, ph) in enumerate(CONTENT)] + [("manual", 0, "organisation", None, None, None, None, "^собрание родителей$", "service", None)]
+    spark.createDataFrame(rows, topic_rules.SCHEMA).coalesce(1).write.json(str(tmp_path / "rules"))
+    tourism = topic_rules.read_taxonomy(spark, str(tmp_path / "rules"))
+    assert [r.code for r in tourism.content] == [c for c, *_ in CONTENT] and tourism.service == topic_rules.SERVICE
+    technical = topic_rules.taxonomy([dict(kind="content", position=0, code="cad_3d", name="3D", parent="engineering", needles=["3d", "чертеж"], phrases=[], pattern=None, record_type=None, guarded=None)])
+    cases = [
+        ("Введение в краеведение (лекция, викторина, инструктаж)", "local_history", "regional_studies"), ("Основы музейных знаний", "museum_excursion", "museum_studies"), ("Методика проведения экскурсии", "museum_excursion", "excursion_guiding"), ("Знакомство с туризмом.", "tourism_skills", "tourism_basics"),
+        ("Соревнования по технике пешеходного туризма (ТПТ)", "sport_training", "tourism_competitions"), ("Личное и общественное туристское снаряжение", "tourism_skills", "tourism_equipment_knots"), ("Выживание в природной среде", "tourism_skills", "safety_survival"), ("Оказание первой помощи при условно заданной травме. Бинтование.", "tourism_skills", "first_aid"),
+        ("Основы строевой подготовки", "civic_patriotic", "drill_civil_defense"), ("Общая физическая подготовка", "sport_training", "physical_training"), ("Компас и карта", "orientation", "orientation_topography"), ("Итоговое занятие", "service", "intro_final"), ("Собрание родителей", "manual", "organisation"), ("Сентябрь", "noise", "unknown"), ("Кабинет 12", "noise", "unknown"), ("Москва, Просвещение", "noise", "unknown"), ("Прочее разное", "unknown_content", "unknown_content"),
+    ]
+    schema = "topic_id long, program_id long, direction string, program_name string, topic_name string, topic_order int, hours int, activity_type string"
+    table = [(i, 1, "Туристско-краеведческая", "Клуб", n, i, 2, "") for i, (n, *_) in enumerate(cases)] + [(100, 2, "Техническая", "Клуб", "Компас и карта", 0, 2, ""), (101, 2, None, "Клуб", "Трёхмерное черчение и 3Д", 1, 2, ""), (102, 2, "Техническая", "Клуб", "Компас и карта", 5, 1, "")]
+    found = topic_rules.classify_by_scope(spark.createDataFrame(table, schema), {"tourism": ("турист|краевед", tourism)}, technical).collect()
+    got = {(r.program_id, r.topic_name): r for r in found}
+    placed = {(r.program_id, r.first_order): r for r in found}
+    for i, (name, parent, category) in enumerate(cases):
+        row = placed[1, i]
+        assert (row.parent_code, row.category_code) == (parent, category), name
+    assert got[2, "Компас и карта"].category_code == "unknown_content" and got[2, "Компас и карта"].rows == 2
+    assert got[2, "3D черчение и 3D"].category_code == "cad_3d" and len(found) == len(cases) + 2
+    with pytest.raises(ValueError):
+        topic_rules.taxonomy([dict(kind="other", position=0, needles=None, phrases=None)])
+
+
 def test_sync_twice_changes_nothing(spark):
     state = spark.createDataFrame([(1, "a", "ready"), (2, "b", "ready"), (3, "c", "error")], "id long, hash string, status string")
     now = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "id long, hash string")
