@@ -11,6 +11,9 @@ null source is a host of its own. Rows that repeat a ``doc_id`` count as one
 document for the line counts and each get a row; a null ``doc_id`` counts as one
 document. Lines without a word are never counted or removed. Extra columns are
 carried unchanged where texts are returned.
+
+The hashed lines are written to the checkpoint folder, so texts are cut into
+lines once for the counts and for the lookup of what is above the limits.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.text import SPACE_RE, ascii_lower, bind, hash128, strip_space, unused, words
+from lumicat.session import checkpointed
 
 #: A line is template text if more documents of the host hold it than both of these allow.
 MIN_DOCS = 20
 MAX_DOC_SHARE = 0.1
 #: A document is depleted if it keeps less than this share of its words.
 MIN_WORDS_LEFT = 0.3
+#: Lines above the limits are broadcast up to this many (about 100 bytes each), so that those of many documents gather
+#: in no task; beyond, each is dealt to ``SALTS`` tasks.
+BROADCAST_LINES, SALTS = 500_000, 32
 
 
 def repeated_window_words(tokens: Column) -> Column:
@@ -73,7 +80,7 @@ def template_words(docs: DataFrame, min_docs: int = MIN_DOCS, max_doc_share: flo
     """
     host = F.coalesce("source", F.lit("")).alias("_host")
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: ascii_lower(strip_space(x))), lambda x: x != "")
-    held = (
+    held = checkpointed(
         docs.where("text is not null")
         .select(host, "doc_id", F.explode(lines).alias("_line"))
         .select("_host", "doc_id", hash128(F.col("_line")).alias("_h"), F.size(F.split("_line", SPACE_RE)).alias("_n"))
@@ -83,13 +90,22 @@ def template_words(docs: DataFrame, min_docs: int = MIN_DOCS, max_doc_share: flo
     sizes = docs.groupBy(host).agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("_docs"))
     counts = held.groupBy("_host", "_h").agg(F.count("*").alias("_holders")).where(F.col("_holders") > min_docs)
     # fewer lines per host than its lines per document over max_doc_share are left here
-    template = counts.join(sizes, "_host").where(F.col("_holders") > F.col("_docs") * max_doc_share).select("_host", "_h")
-    return held.join(template, ["_host", "_h"]).groupBy("doc_id").agg(F.sum(F.col("_n") * F.col("_times")).alias("n_template_words"), F.sum("_times").alias("n_template_lines"), F.collect_set("_h").alias("_hashes"))
+    template = checkpointed(counts.join(sizes, "_host").where(F.col("_holders") > F.col("_docs") * max_doc_share).select("_host", "_h"))
+    if template.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        hit = held.join(F.broadcast(template), ["_host", "_h"])
+    else:
+        salted = template.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = held.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_h", "_salt"])
+    return hit.groupBy("doc_id").agg(F.sum(F.col("_n") * F.col("_times")).alias("n_template_words"), F.sum("_times").alias("n_template_lines"), F.collect_set("_h").alias("_hashes"))
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_doc_share: float = MAX_DOC_SHARE, min_words_left: float = MIN_WORDS_LEFT) -> DataFrame:
     """One row per document: base counts, ``base_failed``, words on template lines, ``kept``."""
-    template = template_words(docs, min_docs, max_doc_share).withColumnRenamed("doc_id", "_doc")
+    return _judged(docs, template_words(docs, min_docs, max_doc_share), min_words_left)
+
+
+def _judged(docs: DataFrame, template: DataFrame, min_words_left: float) -> DataFrame:
+    template = template.withColumnRenamed("doc_id", "_doc")
     judged = base_rules(docs).join(template, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc", "_hashes")
     judged = judged.withColumn("base_failed", failed_base())
     for c in ("n_template_words", "n_template_lines"):
@@ -101,8 +117,9 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_doc_share: float = MAX_
 def remove_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_doc_share: float = MAX_DOC_SHARE, min_words_left: float = MIN_WORDS_LEFT) -> DataFrame:
     """The documents that ``judge`` keeps, all columns, with template lines cut from ``text``."""
     doc, held, cut = unused(docs, "_doc", "_id", "_hashes")
-    verdict = judge(docs, min_docs, max_doc_share, min_words_left).where("kept").select(F.col("doc_id").alias(doc)).distinct()
-    hashes = template_words(docs, min_docs, max_doc_share).select(F.col("doc_id").alias(held), F.col("_hashes").alias(cut))
+    template = template_words(docs, min_docs, max_doc_share)
+    verdict = _judged(docs, template, min_words_left).where("kept").select(F.col("doc_id").alias(doc)).distinct()
+    hashes = template.select(F.col("doc_id").alias(held), F.col("_hashes").alias(cut))
     joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col(doc))).join(hashes, F.col("doc_id").eqNullSafe(F.col(held)), "left")
     line_hash = lambda x: hash128(ascii_lower(strip_space(x)))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(cut, line_hash(x))), "\n")

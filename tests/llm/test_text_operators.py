@@ -93,6 +93,14 @@ def test_quality_cases(spark):
     assert line_quality.judge(table(spark, [])).count() == 0
 
 
+def test_quality_of_many_template_lines(documents, monkeypatch):
+    """Lines above the limits are looked up by salt where they are too many to broadcast, with the same result."""
+    judged = lambda: sorted(map(tuple, line_quality.judge(documents, min_docs=2, max_doc_share=0.01).collect()))
+    few = judged()
+    monkeypatch.setattr(line_quality, "BROADCAST_LINES", 0)
+    assert judged() == few and any(r[6] for r in few)
+
+
 def test_repeated_windows_brute(documents, texts):
     got = {r.doc_id: r.n_repeat_words for r in line_quality.base_rules(documents).collect()}
     for d, t in texts.items():
