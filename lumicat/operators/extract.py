@@ -73,7 +73,7 @@ def table_rows(docs: DataFrame) -> DataFrame:
     """doc, ordinal, topic, total, theory, practice of ``TABLE_ROW || n || title || hours...`` lines.
 
     Rows need a number and a title; missing totals are theory and practice
-    together. Other layouts of calendars are not read.
+    together. ``cell_rows`` and ``inline_rows`` read other layouts.
     """
     lines = docs.select("doc", F.posexplode(F.split(normalize(F.col("text")), "\n")).alias("pos", "line")).where(F.col("line").startswith("TABLE_ROW"))
     cells = F.transform(F.split("line", r" *\|\| *"), lambda c: F.trim(c))
@@ -84,6 +84,56 @@ def table_rows(docs: DataFrame) -> DataFrame:
     return row.select("doc", ordinal.alias("ordinal"), F.get("c", F.lit(2)).alias("topic"), total.cast("decimal(18,4)").alias("total"), get(4).alias("theory"), get(5).alias("practice"))
 
 
+CELL = r"^([0-9]+([.,][0-9]+)?|-)$"
+
+
+def cell_rows(docs: DataFrame) -> DataFrame:
+    """doc, ordinal, topic, total, theory, practice of calendars with a cell a line: number, title, three cells of hours.
+
+    Only lines behind a header that names theory and practice count. A title may
+    take two lines; rows of totals have no number and don't count.
+    """
+    lines = F.filter(F.transform(F.split(normalize(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = staged(docs.select("doc", "text"), _l=lines)
+    head = F.array_max(F.transform("_l", lambda x, i: F.when(F.lower(x).rlike("^(практика|practice)") & F.lower(F.get("_l", i - 1)).rlike("^(теория|theory)"), i)))
+    rows = staged(rows, _head=head)
+    at = lambda i, k: F.get("_l", i + k)
+    number = lambda x: F.coalesce(x.rlike(CELL), F.lit(False))
+    title = lambda x: F.coalesce(x.rlike("[^0-9 .,-]") & (F.length(x) >= 3) & ~F.lower(x).rlike("^(итого|всего|total)"), F.lit(False))
+
+    def row(x, i):
+        begins = (i > F.col("_head")) & x.rlike(r"^[0-9]{1,3}[.)]?$") & title(at(i, 1))
+        cells = lambda k: number(at(i, k)) & number(at(i, k + 1)) & number(at(i, k + 2))
+        made = lambda name, k: F.struct(i.alias("pos"), name.alias("topic"), hours(at(i, k)).alias("total"), hours(at(i, k + 1)).alias("theory"), hours(at(i, k + 2)).alias("practice"))
+        return F.when(begins & cells(2), made(at(i, 1), 2)).when(begins & title(at(i, 2)) & cells(3), made(F.concat_ws(" ", at(i, 1), at(i, 2)), 3))
+
+    found = staged(rows.where("_head is not null"), _r=F.array_compact(F.transform("_l", row)))
+    return found.select("doc", F.posexplode("_r").alias("n", "r")).select("doc", (F.col("n") + 1).cast("bigint").alias("ordinal"), "r.topic", "r.total", "r.theory", "r.practice")
+
+
+_HOUR = r"([0-9]{1,3}(?:[.,][0-9]+)?|-)"
+_ROW_NUMBER = r"(?<= )[0-9]{1,2}\.(?:[0-9]{1,2}\.?)? (?=[^0-9 -])"
+
+
+def inline_rows(docs: DataFrame) -> DataFrame:
+    """doc, ordinal, section, topic, total, theory, practice of calendars whose rows run over lines of any length.
+
+    A row is a number, a title and three cells of hours; what follows is its form
+    of lesson. A number and a title without hours is a section, and the title of
+    the rows behind it.
+    """
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(normalize(F.col("text")), r"\s+", " ")))
+    rows = staged(docs.select("doc", "text"), _flat=flat)
+    pieces = F.filter(F.slice(F.split("_flat", _ROW_NUMBER), 2, 1_000_000), lambda x: F.trim(x) != "")
+    cells = rf"^(.{{3,180}}?) {_HOUR} {_HOUR} {_HOUR}( |$)"
+    part = lambda x, i: F.regexp_extract(x, cells, i)
+    row = lambda x: F.struct(F.trim(part(x, 1)).alias("topic"), hours(part(x, 2)).alias("total"), hours(part(x, 3)).alias("theory"), hours(part(x, 4)).alias("practice"), F.trim(F.regexp_replace(x, r"(?i) *(всего часов|итого|total)\b?.*$", "")).alias("name"))
+    rows = staged(rows, _r=F.transform(pieces, row))
+    titled = F.transform("_r", lambda r, i: F.struct(r["topic"].alias("topic"), r["total"].alias("total"), r["theory"].alias("theory"), r["practice"].alias("practice"), F.try_element_at(F.filter(F.slice("_r", 1, i + 1), lambda x: x["topic"] == ""), F.lit(-1))["name"].alias("section")))
+    rows = staged(rows.where(F.exists("_r", lambda r: r["topic"] != "")), _t=F.filter(titled, lambda r: r["topic"] != ""))
+    return rows.select("doc", F.posexplode("_t").alias("n", "t")).select("doc", (F.col("n") + 1).cast("bigint").alias("ordinal"), "t.section", "t.topic", "t.total", "t.theory", "t.practice")
+
+
 def html_cells(html: Column) -> Column:
     """Rows of all tables as arrays of cell texts; rows without text go. Only ``td`` counts."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))

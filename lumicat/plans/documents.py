@@ -90,6 +90,16 @@ def ext_calendar(spark, sf_dir):
     return extract.table_rows(calendars(spark, sf_dir))
 
 
+@register("ext_calendar_cells", f"with {_CALENDAR} select * from cal")
+def ext_calendar_cells(spark, sf_dir):
+    """The same calendars with a cell a line behind their header, and a row of totals."""
+    cell = F.regexp_replace(F.regexp_replace("text", r" *\|\| *", "\n"), "TABLE_ROW\n", "")
+    text = F.concat(F.lit("План\nТеория\nПрактика\n"), F.regexp_replace(cell, "STRUCTURED\n№\nТема\nВсего\n", ""), F.lit("\nИТОГО\n1\n2\n3\n"))
+    # totals that are a dash are theory and practice together, as in the other layout
+    rows = extract.cell_rows(calendars(spark, sf_dir).withColumn("text", text))
+    return rows.withColumn("total", F.coalesce("total", (F.col("theory") + F.col("practice")).cast("decimal(18,4)")))
+
+
 @register("ext_quality", f"with {_CALENDAR} select doc, count(*)::bigint as topics, true as passes, 0.82::decimal(4,2) as confidence from cal group by 1")
 def ext_quality(spark, sf_dir):
     return extract.quality(extract.table_rows(calendars(spark, sf_dir)))

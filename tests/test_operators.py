@@ -191,6 +191,18 @@ def test_calendar_rows_with_comma_decimals(spark):
     assert [r.total for r in got] == [2] * 4 and [r.theory for r in got] == [Decimal("0.5")] * 4 and [r.practice for r in got] == [Decimal("1.5")] * 4
 
 
+def test_calendar_layouts(spark):
+    """A cell a line with comma decimals, and rows that run over lines, with sections and totals."""
+    cells = "1.2 ПЛАН\n№\nТема\nВсего\nТеория\nПрактика\nФорма\n1\nВводное занятие,\nосновные сведения\n2\n0,5\n1,5\nБеседа\n2\nПервая помощь\n3\n-\n3\nОпрос\n\nИТОГО\n5\n0,5\n4,5\n1.3 СОДЕРЖАНИЕ\n"
+    got = extract.cell_rows(spark.createDataFrame([(1, cells), (2, None), (3, ""), (4, "1\nбез шапки\n2\n1\n1")], "doc int, text string")).collect()
+    assert [(r.doc, r.ordinal, r.topic, r.total, r.theory, r.practice) for r in got] == [(1, 1, "Вводное занятие, основные сведения", Decimal(2), Decimal("0.5"), Decimal("1.5")), (1, 2, "Первая помощь", Decimal(3), None, Decimal(3))]
+    rows = "Учебный план\n№ Тема Всего Теория Практика\n1. Вводное занятие 2 1 1 беседа, игра на\nместности\nВсего часов: 2 1 1\n2. Модуль «История»\n2.1. Юнармия: символы,\nстиль, кодекс.\n1 1 - беседа\n2.2. Малая родина 20 10 10 круглый\nстол 2.3. Флот 2 1 1\nВсего часов: 23 12 11\n3. Модуль «Строй»\n3.1. Основы 1,5 1 0,5 показ"
+    got = extract.inline_rows(spark.createDataFrame([(1, rows), (2, None), (3, "просто текст")], "doc int, text string")).collect()
+    assert [(r.ordinal, r.section, r.topic, r.total, r.theory, r.practice) for r in got] == [
+        (1, None, "Вводное занятие", 2, 1, 1), (2, "Модуль «История»", "Юнармия: символы, стиль, кодекс.", 1, 1, None), (3, "Модуль «История»", "Малая родина", 20, 10, 10), (4, "Модуль «История»", "Флот", 2, 1, 1), (5, "Модуль «Строй»", "Основы", Decimal("1.5"), 1, Decimal("0.5")),
+    ]
+
+
 def test_topic_patterns(spark):
     lines = ["Тема 1. Сборка робота", "2 Датчики света 6 2 4", "Моторы (4 часа)", "1.4 Пульты", "сборка РОБОТА (2 ч)", "Всего 12 4 8", "просто строка"]
     got = extract.topics(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc long, pos long, line string")).orderBy("ordinal").collect()
