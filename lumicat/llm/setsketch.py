@@ -162,10 +162,8 @@ def _members(classes: DataFrame) -> DataFrame:
     return banded.join(leaders, "bucket").where("id <> leader").select("leader", F.col("id").alias("member")).distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    sets = checkpointed(matching(texts, ids, "id").select("id", shingles_udf(size)("text").alias("set")))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.select("u", "v", shared.alias("s"), (F.size("su") + F.size("sv") - shared).alias("t")).where(100 * F.col("s") >= percent * F.col("t")).select("u", "v")
@@ -223,7 +221,7 @@ def _block_links(percent: int):
     return links
 
 
-def _residual(members: DataFrame, classes: DataFrame, components: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _residual(members: DataFrame, classes: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of one leader that its own links leave in different components.
 
     Members outside the leader's component are compared with all others. Both
@@ -236,7 +234,6 @@ def _residual(members: DataFrame, classes: DataFrame, components: DataFrame, tex
     totals = placed.groupBy("leader").agg(F.sum(F.when(F.col("outlier"), F.col("n")).otherwise(0)).alias("n_out"), F.sum("n").alias("n_all"), F.count("*").alias("size")).where("n_out > 0 and size > 1")
     blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
     sized = checkpointed(placed.join(totals.select("leader", "n_all", blocks("n_out", OUTLIER_SHINGLES).alias("nob"), blocks("n_all", MEMBER_SHINGLES).alias("nmb")), "leader"))
-    sets = checkpointed(matching(texts, sized.select("member"), "id").select("id", shingles_udf(size)("text").alias("set")))
     full = sized.withColumnRenamed("member", "id").join(classes.select("id", "registers"), "id").join(sets, "id")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -261,13 +258,15 @@ def near_components(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
         sketched.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     )
     members = checkpointed(_members(classes))
+    # full sets of whatever shares a bucket, cut from the texts once for both rounds of comparison
     texts = docs.select(F.col("doc_id").alias("id"), "text")
+    sets = checkpointed(matching(texts, members.select(F.explode(F.array("leader", "member")).alias("id")), "id").select("id", shingles_udf(shingle_size)("text").alias("set")))
     side = lambda to: classes.select(F.col("id").alias(to), F.col("n").alias(f"n_{to}"), F.col("registers").alias(f"r_{to}"))
     pairs = members.select(F.col("leader").alias("u"), F.col("member").alias("v")).join(side("v"), "v").join(side("u"), "u")
     pairs = pairs.where(_may_reach(F.col("n_u"), F.col("n_v"), percent)).where(estimate("r_u", "r_v", "n_u", "n_v") >= percent / 100 - MARGIN).select("u", "v")
-    links = checkpointed(_confirmed(checkpointed(pairs), texts, shingle_size, percent))
+    links = checkpointed(_confirmed(checkpointed(pairs), sets, percent))
     components = connected_components(links)
-    more = checkpointed(_residual(members, classes, components, texts, shingle_size, percent))
+    more = checkpointed(_residual(members, classes, components, sets, percent))
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
     named = classes.select("a", "b", "id").join(components.withColumnRenamed("node", "id"), "id", "left").select("a", "b", F.coalesce("component", "id").alias("_component"))
