@@ -9,10 +9,9 @@ but their first occurrences. What comes back per document is a run-length
 compressed keep bitmap, never text.
 
 Defined cases: a null or empty text is one empty line, which has no key and
-stays. Rows with a null ``doc_id`` hold no key and lose nothing. Rows that
-repeat both ``doc_id`` and text are one document and get the same bitmap; rows
-with one ``doc_id`` and different texts are different holders, the smaller text
-hash first. Extra columns are carried unchanged, but for ``n_lines`` and
+stays. Rows with a null ``doc_id`` hold no key and lose nothing. Rows of one ``doc_id``
+are one document, whose lines make none of them shared; rows that repeat the
+text too get the same bitmap. Extra columns are carried unchanged, but for ``n_lines`` and
 ``n_dropped``, which are replaced. The hashed keys, and the keys
 held twice, are written to the checkpoint folder, so texts are cut into lines
 once for all passes over the keys.
@@ -54,13 +53,13 @@ def keep_bitmaps(docs: DataFrame, min_key_chars: int = MIN_KEY_CHARS, min_docs:
         .select(hash128(F.col("_key")).alias("_h"), "doc_id", "text_hash", "_pos")
     )
     ranged = keyed.repartitionByRange("_h", "doc_id").sortWithinPartitions("_h", "doc_id", "text_hash", "_pos")
-    once = ranged.groupBy("_h", "doc_id", "text_hash").agg(F.first("_pos").alias("_pos"))  # in the same ranges
-    holders = once.groupBy("_h").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"), F.count("*").alias("_docs"))
+    once = ranged.groupBy("_h", "doc_id").agg(F.first("_pos").alias("_pos"))  # in the same ranges
+    holders = once.groupBy("_h").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_docs"))
     # written, so that both sides of the join below are exchanges whose hot partitions Spark can split
     shared = checkpointed(holders.where(F.col("_docs") >= min_docs).select("_h", "_first"))
     dropped = (
         keyed.join(shared, "_h")
-        .where(F.struct("doc_id", "text_hash") != F.col("_first"))
+        .where(F.col("doc_id") != F.col("_first"))
         .groupBy("doc_id", "text_hash")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_dropped"))
     )

@@ -68,6 +68,8 @@ def test_line_dedup_cases(spark):
     again = line_dedup.dedup_lines(table(spark, [*rows, *rows, (None, "a line number 0000")])).collect()
     assert len(again) == 15 and {r.text for r in again if r.doc_id is None} == {"a line number 0000"}
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in again if r.doc_id is not None} == got
+    one_id = [(9, "a line of nine\nand one more line"), (9, "a line of nine\nanother end of it"), (10, "and one more line\nanother end of it")]
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(table(spark, one_id)).collect()) == [(9, one_id[0][1]), (9, one_id[1][1]), (10, "")]
 
 
 def test_keep_runs(spark):
