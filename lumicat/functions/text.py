@@ -104,7 +104,7 @@ def strip_html(col: Column) -> Column:
     return squeeze(F.replace(_sub(F.coalesce(col, F.lit("")), ("<[^>]*>", " ")), F.lit("&nbsp;"), F.lit(" ")))
 
 
-#: Named references in decoding order; the ampersand comes before the angle brackets.
+# fixed values: named references in decoding order; the ampersand comes before the angle brackets
 ENTITIES = [("&nbsp;", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
 
@@ -157,6 +157,7 @@ def age_bucket(years: Column) -> Column:
 def weekday(col: Column) -> Column:
     """English day name of a Russian or English name, long or short; others pass in lower case."""
     name = F.btrim(normalize_text(col), F.lit(" ."))
+    # fixed values: names of days
     days = {"monday": ["понедельник", "пн", "mon"], "tuesday": ["вторник", "вт", "tue"], "wednesday": ["среда", "ср", "wed"], "thursday": ["четверг", "чт", "thu"], "friday": ["пятница", "пт", "fri"], "saturday": ["суббота", "сб", "sat"], "sunday": ["воскресенье", "вс", "sun"]}
     out = F.when(F.lit(False), "")
     for day, names in days.items():

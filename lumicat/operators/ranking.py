@@ -9,6 +9,8 @@ Candidate columns: id, name, organization, direction, municipality_id, form,
 level, enrollment, age_min, age_max (months, null is open), keywords, groups
 (id, price, free, day, hour), modules (low, high), topics (key, name, category,
 parent, hours, practice), topics_known, annotation.
+
+Points, caps and levels are fixed values of the ranking, written where they apply.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# fixed values: formats by extractor, and the words that lead table lines
 FORMATS = {"text": ["txt", "md", "html", "htm", "json", "csv"], "office": ["doc", "docx", "rtf"], "pdf": ["pdf"]}
+TABLE_BEGIN, TABLE_END, TABLE_ROW = "STRUCTURED_DOCX_TABLE_BEGIN", "STRUCTURED_DOCX_TABLE_END", "TABLE_ROW"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
@@ -105,10 +107,10 @@ def _docx_lines(batches):
             for row in table.findall(f"{word}tr"):
                 cells = [" ".join(" ".join(t.text or "" for p in cell.findall(f"{word}p") for t in p.iter(f"{word}t")).split()).replace("||", "/") for cell in row.findall(f"{word}tc")]
                 if any(cells):
-                    rows.append(" || ".join(["TABLE_ROW", *cells]))
+                    rows.append(" || ".join([TABLE_ROW, *cells]))
             if rows:
                 number += 1
-                lines += [f"STRUCTURED_DOCX_TABLE_BEGIN {number}", *rows, "STRUCTURED_DOCX_TABLE_END"]
+                lines += [f"{TABLE_BEGIN} {number}", *rows, TABLE_END]
         return lines
 
     for batch in batches:
