@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumicat.llm.components import connected_components
-from lumicat.llm.lookup import matching
+from lumicat.llm.lookup import beside, matching
 from lumicat.session import checkpointed
 
 REGISTERS, BANDS, ROWS = 256, 32, 5
@@ -159,6 +159,8 @@ def _members(classes: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.expr("registers").substr(b * ROWS + 1, F.lit(ROWS)), b))
     banded = classes.select("id", "copies", F.explode(keys).alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("size")).where("size > 1").select("bucket", (-F.col("top.minus")).alias("leader"))
+    # written, so that both sides of the join are exchanges whose hot partitions Spark can split
+    leaders = checkpointed(leaders)
     return banded.join(leaders, "bucket").where("id <> leader").select("leader", F.col("id").alias("member")).distinct()
 
 
@@ -229,11 +231,13 @@ def _residual(members: DataFrame, classes: DataFrame, components: DataFrame, set
     bounded size however large the group or its texts are.
     """
     comp = classes.select("id", "n").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = members.join(comp.withColumnRenamed("id", "member"), "member").join(comp.select(F.col("id").alias("leader"), F.col("component").alias("leader_component")), "leader")
+    led = members.select("leader").distinct().join(comp.select(F.col("id").alias("leader"), F.col("component").alias("leader_component")), "leader")
+    # a leader may have a third of all classes as members
+    placed = checkpointed(beside(members.join(comp.withColumnRenamed("id", "member"), "member"), led, "leader", "member"))
     placed = placed.withColumn("outlier", F.col("component") != F.col("leader_component"))
     totals = placed.groupBy("leader").agg(F.sum(F.when(F.col("outlier"), F.col("n")).otherwise(0)).alias("n_out"), F.sum("n").alias("n_all"), F.count("*").alias("size")).where("n_out > 0 and size > 1")
     blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    sized = checkpointed(placed.join(totals.select("leader", "n_all", blocks("n_out", OUTLIER_SHINGLES).alias("nob"), blocks("n_all", MEMBER_SHINGLES).alias("nmb")), "leader"))
+    sized = checkpointed(beside(placed, totals.select("leader", "n_all", blocks("n_out", OUTLIER_SHINGLES).alias("nob"), blocks("n_all", MEMBER_SHINGLES).alias("nmb")), "leader", "member"))
     full = sized.withColumnRenamed("member", "id").join(classes.select("id", "registers"), "id").join(sets, "id")
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")

@@ -167,6 +167,33 @@ def test_near_components_groups(spark):
     assert all(r.kept and r.component_id is None for r in odd if r.doc_id is None)
 
 
+def test_near_components_without_broadcasts(documents, texts, monkeypatch):
+    """Tables too large to broadcast are shuffled, with salts where keys may be hot; the result is the same."""
+    from lumicat.llm import lookup
+
+    few = components_of(documents)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookup, "BROADCAST_IDS", 0)
+    assert components_of(documents) == few
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity from 0.80 to 0.82."""
+    rng, rows, n = random.Random(3), [], 0
+    word = lambda: f"w{rng.randrange(50_000)}"
+    while n < 600:
+        a = [word() for _ in range(rng.randint(120, 300))]
+        b = list(a)
+        for p in rng.sample(range(len(a)), max(1, round(len(a) * 0.0215))):
+            b[p] = word()
+        x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        if 80 * len(x | y) <= 100 * len(x & y) < 82 * len(x | y):
+            rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+            n += 1
+    got = {r.doc_id: r.component_id for r in setsketch.near_components(table(spark, rows)).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(n))
+
+
 def test_sketch_merges_by_maximum():
     a, b = setsketch.shingle_set(" ".join(map(str, range(300))), 4), setsketch.shingle_set(" ".join(map(str, range(200, 500))), 4)
     import numpy as np
