@@ -289,7 +289,7 @@ def top(scored: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def best_group(p: Profile) -> Column:
-    """id and score of the best enrolment group, the first one on ties."""
+    """score, first, id and the other fields of the best enrolment group, the first one on ties."""
 
     def one(g: Column, i: Column) -> Column:
         total = F.lit(0)
@@ -305,6 +305,36 @@ def best_group(p: Profile) -> Column:
         if "evening" in p.periods:
             total = total + F.when(g["hour"].isNull(), 0).when(g["hour"] >= 17, 1).otherwise(-1)
         total = total + F.when(g["free"] > 0, 1).otherwise(0)
-        return F.struct(total.alias("score"), (-i).alias("first"), g["id"].alias("id"))
+        return F.struct(total.alias("score"), (-i).alias("first"), *[g[c].alias(c) for c in ("id", "price", "free", "day", "hour")])
 
     return F.array_max(F.transform("groups", one))
+
+
+# fixed values: texts of cards
+SHORT_DAYS = {"monday": "Пн", "tuesday": "Вт", "wednesday": "Ср", "thursday": "Чт", "friday": "Пт", "saturday": "Сб", "sunday": "Вс"}
+FOCUS = {"building": "интерес к конструированию", "creative": "творческий интерес", "logic": "интерес к логике и устройству вещей"}
+NO_PRICE, FREE, NO_SCHEDULE = "Стоимость уточняется на карточке программы", "Бесплатно", "Расписание уточняется на карточке"
+NO_GROUP, BEST_SHOWN, FREE_PLACES = "По открытым группам и расписанию лучше перейти в карточку программы.", "Показана наиболее подходящая открытая группа по бюджету и расписанию.", "Сейчас свободных мест: "
+NO_NOTE = "Перед записью лучше открыть карточку и проверить детали набора."
+# end of fixed values
+
+
+def cards(found: DataFrame, p: Profile, focus: tuple[str, ...] = ()) -> DataFrame:
+    """id, label, schedule, price, summary, note, topics, score of ranked candidates, from their best group.
+
+    ``focus`` names broad interests of the request, of which two are told.
+    """
+    best = staged(found, _b=best_group(p))
+    b, group = F.col("_b"), F.col("_b").isNotNull()
+    day = F.create_map(*[F.lit(x) for kv in SHORT_DAYS.items() for x in kv])[b["day"]]
+    schedule = F.when(b["day"].isNull(), NO_SCHEDULE).otherwise(F.concat_ws(" ", F.coalesce(day, F.initcap(b["day"])), F.concat(b["hour"].cast("string"), F.lit(":00"))))
+    price = F.when(b["price"].isNull(), NO_PRICE).when(b["price"] == 0, FREE).otherwise(F.concat(fx.format_price(b["price"]), F.lit(" за период")))
+    told = [FOCUS[i] for i in focus if i in FOCUS][:2]
+    tail = f" Лучше всего совпадает с запросом на {' и '.join(told)}." if told else ""
+    sentence = fx.first_sentence(fx.strip_html(F.col("annotation")))
+    plain = F.concat(F.lit('Программа из направления "'), "direction", F.lit('", которую стоит рассмотреть с учетом профиля ребенка.'))
+    summary = F.concat(F.when(sentence != "", sentence).otherwise(plain), F.lit(tail))
+    notes = F.concat_ws(" ", F.when(group & (F.size("groups") > 1), BEST_SHOWN), F.when(group & b["free"].isNotNull(), F.concat(F.lit(FREE_PLACES), b["free"].cast("string"), F.lit("."))))
+    note = F.when(~group, NO_GROUP).when(notes == "", NO_NOTE).otherwise(notes)
+    topics = F.array_join(F.slice(F.transform("topics", lambda t: t["name"]), 1, 6), ", ")
+    return best.select("id", F.concat_ws(" · ", "name", "organization").alias("label"), schedule.alias("schedule"), price.alias("price"), summary.alias("summary"), note.alias("note"), topics.alias("topics"), "score")

@@ -207,8 +207,6 @@ def rank_topic_groups(spark, sf_dir):
 
 @register("rank_card")
 def rank_card(spark, sf_dir):
-    """Cards of the ranked programmes: label, schedule of up to three days, price, topics."""
+    """Cards of the ranked programmes; ``tests/test_operators.py`` makes them again from the tables."""
     found = ranking.top(ranking.score(candidates(spark, sf_dir, OPEN), OPEN))
-    days = F.slice(F.array_distinct(F.transform("groups", lambda g: g["day"])), 1, 3)
-    price = F.array_min(F.transform("groups", lambda g: g["price"]))
-    return found.select("id", F.concat_ws(" · ", "name", "organization").alias("label"), F.array_join(days, ", ").alias("schedule"), fx.format_price(price).alias("price"), F.array_join(F.slice(F.transform("topics", lambda t: t["name"]), 1, 6), ", ").alias("topics"), "score")
+    return ranking.cards(found, OPEN, focus=("building", "logic"))

@@ -297,6 +297,20 @@ def test_entry_point_without_llm(monkeypatch):
     sys.modules.pop("corpus_pipeline", None)
 
 
+def test_card_texts(spark):
+    group = lambda **g: [dict(id=1, price=None, free=None, day=None, hour=None) | g]
+    card = lambda **c: ranking.cards(scored_rows(spark, **c), ranking.Profile()).first()
+    none = card(annotation="")
+    assert (none.schedule, none.price, none.note) == (ranking.NO_SCHEDULE, ranking.NO_PRICE, ranking.NO_GROUP) and none.summary.startswith('Программа из направления "Техническая"')
+    free = card(groups=group(price=0.0, free=3, day="saturday", hour=10), annotation="<b>Учим детей собирать роботов из наборов.</b> Потом ещё текст.")
+    assert (free.schedule, free.price, free.note, free.summary) == ("Сб 10:00", "Бесплатно", "Сейчас свободных мест: 3.", "Учим детей собирать роботов из наборов.")
+    assert card(groups=group(price=1500.5)).note == ranking.NO_NOTE
+
+
+def scored_rows(spark, **changes):
+    return ranking.score(candidate(spark, **changes), ranking.Profile())
+
+
 def test_russian_collation(spark, tmp_path):
     """The collated order against a key that ranks letters, yo behind ye, case last."""
     letters = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
@@ -316,12 +330,20 @@ def test_cards_brute(spark, sf_dir):
     parts = {r.p_partkey: r for r in spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_partkey").isin(ids)).collect()}
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_partkey").isin(ids)).collect()
     for r in cards:
-        own = sorted((x.l_orderkey * 10 + x.l_linenumber, x.l_extendedprice, x.l_shipdate) for x in lines if x.l_partkey == r.id)
-        days = list(dict.fromkeys(x[2].strftime("%A").lower() for x in own))[:3]
+        own = sorted((x.l_orderkey * 10 + x.l_linenumber, x) for x in lines if x.l_partkey == r.id)
+
+        def points(x):
+            price = 3 if x.l_extendedprice <= 30000 else -1 if x.l_extendedprice <= 37500 else -4
+            return price + (x.l_shipdate.isoweekday() >= 6) + (1 if x.l_linenumber * 3 >= 17 else -1) + (x.l_quantity > 10)
+
+        best = max(own, key=lambda k: (points(k[1]), -k[0]))[1]
         part = parts[r.id]
-        assert r.label == f"{part.p_name} · {part.p_brand}" and r.schedule == ", ".join(days)
-        low = Decimal(str(min(x[1] for x in own))).quantize(Decimal(1), "ROUND_HALF_UP")
-        assert r.price.replace(" ", "") == f"{low}₽"
+        assert r.label == f"{part.p_name} · {part.p_brand}"
+        assert r.schedule == f"{ranking.SHORT_DAYS[best.l_shipdate.strftime('%A').lower()]} {best.l_linenumber * 3}:00"
+        amount = Decimal(str(best.l_extendedprice)).quantize(Decimal(1), "ROUND_HALF_UP")
+        assert r.price.replace(" ", "") == f"{amount}₽запериод"
+        assert r.summary == "about ring work Лучше всего совпадает с запросом на интерес к конструированию и интерес к логике и устройству вещей."
+        assert r.note == " ".join([ranking.BEST_SHOWN] * (len(own) > 1) + [f"{ranking.FREE_PLACES}{int(best.l_quantity) - 10}."])
         assert r.topics == (", ".join(part.p_name.split(" ")[:6]) if part.p_size % 4 else "")
 
 
