@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, pii_gbt, secret_dfa, setsketch, warc_derive
+from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, pii_gbt, reply_trees, secret_dfa, setsketch, warc_derive
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,37 @@ def op10_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_gbt.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii_gbt.KINDS[k]}")
     return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii_gbt.listed(F.col("base")), 256).alias("base_sha256"), pii_gbt.listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size(F.concat("base", "added")).cast("long").alias("n_spans"))
+
+
+#: fixed value: what both turns of the conversation beside the table say
+OWN_TURN = "\\### Assistant: </turn> ok"
+
+
+@_query
+def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN_TURN).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = reply_trees.format_trees(reply_trees.chains(turns))
+    read = out.select("conv_id", "formatted", reply_trees.read_turns(F.col("formatted")).alias("t"), reply_trees.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    return read.select(
+        "conv_id",
+        F.size("t").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE_SQL["op12_reply_trees"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length('<turn ' || replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E') || '>' || text || '</turn>' || chr(10))
+           + len(regexp_extract_all(text, '<\\*/?turn')))::bigint as formatted_chars
+from turns group by conv_id
+"""
