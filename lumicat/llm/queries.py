@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, pii_gbt, reply_trees, secret_dfa, setsketch, warc_derive
+from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, pii_gbt, reply_trees, secret_dfa, setsketch, source_audit, warc_derive
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,40 @@ select conv_id, count(*)::bigint as n_turns,
            + len(regexp_extract_all(text, '<\\*/?turn')))::bigint as formatted_chars
 from turns group by conv_id
 """
+
+
+@_query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLE_SQL["op11_source_audit"] = r"""
+with docs as (select row_number() over () as d, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+terms as (
+  select d, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from docs),
+kept as (select lang, term, count(*) as n from terms group by lang, term having count(distinct d) >= 3),
+groups as (select distinct lang, source from docs),
+sizes as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+held as (select t.lang, source, term, count(*) as n from terms t join kept using (lang, term) group by all),
+totals as (select lang, source, sum(n) as total from held group by all),
+shares as (
+  select g.lang, g.source, k.term, coalesce(h.n, 0) as n,
+         (1 + (1000000000::hugeint * (coalesce(h.n, 0) + 1)) // (coalesce(t.total, 0) + s.v))::hugeint as p,
+         (1 + (1000000000::hugeint * (k.n + 1)) // (s.total + s.v))::hugeint as q
+  from groups g join kept k on g.lang = k.lang join sizes s on g.lang = s.lang
+  left join totals t on t.lang = g.lang and t.source = g.source
+  left join held h on h.lang = g.lang and h.source = g.source and h.term = k.term),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  union all
+  select a.lang, a.source, 'pair', b.source, 0 from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  where a.lang not in (select lang from sizes)),
+telling as (
+  select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // q)::bigint as value from shares where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank
+  from (select * from pairs union all select * from telling))
+select * from ranked where part = 'pair' or rank <= 200
+"""
