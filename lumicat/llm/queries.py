@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, pii_gbt, reply_trees, secret_dfa, setsketch, source_audit, warc_derive
+from lumicat.llm import decontam, html_diff, langid, line_dedup, line_quality, mixing, pii_gbt, reply_trees, secret_dfa, setsketch, source_audit, token_alignment, warc_derive
 from lumicat.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,3 +266,8 @@ ranked as (
   from (select * from pairs union all select * from telling))
 select * from ranked where part = 'pair' or rank <= 200
 """
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
