@@ -6,6 +6,10 @@ more than texts do, so they are interned: a group of one A and one B token is na
 a hash of its ids. A task hands on each text's groups with their frequencies, each other group once with its ids,
 and for each pair of ids the number of its documents that hold the pair linked.
 
+No token of either vocabulary goes on over a space behind a character that is no white space (``Encoders`` looks whether the
+pieces allow that), so such spaces, but for one at the end, cut texts into segments whose tokens don't depend on what stands around them. The distinct
+segments of a chunk are encoded and grouped once, joined to long texts.
+
 Spark sums the documents of pairs, expands the links of each distinct group once, joins them with the counts of
 the pairs, and gives the sums back to the documents by group. Groups of many documents are joined by a broadcast
 of at most ``BROADCAST_GROUPS`` rows, the others by a shuffle on their key, so that no task gathers a common group.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -37,8 +42,8 @@ from lumicat.session import checkpointed, remove_folder, shared_folder
 
 #: Folder of the vocabulary files on every machine, and the two files.
 TOKENIZERS, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text that are aligned at once and encoded at once.
-CHUNK_BYTES, ENCODE_BYTES = 3_000_000, 400_000
+#: Characters of text that are aligned at once, and of segments that are encoded as one text.
+CHUNK_BYTES, ENCODE_BYTES = 6_000_000, 100_000
 #: Groups are broadcast up to this many (about 60 bytes each); the most common ones, where there are more.
 BROADCAST_GROUPS = 1_000_000
 #: Bits of the hash that names a group of more than two tokens.
@@ -52,6 +57,9 @@ ENCODED = pa.schema([
 ENCODED_DDL = "kind int, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys array<long>, times array<int>, key long, n long, spec string"
 
 
+_BORDER, _SPACE_RUN = re.compile(r"(?<=\S) (?!\Z)"), re.compile(r"\s ")
+
+
 class Vocabulary:
     """The bytes of each token id, as slices of one buffer."""
 
@@ -86,18 +94,55 @@ class Encoders:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{FILE_B}")
         self.tokens_a, self.tokens_b = Vocabulary(_byte_level_tokens(self.a)), Vocabulary(_piece_tokens(self.b))
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a, b, at = [], [], 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < ENCODE_BYTES):
-                size += len(texts[to])
-                to += 1
-            part, at = texts[at:to], to
-            a += [np.array(e.ids, dtype=np.int64) for e in self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)]
-            b += [np.array(ids, dtype=np.int64) for ids in self.b.encode(part, num_threads=1)]
-        return a, b
+        inner = re.compile("[^▁]▁")
+        self.in_segments = not any(inner.search(self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))
+
+    def segments(self, text: str) -> list[str]:
+        """Pieces that, with a space before each, make a space and the text, and whose tokens are those of the text."""
+        if not self.in_segments:
+            return [text]
+        return _BORDER.split(text) if text[0] == " " or text[-1] == " " or _SPACE_RUN.search(text) else text.split(" ")
+
+    def _spelled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B of the texts, or None if either spells something else."""
+        a = [i for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False) for i in e.ids]
+        b = [i for ids in self.b.encode(texts, num_threads=1) for i in ids]
+        ids = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        data = np.frombuffer("".join(f" {t}" for t in texts).encode(), dtype=np.uint8)
+        for own, tokens in zip(ids, (self.tokens_a, self.tokens_b)):
+            if tokens.lengths[own].sum() != len(data) or (tokens.data[_slices(tokens.starts[own], tokens.lengths[own])] != data).any():
+                return None
+        return ids
+
+    def encode(self, segments: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Numbers of the segments that both vocabularies spell, and their joined ids in that order."""
+        batches, size = [], ENCODE_BYTES
+        alone = [k for k, t in enumerate(segments) if not self.in_segments or t[-1:].isspace() or not t]
+        apart = set(alone)
+        for k, t in enumerate(segments):
+            if k in apart or "▁" in t:  # the mark of a space spells a space
+                continue
+            if size >= ENCODE_BYTES:
+                batches.append([])
+                size = 0
+            batches[-1].append(k)
+            size += len(t) + 1
+        good, a, b = [], [], []
+        for batch in batches:
+            found = self._spelled([" ".join(segments[k] for k in batch)])
+            if found is None:
+                alone += batch
+                continue
+            good += batch
+            a.append(found[0])
+            b.append(found[1])
+        for k in alone:
+            if (found := self._spelled([segments[k]])) is not None:
+                good.append(k)
+                a.append(found[0])
+                b.append(found[1])
+        none = np.zeros(0, dtype=np.int64)
+        return good, np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -106,12 +151,6 @@ def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _spells(ids: np.ndarray, tokens: Vocabulary, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Numbers of the texts (ending at ``ends`` in ``data``) that the tokens spell otherwise."""
-    own = tokens.data[_slices(tokens.starts[ids], tokens.lengths[ids])]
-    return np.unique(np.searchsorted(ends, np.flatnonzero(own != data), side="right"))
-
-
 def _mixed(ids: np.ndarray, seed: int) -> np.ndarray:
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((0xD1B54A32D192ED03 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -128,7 +167,7 @@ def _sequence_hashes(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, s
 
 
 class Groups:
-    """The groups of the tokens of some texts, given as joined ids; texts end at ``text_ends`` bytes."""
+    """The groups of the tokens of some segments, given as joined ids; segments end at ``text_ends`` bytes."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, encoders: Encoders, text_ends: np.ndarray, seed: int, bits: int):
         self.a, self.b = a, b
@@ -204,37 +243,49 @@ def _batch(rows: int, **columns) -> pa.RecordBatch:
 
 def aligned(texts: list[str | None], ids: pa.Array, first_row: int, encoders: Encoders, seed: int, bits: int = HASH_BITS) -> Iterator[pa.RecordBatch]:
     """The rows of ``ENCODED`` of a chunk of documents."""
-    distinct = list(dict.fromkeys(t for t in texts if t))
-    a, b = encoders.encode(distinct)
-    raw = [b" " + t.encode() for t in distinct]
-    good = [k for k in range(len(raw)) if encoders.tokens_a.lengths[a[k]].sum() == len(raw[k]) == encoders.tokens_b.lengths[b[k]].sum()]
-    for ids_of, tokens in ((a, encoders.tokens_a), (b, encoders.tokens_b)):
-        if good:
-            data = np.frombuffer(b"".join(raw[k] for k in good), dtype=np.uint8)
-            odd = set(_spells(np.concatenate([ids_of[k] for k in good]), tokens, data, np.cumsum([len(raw[k]) for k in good])).tolist())
-            good = [k for i, k in enumerate(good) if i not in odd]
-    place = {distinct[k]: i for i, k in enumerate(good)}
+    known: dict[str, int] = {}
+    cut = {t: [known.setdefault(x, len(known)) for x in encoders.segments(t)] for t in dict.fromkeys(texts) if t}
+    segments = list(known)
+    order, a, b = encoders.encode(segments)
+    rank = np.full(len(segments), -1, dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    ranked = {t: rank[c] for t, c in cut.items()}
+    good = [t for t, r in ranked.items() if r.min() >= 0]
+    place = {t: i for i, t in enumerate(good)}
     where = [place.get(t) for t in texts]
     zeros = np.zeros(len(good) + 1, dtype=np.int64)  # the last one is of texts without tokens
     at = pa.array([len(good) if w is None else w for w in where], pa.int64())
     n_a, n_b, n_groups, n_links, digests = zeros.copy(), zeros.copy(), zeros.copy(), zeros.copy(), [""] * (len(good) + 1)
     keys, times, cuts = zeros[:0], zeros[:0], np.zeros(len(good) + 2, dtype=np.int64)
     if good:
-        groups = Groups(np.concatenate([a[k] for k in good]), np.concatenate([b[k] for k in good]), encoders, np.cumsum([len(raw[k]) for k in good]), seed, bits)
-        n_a[:-1], n_b[:-1] = [len(a[k]) for k in good], [len(b[k]) for k in good]
-        n_groups[:-1] = np.bincount(groups.text, minlength=len(good))
-        until = np.cumsum(n_groups[:-1])
-        n_links[:-1] = np.add.reduceat(groups.n_a * groups.n_b, until - n_groups[:-1])
+        groups = Groups(a, b, encoders, np.cumsum([len(segments[k].encode()) + 1 for k in order]), seed, bits)
+        per = lambda values: np.bincount(groups.text, weights=values, minlength=len(order)).astype(np.int64)
+        size = per(None)
+        begin = np.cumsum(size) - size
+        held = np.concatenate([ranked[t] for t in good])
+        until = np.cumsum([len(ranked[t]) for t in good])
+        starts = np.append(0, until[:-1])
+        for out, values in ((n_a, per(groups.n_a)), (n_b, per(groups.n_b)), (n_groups, size), (n_links, per(groups.n_a * groups.n_b))):
+            out[:-1] = np.add.reduceat(values[held], starts)
         specs = [groups.spec(g) for g in groups.first.tolist()]
-        for k in range(len(good)):
-            digests[k] = hashlib.sha256(";".join([specs[g] for g in groups.number[until[k] - n_groups[k] : until[k]].tolist()]).encode()).hexdigest()
-        each, counted = np.unique(groups.number * len(good) + groups.text, return_counts=True)
+        number, spelled = groups.number.tolist(), []
+        for x, n in zip(begin.tolist(), size.tolist()):
+            spelled.append(specs[number[x]] if n == 1 else ";".join([specs[g] for g in number[x : x + n]]))
+        for k, t in enumerate(good):
+            digests[k] = hashlib.sha256(";".join([spelled[r] for r in ranked[t].tolist()]).encode()).hexdigest()
+        # distinct segments of a text, then distinct groups
+        each, often = np.unique(np.repeat(np.arange(len(good)), until - starts) * len(order) + held, return_counts=True)
+        segment, text = each % len(order), each // len(order)
+        each, index = np.unique(groups.number[_slices(begin[segment], size[segment])] * len(good) + np.repeat(text, size[segment]), return_inverse=True)
+        counted = np.bincount(index, weights=np.repeat(often, size[segment])).astype(np.int64)
         number, text = each // len(good), each % len(good)
         weight = np.bincount([w for w in where if w is not None], minlength=len(good))
         pairs, documents = _pair_documents(groups, number, text, weight)
-        yield _batch(len(pairs), kind=pa.array(np.full(len(pairs), PAIR, np.int32)), key=pa.array(pairs), n=pa.array(documents))
+        there = documents > 0  # segments of texts without tokens are in no document
+        yield _batch(int(there.sum()), kind=pa.array(np.full(int(there.sum()), PAIR, np.int32)), key=pa.array(pairs[there]), n=pa.array(documents[there]))
         many = np.flatnonzero(groups.keys < 0)
         held = np.bincount(number, weights=weight[text], minlength=len(groups.keys)).astype(np.int64)[many]
+        many, held = many[held > 0], held[held > 0]
         twins = groups.twins
         yield _batch(
             len(many) + len(twins),

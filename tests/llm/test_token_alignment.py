@@ -1,6 +1,7 @@
 """Token alignment against brute force, odd texts, forced hash collisions and both ways of the join."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pyarrow as pa
@@ -27,6 +28,13 @@ ODD = [
     "é combining ﬁ ligature   space",
     "the cat sat, the cats sat; tha cat satt",
     "unbelievable unbelievably believable",
+    "ends in space ",
+    " starts",
+    "a\n b\n  c\t d \n e \x1c f\x1c  g",
+    "x\u00a0 y \u2003 z\u2028 w \u0301 it's we 're",
+    "an ▁ apart",
+    "the end\n",
+    "\n \n",
 ]
 
 
@@ -98,6 +106,21 @@ def test_documents_brute(spark, sf_dir, encoders):
     assert run(spark, rows, parts=5, most=3000) == brute(rows, encoders)
 
 
+def test_segments_have_the_tokens_of_the_text(encoders):
+    assert encoders.in_segments
+    rng = random.Random(4)
+    for _ in range(400):
+        text = "".join(rng.choice([" ", " ", "\n", "\t", "the", "'s", "'", "9", "é", "日", "=", "▁", "\u00a0", "\x1c", "\u0301", "\U0001f600", "<s>", "ab"]) for _ in range(rng.randint(1, 30)))
+        parts = encoders.segments(text)
+        assert "".join(f" {p}" for p in parts) == f" {text}"
+        assert all(p and not p[-1].isspace() for p in parts[:-1])
+        order, a, b = encoders.encode(list(dict.fromkeys(parts)))
+        if "▁" not in text and len(set(parts)) == len(parts) == len(order):
+            own = sorted(zip(order, range(len(order))))
+            if [k for k, _ in own] == order:
+                assert a.tolist() == encoders.a.encode(" " + text, add_special_tokens=False).ids and b.tolist() == encoders.b.encode(text)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 0, 0, 0, 0, 0, "")]
