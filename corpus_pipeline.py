@@ -28,11 +28,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document whose leading language has a smaller share of its letters is rejected.
 MIN_LANGUAGE_SHARE = 0.3
-#: Lines that this many documents hold are cut but for their first occurrence. Lines that fewer documents
-#: share are mostly those of a few near copies: cut line by line, such copies would leave shards that no longer look
-#: like their originals, while the next stage removes them whole, with all their lines.
-LINE_DOCS = 10
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; null texts, texts without letters and unreadable mixtures go.
@@ -45,18 +40,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that ``LINE_DOCS`` documents share; ``n_chars`` follows the text, and documents left blank go."""
-    cut = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS).drop("n_lines", "n_dropped")
+    """Cuts lines that another document holds first; ``n_chars`` follows the text, and documents left blank go."""
+    cut = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
     cut = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
+def uncut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, text of the documents table for the ids of ``docs`` whose text differs there.
+
+    Only ids and hashes are joined; texts are read for what differs.
+    """
+    source, h = table(spark, sf_dir, "documents").select("doc_id", "text"), F.xxhash64("text")
+    now = docs.select(F.col("doc_id").alias("_id"), h.alias("_now"))
+    changed = source.select("doc_id", h.alias("_h")).join(now, (F.col("doc_id") == F.col("_id")) & (F.col("_h") != F.col("_now")))
+    return matching(source, changed.select("doc_id"), "doc_id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates (five words, 0.8).
 
-    Texts without a word link with nothing and stay.
+    The line stage leaves shards of near copies, which look like nothing any more. So a document counts with its text
+    and with the text that it came with: two documents are near-duplicates if any of these are. Texts
+    without a word link with nothing and stay.
     """
-    found = setsketch.near_components(docs.select("doc_id", "text"), shingle_size=5, percent=80)
+    own = docs.select("doc_id", "text")
+    found = setsketch.near_components(own.unionByName(uncut(spark, docs, sf_dir)), shingle_size=5, percent=80)
     return matching(docs, found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
 
 
