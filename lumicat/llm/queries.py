@@ -85,38 +85,37 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op3_line_quality"] = r"""
-with w as (
-  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+with docs as (select row_number() over () as r, doc_id, text as raw, coalesce(text, '') as text, coalesce(source, '') as host from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from docs),
 win as (
-  select doc_id, unnest(range(1, len(words) - 1)) as i, words from w where len(words) >= 3),
-hashed as (select doc_id, i, words[i] as a, words[i + 1] as b, words[i + 2] as c from win),
-counted as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from hashed),
-covered as (select doc_id, count(distinct i + d) as n_repeat from counted, range(0, 3) t(d) where n >= 2 group by doc_id),
-all_lines as (
-  select doc_id, coalesce(source, '') as host, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+  select r, unnest(range(1, len(words) - 1)) as i, words from w where len(words) >= 3),
+hashed as (select r, i, words[i] as a, words[i + 1] as b, words[i + 2] as c from win),
+counted as (select r, i, count(*) over (partition by r, a, b, c) as n from hashed),
+covered as (select r, count(distinct i + d) as n_repeat from counted, range(0, 3) t(d) where n >= 2 group by r),
+all_lines as (select r, host, doc_id, raw, unnest(string_split(text, chr(10))) as line from docs where raw is not null),
 dup as (
-  select doc_id, count(*) - count(distinct line) as n_dup from all_lines
-  where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+  select r, count(*) - count(distinct line) as n_dup from all_lines
+  where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
 norm as (
-  select doc_id, host, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from all_lines),
 held as (
-  select host, key, doc_id, count(*) as times, len(regexp_extract_all(key, '[^\x20\x09-\x0D]+')) as n
-  from norm where key <> '' group by host, key, doc_id),
-sizes as (select coalesce(source, '') as host, count(distinct coalesce(doc_id, -1)) as docs from documents group by 1),
+  select r, host, key, any_value(doc_id) as doc_id, any_value(raw) as raw, count(*) as times, len(regexp_extract_all(key, '[^\x20\x09-\x0D]+')) as n
+  from norm where key <> '' group by r, host, key),
+sizes as (select host, count(*) as docs from (select distinct host, doc_id, raw from docs) group by 1),
+holders as (select host, key, count(*) as n from (select distinct host, key, doc_id, raw from held) group by 1, 2),
 template as (
-  select h.host, h.key from held h join sizes s on h.host = s.host
-  group by h.host, h.key, s.docs having count(*) > 20 and count(*) > s.docs * 0.1::double),
+  select host, key from holders h join sizes s using (host) where h.n > least(1000, greatest(5, s.docs * 0.1::double))),
 template_words as (
-  select doc_id, sum(n * times)::bigint as tw, sum(times)::bigint as tl
-  from held join template using (host, key) group by doc_id),
+  select r, sum(n * times)::bigint as tw, sum(times)::bigint as tl
+  from held join template using (host, key) group by r),
 base as (
   select w.doc_id, len(words)::bigint as n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
          coalesce(n_dup, 0)::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words,
          coalesce(tw, 0)::bigint as n_template_words, coalesce(tl, 0)::bigint as n_template_lines
-  from w left join dup using (doc_id) left join covered using (doc_id) left join template_words using (doc_id))
+  from w left join dup using (r) left join covered using (r) left join template_words using (r))
 select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)
        and n_words - n_template_words >= n_words * 0.3::double as kept

@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
+from lumicat.llm import setsketch  # noqa: E402
 from tests.llm.test_text_operators import brute_components, brute_lines, quantile, unit  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,13 +29,28 @@ def stages(spark, sf_dir, tmp_path_factory):
     return seen
 
 
+def brute_kept(now, came):
+    """The smallest id of each group of documents that are near-duplicates by the text now or the text they came with."""
+    forms = {2 * d: t for d, t in now.items()} | {2 * d + 1: came[d] for d in now if came[d] != now[d]}
+    root = {d: d for d in now}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for form, (_, component, _) in brute_components(forms, 5, 80).items():
+        a, b = find(form // 2), find(component // 2)
+        root[max(a, b)] = min(a, b)
+    return {d for d in now if find(d) == d}
+
+
 def test_stages_against_brute_force(stages, spark, sf_dir):
     start, language, lines, near, clean, mixed = stages
     assert {r.doc_id for r in start if any(c.isalpha() for c in r.text or "")} == {r.doc_id for r in language}
-    want = {d: t for d, (_, _, t) in brute_lines({r.doc_id: r.text for r in language}, corpus_pipeline.LINE_DOCS).items() if t.strip(" \t\n\x0b\x0c\r")}
+    want = {d: t for d, (_, _, t) in brute_lines({r.doc_id: r.text for r in language}).items() if t.strip(" \t\n\x0b\x0c\r")}
     assert {r.doc_id: r.text for r in lines} == want and all(r.n_chars == len(r.text) for r in lines)
-    groups = brute_components(want, 5, 80)
-    assert {r.doc_id for r in near} == {d for d, (_, _, kept) in groups.items() if kept}
+    assert {r.doc_id: r.text for r in near} == {d: want[d] for d in brute_kept(want, {r.doc_id: r.text for r in start})}
     items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     flat = {r.doc_id: " ".join(r.text.split()) for r in near}
     assert {r.doc_id for r in clean} == {d for d, t in flat.items() if not any(x in t for x in items)}
@@ -56,6 +72,18 @@ def test_near_copies_of_the_original_texts_go(stages, spark):
     assert copies and not copies & {r.doc_id for r in near}
 
 
+def test_near_copies_of_more_documents_go(spark, tmp_path):
+    """Recall over the groups that the near-duplicate operator finds among the texts as they come."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    copies = {r.doc_id for r in setsketch.near_components(docs, 5, 80).where("not kept").collect()}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, folder).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    left = copies & {r.doc_id for r in docs.collect()}
+    assert len(copies) > 20 and not left
+
+
 def test_odd_rows_go_through_all_stages(spark, tmp_path):
     """Null and repeated ids, nulls in any column, empty and very long texts, an extra column; and an empty table."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, _h string"

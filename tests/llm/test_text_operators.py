@@ -95,6 +95,30 @@ def test_quality_cases(spark):
     assert line_quality.judge(table(spark, [])).count() == 0
 
 
+def test_quality_of_null_and_repeated_ids(spark):
+    """Each row gets the verdict that it would get alone, whatever other rows have its id."""
+    notice, own = " ".join(f"n{i}" for i in range(18)), lambda k: " ".join(f"w{k}x{i}" for i in range(90))
+    rows = [(None, f"{notice}\n{own(k)}", "en", "s") for k in range(5)] + [(7, f"{notice}\n{notice}\n{notice}\n{own(7)}", "en", "s")] * 2
+    rows += [(8, f"{notice}\n{own(8)}", "en", "s"), (8, own(88), "en", "s"), (8, f"{notice}\n{own(8)}", "en", "other"), (None, None, "en", "s"), (None, f"{notice}\n{own(0)}", "en", "s")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_template_words, r.kept) for r in line_quality.judge(table(spark, rows)).collect())
+    assert got == [(False, 7, 54, True)] * 2 + [(False, 8, 0, True)] * 2 + [(False, 8, 18, True)] + [(True, 0, 0, False)] + [(True, 0, 18, True)] * 6
+    assert sorted(map(str, line_quality.remove_template_lines(table(spark, rows)).select("text").toPandas().text)) == sorted([own(0), *map(own, range(5)), own(7), own(7), own(8), own(88), f"{notice}\n{own(8)}"])
+
+
+def test_depletion_decides(spark):
+    """Line limits of small and large hosts, and documents that keep too little."""
+    notice = "\n".join(" ".join(f"n{k}x{i}" for i in range(20)) for k in range(4))
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(k, f"{notice}\n{own(k, 20 if k < 3 else 60)}", "en", "small") for k in range(6)] + [(k, f"{notice}\n{own(k, 10)}", "en", "few") for k in range(10, 15)]
+    rows += [(100 + k, f"{own(k, 60)}" + (f"\n{notice}\n{notice}" if k < 12 else ""), "en", "large") for k in range(115)]
+    got = {r.doc_id: r for r in line_quality.judge(table(spark, rows)).collect()}
+    assert [got[k].kept for k in range(6)] == [False] * 3 + [True] * 3 and all(got[k].n_template_lines == 4 for k in range(6))
+    assert all(got[k].kept and not got[k].n_template_lines for k in range(10, 15))
+    assert [got[100 + k].kept for k in range(115)] == [False] * 12 + [True] * 103
+    more = {r.doc_id: r.kept for r in line_quality.judge(table(spark, rows), max_docs=11, max_doc_share=0.5).collect()}
+    assert [more[100 + k] for k in range(115)] == [False] * 12 + [True] * 103
+
+
 def test_quality_of_many_template_lines(documents, monkeypatch):
     """Lines above the limits are looked up by salt where they are too many to broadcast, with the same result."""
     judged = lambda: sorted(map(tuple, line_quality.judge(documents, min_docs=2, max_doc_share=0.01).collect()))
@@ -104,7 +128,7 @@ def test_quality_of_many_template_lines(documents, monkeypatch):
 
 
 def test_repeated_windows_brute(documents, texts):
-    got = {r.doc_id: r.n_repeat_words for r in line_quality.base_rules(documents).collect()}
+    got = {r.doc_id: r.n_repeat_words for r in line_quality.base_rules(documents, ['doc_id']).collect()}
     for d, t in texts.items():
         w = WORD.findall(t or "")
         at = defaultdict(list)
@@ -594,7 +618,7 @@ def test_pii_trees_add_and_refuse(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_line_query_digest(spark, sf_dir, texts):
