@@ -46,27 +46,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
-def uncut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text of the documents table for the ids of ``docs`` whose text differs there.
+def as_they_came(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, text of the documents table, without the ids that ``docs`` has lost since.
 
-    Only ids and hashes are joined; texts are read for what differs.
+    Only ids are joined: those lost are few beside those that are left.
     """
-    source, h = table(spark, sf_dir, "documents").select("doc_id", "text"), F.xxhash64("text")
-    now = docs.select(F.col("doc_id").alias("_id"), h.alias("_now"))
-    changed = source.select("doc_id", h.alias("_h")).join(now, (F.col("doc_id") == F.col("_id")) & (F.col("_h") != F.col("_now")))
-    return matching(source, changed.select("doc_id"), "doc_id")
+    source = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null")
+    left = docs.select(F.col("doc_id").alias("_id")).distinct()
+    lost = source.select("doc_id").join(left, F.col("doc_id") == F.col("_id"), "left_anti")
+    return matching(source, lost, "doc_id", "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates (five words, 0.8).
 
-    The line stage leaves shards of near copies, which look like nothing any more. So a document counts with its text
-    and with the text that it came with: two documents are near-duplicates if any of these are. Texts
+    The line stage leaves shards of near copies, which look like nothing any more. So documents are first compared by
+    the texts that they came with, and those that stay by the texts that they have now. Texts
     without a word link with nothing and stay.
     """
-    own = docs.select("doc_id", "text")
-    found = setsketch.near_components(own.unionByName(uncut(spark, docs, sf_dir)), shingle_size=5, percent=80)
-    return matching(docs, found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
+    for texts in (as_they_came, lambda _, left, __: left.select("doc_id", "text")):
+        found = setsketch.near_components(texts(spark, docs, sf_dir), shingle_size=5, percent=80)
+        docs = matching(docs, found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
+    return docs
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
