@@ -30,19 +30,9 @@ def stages(spark, sf_dir, tmp_path_factory):
 
 
 def brute_kept(now, came):
-    """The smallest id of each group of documents that are near-duplicates by the text now or the text they came with."""
-    forms = {2 * d: t for d, t in now.items()} | {2 * d + 1: came[d] for d in now if came[d] != now[d]}
-    root = {d: d for d in now}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for form, (_, component, _) in brute_components(forms, 5, 80).items():
-        a, b = find(form // 2), find(component // 2)
-        root[max(a, b)] = min(a, b)
-    return {d for d in now if find(d) == d}
+    """The smallest ids of the groups of near-duplicates by the texts that documents came with, then by those they have now."""
+    left = {d for d, (_, _, kept) in brute_components({d: came[d] for d in now}, 5, 80).items() if kept}
+    return {d for d, (_, _, kept) in brute_components({d: now[d] for d in left}, 5, 80).items() if kept}
 
 
 def test_stages_against_brute_force(stages, spark, sf_dir):
