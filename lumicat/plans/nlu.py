@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
-from lumicat.operators import lexicon, nlu
+from lumicat.operators import dictionary, lexicon, nlu
 from lumicat.operators.staging import staged
 from lumicat.plans.registry import register
 from lumicat.plans.scalars import norm, squeeze
@@ -32,9 +32,22 @@ def turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("text", F.lit(" "), phrase).alias("text"))
 
 
-def over_turns(name: str, columns: dict, sql: dict[str, str] | None) -> None:
+def places(spark):
+    """The known places in every form, as a table."""
+    return dictionary.inflected(spark.createDataFrame(list(enumerate(lexicon.PLACES)), "rank int, name string"))
+
+
+def with_places(rows):
+    """``rows`` with the places that their texts name, looked up in the table."""
+    return dictionary.with_names(rows.withColumn("_s", fx.normalize_search(F.col("text"))), places(rows.sparkSession), ["conv_id", "turn"], "_s").drop("_s")
+
+
+def over_turns(name: str, columns: dict, sql: dict[str, str] | None, named: bool = False) -> None:
+    """Registers columns of the text of each turn, or of the places found in it."""
+
     def query(spark, sf_dir):
-        return turns(spark, sf_dir).select("conv_id", "turn", "role", *[c(F.col("text")).alias(n) for n, c in columns.items()])
+        rows = with_places(turns(spark, sf_dir)) if named else turns(spark, sf_dir)
+        return rows.select("conv_id", "turn", "role", *[c(F.col("found" if named else "text")).alias(n) for n, c in columns.items()])
 
     text = None if sql is None else f"with t as (select conv_id, turn, role, text, {Q} as q, {S} as s from {SPOKEN}) select conv_id, turn, role, {', '.join(f'{v} as {k}' for k, v in sql.items())} from t"
     register(name, text)(query)
@@ -94,14 +107,13 @@ def joined(values):
     return F.array_join(values, ",")
 
 
-def only_place(text):
-    found = nlu.places(text)
+def only_place(found):
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 over_turns("nlu_age", {"age": nlu.age_years, "ambiguous": nlu.age_is_unsure}, {"age": _AGE_SQL, "ambiguous": _UNSURE_SQL})
-over_turns("nlu_settlement", {"n_places": lambda t: F.size(nlu.places(t)), "names": lambda t: joined(F.array_sort(nlu.places(t)))}, {"n_places": f"len({_PLACES})::int", "names": _joined(f"list_sort({_PLACES})")})
-over_turns("nlu_place", {"place": only_place, "ambiguous": lambda t: F.size(nlu.places(t)) > 1}, {"place": f"case when len({_PLACES}) = 1 then ({_PLACES})[1] end", "ambiguous": f"len({_PLACES}) > 1"})
+over_turns("nlu_settlement", {"n_places": F.size, "names": lambda f: joined(F.array_sort(f))}, {"n_places": f"len({_PLACES})::int", "names": _joined(f"list_sort({_PLACES})")}, named=True)
+over_turns("nlu_place", {"place": only_place, "ambiguous": lambda f: F.size(f) > 1}, {"place": f"case when len({_PLACES}) = 1 then ({_PLACES})[1] end", "ambiguous": f"len({_PLACES}) > 1"}, named=True)
 over_turns("nlu_direction", {"direction": nlu.first_direction}, {"direction": _DIRECTION_SQL})
 over_turns("nlu_interests", {"interests": lambda t: joined(nlu.interests(t)), "broad": lambda t: F.size(nlu.directions(t)) > 1}, {"interests": _joined(_BROAD), "broad": f"len({_DIRS}) > 1"})
 over_turns("nlu_conflict", {"several": lambda t: F.size(nlu.directions(t)) > 1, "conflict": nlu.conflict}, {"several": f"len({_DIRS}) > 1", "conflict": _CONFLICT})
@@ -137,7 +149,7 @@ _PARSED = f"t as (select conv_id, turn, role, text, {Q} as q, {S} as s from {SPO
 
 def parsed(spark, sf_dir):
     text = F.col("text")
-    rows = staged(turns(spark, sf_dir), age=nlu.age_years(text), interest=nlu.first_direction(text), found=nlu.places(text), range=nlu.age_is_unsure(text))
+    rows = staged(with_places(turns(spark, sf_dir)), age=nlu.age_years(text), interest=nlu.first_direction(text), range=nlu.age_is_unsure(text))
     place = F.when(F.size("found") == 1, F.get("found", F.lit(0))).otherwise("")
     return rows.withColumns({"place": place, "unsure": F.col("range") | (F.size("found") > 1)}).drop("found", "range")
 

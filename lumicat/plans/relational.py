@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
+from lumicat.operators import dictionary
 from lumicat.plans.registry import register
 from lumicat.session import table
 
@@ -245,27 +246,45 @@ def join_full_diff(spark, sf_dir):
     return a.join(b, F.col("a.o_orderkey") == F.col("b.o_orderkey"), "full_outer").select(F.coalesce("a.o_orderkey", "b.o_orderkey").alias("k"), change.alias("change"))
 
 
-TERMS = ["ring", "gear", "bolt", "red", "anvil"]
+_TERM_SQL = "terms as (select distinct substr(w, 2, 3) as term from (select unnest(string_split(p_name, ' ')) as w from part) where length(w) >= 3)"
 
 
-@register("join_theta_contains", "select p_partkey, string_agg(term, ',' order by pos) as terms from part join (values (0, 'ring'), (1, 'gear'), (2, 'bolt'), (3, 'red'), (4, 'anvil')) t(pos, term) on contains(p_name, term) group by p_partkey")
+@register("join_theta_contains", f"with {_TERM_SQL} select p_partkey, string_agg(term, ',' order by term) as terms from part join terms on contains(p_name, term) group by p_partkey")
 def join_theta_contains(spark, sf_dir):
-    found = F.filter(F.array(*[F.lit(t) for t in TERMS]), lambda t: F.contains(F.col("p_name"), t))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("terms")).where("terms <> ''")
+    """Terms of a table (pieces of words) in the names of another."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    terms = part.select(F.explode(F.split("p_name", " ")).alias("w")).where(F.length("w") >= 3).select(F.substring("w", 2, 3).alias("term"))
+    topics = part.select("p_name").distinct()
+    found = dictionary.containing(topics, terms, "p_name", "p_name").groupBy("p_name").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"))
+    return part.join(found, "p_name").select("p_partkey", "terms")
+
+
+_WORD_SQL = "terms as (select distinct lower(w) as term from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from benchmark))"
+
+
+@register("join_dictionary", f"with {_WORD_SQL} select term, count(*)::bigint as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from documents join terms on contains(lower(text), term) group by 1")
+def join_dictionary(spark, sf_dir):
+    """Every word of the benchmark items, anywhere in every document."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("w")).select(F.lower("w").alias("term"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return dictionary.containing(docs, terms, "doc_id").groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+_ASKED = "case c_custkey % 5 when 0 then p_name when 1 then 'a ' || p_name || ' (used)' when 2 then substr(p_name, 3, 5) when 3 then substr(p_name, 2) || c_mktsegment else c_name end"
 
 
 @register(
     "join_fuzzy_name",
-    """select asked, n_name from (
-      select asked, n_name, row_number() over (partition by asked order by case when n_name = asked then 0 when contains(n_name, asked) then 1 else 2 end, n_name) as rn
-      from (values ('NATION_1'), ('TION_23'), ('NATION_7 (north)'), ('nowhere')) q(asked) join nation on n_name = asked or contains(n_name, asked) or contains(asked, n_name)) where rn = 1""",
+    f"""with names as (select distinct p_name as name from part), asked as (select distinct {_ASKED} as asked from customer join part on p_partkey = c_custkey)
+      select asked, name from (
+      select asked, name, row_number() over (partition by asked order by case when name = asked then 0 when contains(name, asked) then 1 else 2 end, name) as rn
+      from asked join names on contains(name, asked) or contains(asked, name)) where rn = 1""",
 )
 def join_fuzzy_name(spark, sf_dir):
-    """Exact, then name holds input, then input holds name; requests are few and unkeyed."""
-    asked = ["NATION_1", "TION_23", "NATION_7 (north)", "nowhere"]
-    names = table(spark, sf_dir, "nation").select("n_name", F.explode(F.array(*[F.lit(a) for a in asked])).alias("asked"))
-    rank = F.when(F.col("n_name") == F.col("asked"), 0).when(F.contains("n_name", "asked"), 1).when(F.contains("asked", "n_name"), 2)
-    return names.withColumn("rank", rank).where("rank is not null").groupBy("asked").agg(F.min(F.struct("rank", "n_name"))["n_name"].alias("n_name"))
+    """The names of parts that customers ask for: exact, then name holds request, then request holds name."""
+    parts = table(spark, sf_dir, "part")
+    asked = table(spark, sf_dir, "customer").join(parts, F.col("c_custkey") == F.col("p_partkey")).select(F.expr(_ASKED).alias("asked"))
+    return dictionary.best_names(asked, parts.select(F.col("p_name").alias("name")))
 
 
 # --- windows, sorts, limits
