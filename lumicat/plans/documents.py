@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
-from lumicat.operators import cluster, extract
+from lumicat.operators import cluster, extract, topic_clusters
 from lumicat.operators.rules import Rule
 from lumicat.plans.registry import register
 from lumicat.session import table
@@ -212,3 +212,12 @@ def clu_kmeans(spark, sf_dir):
     """Weighted spherical k-means of the embeddings; tests check its invariants."""
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(1.0).alias("weight"))
     return cluster.kmeans(points, k=32, rounds=80).select("id", "cluster", F.round("similarity", 6).alias("similarity"), "settled")
+
+
+@register("clu_kmeans_topics")
+def clu_kmeans_topics(spark, sf_dir):
+    """The same on the TF-IDF weights of topics, sparse throughout; ``tests/test_topic_clusters.py`` repeats it by brute force."""
+    topics = _topics(spark, sf_dir)
+    weights = cluster.tfidf(topics, STOP).select(F.col("topic").alias("id"), "token", "value")
+    placed = topic_clusters.sparse_kmeans(weights, topics.select(F.col("topic").alias("id"), "weight"), k=8)
+    return placed.select(F.col("id").alias("topic"), "cluster", F.round("similarity", 6).alias("similarity"), "settled")
