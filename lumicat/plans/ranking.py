@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
-from lumicat.operators import ranking
+from lumicat.operators import profile_ranking, ranking
 from lumicat.plans.registry import register
 from lumicat.session import table
 
@@ -210,3 +212,57 @@ def rank_card(spark, sf_dir):
     """Cards of the ranked programmes; ``tests/test_operators.py`` makes them again from the tables."""
     found = ranking.top(ranking.score(candidates(spark, sf_dir, OPEN), OPEN))
     return ranking.cards(found, OPEN, focus=("building", "logic"))
+
+
+_SEGMENTS = {"AUTOMOBILE": [["gear", "bolt"], ["rod"]], "BUILDING": [["plate"], ["cat_b", "anvil"]], "FURNITURE": [["widget", "ring"]], "MACHINERY": [["gizmo", "cat_g"], ["blue"]], "HOUSEHOLD": []}
+_DAYS, _PERIODS = [["weekend"], ["weekday"], []], [["evening"], [], ["morning", "day"], []]
+
+
+def asked_profiles(spark, sf_dir):
+    """One profile per customer."""
+    key = F.col("c_custkey")
+    pick = lambda values, kind: F.element_at(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), (key % len(values) + 1).cast("int"))
+    interests = F.from_json(F.lit(json.dumps(_SEGMENTS)), "map<string, array<array<string>>>")[F.col("c_mktsegment")]
+    place = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return table(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("profile_id"), F.when(key % 7 != 0, F.col("n_regionkey")).alias("municipality_id"), F.when(key % 6 == 0, "Brand#1").alias("organization"),
+        F.when(key % 11 != 0, 12 + key * 13 % 250).cast("int").alias("age_from"), F.when(key % 11 != 0, 36 + key * 13 % 250).cast("int").alias("age_to"),
+        F.when(key % 5 != 0, 1000 + key * 37 % 4000).cast("double").alias("budget"), interests.alias("interests"), F.when(key % 3 != 0, "PROMO").alias("direction"),
+        pick(_DAYS, "array<string>").alias("days"), pick(_PERIODS, "array<string>").alias("periods"), F.when(key % 2 == 0, "small").alias("group_size"), F.when(key % 13 == 0, 2).alias("form"),
+        F.array(key, key + 17).alias("completed_ids"),
+    )
+
+
+def _many_sql() -> str:
+    hit = lambda text: f"len(list_filter(t, lambda y: contains({text}, y))) > 0"
+    topic = lambda value: f"len(list_filter(topics, lambda w: len(list_filter(t, lambda y: contains({value}, y))) > 0)) > 0"
+    rung = f"case when {topic('w')} then 100 when {topic(_CAT)} then 70 when {topic(_PAR)} then 30 when len(topics) = 0 and {hit(_NAMED)} then 20 when len(topics) = 0 and {hit("'about ring work ' || lower(p_type)")} then 10 else 0 end"
+    named = "case when len(days) = 0 then false when days[1] = 'weekend' then x.weekend else not x.weekend end"
+    timed = "list_contains(periods, x.period)"
+    one = f"case when len(days) > 0 and len(periods) > 0 then case when ({named}) and {timed} then 60 when ({named}) or {timed} then 30 else -60 end when len(days) > 0 then case when {named} then 60 else -60 end else case when {timed} then 60 else -60 end end"
+    segments = " ".join(f"when '{k}' then {v!r}::varchar[][]" for k, v in _SEGMENTS.items())
+    return f"""with g as (select l_partkey, count(*) as n_groups, min(l_extendedprice) as low, count(*) filter (where l_quantity > 10) as open_groups, min(l_suppkey) as supp,
+        list(distinct {{'weekend': isodow(l_shipdate) >= 6, 'period': case when l_linenumber * 3 < 12 then 'morning' when l_linenumber * 3 < 17 then 'day' else 'evening' end}}) as times from lineitem group by 1),
+      c as (select part.*, g.*, n_regionkey as place, case when p_size % 4 <> 0 then string_split(p_name, ' ') else []::varchar[] end as topics, case when p_size % 10 = 0 then 3 else 1 end as enrollment
+        from part left join g on l_partkey = p_partkey left join supplier on s_suppkey = supp left join nation on n_nationkey = s_nationkey),
+      p as (select c_custkey as k, case when c_custkey % 7 <> 0 then n_regionkey end as municipality, case when c_custkey % 11 <> 0 then 12 + c_custkey * 13 % 250 end as age_from, case when c_custkey % 11 <> 0 then 36 + c_custkey * 13 % 250 end as age_to,
+          case when c_custkey % 5 <> 0 then 1000 + c_custkey * 37 % 4000 end as budget, case c_mktsegment {segments} end as interests,
+          ({_DAYS!r}::varchar[][])[c_custkey % 3 + 1] as days, ({_PERIODS!r}::varchar[][])[c_custkey % 4 + 1] as periods from customer join nation on n_nationkey = c_nationkey),
+      met as (select * from p join c on (municipality is null or place is null or municipality = place) and (k % 6 <> 0 or contains(lower(p_brand), 'brand#1') or contains('brand#1', lower(p_brand)))
+          and (age_from is null or (p_size * 6 <= age_to and (p_size % 11 = 0 or p_size * 6 + 36 >= age_from))) and (budget is null or low is null or low <= budget)
+          and p_partkey <> k and p_partkey <> k + 17 and (k % 13 <> 0 or p_size % 3 in (0, 2))),
+      s as (select k as profile_id, p_partkey as id, len(interests) as asks,
+          case when p_size % 9 = 0 then 0 when len(topics) = 0 then -10 else 10 end as presence, least(200, coalesce(list_sum(list_transform(interests, lambda t: {rung})), 0))::int as interest,
+          case when len(days) + len(periods) = 0 then 0 else coalesce(list_max(list_transform(times, lambda x: {one})), 0) end as schedule,
+          case when enrollment = 3 then -25 when n_groups is null then 0 when open_groups > 0 then 50 else 25 end as availability,
+          case when k % 3 = 0 then 0 when contains(lower(p_type), 'promo') or contains('promo', lower(p_type)) then 30 when len(list_filter(flatten(interests), lambda y: len(list_filter(topics, lambda w: contains(w, y))) > 0)) > 0 then 0 else -30 end as direction_score,
+          case when k % 2 <> 0 then 0 when p_size % 20 + 2 <= 10 or p_size % 20 + 4 <= 10 then 20 else -20 end as group_size from met),
+      r as (select *, presence + interest + schedule + availability + direction_score + group_size as score from s where asks = 0 or interest > 0),
+      n as (select *, row_number() over (partition by profile_id order by score desc, id)::int as place from r where score > 0)
+      select profile_id, id, presence, interest, schedule, availability, direction_score, group_size, score::int as score, place from n where place <= 10"""
+
+
+@register("rank_profiles", _many_sql())
+def rank_profiles(spark, sf_dir):
+    """The ten best programmes for every customer."""
+    return profile_ranking.top(asked_profiles(spark, sf_dir), candidates(spark, sf_dir))
