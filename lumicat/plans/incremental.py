@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumicat.operators import sync
 from lumicat.plans.registry import register
 from lumicat.session import shared_folder, table
-from lumicat.streaming import sessions
+from lumicat.streaming import session_state, sessions
 
 _STATE = "o_orderkey % 10 <> 0"
 _CURRENT = "o_orderkey % 7 <> 0"
@@ -132,6 +132,25 @@ def inc_poll_offset(spark, sf_dir):
     return sessions.upsert_latest(stream, f"{base}/out", f"{base}/offsets", ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")
 
 
+_GAP = 4 * 3600
+
+
+@register(
+    "inc_session_stream",
+    f"""with e as (select user_id, event_id, ts, round(value * 100)::bigint as amount, event_type = 'signup' as reset, lag(ts) over w as before from events window w as (partition by user_id order by ts, event_id)),
+      s as (select *, sum((before is null or reset or epoch_us(ts) - epoch_us(before) > {_GAP} * 1000000::bigint)::int) over (partition by user_id order by ts, event_id) as number from e)
+      select user_id, min(ts) as start, max(ts) as last, count(*)::bigint as n, sum(amount)::bigint as amount from s group by user_id, number""",
+)
+def inc_session_stream(spark, sf_dir):
+    """Sessions of users as keyed state: events land in three parts, the job runs behind each."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.expr("cast(round(value * 100) as long)").alias("amount"), (F.col("event_type") == "signup").alias("reset"))
+    base = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        events.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(f"{base}/in")
+        session_state.run(sessions.event_stream(spark, f"{base}/in", events.schema, files_per_batch=100_000), f"{base}/out", f"{base}/state", _GAP)
+    return session_state.current(spark, f"{base}/out").select(F.col("key").alias("user_id"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "last")], "n", "amount")
+
+
 @register("ext_windowed_counts", "select date_trunc('day', ts) as start, event_type, count(*)::bigint as n, sum(value::decimal(18,2))::decimal(28,2) as total from events group by 1, 2")
 def ext_windowed_counts(spark, sf_dir):
     """An extra beyond the catalogue's operators."""
