@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lumicat.operators import sync
+from lumicat.operators import run_ledger, sync
 from lumicat.plans.registry import register
-from lumicat.session import shared_folder, table
+from lumicat.session import shared_folder, table, without_folder
 from lumicat.streaming import session_state, sessions
 
 _STATE = "o_orderkey % 10 <> 0"
@@ -39,6 +39,42 @@ def inc_nightly(spark, sf_dir):
     return sync.catalog_sync(*_versions(spark, sf_dir)).groupBy("catalog_status", "status").agg(F.count("*").alias("n"))
 
 
+def _nightly_steps(spark, sf_dir, current):
+    """Orders of a catalogue -> what their lines are worth -> customers."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.expr("cast(round(l_extendedprice * 100) as long)").alias("cents"))
+
+    def worth(now, dirty):
+        wanted = now("catalogue").join(dirty, "id")
+        sums = lines.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
+        return wanted.join(sums, "id", "left").select("id", "customer", F.when(F.col("status") == "X", 0).otherwise(F.coalesce("cents", F.lit(0))).cast("long").alias("cents"), F.coalesce("n", F.lit(0)).alias("n"))
+
+    def customers(now, dirty):
+        return now("worth").join(dirty, "customer", "left_semi").groupBy("customer").agg(F.count("*").alias("orders"), F.sum("cents").alias("cents"), F.sum("n").alias("lines"))
+
+    return [
+        run_ledger.Step("catalogue", "id long, customer long, status string", ("id",), lambda now, dirty: current),
+        run_ledger.Step("worth", "id long, customer long, cents long, n long", ("id",), worth, ("catalogue",), lambda now, changed: changed("catalogue").select("id")),
+        run_ledger.Step("customers", "customer long, orders long, cents long, lines long", ("customer",), customers, ("worth",), lambda now, changed: changed("worth").select("customer")),
+    ]
+
+
+@register(
+    "inc_nightly_run",
+    f"""with l as (select l_orderkey, sum(round(l_extendedprice * 100)::bigint) as cents, count(*) as n from lineitem group by 1)
+      select o_custkey as customer, count(*)::bigint as orders, sum(case when {_NEW_STATUS} = 'X' then 0 else coalesce(cents, 0) end)::bigint as cents, sum(coalesce(n, 0))::bigint as lines
+      from orders left join l on l_orderkey = o_orderkey where {_CURRENT} group by 1""",
+)
+def inc_nightly_run(spark, sf_dir):
+    """Two nights over two versions of the catalogue; the second works on what changed, and equals a rebuild."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), "o_orderkey")
+    nights = [orders.where(_STATE), orders.where(_CURRENT).withColumn("status", F.when(F.col("id") % 5 == 0, "X").otherwise(F.col("status")))]
+    base = f"{shared_folder(spark)}/nightly-{uuid.uuid4().hex}"
+    for current in nights:
+        steps = _nightly_steps(spark, sf_dir, current.drop("o_orderkey"))
+        number = run_ledger.run_steps(spark, base, steps)
+    return without_folder(run_ledger.rows_of(spark, base, steps[-1], number), base)
+
+
 @register("inc_program_upsert", f"with state as (select o_orderkey as id, o_orderstatus as status from orders where {_STATE}) select id, case when id = 11 then 'Z' else status end as status from state union all select 100000000, 'Z'")
 def inc_program_upsert(spark, sf_dir):
     state = table(spark, sf_dir, "orders").where(_STATE).select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
@@ -119,7 +155,7 @@ def inc_history_append(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     for run in range(3):
         turns.where(F.col("turn") % 3 == run).withColumn("run", F.lit(run)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("results"), F.count("*").alias("turns"))
+    return without_folder(spark.read.parquet(path).groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("results"), F.count("*").alias("turns")), path)
 
 
 @register("inc_poll_offset", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1")
@@ -129,7 +165,7 @@ def inc_poll_offset(spark, sf_dir):
     base = f"{shared_folder(spark)}/poll-{uuid.uuid4().hex}"
     events.select("event_id", "user_id", "event_type").write.parquet(f"{base}/in")
     stream = sessions.event_stream(spark, f"{base}/in", events.select("event_id", "user_id", "event_type").schema)
-    return sessions.upsert_latest(stream, f"{base}/out", f"{base}/offsets", ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")
+    return without_folder(sessions.upsert_latest(stream, f"{base}/out", f"{base}/offsets", ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type"), base)
 
 
 _GAP = 4 * 3600
@@ -148,7 +184,8 @@ def inc_session_stream(spark, sf_dir):
     for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
         events.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(f"{base}/in")
         session_state.run(sessions.event_stream(spark, f"{base}/in", events.schema, files_per_batch=100_000), f"{base}/out", f"{base}/state", _GAP)
-    return session_state.current(spark, f"{base}/out").select(F.col("key").alias("user_id"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "last")], "n", "amount")
+    found = session_state.current(spark, f"{base}/out").select(F.col("key").alias("user_id"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "last")], "n", "amount")
+    return without_folder(found, base)
 
 
 @register("ext_windowed_counts", "select date_trunc('day', ts) as start, event_type, count(*)::bigint as n, sum(value::decimal(18,2))::decimal(28,2) as total from events group by 1, 2")

@@ -56,6 +56,13 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def without_folder(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that the folder it was read from can go."""
+    out = checkpointed(df)
+    remove_folder(df.sparkSession, path)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder.
 
