@@ -14,6 +14,8 @@ other values: windows of one shift against the item are a passage, and so are
 those whose shifts lie in one step of the item's length (two grids, half a step
 apart, for passages with words put in). One passage that passes is a leak.
 
+Pairs of documents and items are never made from windows that many of both have in common: see ``likely_pairs``.
+
 Defined cases: null or empty texts on either side hold no window. An item
 shorter than a window is one window of its own length, looked up in windows of
 that length of every document; one of placeholders only must be held with its
@@ -28,7 +30,7 @@ Extra columns are carried unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumicat.llm.lookup import matching
@@ -151,6 +153,22 @@ def item_classes(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return shaped.join(shaped.groupBy("_s").agg(F.min("item_id").alias("class_id")), "_s").select("item_id", "class_id")
 
 
+def likely_pairs(held: DataFrame, item_windows: DataFrame, totals: DataFrame, min_coverage: float, sized=lambda df: df) -> DataFrame:
+    """doc_id, item_id of the pairs that share enough windows for a leak.
+
+    A document with the asked share of an item's n windows misses n - ceil(share * n) of them at most, so it holds one of any
+    n - ceil(share * n) + 1. Candidates come from so many of the windows that fewest documents hold; windows that many items
+    and documents have in common, such as a preamble, make no pairs by themselves.
+    """
+    common = held.groupBy("h").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "h")  # the windows of one item
+    placed = item_windows.join(common, "h", "left").withColumn("rn", F.row_number().over(order)).join(totals, "item_id")
+    rare = checkpointed(placed.where(F.col("rn") <= F.col("n_item_windows") - F.ceil(F.col("n_item_windows") * min_coverage) + 1).select("item_id", "h"))
+    candidates = checkpointed(held.join(sized(rare), "h").select("doc_id", "item_id").distinct())
+    shared = candidates.join(held, "doc_id").join(sized(item_windows), ["item_id", "h"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    return checkpointed(shared.join(totals, "item_id").where(F.col("n") >= F.col("n_item_windows") * min_coverage).select("doc_id", "item_id"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT) -> DataFrame:
     """doc_id, item_id, n_items, n_windows, n_item_windows, n_consistent: one row per document and class of items that it holds.
 
@@ -158,19 +176,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     """
     classes = checkpointed(item_classes(benchmark, size).groupBy("class_id").agg(F.count("*").alias("n_items"))).withColumnRenamed("class_id", "item_id")
     items = windows(benchmark.select("item_id", "text").join(classes, "item_id", "left_semi"), "item_id", size).select("item_id", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("n_tokens").alias("_n"), F.col("slots").alias("item_slots"))
+    items = checkpointed(items)
     totals = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_item_windows"))
-    hashes = items.select("h").distinct()
+    hashes = checkpointed(items.select("h").distinct())
+    few = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    sized = lambda df: F.broadcast(df) if few else df
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     # items shorter than a window are looked up in windows of their own length
     short = [r["_n"] for r in items.where(F.col("_n") < size).select("_n").distinct().orderBy("_n").collect()]
     made = F.inline(document_windows(F.col("text"), [*short, size])) if short else F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "h")
-    if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        # texts ride along as far as the lookup and go on only where a window hits
-        matched = texts.select("doc_id", "text", made).join(F.broadcast(hashes), "h")
-    else:
-        hit = texts.select("doc_id", F.xxhash64("text").alias("_th"), made).join(hashes, "h")
-        matched = hit.join(texts.withColumn("_th", F.xxhash64("text")), ["doc_id", "_th"]).drop("_th")
-    pairs = slots(matched, "doc_id", size).join(items, "h").withColumn("slots", F.slice("slots", F.lit(1), F.size("item_slots")))
+    hits = checkpointed(texts.select("doc_id", F.xxhash64("text").alias("_th"), made).join(sized(hashes), "h"))
+    likely = likely_pairs(hits.select("doc_id", "h").distinct(), items.select("item_id", "h").distinct(), totals, min_coverage, sized)
+    # from here on only documents that hold enough windows of some item
+    matched = matching(hits, likely.select("doc_id"), "doc_id").join(matching(texts, likely.select("doc_id"), "doc_id").withColumn("_th", F.xxhash64("text")), ["doc_id", "_th"]).drop("_th")
+    pairs = slots(matched, "doc_id", size).join(likely, "doc_id").join(items, ["item_id", "h"]).withColumn("slots", F.slice("slots", F.lit(1), F.size("item_slots")))
     # a short item without a plain word is only its values
     bare = (F.col("_n") < size) & F.forall("item_slots", lambda v: v.isNotNull())
     # matched windows are few and looked at twice

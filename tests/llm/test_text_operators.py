@@ -368,6 +368,20 @@ def test_decontamination_brute(spark, documents, texts):
 # --- mixing
 
 
+def test_a_shared_preamble_makes_no_pairs(spark, monkeypatch):
+    """Items and documents with one preamble and no leak: the work grows with their windows, not with all pairs."""
+    preamble = " ".join(f"pre{chr(97 + i)}" for i in range(22))
+    word = lambda k, i: f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    items = [(k, f"{preamble} {' '.join(word(k, i) for i in range(30))}") for k in range(300)]
+    docs = [(k, f"{preamble} {' '.join(word(400 + k % 200, i + 30 + k // 200) for i in range(40))}") for k in range(500)] + [(900, f"so {items[7][1]} it")]
+    made, kept = [], decontam.checkpointed
+    monkeypatch.setattr(decontam, "checkpointed", lambda df: (made.append((kept(df))), made[-1])[1])
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(900, 7)]
+    pairs = [df.count() for df in made if {"doc_id", "item_id"} <= set(df.columns)]
+    assert pairs and max(pairs) < 1000
+
+
 def test_mixing_counts_and_rates(spark):
     rows = [(i, "x" * (10 if i % 10 else 100), "en", "big" if i % 3 else None) for i in range(3000)]
     got = mixing.replicate(table(spark, rows)).collect()
