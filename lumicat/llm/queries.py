@@ -154,7 +154,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DUCK_TEXT = r"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g')"
 _DUCK_TEXT = rf"regexp_replace({_DUCK_TEXT}, '\s+', ' ', 'g')"
 _DUCK_TEXT = rf"regexp_replace({_DUCK_TEXT}, '(?i)</?(p|div|li|ul|ol|h[1-6]|br|tr|table|article|section|nav|footer|header|aside|main|blockquote|body|html)\b[^>]*>', chr(10), 'g')"
-_DUCK_TEXT = rf"regexp_replace({_DUCK_TEXT}, '<[^>]*>', '', 'g')"
+_DUCK_TEXT = rf"regexp_replace({_DUCK_TEXT}, '<[A-Za-z/!?][^>]*>', '', 'g')"
 for _from, _to in warc_derive.REFERENCES:
     _DUCK_TEXT = "replace({}, '{}', '{}')".format(_DUCK_TEXT, _from.replace("'", "''"), _to.replace("'", "''"))
 _DUCK_TEXT = rf"regexp_replace(regexp_replace({_DUCK_TEXT}, ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"

@@ -18,8 +18,9 @@ Defined cases: a null or empty payload gives a conversion of an empty text. A
 null URI leaves the WARC-Target-URI header out. A block longer than what there is
 of the record ends with it, and one without a readable Content-Length is all but
 the two line ends; both have ``complete`` false. A character set that is unknown
-or wrong gives replacement characters, a coding that can't be undone leaves the
-payload as it is. Repeated rows give repeated records with equal ids.
+or wrong gives replacement characters. All members of a gzip payload and all frames of a zstd payload are
+read, up to ``MOST_OCTETS``; a longer or cut one, and one in another coding that
+is no text as it stands, whose text is empty, have ``complete`` false too. A payload that isn't coded as its header says stays as it is. Repeated rows give repeated records with equal ids.
 ``responses`` ignores extra columns; ``parse`` and ``derive`` carry them, but for
 those named like the added ones, which are replaced.
 """
@@ -33,6 +34,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,8 @@ from lumicat.llm.text import staged, unused
 CRLF = "\r\n"
 #: Date of pages that come without one.
 DATE = "2024-01-01T00:00:00Z"
+#: Octets to which a compressed payload is inflated; what goes beyond is left out and the record is marked.
+MOST_OCTETS = 64 << 20
 #: What lies between two records.
 SEPARATOR = CRLF * 2 + "WARC/1."
 
@@ -92,7 +96,7 @@ def parse(records: DataFrame) -> DataFrame:
     the header and cut by ``Content-Length``, in octets; other record types are
     left out.
     """
-    head, raw, kind, left, block, http, body, coded = unused(records, "_head", "_raw", "_type", "_left", "_block", "_http", "_body", "_coded")
+    head, raw, kind, left, block, http, body, coded, text = unused(records, "_head", "_raw", "_type", "_left", "_block", "_http", "_body", "_coded", "_decoded")
     field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
     own = [F.col(f"`{c}`") for c in records.columns if c not in ("record", *PARSED)]
     split = staged(records.select(*own, "record"), {head: F.substring_index(F.col("record").cast("string"), CRLF * 2, 1), raw: F.col("record").cast("binary")}, ("record",))
@@ -104,6 +108,7 @@ def parse(records: DataFrame) -> DataFrame:
     split = staged(split, {http: F.substring_index(F.col(block).cast("string"), CRLF * 2, 1)})
     split = staged(split, {body: F.expr(f"substring({block}, octet_length({http}) + 5)")}, (block,))
     split = staged(split, {coded: F.col(http).rlike(CODED) | ~F.is_valid_utf8(F.col(body).cast("string"))})
+    split = staged(split, {text: _decode_payloads(F.when(F.col(coded), F.col(body)), F.when(F.col(coded), F.make_valid_utf8(http)))})
     return split.select(
         *own,
         field("WARC-Record-ID").alias("record_id"),
@@ -111,9 +116,9 @@ def parse(records: DataFrame) -> DataFrame:
         field("WARC-Target-URI").alias("uri"),
         field("WARC-Payload-Digest").alias("payload_digest"),
         F.col(http).alias("http_headers"),
-        F.when(F.col(coded), _decode_payloads(F.when(F.col(coded), F.col(body)), F.when(F.col(coded), F.make_valid_utf8(http)))).otherwise(F.col(body).cast("string")).alias("payload"),
+        F.when(F.col(coded), F.col(text)["text"]).otherwise(F.col(body).cast("string")).alias("payload"),
         F.col("block_bytes").cast("long").alias("block_bytes"),
-        F.coalesce(F.col(left) >= F.col("block_bytes"), F.lit(False)).alias("complete"),
+        (F.coalesce(F.col(left) >= F.col("block_bytes"), F.lit(False)) & F.coalesce(F.col(text)["whole"], F.lit(True))).alias("complete"),
     )
 
 
@@ -133,34 +138,81 @@ def _unchunked(data: bytes) -> bytes:
     return b"".join(parts)
 
 
-def decoded_payload(data: bytes, headers: str) -> str:
-    """The text of a payload: transfer and content codings undone, then the character set of header or page."""
+def _inflated(data: bytes, bits: int, most: int) -> tuple[bytes, bool]:
+    """All members of a compressed stream up to ``most`` octets, and whether that is all of it."""
+    parts, size = [], 0
+    while data:
+        member = zlib.decompressobj(bits)
+        try:
+            parts.append(member.decompress(data, most - size + 1))
+        except zlib.error:
+            if not parts:
+                raise
+            return b"".join(parts), False
+        size += len(parts[-1])
+        if size > most:
+            return b"".join(parts)[:most], False
+        if not member.eof:
+            return b"".join(parts), False
+        data = member.unused_data if member.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(parts), True
+
+
+def _unzstd(data: bytes, most: int) -> tuple[bytes, bool]:
+    reader, parts, size = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True), [], 0
+    while size <= most and (part := reader.read(min(1 << 20, most - size + 1))):
+        parts.append(part)
+        size += len(part)
+    return b"".join(parts)[:most], size <= most
+
+
+def _uncoded(data: bytes, coding: str, most: int) -> tuple[bytes, bool]:
+    """A payload without one content coding. What isn't coded as its header says is often decoded already and stays as it is."""
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):  # gzip or zlib by its head, or bare
+            try:
+                return _inflated(data, bits, most)
+            except zlib.error:
+                pass
+        return data, True
+    if coding == "zstd":
+        try:
+            return _unzstd(data, most)
+        except zstandard.ZstdError:
+            return data, data[:4] != b"\x28\xb5\x2f\xfd"
+    if coding in ("", "identity"):
+        return data, True
+    try:
+        data.decode("utf-8")
+        return data, True
+    except UnicodeDecodeError:
+        return b"", False
+
+
+def decoded_payload(data: bytes, headers: str, most: int = MOST_OCTETS) -> tuple[str, bool]:
+    """The text of a payload and whether it is whole: transfer and content codings undone, then the character set of header or page."""
     fields = {k.strip().lower(): v.strip().lower() for k, _, v in (line.partition(":") for line in headers.split("\n"))}
     if "chunked" in fields.get("transfer-encoding", ""):
         try:
             data = _unchunked(data) or data
         except ValueError:
             pass
-    coding = fields.get("content-encoding", "")
-    if "gzip" in coding or "deflate" in coding:
-        for bits in (47, -15):  # gzip or zlib by its head, or bare
-            try:
-                data = zlib.decompressobj(bits).decompress(data)
-                break
-            except zlib.error:
-                pass
+    whole = True
+    for coding in reversed(fields.get("content-encoding", "").split(",")):
+        data, all_of_it = _uncoded(data, coding.strip(), most)
+        whole = whole and all_of_it
     named = _CHARSET.search(fields.get("content-type", "").encode()) or _CHARSET.search(data[:1024])
     for name in [named[1].decode()] if named else []:
         try:
-            return codecs.lookup(name).decode(data, "replace")[0]
+            return codecs.lookup(name).decode(data, "replace")[0], whole
         except (LookupError, TypeError, ValueError):
             pass
-    return data.decode("utf-8", "replace")
+    return data.decode("utf-8", "replace"), whole
 
 
-@F.pandas_udf(T.StringType())
-def _decode_payloads(payloads: pd.Series, headers: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else decoded_payload(p, h or "") for p, h in zip(payloads, headers)], index=payloads.index, dtype=object)
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("whole", T.BooleanType())]))
+def _decode_payloads(payloads: pd.Series, headers: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if p is None else decoded_payload(p, h or "") for p, h in zip(payloads, headers)], columns=["text", "whole"], index=payloads.index)
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,7 +292,7 @@ def stripped(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|noscript)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(text, r"(?i)</?(p|div|li|ul|ol|h[1-6]|br|tr|table|article|section|nav|footer|header|aside|main|blockquote|body|html)\b[^>]*>", "\n")
-    return F.regexp_replace(text, r"<[^>]*>", "")
+    return F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", "")
 
 
 def plain_text(text: Column, other: Column) -> Column:

@@ -172,6 +172,40 @@ def test_files_of_records(spark, tmp_path):
     assert sorted(bytes(r.record).rstrip() for r in back) == sorted(r.record.encode().rstrip() for r in made.collect()) and all(r.complete for r in back)
 
 
+def test_codings_of_payloads():
+    """Members and frames, what is cut or too long, codings that can't be undone, and payloads that are decoded already."""
+    import gzip
+    import zlib
+
+    import zstandard
+
+    read = lambda data, coding, most=1000: warc_derive.decoded_payload(data, f"Content-Encoding: {coding}", most)
+    two = gzip.compress(b"hello ") + gzip.compress(b"world")
+    assert read(two, "gzip") == read(two + b"\0\0", "gzip") == ("hello world", True)
+    assert read(two[:-9], "gzip")[1] is False and read(two[:-9], "gzip")[0].startswith("hello ")
+    assert read(gzip.compress(b"x" * 50_000_000), "gzip") == ("x" * 1000, False) and read(gzip.compress(b"x" * 1000), "gzip") == ("x" * 1000, True)
+    frames = zstandard.compress(b"hello ") + zstandard.compress(b"world")
+    assert read(frames, "zstd") == ("hello world", True) and read(zstandard.compress(b"y" * 5000), "zstd") == ("y" * 1000, False)
+    assert read(gzip.compress(zlib.compress(b"both")), "deflate, gzip") == ("both", True)
+    assert read(b"\x8b\xff\x00", "br") == ("", False) and read("schon Text ö".encode(), "br") == ("schon Text ö", True)
+    assert read(b"plain", "gzip") == read(b"plain", "identity") == read(b"plain", "") == read(b"plain", "zstd") == ("plain", True)
+
+
+def test_codings_mark_records(spark):
+    import gzip
+
+    http = lambda body, coding: f"HTTP/1.1 200 OK\r\nContent-Encoding: {coding}\r\n\r\n".encode() + body
+    records = [raw_record("response", 1, "u", http(gzip.compress(b"<p>a</p>") + gzip.compress(b"<p>b</p>"), "gzip")), raw_record("response", 2, "u", http(b"\x8b\xff", "br"))]
+    got = {r.record_id: (r.payload, r.complete) for r in warc_derive.parse(spark.createDataFrame([(bytearray(r),) for r in records], "record binary")).collect()}
+    assert got == {"<urn:uuid:1>": ("<p>a</p><p>b</p>", True), "<urn:uuid:2>": ("", False)}
+
+
+def test_signs_that_are_no_tags(spark):
+    rows = [(1, "u", "<p>5 < 6 and 7 > 3</p><!-- c --><?x y?><b>bold</b> a<b c>d</b> 1<2"), (2, "u", "<p>a <3 b</p><>")]
+    got = {r.page_id: r.block for r in warc_derive.derive(warc_derive.responses(pages(spark, rows))).where("record_type = 'conversion'").collect()}
+    assert got == {1: "5 < 6 and 7 > 3\nbold ad 1<2", 2: "a <3 b\n<>"}
+
+
 def test_partners_are_the_nearest_paths(spark):
     """Pages of several templates in one directory, with extensions and names of unequal length."""
     rows = []
