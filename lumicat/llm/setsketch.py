@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ BASE, RATE = 1.1, 20.0
 MARGIN = 0.12
 #: Shingles (8 bytes each) on the sides of the blocks in which members of one leader are compared.
 OUTLIER_SHINGLES, MEMBER_SHINGLES = 100_000, 1_000_000
+#: Texts whose full sets a worker holds at once.
+SET_ROWS = 500
 
 _MULTIPLIERS = (np.random.default_rng(20240229).integers(1, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -111,12 +114,20 @@ def sketch_udf(size: int):
     return sketch
 
 
-def shingles_udf(size: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, size).view(np.int64) for t in texts], index=texts.index, dtype=object)
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """id, set of rows (id, text), a few at a time, so that a worker holds the sets of ``SET_ROWS`` texts."""
 
-    return shingles
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SET_ROWS):
+                part = batch.slice(at, SET_ROWS)
+                sets = [shingle_set(t, size).view(np.int64) for t in part.column("text").to_pylist()]
+                offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offsets, np.concatenate(sets))], names=["id", "set"])
+                del sets
+            pa.default_memory_pool().release_unused()
+
+    return texts.select("id", "text").mapInArrow(cut, f"id {dict(texts.dtypes)['id']}, set array<long>")
 
 
 def likely_similarity(larger: np.ndarray, smaller: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, rounds: int = 24) -> np.ndarray:
@@ -264,7 +275,7 @@ def near_components(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     members = checkpointed(_members(classes))
     # full sets of whatever shares a bucket, cut from the texts once for both rounds of comparison
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    sets = checkpointed(matching(texts, members.select(F.explode(F.array("leader", "member")).alias("id")), "id").select("id", shingles_udf(shingle_size)("text").alias("set")))
+    sets = checkpointed(shingle_sets(matching(texts, members.select(F.explode(F.array("leader", "member")).alias("id")), "id"), shingle_size))
     side = lambda to: classes.select(F.col("id").alias(to), F.col("n").alias(f"n_{to}"), F.col("registers").alias(f"r_{to}"))
     pairs = members.select(F.col("leader").alias("u"), F.col("member").alias("v")).join(side("v"), "v").join(side("u"), "u")
     pairs = pairs.where(_may_reach(F.col("n_u"), F.col("n_v"), percent)).where(estimate("r_u", "r_v", "n_u", "n_v") >= percent / 100 - MARGIN).select("u", "v")
