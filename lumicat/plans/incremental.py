@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumicat.operators import run_ledger, sync
 from lumicat.plans.registry import register
 from lumicat.session import shared_folder, table, without_folder
+from lumicat.sources import versions
 from lumicat.streaming import session_state, sessions
 
 _STATE = "o_orderkey % 10 <> 0"
@@ -128,6 +129,27 @@ def inc_replace_partition(spark, sf_dir):
     return sync.replace_scope(old, old.withColumn("n", F.lit(0).cast("bigint")), old.where("l_suppkey = 7"), "l_suppkey")
 
 
+@register(
+    "inc_partition_swap",
+    """with g as (select l_returnflag as flag, l_suppkey as supplier, count(*) as n from lineitem group by 1, 2)
+      select 1 as version, 'sums' as name, flag, count(*)::bigint as rows, sum(n)::bigint as n from g group by flag
+      union all select 2, 'sums', flag, count(*), sum(case when flag = 'R' then n * 10 else n end)::bigint from g where flag <> 'A' group by flag
+      union all select 1, 'totals', flag, 1, sum(n)::bigint from g group by flag
+      union all select 2, 'totals', flag, 1, sum(case when flag = 'R' then n * 10 else n end)::bigint from g where flag <> 'A' group by flag""",
+)
+def inc_partition_swap(spark, sf_dir):
+    """One partition rewritten and one dropped in a table, and its totals with it, in one step; both versions are read afterwards."""
+    base = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("n"))
+    totals = lambda df: df.groupBy("flag").agg(F.sum("n").alias("n"))
+    old = versions.publish(spark, base, {"sums": versions.Change(sums, "flag"), "totals": versions.Change(totals(sums), "flag")})
+    returned = versions.read(spark, base, "sums", old).where("flag = 'R'").withColumn("n", F.col("n") * 10)
+    new = versions.publish(spark, base, {"sums": versions.Change(returned, "flag", drop=("A",)), "totals": versions.Change(totals(returned), "flag", drop=("A",))}, old)
+    seen = [versions.read(spark, base, name, at).select(F.lit(at.number).alias("version"), F.lit(name).alias("name"), "flag", "n") for at in (old, new) for name in ("sums", "totals")]
+    out = seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+    return without_folder(out.groupBy("version", "name", "flag").agg(F.count("*").alias("rows"), F.sum("n").alias("n")), base)
+
+
 @register("inc_keyset_loop", "select count(*)::bigint as rows, sum(o_orderkey)::bigint as total, max(o_orderkey) as last from orders")
 def inc_keyset_loop(spark, sf_dir):
     """Running totals that go on behind the last key of an earlier, unfinished run."""
