@@ -43,7 +43,7 @@ SWITCH_PENALTY = 12.0
 UNDETERMINED = "und"
 #: Texts and characters labelled at once (one text at least), scores (words x languages) that a Python worker
 #: keeps, and cells (words x texts x languages) of one Viterbi block.
-CHUNK, CHUNK_CHARS, KEPT_SCORES, CELLS = 10_000, 16_000_000, 400_000, 16_000_000
+CHUNK, CHUNK_CHARS, KEPT_SCORES, CELLS = 2_000, 3_000_000, 400_000, 4_000_000
 
 # fixed values: Unicode ranges of scripts, from their first code point on
 SCRIPTS = [

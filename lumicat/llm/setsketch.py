@@ -56,8 +56,6 @@ SET_ROWS = 500
 _MULTIPLIERS = (np.random.default_rng(20240229).integers(1, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
-SKETCH_TYPE = T.StructType([T.StructField("n", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("registers", T.BinaryType())])
-
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text.
@@ -95,23 +93,28 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value / RATE) / math.log(BASE)), 0, 255).astype(np.uint8)
 
 
-def sketch_udf(size: int):
-    @F.pandas_udf(SKETCH_TYPE)
-    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows, known = [], {}
-            for text in batch:
-                found = shingle_set(text, size)
-                if not len(found):
-                    rows.append((0, 0, 0, b""))
-                    continue
-                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if digest not in known:
-                    known[digest] = registers(found).tobytes()
-                rows.append((len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), known[digest]))
-            yield pd.DataFrame(rows, columns=["n", "a", "b", "registers"])
+def sketched_rows(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, a, b, registers of rows (doc_id, text): size of the shingle set, a hash of it and its registers."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SET_ROWS):
+                part, known = batch.slice(at, SET_ROWS), {}
+                rows = []
+                for text in part.column("text").to_pylist():
+                    found = shingle_set(text, size)
+                    if not len(found):
+                        rows.append((0, 0, 0, b""))
+                        continue
+                    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                    if digest not in known:
+                        known[digest] = registers(found).tobytes()
+                    rows.append((len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), known[digest]))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n", "a", "b", "registers"])
+            pa.default_memory_pool().release_unused()
 
-    return sketch
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, a long, b long, registers binary")
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -268,7 +271,7 @@ def near_components(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     Documents are linked if ``100 * |intersection| >= percent * |union|`` of
     their sets of ``shingle_size``-word shingles; a shorter text is one shingle.
     """
-    sketched = checkpointed(docs.select("doc_id", sketch_udf(shingle_size)("text").alias("k")).select("doc_id", "k.*"))
+    sketched = checkpointed(sketched_rows(docs, shingle_size))
     classes = checkpointed(
         sketched.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     )
