@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumicat.plans.registry import register
 from lumicat.session import shared_folder, table
-from lumicat.sources import files
+from lumicat.sources import csv_split, files
 
 _PART = "select p_partkey, p_name, p_brand, p_type, p_size, p_retailprice from part"
 _TEXTS = "select doc_id, coalesce(text, '') as text, lang from documents"
@@ -44,6 +44,15 @@ def src_csv(spark, sf_dir):
     return files.read_csv(spark, path, docs.schema, multi_line=True)
 
 
+@register("src_csv_split", _TEXTS)
+def src_csv_split(spark, sf_dir):
+    """The same from a single file, of which every split is a task."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    path = folder(spark)
+    files.write_csv(docs.coalesce(1), path)
+    return csv_split.read_csv_split(spark, path, docs.schema)
+
+
 @register("src_csv_bom", "select p_partkey::varchar as p_partkey, p_name from part")
 def src_csv_bom(spark, sf_dir):
     path = folder(spark)
