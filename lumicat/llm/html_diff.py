@@ -7,13 +7,19 @@ common subsequence, and shared blocks are deleted as template text.
 Differencing alone can't give whole articles: copies of an article in one host
 would delete each other, articles may share passages, and menus, adverts or
 footers that name the page are shared with no other. So structure has a veto on
-both sides: blocks inside an article or main element are protected from
-deletion, blocks inside menus, headers, footers, sidebars, notices, adverts,
-forms and comments go in any case, and differencing decides on every other
-block. Class and id never make html, body, main or an element around an article
-a menu or the like; inside articles only whole names count, and compound names
-that speak of the article (``post-header``) or of an absence or a layout
-(``no-sidebar``, ``has-sidebar``) never do. Where a page has no article or main
+both sides: blocks of the article are protected from deletion, blocks inside
+menus, headers, footers, sidebars, notices, adverts, forms and comments go in
+any case, and differencing decides on every other block. The article is, of the
+outermost article elements and the main elements without those in them, the one
+with most text; differencing decides on the others, teasers or a second story.
+
+Class and id never make html, body or main a menu or the like, nor a layout
+around an article. Names of comments, adverts, notices or related pages around
+an article do, if another article stands outside of such names. Inside articles
+only whole names count and compounds that are made of such names and of words
+for their place (``comment-list``, ``post-comments``, not ``share-price``).
+Compounds that speak of the article (``post-header``) or of an absence or a layout
+(``no-sidebar``, ``has-sidebar``) never count. Where a page has no article or main
 element, an element of a layout name that holds most of its text is no chrome.
 
 A page has up to two partners: another query string of its path, and the
@@ -35,10 +41,10 @@ from __future__ import annotations
 
 import html as _html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +74,13 @@ CHROME_NAME = re.compile(r"^(ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|s
 LAYOUT_NAME = re.compile(r"^(nav|menu|sidebar|footer|header|banner|widget|toolbar)")
 #: A compound name with one of these parts is none of chrome.
 TEXT_PARTS = {"article", "post", "entry", "story", "content", "no", "not", "non", "free", "without", "with", "has"}
+ABSENT = {"no", "not", "non", "free", "without", "with", "has"}
+#: What a compound name of chrome may begin with, and the words for the place of chrome that may stand in it.
+OWNERS = {"article", "post", "entry", "story"}
+PLACES = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "container", "form", "grid", "group", "icons", "inline", "inner", "item", "items", "label", "left", "link", "links",
+    "list", "message", "outer", "panel", "placeholder", "policy", "posts", "replies", "reply", "respond", "right", "row", "section", "signup", "slot", "stories", "strip", "thread", "tools", "top", "unit", "wrap", "wrapper", "zone",
+}
 CHROME_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"}
 
 # A quote counts only behind an equals sign; possessive, so that no page is read twice.
@@ -76,10 +89,21 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _SPACE = re.compile(r"\s+")
 
 
+def _chrome_compound(word: str) -> bool:
+    """Whether a compound name is made of names of chrome, of which one is no layout, and of words for their place."""
+    parts = [p for p in re.split(r"[-_]+", word) if p and not p.isdigit()]
+    if not ABSENT.isdisjoint(parts):
+        return False
+    while parts and parts[0] in OWNERS:
+        del parts[0]
+    named = [p for p in parts if CHROME_NAME.match(p)]
+    return any(not LAYOUT_NAME.match(p) for p in named) and all(p in PLACES for p in parts if p not in named)
+
+
 def _chrome(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
     """Whether an element is chrome by its tag or role, by a name (or as a form), and by a name of layout only.
 
-    Inside articles whole names count, elsewhere also parts of compound names.
+    Inside articles whole names count and compounds of nothing else, elsewhere also parts of compound names.
     """
     if tag in DROPPED or tag == "header" and not in_main:
         return True, False, False
@@ -93,6 +117,8 @@ def _chrome(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
                 return True, False, False
         elif name in ("class", "id") and tag not in ("html", "body", "main"):
             for word in value.split():
+                if _chrome_compound(word):
+                    named, layout = True, False
                 parts = re.split(r"[-_]+", word)
                 if in_main or not TEXT_PARTS.isdisjoint(parts):
                     parts = [word]
@@ -110,15 +136,16 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
     texts: list[str] = []
     if not page:
         return texts, []
-    found: list[tuple[bool, bool, int]] = []  # of each block: in chrome by tag, in main, number of the innermost chrome by name
+    found: list[tuple[bool, int, int]] = []  # of each block: in chrome by tag, number of its article or main, number of the innermost chrome by name
     # open elements: name and the same three; where the elements of each name are in it
-    stack: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []
     where: dict[str, list[int]] = {}
     parts: list[str] = []
-    chrome = main = any_main = False
-    named = 0
-    outer, layouts = [0], [False]  # of each chrome by name: the one around it, whether its names are of layout
-    holders: set[int] = set()  # chrome by name outside articles that holds an article, so is none
+    chrome = False
+    main = named = 0
+    articles = [False]  # of each article or main: whether it is an article
+    outer, layouts = [0], [True]  # of each chrome by name: the one around it, whether its names are of layout
+    holders: set[int] = set()  # chrome by name outside articles that holds an article
 
     def flush() -> None:
         if parts:
@@ -133,7 +160,7 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
         for x in stack[i:]:
             where[x[0]].pop()
         del stack[i:]
-        chrome, main, named = stack[-1][1:] if stack else (False, False, 0)
+        chrome, main, named = stack[-1][1:] if stack else (False, 0, 0)
 
     def last(tags: tuple[str, ...]) -> int:
         return max((where[t][-1] for t in tags if where.get(t)), default=-1)
@@ -173,15 +200,14 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
                 close(item)
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag in ("article", "main"):
-            if not main:
-                k = named
-                while k and k not in holders:
-                    holders.add(k)
-                    k = outer[k]
-                named = 0
-            main = any_main = True
-        hard, by_name, layout = _chrome(tag, m[3], main)
+        if tag == "article" and not articles[main] or tag == "main" and not main:
+            k = 0 if main else named
+            while k and k not in holders:
+                holders.add(k)
+                k = outer[k]
+            main = len(articles)
+            articles.append(tag == "article")
+        hard, by_name, layout = _chrome(tag, m[3], main > 0)
         chrome = chrome or hard
         if by_name:
             outer.append(named)
@@ -197,45 +223,85 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
     total = sum(sizes)
     for k in range(len(outer) - 1, 0, -1):  # outer elements have smaller numbers
         sizes[outer[k]] += sizes[k]
+    firm = [False]  # whether a name that is no layout is around
+    for k in range(1, len(outer)):
+        firm.append(not layouts[k] or firm[outer[k]])
+    free = any(unit and not hard and not firm[k] for hard, unit, k in found)
     gone = [False]
     for k in range(1, len(outer)):
-        own = k not in holders and not (layouts[k] and not any_main and 2 * sizes[k] > total)
-        gone.append(own or gone[outer[k]])
-    return texts, [CHROME if hard or gone[k] else MAIN if in_main else OPEN for hard, in_main, k in found]
+        pardoned = (layouts[k] or not free) if k in holders else layouts[k] and len(articles) == 1 and 2 * sizes[k] > total
+        gone.append(not pardoned or gone[outer[k]])
+    lengths = [0] * len(articles)
+    for text, (hard, unit, k) in zip(texts, found):
+        lengths[unit] += 0 if hard or gone[k] else len(text)
+    most = max(lengths[1:], default=0)
+    return texts, [CHROME if hard or gone[k] else MAIN if unit and lengths[unit] == most else OPEN for hard, unit, k in found]
+
+
+#: Masks of positions are kept for what stands in more places than this, and made when asked for otherwise.
+FEW_PLACES = 32
+
+
+def _common_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with each beginning of ``b``.
+
+    A bit of the row stands for a position of ``b`` and is cleared where the
+    length grows; an element of ``a`` updates all at once.
+    """
+    m = len(b)
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    masks: dict[int, int] = {}
+    for x, at in places.items():
+        if len(at) > FEW_PLACES:
+            bits = np.zeros(m, dtype=np.uint8)
+            bits[at] = 1
+            masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = row = (1 << m) - 1
+    for x in a:
+        if (mask := masks.get(x)) is None:
+            mask = 0
+            for j in places.get(x, ()):
+                mask |= 1 << j
+        step = row & mask
+        row = ((row + step) | (row - step)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((m + 7) // 8, "little"), dtype=np.uint8), count=m, bitorder="little")
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
 
 
 def shared_positions(a: list[int], b: list[int]) -> set[int]:
-    """Positions of ``a`` in a longest common subsequence with ``b`` (Hunt and Szymanski).
+    """Positions of ``a`` in a longest common subsequence with ``b``.
 
-    Time grows with the number of equal pairs, not with the product of the
-    lengths; common ends are cut off first.
+    Halves of ``a`` are aligned with the two parts of ``b`` that give the most
+    (Hirschberg), so memory stays linear however often a line repeats. Common
+    ends and lines of one side only are cut off first.
     """
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    found = {*range(lo), *range(len(a) - hi, len(a))}
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - hi - 1, lo - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple[int, object]] = []
-    for i in range(lo, len(a) - hi):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif j < ends[k]:
-                ends[k] = j
-                links[k] = link
-    node = links[-1] if links else None
-    while node is not None:
-        found.add(node[0])
-        node = node[1]
+    found: set[int] = set()
+    work = [(list(range(len(a))), b)]
+    while work:
+        at, there = work.pop()
+        lo, top = 0, min(len(at), len(there))
+        while lo < top and a[at[lo]] == there[lo]:
+            lo += 1
+        hi = 0
+        while hi < top - lo and a[at[-1 - hi]] == there[-1 - hi]:
+            hi += 1
+        found.update(at[:lo], at[len(at) - hi :])
+        at, there = at[lo : len(at) - hi], there[lo : len(there) - hi]
+        left, right = {a[i] for i in at}, set(there)
+        at, there = [i for i in at if a[i] in right], [x for x in there if x in left]
+        if len(at) <= 1 or not there:
+            found.update(at[:1] if there else ())
+            continue
+        if len(right & left) == 1:  # one line that repeats
+            found.update(at[: min(len(at), len(there))])
+            continue
+        half = len(at) // 2
+        ahead = _common_lengths([a[i] for i in at[:half]], there)
+        behind = _common_lengths([a[i] for i in reversed(at[half:])], there[::-1])
+        cut = int(np.argmax(ahead + behind[::-1]))
+        work += [(at[:half], there[:cut]), (at[half:], there[cut:])]
     return found
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 from itertools import combinations
 
@@ -43,6 +44,32 @@ def test_names_never_take_the_article():
     assert zones_of('<body class="no-sidebar"><p>only</p>') == {"only": O}
 
 
+def test_chrome_inside_and_around_articles():
+    def text_of(page):
+        return [t for t, z in zip(*html_diff.blocks(page)) if z != html_diff.CHROME]
+
+    for name in ("comment-list", "comments-area", "share-buttons", "related-posts", "cookie-banner", "ad-slot", "ad-slot-2", "newsletter-signup", "post-comments", "comment-list__item", "top-ad"):
+        for around in ("main", "article"):
+            assert text_of(f'<{around}><h1>T</h1><div class="{name}"><p>gone</p></div><p>text</p></{around}>') == ["T", "text"], name
+    for name in ("share-price", "post-header", "no-comments", "ad-hoc", "notice-board", "story-list", "list", "entry", "post"):
+        assert text_of(f'<article><h1>T</h1><div class="{name}"><p>text</p></div></article>') == ["T", "text"], name
+    story = "<article><h1>T</h1><p>text of the story</p></article>"
+    for other in ('<div class="comments"><article class="user">reader</article></div>', '<section id="related"><article>teaser</article><article>teaser two</article></section>', '<div class="ads"><main>x</main></div>'):
+        assert text_of(story + other) == text_of(other + story) == ["T", "text of the story"]
+        assert text_of(f"<main>{story}{other}</main>") == ["T", "text of the story"]
+    # without another article such names don't take the text, and empty ones are none
+    assert text_of(f'<div class="modal">{story}</div>') == text_of(f'<article></article><div class="modal">{story}</div>') == ["T", "text of the story"]
+
+
+def test_only_the_article_with_most_text_is_protected(spark):
+    M, O = html_diff.MAIN, html_diff.OPEN
+    assert dict(zip(*html_diff.blocks("<main><h1>T</h1><article>long story</article><article>teaser</article></main>"))) == {"T": O, "long story": M, "teaser": O}
+    assert dict(zip(*html_diff.blocks("<main><p>a long text of main</p><article>small</article></main>"))) == {"a long text of main": M, "small": O}
+    rows = [(i, f"http://h.example/n/{i}", f"<main><h1>Title {i}</h1><article><p>Story {i} goes on for long</p></article><article>teaser of all pages</article></main>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_diff.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Title {i}\nStory {i} goes on for long" for i in range(4)}
+
+
 def test_text_of_awkward_pages():
     def text_of(page):
         return [t for t, z in zip(*html_diff.blocks(page)) if z != html_diff.CHROME]
@@ -103,6 +130,30 @@ def test_lcs_brute():
         assert len(found) == best and is_part([a[i] for i in sorted(found)], b)
 
 
+def test_lcs_of_repeated_and_random_lines():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ([draw.randrange(draw.choice([2, 4, 40])) for _ in range(draw.randrange(90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        found = html_diff.shared_positions(a, b)
+        assert len(found) == row[-1] and is_part([a[i] for i in sorted(found)], b)
+
+
+def test_lcs_of_long_pages():
+    n = 100_000
+    assert len(html_diff.shared_positions([1] * n, [2] + [1] * n)) == n
+    mixed = [i % 2 for i in range(6000)]
+    found = html_diff.shared_positions([2, *mixed], [*mixed[::-1], 3])
+    assert len(found) == 5999
+    a, b = [0, 7] * 10_000 + list(range(10, 10_010)), list(range(10_009, 9, -1)) + [0, 8] * 10_000
+    assert len(html_diff.shared_positions(a, b)) == 10_000
+
+
 def is_part(part, whole):
     rest = iter(whole)
     return all(x in rest for x in part)
