@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumicat.functions import text as fx
+from lumicat.operators import calendars as calendar_tables
 from lumicat.operators import cluster, extract, topic_clusters
 from lumicat.operators.rules import Rule
 from lumicat.plans.registry import register
@@ -100,6 +101,33 @@ def ext_calendar_cells(spark, sf_dir):
     return rows.withColumn("total", F.coalesce("total", (F.col("theory") + F.col("practice")).cast("decimal(18,4)")))
 
 
+@register(
+    "ext_calendar_choice",
+    f"""with {_CALENDAR}, extra as (select doc, max(ordinal) + 1 as ordinal from cal where doc % 2 = 1 group by 1)
+    select doc, ordinal, case when doc % 2 = 0 then 'Основа' end as section, topic, total, theory, practice from cal
+    union all select doc, ordinal, null, 'Лишняя тема', 1, 1, 0 from extra""",
+)
+def ext_calendar_choice(spark, sf_dir):
+    """Each order has its calendar as a table, with titles split over two rows, and as a plan of lines with a row more.
+
+    Tables of even orders state a total that agrees with their rows, so they are chosen; of the others the plans.
+    """
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n, name = F.col("l_linenumber").cast("string"), F.col("p_name")
+    total = F.concat((F.col("l_linenumber") + 1).cast("string"), F.lit(",5"))
+    front, back = F.substring_index(name, " ", 1), F.expr("substring(p_name, length(substring_index(p_name, ' ', 1)) + 2)")
+    halves = F.concat(F.lit("TABLE_ROW || "), n, F.lit(". || "), front, F.lit(" || || ||\nTABLE_ROW || || "), back, F.lit(" || "), n, F.lit(" || 1,5 || "), total)
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", halves.alias("cells"), F.concat_ws(" ", n, name, total, n, F.lit("1,5 беседа")).alias("line"))
+    lists = joined.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(row)).alias("rows"), (F.sum("l_linenumber") + 1.5 * F.count("*")).cast("decimal(18,1)").alias("sum"))
+    of = lambda name: F.array_join(F.transform("rows", lambda r: r[name]), "\n")
+    stated = F.when(F.col("doc") % 2 == 0, F.concat(F.lit("\nTABLE_ROW || || Итого || || || "), F.col("sum").cast("string"))).otherwise("")
+    text = F.concat(
+        F.lit("Тема Всего Теория Практика\n"), of("line"), F.lit("\n99 Лишняя тема 1 1 -\nSTRUCTURED_DOCX_TABLE_BEGIN 1\nTABLE_ROW || № || Тема || Теория || Практика || Всего\nTABLE_ROW || || Раздел 1. Основа\n"),
+        of("cells"), stated, F.lit("\nSTRUCTURED_DOCX_TABLE_END"),
+    )
+    return calendar_tables.calendar(lists.select("doc", text.alias("text")))
+
+
 @register("ext_quality", f"with {_CALENDAR} select doc, count(*)::bigint as topics, true as passes, 0.82::decimal(4,2) as confidence from cal group by 1")
 def ext_quality(spark, sf_dir):
     return extract.quality(extract.table_rows(calendars(spark, sf_dir)))
