@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lumicat.operators import topics
+from lumicat.operators import topic_rules, topics
 from lumicat.operators.rules import Rule, Taxonomy
 from lumicat.plans import scalars as sql
 from lumicat.plans.registry import register
-from lumicat.session import table
+from lumicat.session import remove_folder, shared_folder, table
 
 #: A taxonomy for the test texts.
 TEST = Taxonomy(
@@ -43,26 +45,49 @@ def _hits(col: str, needles) -> str:
     return "(" + " + ".join(["0", *[f"contains({col}, '{n}')::int" for n in needles]]) + ")"
 
 
-_CONTENT = _any("topic_key", [n for r in TEST.content for n in (*r.needles, *r.phrases)])
-_NOISE = "case when topic_key = '' then 'unknown' when length(topic_key) <= 2 then 'too_generic' when lower(raw) like 'table_row%' then 'ocr_noise' when regexp_matches(topic_key, '^[0-9 .,:;/-]+$') then 'ocr_noise' when regexp_matches(topic_key, '(^|[^0-9])(19[0-9][0-9]|20[0-2][0-9])\\.?$') and length(topic_key) < 120 then 'toc_fragment' when regexp_matches(raw, '\\.{4,}|…{2,}') then 'toc_fragment' "
-_NOISE += " ".join(f"when regexp_matches(topic_key, '{p}') then '{r}'" for p, r in TEST.noise) + f" when trim(topic_key, ' .-') in ({', '.join(repr(g) for g in TEST.generic)}) then 'too_generic' else '' end"
-_MANUAL = lambda i: "case " + " ".join(f"when regexp_matches(topic_key, '{m[0]}') then '{m[i]}'" for m in TEST.manual) + " else '' end"
-_SERVICE = "case " + " ".join(f"when {_any('topic_key', n)} and ({'not ' + _CONTENT if g else 'true'}) then '{c}'" for c, n, g in TEST.service) + " else '' end"
+def _content(rules: Taxonomy) -> str:
+    return _any("topic_key", [n for r in rules.content for n in (*r.needles, *r.phrases)])
+
+
+def _noise(rules: Taxonomy) -> str:
+    fixed = "case when topic_key = '' then 'unknown' when length(topic_key) <= 2 then 'too_generic' when lower(raw) like 'table_row%' then 'ocr_noise' when regexp_matches(topic_key, '^[0-9 .,:;/-]+$') then 'ocr_noise' when regexp_matches(topic_key, '(^|[^0-9])(19[0-9][0-9]|20[0-2][0-9])\\.?$') and length(topic_key) < 120 then 'toc_fragment' when regexp_matches(raw, '\\.{4,}|…{2,}') then 'toc_fragment' "
+    return fixed + " ".join(f"when regexp_matches(topic_key, '{p}') then '{r}'" for p, r in rules.noise) + f" when trim(topic_key, ' .-') in ({', '.join(repr(g) for g in rules.generic)}) then 'too_generic' else '' end"
+
+
+def _manual(rules: Taxonomy, i: int) -> str:
+    return "case " + " ".join(f"when regexp_matches(topic_key, '{m[0]}') then '{m[i]}'" for m in rules.manual) + " else '' end"
+
+
+def _service(rules: Taxonomy) -> str:
+    return "case " + " ".join(f"when {_any('topic_key', n)} and ({'not ' + _content(rules) if g else 'true'}) then '{c}'" for c, n, g in rules.service) + " else '' end"
+
+
+def _cleaned(rules: Taxonomy) -> str:
+    out = sql.clean("raw")
+    for pattern, word in rules.synonyms:
+        out = f"regexp_replace({out}, '(^|[^0-9a-zа-яё])(?:{pattern})([^0-9a-zа-яё]|$)', '\\1{word}\\2', 'gi')"
+    return out
+
+
 _ACTIVITY_TEXT = sql.key("' ' || raw")
 _ACTIVITY = "case " + " ".join(f"when regexp_matches(activity_key, '{p}') then '{n}'" for n, p in sql.ACTIVITY_PATTERNS) + " else 'не определено' end"
 
-_NORMALIZED = f"""{_ROWS},
-cleaned as (select *, {sql.clean('raw')} as clean_name, {_ACTIVITY_TEXT} as activity_key from rows1),
+def _normalized(rules: Taxonomy, rows: str) -> str:
+    return f"""{rows},
+cleaned as (select *, {_cleaned(rules)} as clean_name, {_ACTIVITY_TEXT} as activity_key from rows1),
 keyed as (select *, {sql.key('clean_name')} as topic_key from cleaned),
-noisy as (select *, {_NOISE} as noise_reason from keyed),
-manual as (select *, case when noise_reason = '' then {_MANUAL(1)} else '' end as man from noisy),
-served as (select *, case when noise_reason = '' and man = '' then {_SERVICE} else '' end as service_code from manual),
+noisy as (select *, {_noise(rules)} as noise_reason from keyed),
+manual as (select *, case when noise_reason = '' then {_manual(rules, 1)} else '' end as man from noisy),
+served as (select *, case when noise_reason = '' and man = '' then {_service(rules)} else '' end as service_code from manual),
 normalized as (select program_id, direction, program_name, topic_id, topic_order, hours, topic_key, noise_reason, service_code,
   case when noise_reason <> '' then 'noise' when man <> '' then man when service_code <> '' then 'service' else 'content' end as record_type,
   ((case when noise_reason <> '' then 90 else least(95, 72 + case when clean_name <> '' and clean_name <> raw then 8 else 0 end + case when service_code <> '' then 8 else 0 end + case when length(clean_name) between 8 and 120 then 8 else 0 end) end)::decimal(18,4) / 100)::decimal(4,2) as confidence,
   {_ACTIVITY} as activity, coalesce(nullif(clean_name, ''), raw) as topic_name from served)"""
 
 
+_NORMALIZED = _normalized(TEST, _ROWS)
+
+
 @register("top_normalize", f"with {_NORMALIZED} select topic_id, md5(topic_name) as name_hash, md5(topic_key) as key_hash, record_type, service_code, confidence, activity from normalized")
 def top_normalize(spark, sf_dir):
     out = topics.normalize(topic_rows(spark, sf_dir), TEST)
@@ -79,7 +104,7 @@ def top_service(spark, sf_dir):
     return topics.normalize(topic_rows(spark, sf_dir), TEST).where("service_code <> ''").groupBy("program_id", "service_code").agg(F.count("*").alias("n"))
 
 
-@register("top_manual", f"with {_NORMALIZED}, m as (select record_type, {_MANUAL(2)} as code from normalized where noise_reason = '') select code, record_type, count(*)::bigint as n from m where code <> '' group by 1, 2")
+@register("top_manual", f"with {_NORMALIZED}, m as (select record_type, {_manual(TEST, 2)} as code from normalized where noise_reason = '') select code, record_type, count(*)::bigint as n from m where code <> '' group by 1, 2")
 def top_manual(spark, sf_dir):
     out = topics.normalize(topic_rows(spark, sf_dir), TEST).where("manual_code <> ''")
     return out.groupBy(F.col("manual_code").alias("code"), "record_type").agg(F.count("*").alias("n"))
@@ -90,12 +115,16 @@ def top_scope(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").rlike("^(fr|es)"), "romance").otherwise("other").alias("scope"))
 
 
-_AGGREGATED = f"""{_NORMALIZED},
+def _aggregated(rules: Taxonomy, rows: str) -> str:
+    return f"""{_normalized(rules, rows)},
 agg as (select program_id, record_type, coalesce(nullif(topic_key, ''), 'unknown') as topic_key, arg_min(topic_name, topic_id) as topic_name, count(*)::bigint as rows,
   min(topic_order) as first_order, sum(hours::decimal(18,4)) as hours_total, sum(case when activity = 'контроль' then hours else 0 end::decimal(18,4)) as hours_control,
   min(program_name) as program_name, min(direction) as direction from normalized group by 1, 2, 3)"""
 
 
+_AGGREGATED = _aggregated(TEST, _ROWS)
+
+
 def aggregates(spark, sf_dir):
     return topics.aggregate(topics.normalize(topics.distinct_names(topic_rows(spark, sf_dir)), TEST))
 
@@ -106,10 +135,11 @@ def top_aggregate(spark, sf_dir):
     return out.select("program_id", "record_type", F.md5("topic_key").alias("key_hash"), F.md5("topic_name").alias("name_hash"), "rows", "first_order", F.col("hours_total").cast("bigint").alias("hours"), F.col("hours_control").cast("bigint").alias("control"))
 
 
-_RULES = " union all ".join(f"select {i} as ord, '{r.code}' as code, '{r.parent}' as parent, {_hits('tk', r.phrases)} as ph, {_hits('tk', r.needles)} as nd, least(4, {_hits('ck', r.needles)}) as cx, * from base" for i, r in enumerate(TEST.content))
-_CLASSIFIED = f"""{_AGGREGATED},
-base as (select *, {sql.key('topic_name')} as tk, {sql.key('program_name')} as ck, {_SERVICE} as svc, {_MANUAL(2)} as man2 from agg),
-scores as ({_RULES}),
+def _classified(rules: Taxonomy, rows: str) -> str:
+    scores = " union all ".join(f"select {i} as ord, '{r.code}' as code, '{r.parent}' as parent, {_hits('tk', r.phrases)} as ph, {_hits('tk', r.needles)} as nd, least(4, {_hits('ck', r.needles)}) as cx, * from base" for i, r in enumerate(rules.content))
+    return f"""{_aggregated(rules, rows)},
+base as (select *, {sql.key('topic_name')} as tk, {sql.key('program_name')} as ck, {_service(rules)} as svc, {_manual(rules, 2)} as man2 from agg),
+scores as ({scores}),
 placed as (select *, ph * 6 + nd * 4 + cx as halves, row_number() over (partition by program_id, record_type, topic_key order by ph * 6 + nd * 4 + cx desc, ord) as rn from scores),
 best as (select p.*, s.halves as second, (select 1) as one, t.tops from placed p
   join placed s on s.rn = 2 and (s.program_id, s.record_type, s.topic_key) = (p.program_id, p.record_type, p.topic_key)
@@ -125,6 +155,9 @@ classified as (select program_id, record_type, topic_key, topic_name, rows, hour
   case when record_type in ('noise') or man2 <> '' or record_type = 'service' or svc <> '' then '' else tops end as top_categories from best)"""
 
 
+_CLASSIFIED = _classified(TEST, _ROWS)
+
+
 def classified(spark, sf_dir):
     return topics.classify(aggregates(spark, sf_dir), TEST)
 
@@ -201,3 +234,48 @@ def top_markup_apply(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").select("doc_id").join(marks, "doc_id", "left")
     confidence = F.when(F.col("mark") == "reviewed", F.lit("0.99")).when(F.col("mark").isNotNull(), F.lit("0.50")).otherwise(F.lit("0.34")).cast("decimal(4,2)")
     return joined.select("doc_id", F.coalesce("mark", F.lit("open")).alias("status"), confidence.alias("confidence"))
+
+
+#: Rules of a catalogue as rows of a table (kind, position, code, name, parent, needles, phrases, pattern, record_type).
+CATALOGUE = (
+    ("content", 0, "modeling_3d", "3D", "engineering", ["3d", "модел", "чертеж"], ["3d модел"], None, None),
+    ("content", 1, "robotics", "Robots", "engineering", ["робот", "arduino", "lego", "датчик"], ["сборка робота"], None, None),
+    ("content", 2, "programming", "Programs", "computing", ["программир", "python", "алгоритм", "html", "scratch"], ["язык python"], None, None),
+    ("content", 3, "hiking", "Hikes", "tourism", ["поход", "ориентирован", "карт", "краевед"], ["родному краю"], None, None),
+    ("manual", 0, "organisation", None, None, None, None, "^встреча с родител", "service"),
+    ("manual", 1, "excursions", None, None, None, None, "^экскурсия ", "content"),
+)
+_MADE = topic_rules.taxonomy([dict(zip(("kind", "position", "code", "name", "parent", "needles", "phrases", "pattern", "record_type", "guarded"), (*r, None))) for r in CATALOGUE])
+#: Topics of syllabuses, planted among the lines of the test texts.
+PLANTED = (
+    "3д моделирование деталей", "Сборка робота на ардуино", "Диагностика знаний", "Вводное занятие. Инструктаж", "Расписание занятий", "Основы программирования на пайтон", "Практическая работа с картой", "Январь", "Введение",
+    "Поход по родному краю", "Ориентирование на местности", "Итоговая викторина о походах", "Работа с литературой", "Встреча с родителями", "Экскурсия в музей", "Чертеж и датчик", "Москва: Просвещение, 2012", "Беседа о дружбе",
+)
+_PLANTED_ROWS = _ROWS.replace("rows0 as (", "rows00 as (").replace(
+    "rows1 as (",
+    f"""planted as (select [{', '.join(f"'{x}'" for x in PLANTED)}] as p),
+rows0 as (select program_id, direction, program_name, topic_order, case topic_order % 3 when 0 then p[1 + (program_id + topic_order) % {len(PLANTED)}] when 1 then p[1 + (program_id + topic_order) % {len(PLANTED)}] || ' ' || topic_name else topic_name end as topic_name from rows00, planted),
+rows1 as (""",
+)
+
+
+def catalogue_rules(spark) -> Taxonomy:
+    """The rules of ``CATALOGUE`` with the default ones, read back from a table."""
+    path = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    spark.createDataFrame([(*r, None) for r in CATALOGUE], topic_rules.SCHEMA).write.json(path)
+    rules = topic_rules.read_taxonomy(spark, path)
+    remove_folder(spark, path)
+    return rules
+
+
+@register("top_classify_rules", f"with {_classified(_MADE, _PLANTED_ROWS)} select program_id, record_type, md5(topic_key) as key_hash, md5(topic_name) as name_hash, rows, parent_code, category_code, class_confidence, top_categories from classified")
+def top_classify_rules(spark, sf_dir):
+    """Service, noise, generic and synonym rules as they ship, content and manual rules from a table."""
+    rules = catalogue_rules(spark)
+    lines = topic_rows(spark, sf_dir)
+    planted = F.get(F.array(*[F.lit(x) for x in PLANTED]), ((F.col("program_id") + F.col("topic_order")) % len(PLANTED)).cast("int"))
+    kind = F.col("topic_order") % 3
+    rows = lines.withColumn("topic_name", F.when(kind == 0, planted).when(kind == 1, F.concat(planted, F.lit(" "), F.col("topic_name"))).otherwise(F.col("topic_name")))
+    rows = rows.withColumn("hours", F.length("topic_name") % 7)
+    out = topics.classify(topics.aggregate(topics.normalize(topics.distinct_names(rows), rules)), rules)
+    return out.select("program_id", "record_type", F.md5("topic_key").alias("key_hash"), F.md5("topic_name").alias("name_hash"), "rows", "parent_code", "category_code", "class_confidence", "top_categories")
