@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumicat.operators import extract
+from lumicat.session import checkpointed
 
 CELLS, LINES, TABLES = 0, 1, 2
 NUMBER = r"^[0-9]{1,3}([.][0-9]{1,3})*[.)]?$"
@@ -154,6 +155,7 @@ def chosen(rows: DataFrame) -> DataFrame:
 
 def calendar(docs: DataFrame) -> DataFrame:
     """doc, ordinal, section, topic, total, theory, practice: the calendar of each document in all layouts."""
-    rows = chosen(cell_rows(docs).unionByName(line_rows(docs)).unionByName(table_rows(docs)))
+    # the choice looks at the rows several times, so they are written once
+    rows = chosen(checkpointed(cell_rows(docs).unionByName(line_rows(docs)).unionByName(table_rows(docs))))
     ordinal = F.row_number().over(Window.partitionBy("doc").orderBy("layout", "part", "pos")).cast("bigint")
     return rows.select("doc", ordinal.alias("ordinal"), "section", "topic", "total", "theory", "practice")
