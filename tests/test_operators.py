@@ -368,3 +368,13 @@ def test_running_totals_resume(spark):
     for before in (first, sync.running_totals(rows.where("id < 0"), "id"), None):
         assert tuple(sync.running_totals(rows, "id", before).first()) == (100, 5050, 100)
     assert tuple(sync.running_totals(rows, "id", spark.createDataFrame([(5, 5, 90)], "rows long, total long, last long")).first()) == (15, 5 + sum(range(91, 101)), 100)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_activities_are_found_once(spark, sf_dir):
+    """No pattern normalises the text for itself, and terms, excluded terms and direction read one list of activities."""
+    plan = plan_of(registry.queries()["nlu_activity_ontology"](spark, sf_dir))
+    assert plan.count("regexp_replace(") == 1 and plan.count("баскетбол[а-я]*") <= 4
