@@ -378,3 +378,9 @@ def test_activities_are_found_once(spark, sf_dir):
     """No pattern normalises the text for itself, and terms, excluded terms and direction read one list of activities."""
     plan = plan_of(registry.queries()["nlu_activity_ontology"](spark, sf_dir))
     assert plan.count("regexp_replace(") == 1 and plan.count("баскетбол[а-я]*") <= 4
+
+
+def test_raw_term_splits_a_text_once(spark):
+    df = spark.createDataFrame([("Ищем шахматы, по робототехнику",), ("ищем",), ("",), (None,)], "t string").select(nlu.raw_term(F.col("t")).alias("r"))
+    assert plan_of(df).count("split(") == 1
+    assert [r.r for r in df.collect()] == ["шахмат", None, None, None]
