@@ -384,3 +384,8 @@ def test_raw_term_splits_a_text_once(spark):
     df = spark.createDataFrame([("Ищем шахматы, по робототехнику",), ("ищем",), ("",), (None,)], "t string").select(nlu.raw_term(F.col("t")).alias("r"))
     assert plan_of(df).count("split(") == 1
     assert [r.r for r in df.collect()] == ["шахмат", None, None, None]
+
+
+@pytest.mark.parametrize("name", ["nlu_llm_heuristics", "nlu_age", "nlu_profile_confidence", "nlu_format", "nlu_direction"])
+def test_texts_are_normalised_once_a_function(spark, sf_dir, name):
+    assert plan_of(registry.queries()[name](spark, sf_dir)).count("regexp_replace(") <= 10
