@@ -72,3 +72,13 @@ def dictionary_text(column):
     from lumicat.functions import text as fx
 
     return fx.normalize_search(fx.F.col(column)).alias("text")
+
+
+def test_a_word_is_one_row_however_long_phrases_are(spark):
+    """Texts are not cut into a window for each length of phrases."""
+    texts = spark.createDataFrame([(1, "a b c d a b"), (2, "b a"), (3, ""), (4, None), (5, "a b | c")], "id int, text string")
+    phrases = spark.createDataFrame([("a b c d", 1), ("a", 2), ("a b", 3), ("d a b x", 4), ("b c", 5)], "phrase string, rank int")
+    for most in (0, None):
+        hits = dictionary.phrase_hits(texts, phrases, ["id"], "text", most)
+        assert sorted((r.id, r.rank, r["at"]) for r in hits.collect()) == [(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 5, 1), (2, 2, 1), (5, 2, 0), (5, 3, 0)]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
