@@ -46,10 +46,10 @@ def src_csv(spark, sf_dir):
 
 @register("src_csv_split", _TEXTS)
 def src_csv_split(spark, sf_dir):
-    """The same from a single file, of which every split is a task."""
+    """The same in splits: neither the writing nor the reading is bound to a task a file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
     path = folder(spark)
-    files.write_csv(docs.coalesce(1), path)
+    files.write_csv(docs, path)
     return csv_split.read_csv_split(spark, path, docs.schema)
 
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from lumicat.plans import registry
 from lumicat.sources import csv_split, files
 
 SCHEMA = "k bigint, a string, b string"
@@ -59,3 +60,11 @@ def test_an_open_quote_is_an_error(spark, tmp_path):
     (tmp_path / "one.csv").write_text('k,a,b\n1,"open,x\n2,y,z\n')
     with pytest.raises(Exception, match="not closed"):
         csv_split.read_csv_split(spark, str(tmp_path), SCHEMA).collect()
+
+
+def test_query_writes_and_reads_in_many_tasks(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.queries()["src_csv_split"](spark, str(tmp_path))
+    assert len(found.inputFiles()) == 4
+    key = lambda r: (r.doc_id, r.text or "", r.lang or "")
+    assert sorted(map(key, found.collect())) == sorted(map(key, registry.queries()["src_csv_split"](spark, sf_dir).collect()))
