@@ -82,3 +82,16 @@ def test_a_word_is_one_row_however_long_phrases_are(spark):
         hits = dictionary.phrase_hits(texts, phrases, ["id"], "text", most)
         assert sorted((r.id, r.rank, r["at"]) for r in hits.collect()) == [(1, 1, 0), (1, 2, 0), (1, 3, 0), (1, 5, 1), (2, 2, 1), (5, 2, 0), (5, 3, 0)]
     assert hits._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+
+
+@pytest.mark.parametrize("most", [0, None])
+def test_terms_with_and_without_blanks(spark, monkeypatch, most):
+    """Terms inside words are looked up in distinct words, not in each text; terms with blanks in the texts."""
+    texts = [(k, f"alpha\tbeta {'gamma' if k % 2 else 'delta'}\n epsilon-zeta") for k in range(60)] + [(60, None), (61, " "), (None, "alpha"), (62, "naïve café x")]
+    terms = ["lph", "a", "ta", "gamma", "ta gam", "a\tb", "n\n e", "x", "é c", "fé x", "zz", "", " "]
+    read = []
+    held = dictionary._held
+    monkeypatch.setattr(dictionary, "_held", lambda plain, *more: read.append(sorted(r._text for r in plain.collect())) or held(plain, *more))
+    found = dictionary.containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), most=most)
+    assert sorted(map(tuple, found.collect())) == loop(texts, terms)
+    assert read[0] == ["alpha", "beta", "café", "delta", "epsilon-zeta", "gamma", "naïve", "x"]
