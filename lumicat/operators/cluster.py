@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,21 +85,56 @@ def kmeans(points: DataFrame, k: int = 32, rounds: int = 80) -> DataFrame:
         centres.append(far["v"] if far["s"] > 1e-12 else drawn(n))
         if len(centres) - kept > 8:  # similarities to past centres are written now and then
             near, kept = checkpointed(near.withColumn("best", F.greatest("best", _nearest(centres[kept:-1])["s"]))), len(centres) - 1
-    before, placed, settled = None, None, False
+    before, settled = None, False
     for n in range(rounds):
-        labelled = unit.withColumn("b", _nearest(centres))
-        placed = labelled.select("id", "weight", "v", (-F.col("b.i")).alias("cluster"), F.col("b.s").alias("similarity"))
-        if before is not None and labelled.where(F.col("b.i") != _nearest(before)["i"]).isEmpty():
+        moved, changed = _round(unit, centres, before)
+        if before is not None and not changed:
             settled = True
             break
-        sums = placed.select("cluster", "weight", F.posexplode("v").alias("d", "x")).groupBy("cluster", "d").agg(F.sum(F.col("x") * F.col("weight")).alias("x"))
-        moved = {r["cluster"]: [x["x"] for x in sorted(r["c"])] for r in sums.groupBy("cluster").agg(F.collect_list(F.struct("d", "x")).alias("c")).collect()}
+        if n == rounds - 1:
+            break
         before, centres = centres, []
         for i in range(len(before)):
             v = moved[i] if i in moved else drawn(k * (n + 1) + i)
             norm = math.sqrt(sum(x * x for x in v)) or 1.0
             centres.append([x / norm for x in v])
-    return placed.select("id", "cluster", "similarity", F.lit(settled).alias("settled"))
+    placed = unit.withColumn("b", _nearest(centres))
+    return placed.select("id", (-F.col("b.i")).alias("cluster"), F.col("b.s").alias("similarity"), F.lit(settled).alias("settled"))
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of one length and their weights; points of different lengths are an error."""
+    v = batch.column("v")
+    width = len(v[0]) if len(v) else 0
+    yield v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), width), batch.column("weight").to_numpy(zero_copy_only=False)
+
+
+def _round(unit: DataFrame, centres: list[list[float]], before: list[list[float]] | None) -> tuple[dict[int, list[float]], int]:
+    """Weighted sums of the points of each centre, and how many points have another centre than ``before``: one pass over the points.
+
+    Each task adds its own points up and hands on a row per centre; Spark adds the rows.
+    """
+    now, old = np.array(centres), None if before is None else np.array(before)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held, changed = np.zeros(now.shape), np.zeros(len(now), dtype=bool), 0
+        for batch in batches:
+            for v, weight in _blocks(batch) if len(batch) else ():
+                label = (v @ now.T).argmax(axis=1)
+                if old is not None:
+                    changed += int((label != (v @ old.T).argmax(axis=1)).sum())
+                for c in np.unique(label).tolist():
+                    mine = label == c
+                    sums[c] += weight[mine] @ v[mine]
+                    held[c] = True
+        rows = np.flatnonzero(held)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(sums[rows].tolist(), pa.list_(pa.float64())), pa.array([changed] + [0] * (len(rows) - 1), pa.int64())], ["cluster", "v", "changed"])
+
+    parts = unit.select("v", F.col("weight").cast("double").alias("weight")).mapInArrow(add, "cluster int, v array<double>, changed long")
+    one = parts.select("cluster", "changed", F.posexplode("v").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x"), F.sum(F.when(F.col("d") == 0, F.col("changed")).otherwise(0)).alias("changed"))
+    got = one.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda r: r["x"]).alias("v"), F.sum("changed").alias("changed")).collect()
+    return {r["cluster"]: r["v"] for r in got}, sum(r["changed"] for r in got)
 
 
 def keyword_cluster(topic: Column, rules: tuple[Rule, ...], noise: str) -> Column:
