@@ -12,8 +12,8 @@ than ``MIN_HELD`` held-out spans is.
 
 Training labels come from checks that the features don't show: check sums and
 number ranges hold by chance for some digits of any look, but for nearly all
-digits of a look that is used for genuine ones. Spans of a bounded sample of
-documents, ``TRAIN_DOCS``, are grouped by their features, small integers in
+digits of a look that is used for genuine ones. Spans of all
+documents are grouped by their features, small integers in
 fixed ranges, so the driver sees a table of the feature combinations that
 occur, whose number doesn't grow with the corpus, and never spans.
 
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from lumicat.llm.text import bind, unused
 from lumicat.session import checkpointed
 
-TRAIN_DOCS = 20_000
 TREES, RATE = 20, 0.3
 #: Share of genuine spans among those selected, and the held-out spans of a kind that it is measured on.
 MIN_PRECISION, MIN_HELD = 0.9, 20
@@ -284,17 +283,12 @@ def _branch(tree, x: Column) -> Column:
     return F.when(x[tree[0]] <= tree[1], _branch(tree[2], x)).otherwise(_branch(tree[3], x)) if isinstance(tree, tuple) else F.lit(float(tree))
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees:
-    """Fits trees to the spans of about ``train_docs`` documents, a quarter of them held out.
-
-    Copies of a text are drawn one by one, so none of them can fill the sample, and share a fold.
-    """
-    rows = docs.count()
-    share = min(1.0, train_docs / max(rows, 1))
+def train(docs: DataFrame) -> Trees:
+    """Fits trees to the spans of all documents, a quarter of the texts held out; copies of a text share a fold."""
     fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(4)).alias("fold")
     # written, and exploded with empty rows: else Spark runs the generators again to see whether an array is empty
-    sample = checkpointed(docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < share * (1 << 20))).select(fold, "text"))
-    spans = sample.select("fold", F.explode_outer(candidates(F.col("text"))).alias("c")).where("c is not null")
+    texts = checkpointed(docs.where(F.col("text").isNotNull()).select(fold, "text"))
+    spans = texts.select("fold", F.explode_outer(candidates(F.col("text"))).alias("c")).where("c is not null")
     counted = spans.groupBy("c.x", (F.col("fold") == 0).alias("held")).agg(F.sum(F.col("c.ok").cast("int")).alias("good"), F.count("*").alias("n"))
     table = counted.orderBy(F.desc("n"), F.col("x"), "held").collect()
     return Trees([(tuple(r["x"]), int(r["good"]), int(r["n"]), r["held"]) for r in table])

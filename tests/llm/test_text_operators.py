@@ -638,3 +638,11 @@ def test_every_operator_is_registered():
 def test_line_query_digest(spark, sf_dir, texts):
     want = {d: hashlib.sha256(t.encode()).hexdigest() for d, (_, _, t) in brute_lines(texts).items()}
     assert {r.doc_id: r.kept_sha256 for r in queries.QUERIES["op8_line_dedup"](spark, sf_dir).collect()} == want
+
+
+def test_trees_count_the_spans_of_all_documents(spark, monkeypatch):
+    """More documents than any sample had: each of their spans is in the counts that trees are fitted on."""
+    monkeypatch.setattr(pii_gbt, "Trees", lambda table: table)
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call +7 (912) 345-"), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lit("-00, doc "), F.col("id").cast("string")).alias("text"))
+    per_text = pii_gbt.train(docs.limit(1))
+    assert sum(n for _, _, n, _ in pii_gbt.train(docs)) >= 25_000 * min(n for _, _, n, _ in per_text)
