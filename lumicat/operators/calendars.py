@@ -2,7 +2,8 @@
 
 Three layouts are read: delimited tables (``TABLE_ROW || ...``), plans whose rows
 run over lines, and a cell a line (``extract.cell_rows``). Lines are rows of a
-DataFrame; folds over them are windows and groups of one document. Hours follow
+DataFrame; folds over them are windows and groups of one document, so after the
+lines are grouped by document nothing but chosen rows is shuffled. Hours follow
 the order that the header of their table names; where one of theory and practice
 is given, a blank other is zero, and a missing total is their sum. A row with
 hours whose number is the beginning of the next row's number is a section.
@@ -25,7 +26,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumicat.operators import extract
-from lumicat.session import checkpointed
 
 CELLS, LINES, TABLES = 0, 1, 2
 NUMBER = r"^[0-9]{1,3}([.][0-9]{1,3})*[.)]?$"
@@ -36,8 +36,13 @@ _HOURS_BEHIND = rf"^(.*?) {_HOUR} {_HOUR} {_HOUR}(?: .*)?$"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, pos, line: lines that aren't empty."""
-    return docs.select("doc", F.posexplode(F.split(extract.normalize(F.col("text")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    """doc, pos, line, low: lines that aren't empty, and the same in lower case."""
+    return docs.select("doc", F.posexplode(F.split(extract.normalize(F.col("text")), "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''").withColumn("low", F.lower("line"))
+
+
+def _any(text: Column, *words: str) -> Column:
+    """Whether a text holds one of the words; far cheaper than a pattern, so patterns are tried behind it."""
+    return reduce(Column.__or__, [text.contains(w) for w in words])
 
 
 def _role(cell: Column) -> Column:
@@ -45,9 +50,9 @@ def _role(cell: Column) -> Column:
     return F.when(low.rlike("^(теор|theor)"), "theory").when(low.rlike("^(практ|pract)"), "practice").when(low.rlike("^(всего|общ|итого|total)"), "total")
 
 
-def _rows(groups: DataFrame, layout: int) -> DataFrame:
-    """Topics of (doc, part, pos, number, title, total, theory, practice) rows, with their section and the total of their table."""
-    table = Window.partitionBy("doc", "part")
+def _rows(groups: DataFrame) -> DataFrame:
+    """Topics of (doc, layout, part, pos, number, title, total, theory, practice) rows, with their section and the total of their table."""
+    table = Window.partitionBy("doc", "layout", "part")
     here = table.orderBy("pos")
     number = F.regexp_replace("number", "[.)]+$", "")
     following = F.regexp_replace(F.lead("number").over(here), "[.)]+$", "")
@@ -66,96 +71,103 @@ def _rows(groups: DataFrame, layout: int) -> DataFrame:
         .withColumn("stated", F.last(F.when(F.col("kind") == "total", F.coalesce("total", summed)), ignorenulls=True).over(table.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .where((F.col("kind") == "topic") & (F.length("title") >= 3))
     )
-    return placed.select("doc", F.lit(layout).alias("layout"), "part", "pos", "section", F.col("title").alias("topic"), F.coalesce("total", summed).alias("total"), parts["theory"].alias("theory"), parts["practice"].alias("practice"), "stated")
+    return placed.select("doc", "layout", "part", "pos", "section", F.col("title").alias("topic"), F.coalesce("total", summed).alias("total"), parts["theory"].alias("theory"), parts["practice"].alias("practice"), "stated")
 
 
-def table_rows(docs: DataFrame) -> DataFrame:
-    """Rows of delimited tables, each table a part.
+def line_rows(docs: DataFrame) -> DataFrame:
+    """Rows of delimited tables, each table a part, and of plans that run over lines, in one pass over the lines.
 
     A table row without number joins the row before it, which takes its words and,
-    where it has none, its hours.
+    where it has none, its hours. A row of a plan is a number and a title, which may
+    go on in the next lines, and three cells of hours; only lines behind one that
+    names theory and practice count, or behind two lines that do.
     """
     by_doc = Window.partitionBy("doc").orderBy("pos")
-    lines = _lines(docs).withColumn("part", F.sum(F.col("line").startswith("STRUCTURED_DOCX_TABLE_BEGIN").cast("int")).over(by_doc))
-    rows = lines.where(F.col("line").startswith("TABLE_ROW")).select("doc", "part", "pos", F.transform(F.slice(F.split("line", r" *\|\| *"), 2, 1000), lambda c: F.trim(c)).alias("c"))
-    roles = F.array_compact(F.transform("c", _role))
-    header = F.exists(roles, lambda r: r != "total") & ~F.exists("c", lambda c: c.rlike(r"^[0-9]+([.,][0-9]+)?$"))
-    table = Window.partitionBy("doc", "part").orderBy("pos")
-    default = F.array(F.lit("total"), F.lit("theory"), F.lit("practice"))
-    known = rows.withColumn("header", header).withColumn("roles", F.coalesce(F.last(F.when(F.col("header"), roles), ignorenulls=True).over(table), default)).where("not header")
-    number, title = F.coalesce(F.get("c", F.lit(0)), F.lit("")), F.coalesce(F.get("c", F.lit(1)), F.lit(""))
-    hour = lambda role: F.when(F.array_contains("roles", role), extract.hours(F.get("c", (F.array_position("roles", role) + 1).cast("int"))))
-    cells = known.select("doc", "part", "pos", number.alias("number"), title.alias("title"), *[hour(r).alias(r) for r in ("total", "theory", "practice")])
-    starts = F.col("number").rlike(NUMBER) | F.lower(F.concat_ws("", "number", "title")).rlike(f"{SECTION}|{TOTAL}")
-    grouped = cells.withColumn("group", F.sum(starts.cast("int")).over(table)).where(F.col("group") > 0)
-    row = F.array_sort(F.collect_list(F.struct("pos", "number", "title", "total", "theory", "practice")))
-    folded = grouped.groupBy("doc", "part", "group").agg(row.alias("r"))
-    hours = F.try_element_at(F.filter("r", lambda x: F.coalesce(x["total"], x["theory"], x["practice"]).isNotNull()), F.lit(1))
-    words = F.array_join(F.transform(F.filter("r", lambda x: x["title"] != ""), lambda x: x["title"]), " ")
-    return _rows(folded.select("doc", "part", F.col("r")[0]["pos"].alias("pos"), F.col("r")[0]["number"].alias("number"), words.alias("title"), *[hours[c].alias(c) for c in ("total", "theory", "practice")]), TABLES)
-
+    table = F.col("line").startswith("TABLE_ROW")
+    theory, practice = ("теори", "theory"), ("практик", "practice")
+    # cells behind TABLE_ROW; blanks around bars go with them
+    lines = _lines(docs).withColumn("c", F.when(table, F.split("line", r" *\|\| *")))
+    cell = lambda i: F.coalesce(F.get("c", F.lit(i)), F.lit(""))
+    roles = F.array_compact(F.transform(F.slice("c", F.lit(2), F.size("c")), _role))
+    named = F.exists(roles, lambda r: r != "total") & ~F.exists(F.slice("c", F.lit(2), F.size("c")), lambda c: c.rlike(r"^[0-9]+([.,][0-9]+)?$"))
+    names_practice = _any(F.col("low"), *practice) & ~F.col("low").startswith("table_row")
+    lines = lines.select(
+        "doc", "pos", "line", "c", table.alias("table"),
+        F.col("line").startswith("STRUCTURED_DOCX_TABLE_BEGIN").cast("int").alias("begins"),
+        F.when(table & _any(F.col("low"), "теор", "theor", "практ", "pract"), F.when(named, roles)).alias("roles"),
+        names_practice.alias("second"),
+        (names_practice & F.col("low").rlike(f"({'|'.join(theory)}).*({'|'.join(practice)})")).alias("both"),
+        (_any(F.col("low"), *theory) & F.col("low").rlike(f"({'|'.join(theory)})[а-яa-z]*$")).alias("first"),
+        F.when(table, cell(1).rlike(NUMBER) | F.lower(F.concat(cell(1), cell(2))).rlike(f"{SECTION}|{TOTAL}"))
+        .otherwise(F.col("line").rlike(r"^[0-9]{1,3}([.][0-9]{1,3})*[.)]? +[A-Za-zА-Яа-яЁё«\"(]") | F.col("low").rlike(f"{SECTION}|{TOTAL}")).alias("starts"),
+    )
+    lines = lines.withColumn("tables", F.sum("begins").over(by_doc)).withColumn("behind", F.lag("first", 1, False).over(by_doc))
+    lines = lines.withColumn("head", F.last(F.when(F.col("roles").isNotNull(), F.struct(F.col("tables").alias("part"), "roles")), ignorenulls=True).over(by_doc))
+    header = F.when(F.col("table"), F.col("roles").isNotNull()).otherwise(F.col("both") | F.col("second") & F.col("behind"))
+    lines = lines.withColumn("header", header)
+    read = ~F.col("header") & ~F.col("line").startswith("STRUCTURED_DOCX_TABLE")
+    begun = lambda where: F.sum((where & read & F.col("starts")).cast("int")).over(by_doc)
+    lines = lines.select(
+        "doc", "pos", "line", "c", "table", "starts", read.alias("read"),
+        F.when(F.col("table") & (F.col("head.part") == F.col("tables")), F.col("head.roles")).otherwise(F.array(F.lit("total"), F.lit("theory"), F.lit("practice"))).alias("roles"),
+        F.when(F.col("table"), F.col("tables")).otherwise(F.sum((~F.col("table") & F.col("header")).cast("int")).over(by_doc)).alias("part"),
+        F.when(F.col("table"), begun(F.col("table"))).otherwise(begun(~F.col("table"))).alias("group"),
+    ).where("read and (table or part > 0)")
+    hour = lambda role: F.when(F.col("table"), extract.hours(F.get("c", (F.nullif(F.array_position("roles", role), F.lit(0)) + 2).cast("int")))).alias(role)
+    rows = lines.select("doc", F.when(F.col("table"), TABLES).otherwise(LINES).alias("layout"), "part", "group", "pos", "starts", F.when(F.col("table"), cell(1)).alias("number"), F.when(F.col("table"), cell(2)).otherwise(F.col("line")).alias("words"), *[hour(r) for r in ("total", "theory", "practice")])
+    timed = F.coalesce("total", "theory", "practice").isNotNull()
+    folded = rows.groupBy("doc", "layout", "part", "group").agg(
+        F.min(F.struct("pos", "number")).alias("r"),
+        F.min(F.when(timed, F.struct("pos", "total", "theory", "practice"))).alias("h"),
+        F.sort_array(F.collect_list(F.when(F.col("words") != "", F.struct("pos", "words")))).alias("w"),
+        F.bool_or("starts").alias("starts"),
+    )
+    # lines of a table or plan before its first row belong to none
+    whole = folded.where("starts").select("doc", "layout", "part", "r.pos", "r.number", "h", F.array_join("w.words", " ").alias("words"))
+    line = F.col("layout") == LINES
+    number = F.when(line, F.regexp_extract("words", r"^([0-9]{1,3}(?:[.][0-9]{1,3})*[.)]?) ", 1)).otherwise(F.col("number"))
+    split = whole.withColumn("number", number).withColumn("rest", F.when(line, F.trim(F.expr("substring(words, length(number) + 1)"))).otherwise(F.col("words")))
+    # the rest begins with no blank, so the title before hours is never empty; hours are the three words behind it
+    split = split.withColumn("before", F.when(line, F.regexp_extract("rest", _HOURS_BEHIND, 1)).otherwise(""))
+    split = split.withColumn("cells", F.when(F.col("before") != "", F.split(F.expr("substring(rest, length(before) + 2)"), " ", 4)))
+    given = lambda i, c: F.when(line, extract.hours(F.rtrim(F.get("cells", F.lit(i)), F.lit("\u0085\u2028\u2029")))).otherwise(F.col(f"h.{c}")).alias(c)
+    title = F.when(line, F.trim(F.when(F.col("before") != "", F.col("before")).otherwise(F.col("rest")))).otherwise(F.col("words"))
+    return _rows(split.select("doc", "layout", "part", "pos", "number", title.alias("title"), *[given(i, c) for i, c in enumerate(("total", "theory", "practice"))]))
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """Rows of plans that run over lines: a number and a title, which may go on in the next lines, and three cells of hours.
 
-    Only lines behind one that names theory and practice count, or behind two lines that do.
-    """
-    by_doc = Window.partitionBy("doc").orderBy("pos")
-    low = F.lower("line")
-    before = F.lower(F.coalesce(F.lag("line").over(by_doc), F.lit("")))
-    theory, practice = "(теори|theory)", "(практик|practice)"
-    header = ~low.startswith("table_row") & (low.rlike(f"{theory}.*{practice}") | low.rlike(practice) & before.rlike(f"{theory}[а-яa-z]*$"))
-    lines = _lines(docs).withColumn("part", F.sum(header.cast("int")).over(by_doc)).withColumn("header", header)
-    lines = lines.where("part > 0 and not header and not startswith(line, 'TABLE_ROW') and not startswith(line, 'STRUCTURED_DOCX_TABLE')")
-    starts = F.col("line").rlike(r"^[0-9]{1,3}([.][0-9]{1,3})*[.)]? +[A-Za-zА-Яа-яЁё«\"(]") | F.lower("line").rlike(f"{SECTION}|{TOTAL}")
-    grouped = lines.withColumn("group", F.sum(starts.cast("int")).over(Window.partitionBy("doc", "part").orderBy("pos"))).where(F.col("group") > 0)
-    folded = grouped.groupBy("doc", "part", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("r"))
-    whole = folded.select("doc", "part", F.col("r")[0]["pos"].alias("pos"), F.array_join(F.transform("r", lambda x: x["line"]), " ").alias("line"))
-    number = F.regexp_extract("line", r"^([0-9]{1,3}(?:[.][0-9]{1,3})*[.)]?) ", 1)
-    rest = F.trim(F.expr("substring(line, length(number) + 1)"))
-    cell = lambda i: F.regexp_extract("rest", _HOURS_BEHIND, i)
-    split = whole.withColumn("number", number).withColumn("rest", rest)
-    title = F.when(F.col("rest").rlike(_HOURS_BEHIND), cell(1)).otherwise(F.col("rest"))
-    return _rows(split.select("doc", "part", "pos", "number", F.trim(title).alias("title"), *[extract.hours(cell(i)).alias(c) for i, c in ((2, "total"), (3, "theory"), (4, "practice"))]), LINES)
+#: What a text in lower case has where a line begins with theory and the next one with practice.
+_CELL_HEADER = r"(теория|theory)[^\n\r\f]*[\n\r\f]\s*(практика|practice)"
 
 
 def cell_rows(docs: DataFrame) -> DataFrame:
     """Rows of ``extract.cell_rows``; the total is the first cell behind the last line of totals."""
-    lines = F.filter(F.transform(F.split(extract.normalize(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    found = docs.select("doc", lines.alias("l")).withColumn("at", F.array_max(F.transform("l", lambda x, i: F.when(F.lower(x).rlike(TOTAL + "( часов)?:?$") & F.coalesce(F.get("l", i + 1).rlike(extract.CELL), F.lit(False)), i + 1))))
-    stated = found.select("doc", extract.hours(F.get("l", "at")).alias("stated"))
-    rows = extract.cell_rows(docs).join(stated, "doc")
+    # a byte order mark may stand inside a word
+    some = docs.where(F.lower("text").rlike(_CELL_HEADER) | F.col("text").contains("\ufeff"))
+    at = F.array_max(F.transform("_l", lambda x, i: F.when(F.lower(x).rlike(TOTAL + "( часов)?:?$") & F.coalesce(F.get("_l", i + 1).rlike(extract.CELL), F.lit(False)), i + 1)))
+    rows = extract.cell_rows(some, stated=extract.hours(F.get("_l", at)))
     return rows.select("doc", F.lit(CELLS).alias("layout"), F.lit(0).cast("bigint").alias("part"), F.col("ordinal").cast("int").alias("pos"), F.lit(None).cast("string").alias("section"), "topic", "total", "theory", "practice", "stated")
 
 
-def _better(a: str, b: str) -> Column:
-    """Whether table ``a`` is better than table ``b``."""
-    rank = lambda x: F.struct(F.col(f"{x}.agrees"), F.col(f"{x}.adds_up"), -F.col(f"{x}.layout"), -F.col(f"{x}.part"))
-    return rank(a) > rank(b)
-
-
 def chosen(rows: DataFrame) -> DataFrame:
-    """The rows of tables that have no better rival in their document."""
+    """doc, tables: the tables of each document that have no better rival in it, with their rows, each an array in order."""
+    row = F.struct("pos", "section", "topic", "total", "theory", "practice")
     tables = rows.groupBy("doc", "layout", "part").agg(
-        F.coalesce(F.max("stated") == F.sum("total"), F.lit(False)).cast("int").alias("agrees"),
+        F.coalesce(F.max("stated") == F.sum("total"), F.lit(False)).alias("agrees"),
         (F.sum(F.when(F.col("total") == F.col("theory") + F.col("practice"), 1).otherwise(0)) / F.count("*")).alias("adds_up"),
-        F.count_distinct(F.lower("topic")).alias("titles"),
+        F.collect_set(F.lower("topic")).alias("titles"),
+        F.sort_array(F.collect_list(row)).alias("rows"),
     )
-    titles = rows.select("doc", "layout", "part", F.lower("topic").alias("title")).distinct()
-    other = titles.withColumnsRenamed({"layout": "layout2", "part": "part2"})
-    # of one title a document has a row a table, so pairs are bounded by the tables of a document
-    shared = titles.join(other, ["doc", "title"]).where("layout <> layout2 or part <> part2").groupBy("doc", "layout", "part", "layout2", "part2").agg(F.count("*").alias("shared"))
-    a, b = tables.alias("a"), tables.alias("b")
-    pairs = shared.alias("s").join(a, reduce(Column.__and__, [F.col(f"s.{c}") == F.col(f"a.{c}") for c in ("doc", "layout", "part")])).join(
-        b, (F.col("s.doc") == F.col("b.doc")) & (F.col("s.layout2") == F.col("b.layout")) & (F.col("s.part2") == F.col("b.part"))
-    )
-    beaten = pairs.where((2 * F.col("shared") >= F.least("a.titles", "b.titles")) & _better("b", "a")).select("a.doc", "a.layout", "a.part").distinct()
-    return rows.join(beaten, ["doc", "layout", "part"], "left_anti")
+    rank = F.struct("agrees", "adds_up", (-F.col("layout")).alias("layout"), (-F.col("part")).alias("part"))
+    by_doc = tables.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("layout", "part", rank.alias("rank"), "titles", "rows"))).alias("t"))
+
+    def rivals(a: Column, b: Column) -> Column:
+        return 2 * F.size(F.array_intersect(a["titles"], b["titles"])) >= F.least(F.size(a["titles"]), F.size(b["titles"]))
+
+    kept = F.filter("t", lambda a: ~F.exists("t", lambda b: (b["rank"] > a["rank"]) & rivals(a, b)))
+    return by_doc.select("doc", F.when(F.size("t") == 1, F.col("t")).otherwise(kept).alias("tables"))
 
 
 def calendar(docs: DataFrame) -> DataFrame:
     """doc, ordinal, section, topic, total, theory, practice: the calendar of each document in all layouts."""
-    # the choice looks at the rows several times, so they are written once
-    rows = chosen(checkpointed(cell_rows(docs).unionByName(line_rows(docs)).unionByName(table_rows(docs))))
-    ordinal = F.row_number().over(Window.partitionBy("doc").orderBy("layout", "part", "pos")).cast("bigint")
-    return rows.select("doc", ordinal.alias("ordinal"), "section", "topic", "total", "theory", "practice")
+    rows = chosen(cell_rows(docs).unionByName(line_rows(docs))).select("doc", F.posexplode(F.flatten("tables.rows")).alias("n", "r"))
+    return rows.select("doc", (F.col("n") + 1).cast("bigint").alias("ordinal"), "r.section", "r.topic", "r.total", "r.theory", "r.practice")

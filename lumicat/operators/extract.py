@@ -10,9 +10,13 @@ from lumicat.operators.staging import staged
 
 def normalize(text: Column) -> Column:
     """One newline form, no byte order mark, single blanks, plain dashes."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "﻿", "")
-    t = F.regexp_replace(t, "\r\n|\r|\f", "\n")
-    return F.translate(F.regexp_replace(t, "[ \t]+", " "), "–—−", "---")
+    t = F.coalesce(text, F.lit(""))
+    for old, new in (("\ufeff", ""), ("\r\n", "\n"), ("\r", "\n"), ("\f", "\n")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    t = F.regexp_replace(t, "[ \t]{2,}|\t", " ")
+    for dash in "–—−":
+        t = F.replace(t, F.lit(dash), F.lit("-"))
+    return t
 
 
 def logical_lines(docs: DataFrame) -> DataFrame:
@@ -66,7 +70,8 @@ def topics(lines: DataFrame) -> DataFrame:
 
 def hours(cell: Column) -> Column:
     """Hours with comma decimals; a dash or a blank is null."""
-    return F.replace(F.trim(cell), F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
+    # a cast that fails is caught as an exception, which costs far more than the test
+    return F.when(cell.rlike(r"\p{Nd}"), F.replace(F.trim(cell), F.lit(","), F.lit(".")).try_cast("decimal(18,4)"))
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
@@ -87,11 +92,12 @@ def table_rows(docs: DataFrame) -> DataFrame:
 CELL = r"^([0-9]+([.,][0-9]+)?|-)$"
 
 
-def cell_rows(docs: DataFrame) -> DataFrame:
+def cell_rows(docs: DataFrame, **carried: Column) -> DataFrame:
     """doc, ordinal, topic, total, theory, practice of calendars with a cell a line: number, title, three cells of hours.
 
     Only lines behind a header that names theory and practice count. A title may
-    take two lines; rows of totals have no number and don't count.
+    take two lines; rows of totals have no number and don't count. ``carried`` are
+    columns of the document's lines, ``_l``, to be added to its rows.
     """
     lines = F.filter(F.transform(F.split(normalize(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = staged(docs.select("doc", "text"), _l=lines)
@@ -107,8 +113,8 @@ def cell_rows(docs: DataFrame) -> DataFrame:
         made = lambda name, k: F.struct(i.alias("pos"), name.alias("topic"), hours(at(i, k)).alias("total"), hours(at(i, k + 1)).alias("theory"), hours(at(i, k + 2)).alias("practice"))
         return F.when(begins & cells(2), made(at(i, 1), 2)).when(begins & title(at(i, 2)) & cells(3), made(F.concat_ws(" ", at(i, 1), at(i, 2)), 3))
 
-    found = staged(rows.where("_head is not null"), _r=F.array_compact(F.transform("_l", row)))
-    return found.select("doc", F.posexplode("_r").alias("n", "r")).select("doc", (F.col("n") + 1).cast("bigint").alias("ordinal"), "r.topic", "r.total", "r.theory", "r.practice")
+    found = staged(rows.where("_head is not null"), _r=F.array_compact(F.transform("_l", row)), **carried)
+    return found.select("doc", *carried, F.posexplode("_r").alias("n", "r")).select("doc", (F.col("n") + 1).cast("bigint").alias("ordinal"), "r.topic", "r.total", "r.theory", "r.practice", *carried)
 
 
 _HOUR = r"([0-9]{1,3}(?:[.,][0-9]+)?|-)"

@@ -69,3 +69,15 @@ def test_tables_of_several_years_are_all_kept(spark):
 
 def test_an_empty_table(spark):
     assert calendars.calendar(spark.createDataFrame([], "doc int, text string, extra int")).count() == 0
+
+
+def test_rows_of_both_layouts_between_each_other(spark):
+    mixed = "Тема Всего Теория Практика\nSTRUCTURED_DOCX_TABLE_BEGIN 1\nTABLE_ROW || без номера || 9 || 9 || 9\nTABLE_ROW || 1. || Виды || || ||\n5 Река и\nTABLE_ROW || || музеев || 2 || 1 || 1\nозеро 3 1 2\nTABLE_ROW || № || Тема || Практика || Теория\nTABLE_ROW || 2 || Поход || 3 || 1\n"
+    (got,) = read(spark, mixed)
+    assert got == [(None, "Река и озеро", 3, 1, 2), (None, "Виды музеев", 2, 1, 1), (None, "Поход", 4, 1, 3)]
+
+
+def test_lines_are_read_once_and_tables_meet_without_a_join(spark):
+    docs = spark.createDataFrame([(1, TABLE)], "doc int, text string")
+    plan = calendars.calendar(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("posexplode(split(") == 1
