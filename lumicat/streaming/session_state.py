@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,12 +22,16 @@ from lumicat.session import folder_exists
 
 EVENT = "key long, id long, ts timestamp, amount long, reset boolean"
 SESSION = "key long, start long, last long, n long, amount long, closed boolean, version long"
+_CHANGE = Row("key", "start", "last", "n", "amount", "closed", "version")
 #: RocksDB keeps the state on disk beside the executors and its changes in the checkpoint folder.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Sessions(StatefulProcessor):
-    """State of a key: microseconds of begin and end, events, amount, changes so far."""
+    """State of a key: microseconds of begin and end, events, amount, changes so far.
+
+    A key with state has one timer. Events don't move it, as each call costs a round trip to the JVM; where it is early, it is set again.
+    """
 
     def __init__(self, gap: int):
         self.gap = gap * 1_000_000
@@ -37,37 +40,34 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("session", "start long, last long, n long, amount long, version long")
 
-    def _row(self, key, s: tuple, closed: bool) -> tuple:
-        return (key[0], *s[:4], closed, s[4])
-
-    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=["key", "start", "last", "n", "amount", "closed", "version"])
+    def _row(self, key, s: tuple, closed: bool) -> Row:
+        return _CHANGE(key[0], *s[:4], closed, s[4])
 
     def _due(self, last: int) -> int:
         return (last + self.gap) // 1000 + 1
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = sorted((t, i, a, r) for part in rows for t, i, a, r in zip(part["at"].tolist(), part["id"].tolist(), part["amount"].tolist(), part["reset"].tolist()))
-        now, out = (tuple(self.state.get()) if self.state.exists() else None), []
-        if now is not None:
-            self.handle.deleteTimer(self._due(now[1]))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.state.get()
+        now = tuple(known) if known is not None else None
         version = now[4] if now else 0
-        for at, _, amount, reset in events:
+        for _, _, _, at, amount, reset in sorted(rows, key=lambda r: (r[3], r[1], r[4], r[5])):
             version += 1
             if now is not None and (reset or at - now[1] > self.gap):
-                out.append(self._row(key, (*now[:4], version), True))
+                yield self._row(key, (*now[:4], version), True)
                 now = None
             now = (at, at, 1, int(amount), version) if now is None else (now[0], max(at, now[1]), now[2] + 1, now[3] + int(amount), version)
         self.state.update(now)
-        self.handle.registerTimer(self._due(now[1]))
-        yield from self._frame([*out, self._row(key, now, False)])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            now = tuple(self.state.get())
+        if known is None:
+            self.handle.registerTimer(self._due(now[1]))
+        yield self._row(key, now, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = self.state.get()
+        if now is not None and self._due(now[1]) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._due(now[1]))  # events came since it was set
+        elif now is not None:
             self.state.clear()
-            yield from self._frame([self._row(key, (*now[:4], now[4] + 1), True)])
+            yield self._row(key, (*now[:4], now[4] + 1), True)
 
     def close(self) -> None:
         pass
@@ -78,7 +78,7 @@ def run(events: DataFrame, out: str, checkpoint: str, gap: int, late: str = "0 s
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     marked = events.where("key is not null and ts is not null").select("key", F.coalesce("id", F.lit(0)).alias("id"), "ts", F.unix_micros("ts").alias("at"), F.coalesce("amount", F.lit(0)).alias("amount"), F.coalesce("reset", F.lit(False)).alias("reset")).withWatermark("ts", late)
-    changes = marked.groupBy("key").transformWithStateInPandas(Sessions(gap), SESSION, outputMode="Update", timeMode="EventTime")
+    changes = marked.groupBy("key").transformWithState(Sessions(gap), SESSION, outputMode="Update", timeMode="EventTime")
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch writes the same

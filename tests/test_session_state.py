@@ -82,3 +82,46 @@ def test_latest_rows_without_news(spark, tmp_path):
         assert run(rows) == sorted(want.items()) == run([])
     sizes = {r["batch"]: r["count"] for r in spark.read.parquet(f"{base}/out").groupBy("batch").count().collect()}
     assert min(sizes.values()) <= 4 and spark.read.parquet(f"{base}/out").where(F.col("merged") == 1).count() > 0
+
+
+class Calls:
+    """State and timers of one key, with a note of each call."""
+
+    def __init__(self):
+        self.value, self.notes = None, []
+
+    def get(self):
+        self.notes.append("get")
+        return self.value
+
+    def update(self, value):
+        self.notes.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.notes.append(("timer", at))
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_events_of_an_open_session_cost_two_calls_and_its_early_timer_is_set_again():
+    made = session_state.Sessions(10)
+    made.handle = made.state = calls = Calls()
+    event = lambda i, second: (1, i, None, second * 1_000_000, 5, False)
+    assert [r.n for r in made.handleInputRows((1,), iter([event(2, 3), event(1, 0)]), Clock(0))] == [2]
+    assert calls.notes == ["get", "update", ("timer", 13_001)]
+    calls.notes.clear()
+    assert [r.n for r in made.handleInputRows((1,), iter([event(3, 9)]), Clock(3000))] == [3]
+    assert calls.notes == ["get", "update"]
+    assert list(made.handleExpiredTimer((1,), Clock(14_000), None)) == [] and calls.notes[-1] == ("timer", 19_001)
+    (closed,) = made.handleExpiredTimer((1,), Clock(19_001), None)
+    assert closed.closed and closed.n == 3 and calls.value is None
