@@ -10,7 +10,7 @@ from lumicat.operators import topic_rules, topics
 from lumicat.operators.rules import Rule, Taxonomy
 from lumicat.plans import scalars as sql
 from lumicat.plans.registry import register
-from lumicat.session import remove_folder, shared_folder, table
+from lumicat.session import checkpointed, remove_folder, shared_folder, table
 
 #: A taxonomy for the test texts.
 TEST = Taxonomy(
@@ -185,7 +185,8 @@ labelled as (select c.program_id, c.record_type, c.topic_key, c.rows, c.hours_to
 
 
 def labelled(spark, sf_dir):
-    made = classified(spark, sf_dir)
+    # labels come from the topics that they are given to, so topics are classified once and written
+    made = checkpointed(classified(spark, sf_dir).select("program_id", "record_type", "topic_key", "rows", "hours_total", "category_code", "class_confidence"))
     rows = made.where("record_type = 'content' and rows >= 2").join(table(spark, sf_dir, "labels"), F.col("doc_id") == F.col("program_id")).select("topic_key", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("gold_code"))
     return topics.apply_gold(made, topics.golden_labels(rows))
 

@@ -389,3 +389,10 @@ def test_raw_term_splits_a_text_once(spark):
 @pytest.mark.parametrize("name", ["nlu_llm_heuristics", "nlu_age", "nlu_profile_confidence", "nlu_format", "nlu_direction"])
 def test_texts_are_normalised_once_a_function(spark, sf_dir, name):
     assert plan_of(registry.queries()[name](spark, sf_dir)).count("regexp_replace(") <= 10
+
+
+def test_topics_under_review_are_classified_once(spark, sf_dir):
+    from lumicat.plans import topics as plan
+
+    text = plan.top_review(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents" not in text and "posexplode" not in text
