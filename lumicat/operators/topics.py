@@ -8,6 +8,8 @@ classification, so no rule runs twice for a topic. Only aggregates are scored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,16 @@ def manual_rule(key: Column, taxonomy: Taxonomy) -> Column:
     return out.otherwise(both("", ""))
 
 
+def same_words(name: Column, taxonomy: Taxonomy) -> Column:
+    """Synonyms by their common spelling. Few names hold one, so one search for all comes before the twelve or more replacements."""
+    out = name
+    for pattern, word in taxonomy.synonyms:
+        out = F.regexp_replace(out, rf"(?iu)(^|[^0-9a-zа-яё])(?:{pattern})(?=[^0-9a-zа-яё]|$)", f"$1{word}")
+    if not taxonomy.synonyms or any(re.search(r"\\[1-9k]", pattern) for pattern, _ in taxonomy.synonyms):
+        return out  # references to groups mean others in a joined pattern
+    return F.when(name.rlike("|".join(f"(?iu:{pattern})" for pattern, _ in taxonomy.synonyms)), out).otherwise(name)
+
+
 def distinct_names(rows: DataFrame) -> DataFrame:
     """One row per programme, topic name and activity: the first topic id, the number of rows, the hours of all.
 
@@ -69,10 +81,7 @@ def normalize(rows: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     ``rows`` has topic_name and activity_type.
     """
     raw = F.trim(F.coalesce("topic_name", F.lit("")))
-    clean = fx.clean_topic(F.col("_raw"))
-    for pattern, word in taxonomy.synonyms:
-        clean = F.regexp_replace(clean, rf"(?iu)(^|[^0-9a-zа-яё])(?:{pattern})(?=[^0-9a-zа-яё]|$)", f"$1{word}")
-    out = staged(staged(rows, _raw=raw), clean_name=clean)
+    out = staged(staged(rows, _raw=raw), clean_name=fx.once(fx.clean_topic(F.col("_raw")), lambda c: same_words(c, taxonomy)))
     out = staged(out, topic_key=fx.normalize_key(F.col("clean_name")))
     out = staged(out, noise_reason=noise_reason(F.col("topic_key"), F.col("_raw"), taxonomy))
     out = staged(out, _rule=F.when(F.col("noise_reason") == "", manual_rule(F.col("topic_key"), taxonomy)))

@@ -396,3 +396,15 @@ def test_topics_under_review_are_classified_once(spark, sf_dir):
 
     text = plan.top_review(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents" not in text and "posexplode" not in text
+
+
+def test_synonyms_are_looked_for_once_before_they_are_replaced(spark):
+    from lumicat.operators import topic_rules, topics
+    from lumicat.operators.rules import Taxonomy
+
+    names = spark.createDataFrame([("робот на АРДУИНО и лего",), ("карта местности",), ("html, css",), ("xhtml",)], "n string")
+    rules = topic_rules.taxonomy([])
+    assert [r[0] for r in names.select(topics.same_words(F.col("n"), rules)).collect()] == ["робот на Arduino и LEGO", "карта местности", "HTML, CSS", "xhtml"]
+    twice = Taxonomy((), synonyms=((r"(к)арта", "план"), (r"(м)естности\2?", "места")))
+    assert names.where("n like 'карта%'").select(topics.same_words(F.col("n"), twice)).first()[0] == "план места"
+    assert names.where("n like 'карта%'").select(topics.same_words(F.col("n"), Taxonomy(()))).first()[0] == "карта местности"
