@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lumicat.llm.lookup import matching
 from lumicat.llm.text import SPACE_RE, bind, hash128
-from lumicat.session import checkpointed
+from lumicat.session import checkpointed, few_files
 
 WINDOW = 8
 #: Share of an item's distinct windows that a contaminated document holds.
@@ -131,7 +131,7 @@ def slots(matched: DataFrame, key: str, size: int) -> DataFrame:
 def _verdicts(rows: DataFrame, totals: DataFrame) -> DataFrame:
     """doc_id, item_id, p, n_windows, n_item_windows, n_consistent of passages p; rows of equal (p, h, k) are one window."""
     group = ["doc_id", "item_id", "p"]
-    held = checkpointed(rows.groupBy(*group, "h", "k").agg(F.min("slots").alias("slots"), F.min("item_slots").alias("item_slots")))
+    held = checkpointed(few_files(rows.groupBy(*group, "h", "k").agg(F.min("slots").alias("slots"), F.min("item_slots").alias("item_slots"))))
     # the filling of each benchmark slot value: its most common document value in the passage
     filled = held.select(*group, "h", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*group, "h", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).where("a is not null")
     votes = filled.groupBy(*group, "a", "b").agg(F.count("*").alias("n"))
@@ -163,10 +163,10 @@ def likely_pairs(held: DataFrame, item_windows: DataFrame, totals: DataFrame, mi
     common = held.groupBy("h").agg(F.count("*").alias("n"))
     order = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "h")  # the windows of one item
     placed = item_windows.join(common, "h", "left").withColumn("rn", F.row_number().over(order)).join(totals, "item_id")
-    rare = checkpointed(placed.where(F.col("rn") <= F.col("n_item_windows") - F.ceil(F.col("n_item_windows") * min_coverage) + 1).select("item_id", "h"))
-    candidates = checkpointed(held.join(sized(rare), "h").select("doc_id", "item_id").distinct())
+    rare = checkpointed(few_files(placed.where(F.col("rn") <= F.col("n_item_windows") - F.ceil(F.col("n_item_windows") * min_coverage) + 1).select("item_id", "h")))
+    candidates = checkpointed(few_files(held.join(sized(rare), "h").select("doc_id", "item_id").distinct()))
     shared = candidates.join(held, "doc_id").join(sized(item_windows), ["item_id", "h"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    return checkpointed(shared.join(totals, "item_id").where(F.col("n") >= F.col("n_item_windows") * min_coverage).select("doc_id", "item_id"))
+    return checkpointed(few_files(shared.join(totals, "item_id").where(F.col("n") >= F.col("n_item_windows") * min_coverage).select("doc_id", "item_id")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT) -> DataFrame:
@@ -174,11 +174,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
 
     ``item_id`` is the smallest of the class, ``n_items`` the number of its items.
     """
-    classes = checkpointed(item_classes(benchmark, size).groupBy("class_id").agg(F.count("*").alias("n_items"))).withColumnRenamed("class_id", "item_id")
+    classes = checkpointed(few_files(item_classes(benchmark, size).groupBy("class_id").agg(F.count("*").alias("n_items")))).withColumnRenamed("class_id", "item_id")
     items = windows(benchmark.select("item_id", "text").join(classes, "item_id", "left_semi"), "item_id", size).select("item_id", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("n_tokens").alias("_n"), F.col("slots").alias("item_slots"))
-    items = checkpointed(items)
+    items = checkpointed(few_files(items))
     totals = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_item_windows"))
-    hashes = checkpointed(items.select("h").distinct())
+    hashes = checkpointed(few_files(items.select("h").distinct()))
     few = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     sized = lambda df: F.broadcast(df) if few else df
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -193,10 +193,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     # a short item without a plain word is only its values
     bare = (F.col("_n") < size) & F.forall("item_slots", lambda v: v.isNotNull())
     # matched windows are few and looked at twice
-    found = checkpointed(pairs.where(~bare | (F.col("slots") == F.col("item_slots"))))
+    found = checkpointed(few_files(pairs.where(~bare | (F.col("slots") == F.col("item_slots")))))
     covered = F.col("n_windows") >= F.col("n_item_windows") * min_coverage
     consistent = F.col("n_consistent") >= F.col("n_windows") * min_consistent
-    whole = checkpointed(_verdicts(found.withColumns({"p": F.lit(0).cast("long"), "k": F.lit(-1)}), totals).where(covered))
+    whole = checkpointed(few_files(_verdicts(found.withColumns({"p": F.lit(0).cast("long"), "k": F.lit(-1)}), totals).where(covered)))
     # a pair that is odd as a whole may hold the item more than once: each passage is judged by itself
     shift, texts_of = F.col("pos") - F.col("_pos"), F.xxhash64("t", "_t")
     grid = lambda n, by: F.struct(F.xxhash64(F.lit(n), texts_of, F.floor(by / F.col("_n"))).alias("p"), F.lit(-1).alias("k"))
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     best = _verdicts(parts, totals).where(covered & consistent).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_consistent", "n_windows", "n_item_windows")).alias("b"))
     columns = ["doc_id", "item_id", "n_windows", "n_item_windows", "n_consistent"]
     leaks = whole.where(consistent).select(*columns).unionByName(best.select("doc_id", "item_id", "b.*").select(*columns))
-    return leaks.join(classes, "item_id").select("doc_id", "item_id", "n_items", *columns[2:])
+    return few_files(leaks.join(classes, "item_id").select("doc_id", "item_id", "n_items", *columns[2:]))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.text import unused
-from lumicat.session import checkpointed
+from lumicat.session import checkpointed, few_files
 
 #: Ids are broadcast up to this many (8 bytes each, about 40 in a hash table), else both sides are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -21,7 +21,7 @@ def matching(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi",
     and their order stay; a null key is in no set.
     """
     (name,) = unused(rows, "_key")
-    known = checkpointed(ids.toDF(name).where(F.col(name).isNotNull()).distinct())
+    known = checkpointed(few_files(ids.toDF(name).where(F.col(name).isNotNull()).distinct()))
     few = known.limit((limit := BROADCAST_IDS if most is None else most) + 1).count() <= limit
     return rows.join(F.broadcast(known) if few else known, rows[key] == known[name], how)
 

@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontam, langid, line_dedup, line_quality, mixing, pii_gbt, queries, secret_dfa, setsketch
+from lumicat.llm import decontam, langid, line_dedup, line_quality, lookup, mixing, pii_gbt, queries, secret_dfa, setsketch
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -365,6 +365,27 @@ def test_decontamination_brute(spark, documents, texts):
     assert {(r.doc_id, r.item_id, r.n_items) for r in got.collect()} == want and len(want) > 60
 
 
+def test_few_rows_are_few_files(spark, monkeypatch):
+    """Tables of a few rows aren't written in a file a shuffle partition: executors start processes for each file."""
+    asked = "The red barn holds {} bales and the blue barn holds {} bales so how many bales are in {} barns"
+    bench = spark.createDataFrame([(1, asked.format(40, 25, 2))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{asked.format(3 + k, 90 + k, 2)} . {asked.format(k, 7 + k, k)}") for k in range(20)], "doc_id long, text string").coalesce(4)
+    files, kept = [], decontam.checkpointed
+    for module in (decontam, lookup):
+        monkeypatch.setattr(module, "checkpointed", lambda df: (made := kept(df), files.append(made.rdd.getNumPartitions()))[0])
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = decontam.contaminated(docs, bench)
+        assert got.rdd.getNumPartitions() <= 16 and {r.doc_id for r in got.collect()} == set(range(20))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 10 and max(files) <= 16
+
+
 # --- mixing
 
 
