@@ -6,7 +6,9 @@ import random
 import re
 from itertools import combinations
 
-from lumicat.llm import html_diff, warc_derive
+import duckdb
+
+from lumicat.llm import html_diff, queries, warc_derive
 
 SCHEMA = "page_id long, url string, html string, _host string, text string"
 
@@ -276,3 +278,13 @@ def test_neighbours_brute(spark):
     for (host, key), near in got.items():
         others = [k for h, k in keys if h == host and k != key]
         assert not others or near in others and common(key, near) == max(common(key, k) for k in others)
+
+
+def test_plain_text_is_that_of_the_sql(spark):
+    """Line ends other than \n don't hide the end of a text from the trim; references aren't decoded twice; runs of white space are one space."""
+    rows = [(1, None, "abc \x85"), (2, None, "abc &#13;"), (3, None, "<p> a&amp;lt;b &lt;&&quot; </p>\n\n<p>\t</p> &nbsp; x  <b> y</b>\r\n z &"), (4, None, "\t<SCRIPT>1</script ><!-- \n -->\x0c"), (5, None, "a\tb  c \n d"), (6, None, "")]
+    got = {r.page_id: r.block for r in warc_derive.derive(warc_derive.responses(pages(spark, rows))).where("record_type = 'conversion'").collect()}
+    assert got == {1: "abc \x85", 2: "abc \r", 3: 'a&lt;b <&"\nx  y z &', 4: "", 5: "a b c d", 6: ""}
+    for page, _, text in rows:
+        if page != 2:  # the SQL has no numbers among its references
+            assert duckdb.execute(f"select {queries._DUCK_TEXT} from (select ?::varchar as html)", [text]).fetchone()[0] == got[page]
