@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,21 @@ FORMATS = {"text": ["txt", "md", "html", "htm", "json", "csv"], "office": ["doc"
 TABLE_BEGIN, TABLE_END, TABLE_ROW = "STRUCTURED_DOCX_TABLE_BEGIN", "STRUCTURED_DOCX_TABLE_END", "TABLE_ROW"
 
 
+def read_options() -> dict[str, str]:
+    """Options of readers that tell a missing cell (null) from a quoted empty one (an empty text).
+
+    A missing cell stands for ``nullValue``, and so does a cell that holds it: so it is a text that no file can hold by chance. By
+    default a NUL before a quote would be taken for its escape and lost.
+    """
+    return {"quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "emptyValue": "", "nullValue": f"missing {uuid.uuid4().hex}", "mode": "PERMISSIVE"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
-    """Quoted cells with doubled quotes; a missing cell of text is empty, blank rows go.
+    """Quoted cells with doubled quotes; a missing cell is null, a quoted empty one of text is empty, blank rows go.
 
     With ``multi_line`` cells may hold line breaks, and each file is one task.
     """
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=multi_line, emptyValue="", mode="PERMISSIVE")
+    return spark.read.options(**read_options()).csv(path, header=True, schema=schema, multiLine=multi_line)
 
 
 def read_csv_bom(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -28,7 +38,8 @@ def read_csv_bom(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, quote='"', escape='"', emptyValue="")
+    """Cells as they are, with their white space; a null is a missing cell and an empty text a quoted one. With ``quote_all`` both are quoted."""
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all, quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:
