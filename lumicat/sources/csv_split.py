@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from lumicat.session import checkpointed
+from lumicat.sources.files import read_options
 
 #: The splits, a row each, are broadcast up to this number; above it lines are shuffled by split.
 BROADCAST_SPLITS = 1_000_000
@@ -127,6 +128,6 @@ def read_csv_split(spark: SparkSession, path: str, schema: StructType | str) ->
     """
     wanted = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.fields)
-    options = {"quote": '"', "escape": '"', "multiLine": "true", "emptyValue": "", "mode": "PERMISSIVE"}
+    options = read_options() | {"multiLine": "true"}
     rows = records(spark, path).where("not first and record <> ''")
     return rows.select(F.from_csv("record", ddl, options).alias("row")).select("row.*")

@@ -12,7 +12,7 @@ TEXTS = [None, "", " ", "  x", "x \t", "\n", "\r", "a\rb", "x\r", '"', '""', 'a\
 LANGS = [None, "", "en", " en", "en ", "\t", '"', "x\r", "ru\n"]
 
 
-@pytest.mark.parametrize("query", ["src_csv"])
+@pytest.mark.parametrize("query", ["src_csv", "src_csv_split"])
 def test_odd_cells_come_back_as_they_were(spark, tmp_path, query):
     rng = random.Random(4)
     texts = TEXTS + ["".join(rng.choices(PIECES, k=rng.randint(1, 12))) for _ in range(600)]
