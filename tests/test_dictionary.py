@@ -1,6 +1,7 @@
 """Dictionaries as tables against nested loops."""
 
 import random
+import re
 
 import pytest
 
@@ -95,3 +96,24 @@ def test_terms_with_and_without_blanks(spark, monkeypatch, most):
     found = dictionary.containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), most=most)
     assert sorted(map(tuple, found.collect())) == loop(texts, terms)
     assert read[0] == ["alpha", "beta", "café", "delta", "epsilon-zeta", "gamma", "naïve", "x"]
+
+
+@pytest.mark.parametrize("most", [0, None])
+@pytest.mark.parametrize(("known", "rows"), [(0, 10), (5, 10), (10_000, 10_000)])
+def test_frequent_and_other_words_hold_the_same(spark, monkeypatch, most, known, rows):
+    """However many words are looked up beforehand, and for terms that fill several blocks."""
+    monkeypatch.setattr(dictionary, "KNOWN_WORDS", known)
+    monkeypatch.setattr(dictionary, "SAMPLE_ROWS", rows)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdé\U0001f600") for _ in range(n))
+    texts = [(k % 55, " ".join(word(rng.choice([1, 2, 3, 5, 9])) for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    terms = [word(rng.randint(1, 4)) for _ in range(400)]
+    got = dictionary.containing(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"), most=most)
+    assert sorted(map(tuple, got.collect())) == loop(texts, terms)
+
+
+def test_words_and_terms_of_texts_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id long, text string")
+    found = dictionary.containing(texts, spark.createDataFrame([("lph",), ("et",)], "term string"))
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
+    assert set(re.findall(r"hashpartitioning\(([^)]*)\)", plan)) == {"_id, _block, 8"}
