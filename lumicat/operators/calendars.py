@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumicat.operators import extract
+from lumicat.operators.staging import staged
 
 CELLS, LINES, TABLES = 0, 1, 2
 NUMBER = r"^[0-9]{1,3}([.][0-9]{1,3})*[.)]?$"
@@ -141,8 +142,8 @@ _CELL_HEADER = r"(теория|theory)[^\n\r\f]*[\n\r\f]\s*(практика|pra
 
 def cell_rows(docs: DataFrame) -> DataFrame:
     """Rows of ``extract.cell_rows``; the total is the first cell behind the last line of totals."""
-    # a byte order mark may stand inside a word
-    some = docs.where(F.lower("text").rlike(_CELL_HEADER) | F.col("text").contains("\ufeff"))
+    # lower-casing costs most, so a line that begins with the letter of practice is looked for first; a byte order mark may stand inside a word
+    some = docs.where(F.col("text").rlike(r"[\n\r\f]\s*[пПpP]") & F.lower("text").rlike(_CELL_HEADER) | F.col("text").contains("\ufeff"))
     at = F.array_max(F.transform("_l", lambda x, i: F.when(F.lower(x).rlike(TOTAL + "( часов)?:?$") & F.coalesce(F.get("_l", i + 1).rlike(extract.CELL), F.lit(False)), i + 1)))
     rows = extract.cell_rows(some, stated=extract.hours(F.get("_l", at)))
     return rows.select("doc", F.lit(CELLS).alias("layout"), F.lit(0).cast("bigint").alias("part"), F.col("ordinal").cast("int").alias("pos"), F.lit(None).cast("string").alias("section"), "topic", "total", "theory", "practice", "stated")
@@ -169,5 +170,7 @@ def chosen(rows: DataFrame) -> DataFrame:
 
 def calendar(docs: DataFrame) -> DataFrame:
     """doc, ordinal, section, topic, total, theory, practice: the calendar of each document in all layouts."""
+    # so that whatever makes the texts isn't run once for each look at them
+    docs = staged(docs.select("doc", "text"), _whole=F.col("text")).select("doc", F.col("_whole").alias("text"))
     rows = chosen(cell_rows(docs).unionByName(line_rows(docs))).select("doc", F.posexplode(F.flatten("tables.rows")).alias("n", "r"))
     return rows.select("doc", (F.col("n") + 1).cast("bigint").alias("ordinal"), "r.section", "r.topic", "r.total", "r.theory", "r.practice")

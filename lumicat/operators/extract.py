@@ -9,14 +9,14 @@ from lumicat.operators.staging import staged
 
 
 def normalize(text: Column) -> Column:
-    """One newline form, no byte order mark, single blanks, plain dashes."""
-    t = F.coalesce(text, F.lit(""))
+    """One newline form, no byte order mark, single blanks, plain dashes; a text that needs none of it is looked through once."""
+    whole = t = F.coalesce(text, F.lit(""))
     for old, new in (("\ufeff", ""), ("\r\n", "\n"), ("\r", "\n"), ("\f", "\n")):
         t = F.replace(t, F.lit(old), F.lit(new))
     t = F.regexp_replace(t, "[ \t]{2,}|\t", " ")
     for dash in "–—−":
         t = F.replace(t, F.lit(dash), F.lit("-"))
-    return t
+    return F.when(whole.rlike("[\ufeff\r\f\t–—−]|  "), t).otherwise(whole)
 
 
 def logical_lines(docs: DataFrame) -> DataFrame:

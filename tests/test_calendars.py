@@ -1,5 +1,7 @@
 """Calendars: layouts, repair of split rows, sections, and the choice among tables of a document."""
 
+from pyspark.sql import functions as F
+
 from lumicat.operators import calendars
 
 
@@ -81,3 +83,19 @@ def test_lines_are_read_once_and_tables_meet_without_a_join(spark):
     docs = spark.createDataFrame([(1, TABLE)], "doc int, text string")
     plan = calendars.calendar(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("posexplode(split(") == 1
+
+
+def test_texts_are_made_once_for_each_of_the_two_branches(spark):
+    """Not once for each expression that looks at a text."""
+    made = spark.range(4).select(F.col("id").alias("doc"), F.concat(F.lit(CELLS), F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("text"))
+    found = calendars.calendar(made)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("repeat(") == 2
+    assert found.count() == 12
+
+
+def test_odd_white_space_and_headers_in_capitals(spark):
+    """What a text is cleaned of and how its header is written change no row."""
+    plain = CELLS + EXTRA
+    (want,) = read(spark, plain)
+    odd = [plain.replace("\n", "\r\n"), plain.replace("\n", "\r"), "﻿" + plain, plain.replace("Практика\n1", "\tПРАКТИКА\n1"), plain.replace("Теория\nПрактика", "ТЕОРИЯ\n ﻿ практика"), plain.replace("\nПрактика", "\f  Практика"), plain.replace(" ", "  "), plain.replace("Тема ", "Тема\t")]
+    assert want and all(got == want for got in read(spark, *odd))
