@@ -266,8 +266,9 @@ _WORD_SQL = "terms as (select distinct lower(w) as term from (select unnest(rege
 def join_dictionary(spark, sf_dir):
     """Every word of the benchmark items, anywhere in every document."""
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("w")).select(F.lower("w").alias("term"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    return dictionary.containing(docs, terms, "doc_id").groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    # rows count, also those without an id and those that repeat one
+    docs = table(spark, sf_dir, "documents").select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc"), F.lower("text").alias("text"))
+    return dictionary.containing(docs, terms, "doc").groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc.doc_id").alias("first_doc"), F.max("doc.doc_id").alias("last_doc"))
 
 
 _ASKED = "case c_custkey % 5 when 0 then p_name when 1 then 'a ' || p_name || ' (used)' when 2 then substr(p_name, 3, 5) when 3 then substr(p_name, 2) || c_mktsegment else c_name end"

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from lumicat.operators import dictionary, lexicon, nlu
+from lumicat.plans import registry
 from tests.test_operators import understood
 
 
@@ -117,3 +118,11 @@ def test_words_and_terms_of_texts_are_not_shuffled(spark):
     found = dictionary.containing(texts, spark.createDataFrame([("lph",), ("et",)], "term string"))
     plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
     assert set(re.findall(r"hashpartitioning\(([^)]*)\)", plan)) == {"_id, _block, 8"}
+
+
+def test_rows_without_id_and_rows_that_repeat_one_count(spark, tmp_path):
+    docs = [(1, "Alpha beta"), (1, "ALPHA"), (1, "alpha"), (None, "xalphax"), (None, None), (2, ""), (3, "beta")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "Alpha, bet 9!"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = registry.queries()["join_dictionary"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("alpha", 4, 1, 1), ("bet", 2, 1, 3)]
