@@ -18,6 +18,22 @@ from lumicat.operators.rules import Taxonomy, any_of, first_match, scored
 from lumicat.operators.staging import staged
 
 LOW_CONFIDENCE = 0.6
+#: Letters and digits of words, whatever is beside them is the edge of a word.
+WORD = "0-9a-zа-яё"
+
+
+def _refers(pattern: str) -> bool:
+    """Whether a pattern refers to its groups by number or name."""
+    return re.search(r"\\[1-9k]", pattern) is not None
+
+
+def looked_behind(pattern: str) -> str:
+    """``pattern`` for tests of whether it hits: an edge in front, ``(^|[^...])``, is looked back at and not matched.
+
+    A search tries the edge at every character of a text, where a look back costs a third of a group that matches.
+    """
+    edge = re.match(r"\(\^\|\[\^([^]\[^\\&]+)\]\)(?![*+?{])", pattern)
+    return pattern if edge is None or _refers(pattern) else f"(?<![{edge[1]}]){pattern[edge.end():]}"
 
 
 def noise_reason(key: Column, raw: Column, taxonomy: Taxonomy) -> Column:
@@ -29,7 +45,7 @@ def noise_reason(key: Column, raw: Column, taxonomy: Taxonomy) -> Column:
         (key.rlike(r"^[0-9 .,:;/-]+$"), "ocr_noise"),
         ((F.length(key) < 120) & F.right(key, F.lit(6)).rlike(r"(^|[^0-9])(19[0-9][0-9]|20[0-2][0-9])\.?$"), "toc_fragment"),
         (raw.contains("....") | raw.contains("……"), "toc_fragment"),
-        *[(key.rlike(pattern), reason) for pattern, reason in taxonomy.noise],
+        *[(key.rlike(looked_behind(pattern)), reason) for pattern, reason in taxonomy.noise],
         (F.btrim(key, F.lit(" .-")).isin(list(taxonomy.generic)) if taxonomy.generic else F.lit(False), "too_generic"),
     ]
     return first_match([(t, F.lit(r)) for t, r in tests], F.lit(""))
@@ -46,18 +62,19 @@ def manual_rule(key: Column, taxonomy: Taxonomy) -> Column:
     both = lambda kind, code: F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code"))
     out = F.when(F.lit(False), both("", ""))
     for pattern, kind, code in taxonomy.manual:
-        out = out.when(key.rlike(pattern), both(kind, code))
+        out = out.when(key.rlike(looked_behind(pattern)), both(kind, code))
     return out.otherwise(both("", ""))
 
 
 def same_words(name: Column, taxonomy: Taxonomy) -> Column:
-    """Synonyms by their common spelling. Few names hold one, so one search for all comes before the twelve or more replacements."""
+    """Synonyms by their common spelling. Few names hold one, so one search for all, where words begin, comes before the twelve or more replacements."""
     out = name
     for pattern, word in taxonomy.synonyms:
-        out = F.regexp_replace(out, rf"(?iu)(^|[^0-9a-zа-яё])(?:{pattern})(?=[^0-9a-zа-яё]|$)", f"$1{word}")
-    if not taxonomy.synonyms or any(re.search(r"\\[1-9k]", pattern) for pattern, _ in taxonomy.synonyms):
+        out = F.regexp_replace(out, rf"(?iu)(^|[^{WORD}])(?:{pattern})(?=[^{WORD}]|$)", f"$1{word}")
+    if not taxonomy.synonyms or any(_refers(pattern) for pattern, _ in taxonomy.synonyms):
         return out  # references to groups mean others in a joined pattern
-    return F.when(name.rlike("|".join(f"(?iu:{pattern})" for pattern, _ in taxonomy.synonyms)), out).otherwise(name)
+    begins = rf"(?iu)(?<![{WORD}])(?:{'|'.join(f'(?:{pattern})' for pattern, _ in taxonomy.synonyms)})"
+    return F.when(name.rlike(begins), out).otherwise(name)
 
 
 def distinct_names(rows: DataFrame) -> DataFrame:
